@@ -1,13 +1,413 @@
-"""Registered queries."""
+"""Registered queries: each operator applied to the whole of its table.
 
+Texts of ``documents`` serve as sequences: only the letters ACGT count.  A
+sketch is made for each document, or, for dense matrices and accuracy, for each
+source (20 collections of many records).
+"""
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import dna, packing
+from ..functions.params import SketchParams, ordered
+from ..operators import compare, evaluate, matrix, minimizers, sketch, superkmers
+from ..sources.fasta import records_of
+from . import sql
 
-def oracle_sql():
-    return {}
+SMALL = SketchParams(15, 5, 4)
+MAIN = SketchParams(21, 7, 4)
+WIDE = SketchParams(31, 11, 10)
+LONG = SketchParams(33, 11, 10)
+RATES = (2, 4, 8, 16, 1000)
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records_of(documents(spark, sf_dir))
+
+
+def by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    numbered = documents(spark, sf_dir).withColumn("number", F.regexp_extract("source", "([0-9]+)", 1).cast("bigint"))
+    return records_of(numbered, "number")
+
+
+def by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages as queries, numbered below every source."""
+    numbered = documents(spark, sf_dir).withColumn("number", -F.ascii("lang").cast("bigint") * 256 - F.ascii(F.substring("lang", 2, 1)))
+    return records_of(numbered, "number")
+
+
+LANGUAGE = "-CAST(ascii(lang) AS BIGINT) * 256 - ascii(substr(lang, 2, 1))"
+
+
+def query(text: str | None) -> Callable[[Query], Query]:
+    """Register a query, with SQL for the same result if there is any."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if text:
+            SQL[f.__name__] = text
+        return f
+
+    return add
+
+
+def of_seq(column: Column, name: str) -> Query:
+    return lambda spark, sf_dir: by_document(spark, sf_dir).select(F.col("sketch_id").alias("doc_id"), column.alias(name))
+
+
+# Scalars.
+
+
+@query(f"WITH {sql.records()} SELECT sketch_id AS doc_id, seq FROM recs")
+def clean_dna(spark, sf_dir):
+    return of_seq(F.col("seq"), "seq")(spark, sf_dir)
+
+
+@query(f"WITH {sql.records()} SELECT sketch_id AS doc_id, translate(reverse(seq), 'ACGT', 'TGCA') AS rc FROM recs")
+def reverse_complement(spark, sf_dir):
+    return of_seq(dna.reverse_complement(F.col("seq")), "rc")(spark, sf_dir)
+
+
+@query(f"WITH {sql.records()} SELECT sketch_id AS doc_id, translate(seq, 'ACTG', '0123') AS digits FROM recs")
+def nuc_encode(spark, sf_dir):
+    return of_seq(dna.digits(F.col("seq")), "digits")(spark, sf_dir)
+
+
+@query(f"WITH {sql.records()} SELECT sketch_id AS doc_id, substr(seq, 1, 31) AS head, {sql.fold("translate(substr(seq, 1, 31), 'ACTG', '0123')")} AS code FROM recs WHERE length(seq) >= 31")
+def num_decode(spark, sf_dir):
+    code = dna.number(dna.digits(F.substring("seq", 1, 31)))
+    rows = by_document(spark, sf_dir).where(F.length("seq") >= 31).select(F.col("sketch_id").alias("doc_id"), code.alias("code"))
+    return rows.select("doc_id", dna.text_of(F.col("code"), 31).alias("head"), "code")
+
+
+@query(f"WITH {sql.records()}, d AS (SELECT sketch_id, translate(substr(seq, 1, 31), 'ACTG', '0123') AS x FROM recs WHERE length(seq) >= 31) SELECT sketch_id AS doc_id, {sql.kmer(WIDE, 'x')} AS kmer FROM d")
+def canonical_kmer(spark, sf_dir):
+    head = dna.digits(F.substring("seq", 1, 31))
+    return by_document(spark, sf_dir).where(F.length("seq") >= 31).select(F.col("sketch_id").alias("doc_id"), minimizers.kmer_key(head, 31).alias("kmer"))
+
+
+@query(f"WITH {sql.records()}, dd AS (SELECT sketch_id, translate(substr(seq, 1, 11), 'ACTG', '0123') AS x FROM recs WHERE length(seq) >= 11), dc AS (SELECT sketch_id, least(x, {sql.turned('x')}) AS cd FROM dd), u AS (SELECT DISTINCT cd FROM dc),{sql.hashes('u')} SELECT sketch_id AS doc_id, cm AS mmer, ho FROM dc JOIN hashed USING (cd)")
+def mmer_hash(spark, sf_dir):
+    code = dna.number(dna.canonical(dna.digits(F.substring("seq", 1, 11))))
+    rows = by_document(spark, sf_dir).where(F.length("seq") >= 11).select(F.col("sketch_id").alias("doc_id"), code.alias("mmer"))
+    return rows.withColumn("ho", dna.hash_order(F.col("mmer")))
+
+
+def _rates_sql(p: SketchParams) -> str:
+    rows = ", ".join(f"({s}, {ordered(SketchParams(p.k, p.m, s).threshold())})" for s in RATES)
+    return f"WITH {sql.minimizers(p)}, r(s, t) AS (VALUES {rows}) SELECT CAST(s AS BIGINT) AS s, CAST(t AS BIGINT) AS threshold, CAST(count(ho) AS BIGINT) AS n_selected FROM r LEFT JOIN mins ON ho <= t GROUP BY s, t"
+
+
+@query(_rates_sql(MAIN))
+def selection_threshold(spark, sf_dir):
+    """k-mers that the threshold of each rate selects: one pass over all minimizers."""
+    limits = {s: ordered(SketchParams(MAIN.k, MAIN.m, s).threshold()) for s in RATES}
+    counts = [F.count(F.when(F.col("ho") <= F.lit(t).cast("bigint"), 1)).alias(f"s{s}") for s, t in limits.items()]
+    one = minimizers.minimizers(by_document(spark, sf_dir), MAIN).agg(*counts)
+    rows = F.explode(F.array(*[F.struct(F.lit(s).cast("bigint").alias("s"), F.lit(t).cast("bigint").alias("threshold"), F.col(f"s{s}").alias("n_selected")) for s, t in limits.items()]))
+    return one.select(rows.alias("r")).select("r.*")
+
+
+# Records and k-mers.
+
+
+@query(f"WITH {sql.records()} SELECT sketch_id, rec_id, CAST(length(seq) AS BIGINT) AS n_bases FROM recs")
+def fasta_records(spark, sf_dir):
+    return by_document(spark, sf_dir).select("sketch_id", "rec_id", F.length("seq").cast("bigint").alias("n_bases"))
+
+
+@query(f"WITH {sql.records()} SELECT sketch_id, CAST(length(seq) - 30 AS BIGINT) AS n_kmers FROM recs WHERE length(seq) >= 31")
+def short_record_filter(spark, sf_dir):
+    return sketch.total_kmers(by_document(spark, sf_dir), WIDE).withColumnRenamed("total_kmers", "n_kmers")
+
+
+@query(f"WITH {sql.records()}, d AS (SELECT sketch_id, translate(seq, 'ACTG', '0123') AS d FROM recs WHERE length(seq) >= 21), x AS (SELECT sketch_id, d, unnest(generate_series(0, length(d) - 21)) AS pos FROM d) SELECT sketch_id, CAST(pos AS BIGINT) AS pos, {sql.kmer(MAIN, 'substr(d, pos + 1, 21)')} AS kmer FROM x")
+def kmer_explode(spark, sf_dir):
+    return minimizers.kmers(by_document(spark, sf_dir), MAIN).select("sketch_id", F.col("pos").cast("bigint").alias("pos"), minimizers.kmer_key(F.col("kd"), MAIN.k).alias("kmer"))
+
+
+SPECTRUM = f"WITH {sql.records()}, d AS (SELECT sketch_id, translate(seq, 'ACTG', '0123') AS d FROM recs WHERE length(seq) >= 21), x AS (SELECT sketch_id, d, unnest(generate_series(0, length(d) - 21)) AS pos FROM d), y AS (SELECT sketch_id, {sql.kmer(MAIN, 'substr(d, pos + 1, 21)')} AS kmer FROM x) SELECT sketch_id, kmer, CAST(count(*) AS BIGINT) AS cnt FROM y GROUP BY ALL"
+
+
+@query(SPECTRUM)
+def kmer_spectrum(spark, sf_dir):
+    return sketch.spectrum(by_document(spark, sf_dir), MAIN)
+
+
+@query(SPECTRUM + " HAVING count(*) >= 2")
+def kmer_abundance_filter(spark, sf_dir):
+    return sketch.spectrum(by_document(spark, sf_dir), MAIN).where("cnt >= 2")
+
+
+# Minimizers and super-k-mers.
+
+
+@query(f"WITH {sql.minimizers(MAIN)} SELECT sketch_id, CAST(pos AS BIGINT) AS pos, minimizer, ho, CAST(mpos AS BIGINT) AS mpos, is_rev FROM mins")
+def minimizer_per_kmer(spark, sf_dir):
+    wide = lambda c: F.col(c).cast("bigint").alias(c)
+    return minimizers.minimizers(by_document(spark, sf_dir), MAIN).select("sketch_id", wide("pos"), "minimizer", "ho", wide("mpos"), "is_rev")
+
+
+@query(f"WITH {sql.minimizers(MAIN)} SELECT minimizer, CAST(count(*) AS BIGINT) AS n_kmers, CAST(count(DISTINCT sketch_id) AS BIGINT) AS n_sketches FROM mins GROUP BY minimizer")
+def minimizer_frequency(spark, sf_dir):
+    # Counted by sketch first, so no shuffled row stands for less than a sketch's k-mers of a minimizer.
+    each = minimizers.minimizers(by_document(spark, sf_dir), MAIN).groupBy("minimizer", "sketch_id").agg(F.count("*").alias("n"))
+    return each.groupBy("minimizer").agg(F.sum("n").alias("n_kmers"), F.count("*").alias("n_sketches"))
+
+
+SEGMENT = "sketch_id, start, len, n_kmers, minimizer, ho, is_rev, is_maximal, selected"
+
+
+@query(f"WITH {sql.segments(MAIN)} SELECT {SEGMENT} FROM seg")
+def super_kmers(spark, sf_dir):
+    return superkmers.super_kmers(by_document(spark, sf_dir), MAIN).drop("rec_id")
+
+
+@query(f"WITH {sql.segments(MAIN)} SELECT sketch_id, CAST(count(*) AS BIGINT) AS n_superkmers, CAST(sum(is_maximal::INT) AS BIGINT) AS n_maximal, CAST(sum((is_maximal AND selected)::INT) AS BIGINT) AS n_selected_maximal FROM seg GROUP BY sketch_id")
+def maximal_super_kmers(spark, sf_dir):
+    count = lambda c: F.count(F.when(c, 1))
+    return superkmers.super_kmers(by_document(spark, sf_dir), MAIN).groupBy("sketch_id").agg(
+        F.count("*").alias("n_superkmers"),
+        count(F.col("is_maximal")).alias("n_maximal"),
+        count(F.col("is_maximal") & F.col("selected")).alias("n_selected_maximal"),
+    )
+
+
+DENSITY = f"""cov AS (SELECT *, lag(start + len - {MAIN.m} + 1) OVER (PARTITION BY sketch_id, rec_id ORDER BY start) AS pe FROM seg WHERE selected),
+n AS (SELECT sketch_id, CAST(sum(len - {MAIN.m} + 1 - greatest(0, coalesce(pe, start) - start)) AS BIGINT) AS n_mmers, CAST(count(*) AS BIGINT) AS n_selected FROM cov GROUP BY sketch_id)"""
+
+
+@query(f"WITH {sql.segments(MAIN)}, {DENSITY} SELECT sketch_id, n_mmers, n_selected, n_selected::DOUBLE / n_mmers * {MAIN.window + 1} AS density FROM n")
+def superkmer_density(spark, sf_dir):
+    segments = superkmers.super_kmers(by_document(spark, sf_dir), MAIN)
+    chosen = segments.where("selected").groupBy("sketch_id").agg(F.count("*").alias("n_selected"))
+    joined = superkmers.covered_mmers(segments, MAIN).join(chosen, "sketch_id")
+    return joined.select("sketch_id", "n_mmers", "n_selected", (F.col("n_selected").cast("double") / F.col("n_mmers") * (MAIN.window + 1)).alias("density"))
+
+
+@query(None)
+def superkmer_rebuild(spark, sf_dir):
+    return superkmers.rebuild(sketch.build(by_document(spark, sf_dir), MAIN), MAIN)
+
+
+@query(None)
+def decycling_class(spark, sf_dir):
+    """How many m-mers of all documents are in each class of the decycling set."""
+    dealt = minimizers.chunks(by_document(spark, sf_dir), MAIN)
+    words = dealt.select("d", F.explode(F.sequence(F.lit(0), F.length("d") - MAIN.m)).alias("off")).select(F.substr("d", F.col("off") + 1, F.lit(MAIN.m)).alias("md"))
+    each = words.groupBy("md").agg(F.count("*").alias("n"))
+    return each.groupBy(dna.decycling_class(F.col("md"), MAIN.m).alias("class")).agg(F.sum("n").alias("n_mmers"), F.count("*").alias("n_distinct"))
+
+
+# Sketches.
+
+
+def sketch_query(p: SketchParams) -> tuple[str, Query]:
+    return f"WITH {sql.sketch(p)} SELECT * FROM sk", lambda spark, sf_dir: sketch.build(by_document(spark, sf_dir), p)
+
+
+for _name, _p in {
+    "sketch_kmers": MAIN,
+    "sketch_abundance2": SketchParams(MAIN.k, MAIN.m, MAIN.s, 2),
+    "sketch_fracminhash": SketchParams(MAIN.k, MAIN.m, MAIN.s, 1, "fracminhash"),
+    "sketch_k31": WIDE,
+    "sketch_k33": LONG,
+}.items():
+    SQL[_name], QUERIES[_name] = sketch_query(_p)
+
+
+METRICS = f"""WITH {sql.sketch(MAIN)}, seg AS (SELECT sketch_id, rec_id, min(pos) AS start, count(*) + {MAIN.k - 1} AS len, count(*) AS n_kmers, count(*) = {MAIN.window} AS is_maximal, any_value(ho) <= {ordered(MAIN.threshold())} AS selected FROM mins GROUP BY sketch_id, rec_id, mpos),
+{DENSITY},
+s AS (SELECT sketch_id, CAST(sum(n_kmers) AS BIGINT) AS total_kmers, CAST(count(*) AS BIGINT) AS total_superkmers, CAST(sum(is_maximal::INT) AS BIGINT) AS maximal_superkmers,
+      CAST(sum(CASE WHEN selected THEN n_kmers ELSE 0 END) AS BIGINT) AS selected_kmers, CAST(sum(selected::INT) AS BIGINT) AS selected_superkmers, CAST(sum((selected AND is_maximal)::INT) AS BIGINT) AS selected_maximal FROM seg GROUP BY sketch_id),
+k AS (SELECT sketch_id, CAST(count(*) AS BIGINT) AS distinct_kmers, CAST(count(DISTINCT minimizer) AS BIGINT) AS minimizers, CAST(count(*) AS BIGINT) AS kept_kmers FROM sk GROUP BY sketch_id),
+j AS (SELECT s.*, coalesce(distinct_kmers, 0) AS distinct_kmers, coalesce(minimizers, 0) AS minimizers, coalesce(kept_kmers, 0) AS kept_kmers, coalesce(n_mmers, 0) AS n_mmers FROM s LEFT JOIN k USING (sketch_id) LEFT JOIN n USING (sketch_id))
+SELECT *, total_kmers::DOUBLE / nullif(selected_kmers, 0) AS rate_with_duplicates, total_kmers::DOUBLE / nullif(distinct_kmers, 0) AS rate_distinct,
+  total_superkmers::DOUBLE / nullif(selected_superkmers, 0) AS superkmer_rate, total_kmers::DOUBLE / nullif(total_superkmers, 0) AS kmers_per_superkmer,
+  selected_kmers::DOUBLE / nullif(selected_superkmers, 0) AS kmers_per_selected, selected_superkmers::DOUBLE / nullif(n_mmers, 0) * {MAIN.window + 1} AS density FROM j"""
+
+
+@query(METRICS)
+def sketch_metrics(spark, sf_dir):
+    return sketch.metrics(by_document(spark, sf_dir), MAIN)
+
+
+@query(f"WITH {sql.sketch(MAIN)} SELECT minimizer, CAST(count(DISTINCT kmer) AS BIGINT) AS n_kmers, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(DISTINCT sketch_id) AS BIGINT) AS n_sketches FROM sk GROUP BY minimizer")
+def bucket_sizes(spark, sf_dir):
+    return sketch.build(by_document(spark, sf_dir), MAIN).groupBy("minimizer").agg(F.countDistinct("kmer").alias("n_kmers"), F.count("*").alias("n_rows"), F.countDistinct("sketch_id").alias("n_sketches"))
+
+
+@query(None)
+def sketch_pack(spark, sf_dir):
+    """Rebuilt super-k-mers at two bits a base, and back."""
+    rebuilt = superkmer_rebuild(spark, sf_dir)
+    packed = rebuilt.select("sketch_id", "minimizer", "seq", packing.pack(F.col("seq")).alias("packed"))
+    return packed.select("sketch_id", "minimizer", F.hex("packed").alias("packed"), (packing.unpack(F.col("packed")) == F.col("seq")).alias("round_trip"))
+
+
+# Comparison.
+
+
+def main_sketch(spark, sf_dir, p: SketchParams = MAIN) -> DataFrame:
+    return sketch.build(by_document(spark, sf_dir), p)
+
+
+@query(f"WITH {sql.sketch(MAIN)} SELECT * FROM sizes")
+def cardinality(spark, sf_dir):
+    return compare.cardinality(main_sketch(spark, sf_dir))
+
+
+@query(f"WITH {sql.sketch(MAIN)} SELECT minimizer, kmer, CAST(count(DISTINCT sketch_id) AS BIGINT) AS n_sketches, array_to_string(list_sort(list(DISTINCT sketch_id)), ',') AS sketch_ids FROM sk GROUP BY minimizer, kmer HAVING count(DISTINCT sketch_id) > 1")
+def color_map(spark, sf_dir):
+    return compare.color_map(main_sketch(spark, sf_dir)).withColumn("sketch_ids", F.array_join(F.col("sketch_ids").cast("array<string>"), ","))
+
+
+def pairs_sql(p: SketchParams, columns: str, where: str = "", of: str = "doc_id") -> str:
+    return f"WITH {sql.sketch(p, of)},{sql.PAIRS} SELECT {columns} FROM scores {where}"
+
+
+@query(pairs_sql(MAIN, "i, j, n_shared"))
+def pair_intersection(spark, sf_dir):
+    return compare.shared(main_sketch(spark, sf_dir))
+
+
+@query(pairs_sql(MAIN, "i, j, n_shared, n_i, n_j, containment_ij, containment_ji"))
+def containment_pairs(spark, sf_dir):
+    return compare.all_pairs(main_sketch(spark, sf_dir)).drop("jaccard")
+
+
+@query(pairs_sql(MAIN, "i, j, n_shared, n_i, n_j, jaccard"))
+def jaccard_pairs(spark, sf_dir):
+    return compare.all_pairs(main_sketch(spark, sf_dir)).drop("containment_ij", "containment_ji")
+
+
+@query(pairs_sql(WIDE, "i, j, n_shared, n_i, n_j, jaccard"))
+def jaccard_pairs_k31(spark, sf_dir):
+    return compare.all_pairs(main_sketch(spark, sf_dir, WIDE)).drop("containment_ij", "containment_ji")
+
+
+@query(pairs_sql(MAIN, "i, j, jaccard", "WHERE jaccard >= 0.5"))
+def jaccard_min_threshold(spark, sf_dir):
+    return compare.at_least(compare.all_pairs(main_sketch(spark, sf_dir)), "jaccard", 0.5).select("i", "j", "jaccard")
+
+
+def _bank_sql(p: SketchParams) -> str:
+    bank = sql.sketch(p, f"unnest([{LANGUAGE}, {sql.SOURCE}])")
+    return f"""WITH {bank},
+p AS (SELECT a.sketch_id AS i, b.sketch_id AS j, CAST(count(*) AS BIGINT) AS n_shared FROM sk a JOIN sk b ON a.minimizer = b.minimizer AND a.kmer = b.kmer AND a.sketch_id <> b.sketch_id WHERE a.sketch_id < 0 GROUP BY ALL)
+SELECT i, j, n_shared, n_shared::DOUBLE / x.n AS containment, n_shared::DOUBLE / (x.n + y.n - n_shared) AS jaccard FROM p JOIN sizes x ON i = x.sketch_id JOIN sizes y ON j = y.sketch_id"""
+
+
+@query(_bank_sql(MAIN))
+def query_vs_bank(spark, sf_dir):
+    """The languages' sketches against those of all sources and of each other."""
+    return compare.against_bank(sketch.build(by_language(spark, sf_dir), MAIN), sketch.build(by_source(spark, sf_dir), MAIN))
+
+
+def source_cells(spark, sf_dir, column: str = "jaccard") -> DataFrame:
+    held = sketch.build(by_source(spark, sf_dir), MAIN)
+    sizes = compare.cardinality(held)
+    pairs = compare.scored(compare.shared(held), sizes)
+    if column == "containment":
+        back = pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("containment_ji").alias("containment"))
+        return matrix.dense(pairs.select("i", "j", F.col("containment_ij").alias("containment")).unionByName(back), sizes, "containment", symmetric=False)
+    return matrix.dense(pairs, sizes, column)
+
+
+def exact_cells(spark, sf_dir) -> DataFrame:
+    every = sketch.build(by_source(spark, sf_dir), SketchParams(MAIN.k, MAIN.m, 1))
+    sizes = compare.cardinality(every)
+    return matrix.dense(compare.scored(compare.shared(every), sizes), sizes, "jaccard")
+
+
+@query(f"WITH {sql.sketch(MAIN, sql.SOURCE)},{sql.PAIRS},{sql.dense('jaccard')} SELECT * FROM cells")
+def jaccard_dense_matrix(spark, sf_dir):
+    return source_cells(spark, sf_dir)
+
+
+@query(f"""WITH {sql.sketch(MAIN, sql.SOURCE)},{sql.PAIRS},
+dir AS (SELECT i, j, containment_ij AS c FROM scores UNION ALL SELECT j, i, containment_ji FROM scores)
+SELECT a.sketch_id AS i, b.sketch_id AS j, CASE WHEN a.sketch_id = b.sketch_id THEN 1.0::DOUBLE ELSE coalesce(c, 0.0)::DOUBLE END AS value
+FROM sizes a CROSS JOIN sizes b LEFT JOIN dir ON dir.i = a.sketch_id AND dir.j = b.sketch_id""")
+def containment_dense_matrix(spark, sf_dir):
+    return source_cells(spark, sf_dir, "containment")
+
+
+@query(f"""WITH {sql.sketch(MAIN, sql.SOURCE)},{sql.PAIRS},{sql.dense('jaccard')},
+o AS (SELECT sketch_id, CAST(row_number() OVER (ORDER BY n DESC, sketch_id) - 1 AS BIGINT) AS place FROM sizes)
+SELECT r.place AS "row", c.place AS "column", value FROM cells JOIN o r ON i = r.sketch_id JOIN o c ON j = c.sketch_id""")
+def matrix_reorder(spark, sf_dir):
+    """The matrix with its axes in order of falling sketch size."""
+    from pyspark.sql import Window
+
+    sizes = compare.cardinality(sketch.build(by_source(spark, sf_dir), MAIN))
+    # One row a sketch of a dense matrix: few by nature.
+    place = F.row_number().over(Window.orderBy(F.desc("n"), "sketch_id")).cast("bigint") - 1
+    return matrix.reorder(source_cells(spark, sf_dir), sizes.select("sketch_id", place.alias("place")))
+
+
+# Evaluation.
+
+
+@query(f"WITH {sql.both(MAIN, sql.SOURCE)} SELECT * FROM exact")
+def exact_jaccard(spark, sf_dir):
+    return exact_cells(spark, sf_dir)
+
+
+@query(f"WITH {sql.both(MAIN, sql.SOURCE)} SELECT round(t, 9) AS mean_truth, round(e, 9) AS mean_estimate, round(abs(t - e), 9) AS diff FROM (SELECT avg(value) AS t FROM exact), (SELECT avg(value) AS e FROM cells)")
+def error_mean_abs(spark, sf_dir):
+    found = evaluate.mean_error(exact_cells(spark, sf_dir), source_cells(spark, sf_dir))
+    return found.select(*(F.round(c, 9).alias(c) for c in found.columns))
+
+
+def source_triangle(spark, sf_dir) -> DataFrame:
+    return evaluate.triangle(exact_cells(spark, sf_dir), source_cells(spark, sf_dir))
+
+
+@query(f"WITH {sql.both(MAIN, sql.SOURCE)} SELECT round(avg(estimate), 9) AS mean, round(stddev_pop(estimate), 9) AS std, round(median(estimate), 9) AS median, round(max(estimate), 9) AS max, round(min(estimate), 9) AS min FROM tri")
+def triangle_stats(spark, sf_dir):
+    found = evaluate.summary(source_triangle(spark, sf_dir), "estimate")
+    return found.select(*(F.round(c, 9).alias(c) for c in found.columns))
+
+
+@query(f"WITH {sql.both(MAIN, sql.SOURCE)} SELECT round(sum(abs(d)), 9) AS l1, round(sqrt(sum(d * d)), 9) AS l2 FROM tri")
+def norms_l1_l2(spark, sf_dir):
+    return evaluate.norms(source_triangle(spark, sf_dir)).select(F.round("l1", 9).alias("l1"), F.round("l2", 9).alias("l2"))
+
+
+@query(f"WITH {sql.both(MAIN, sql.SOURCE)} SELECT CAST(count(*) AS BIGINT) AS n, round(count(*) / sum(pow(abs(d), -2.0)) / 2, 15) AS as_written, round(pow(count(*) / sum(pow(abs(d), -2.0)), 0.5), 9) AS intended FROM tri WHERE d <> 0")
+def harmonic_mean(spark, sf_dir):
+    found = evaluate.harmonic(source_triangle(spark, sf_dir), 2)
+    return found.select("n", F.round("as_written", 15).alias("as_written"), F.round("intended", 9).alias("intended"))
+
+
+@query(f"WITH {sql.both(MAIN, sql.SOURCE)}, z AS (SELECT CAST(sum(n) AS DOUBLE) AS size FROM sizes), d AS (SELECT abs((SELECT avg(value) FROM exact) - (SELECT avg(value) FROM cells)) AS diff) SELECT round(diff, 9) AS value, 'error' AS type, CAST({MAIN.s} AS BIGINT) AS threshold, size, 'sketch' AS tool FROM d, z")
+def benchmark_table(spark, sf_dir):
+    """Error of the sketch's rate beside its size in k-mers."""
+    size = compare.cardinality(sketch.build(by_source(spark, sf_dir), MAIN)).agg(F.sum("n").alias("size"))
+    diffs = error_mean_abs(spark, sf_dir).join(size, F.lit(True)).select("diff", "size", F.lit(MAIN.s).cast("bigint").alias("threshold"))
+    return evaluate.benchmark_rows(diffs, "size", "sketch")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.all_pairs(main_sketch(spark, sf_dir, SMALL))
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
