@@ -254,7 +254,7 @@ def sketch_pack(spark, sf_dir):
     """Rebuilt super-k-mers at two bits a base, and back."""
     rebuilt = superkmer_rebuild(spark, sf_dir)
     packed = rebuilt.select("sketch_id", "minimizer", "seq", packing.pack(F.col("seq")).alias("packed"))
-    return packed.select("sketch_id", "minimizer", F.hex("packed").alias("packed"), (packing.unpack(F.col("packed")) == F.col("seq")).alias("round_trip"))
+    return packed.select("sketch_id", "minimizer", F.hex("packed").alias("packed_hex"), (packing.unpack(F.col("packed")) == F.col("seq")).alias("round_trip"))
 
 
 # Comparison.

@@ -25,8 +25,8 @@ def color_map(sketch: DataFrame) -> DataFrame:
 def shared(sketch: DataFrame) -> DataFrame:
     """Shared k-mers of each pair i < j that has any: i, j and n_shared.
 
-    An equi-join on (minimizer, k-mer); on tables bucketed by minimizer only
-    rows of equal buckets meet.
+    An equi-join on (minimizer, k-mer); tables bucketed by both keys
+    meet bucket by bucket, without an exchange.
     """
     a = sketch.select("minimizer", "kmer", F.col("sketch_id").alias("i"))
     b = sketch.select("minimizer", "kmer", F.col("sketch_id").alias("j"))

@@ -65,8 +65,8 @@ def metrics(records: DataFrame, p: SketchParams) -> DataFrame:
 
 
 def write_sketches(sketch: DataFrame, meta: DataFrame, table: str, buckets: int = 64) -> None:
-    """Save sketches as a table bucketed and sorted by minimizer, so that comparisons join without an exchange, and their parameters beside it."""
-    sketch.write.mode("overwrite").bucketBy(buckets, "minimizer").sortBy("minimizer", "kmer").saveAsTable(table)
+    """Save sketches as a table bucketed and sorted by the keys of comparisons, which then join without an exchange, and their parameters beside it."""
+    sketch.write.mode("overwrite").bucketBy(buckets, "minimizer", "kmer").sortBy("minimizer", "kmer").saveAsTable(table)
     meta.write.mode("overwrite").saveAsTable(f"{table}_meta")
 
 
