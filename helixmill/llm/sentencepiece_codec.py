@@ -67,7 +67,9 @@ class Codec:
             known[c] = found.ids
         wrong = set()
         if verify and new:
+            # A marker by itself ends a text; the library can't be given just that, but has only one piece for it.
             own = self.reference.encode([c[1:].replace(MARK, " ") for c in new], num_threads=threads())
+            own = [[self.reference.piece_to_id(c)] if c == MARK else ids for c, ids in zip(new, own)]
             wrong = {c for c, ids in zip(new, own) if ids != known[c]}
             self.__dict__.setdefault("wrong", set()).update(wrong)
         bad = self.__dict__.get("wrong", ())
@@ -155,11 +157,16 @@ def build(model: bytes) -> Codec:
 
 
 def merges(pieces: list) -> list[tuple[str, str]]:
-    """Merges that a BPE model's scores imply: every split of a piece into two pieces, best piece first."""
+    """Merges that a BPE model's scores imply: every split of a piece into two pieces, best piece first.
+
+    SentencePiece takes the leftmost of equal scores.  Putting merges of long left
+    parts first does the same for pieces of equal score that extend each other,
+    such as runs of spaces.
+    """
     rank = {p.piece: i for i, p in enumerate(pieces) if p.type == 1}
     score = {p.piece: p.score for p in pieces if p.type == 1}
-    found = [(-score[p], rank[p[:k]], rank[p[k:]], p[:k], p[k:]) for p in rank for k in range(1, len(p)) if p[:k] in rank and p[k:] in rank]
-    return [x[3:] for x in sorted(found)]
+    found = [(-score[p], -k, rank[p[:k]], rank[p[k:]], p[:k], p[k:]) for p in rank for k in range(1, len(p)) if p[:k] in rank and p[k:] in rank]
+    return [x[4:] for x in sorted(found)]
 
 
 def read_model(path: str = DEFAULT_MODEL) -> bytes:
