@@ -54,14 +54,14 @@ ALPHABETS = {
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
 }
 VALUES = {name: {c: i for i, c in enumerate(a)} for name, a in ALPHABETS.items()}
-#: Chance that two symbols of ordinary text are equal.
+#: Chance that two symbols of ordinary text are equal: as in prose, or twice that of a uniform draw in small alphabets.
 TEXT_REPEATS = 0.066
 
 
 @dataclass(frozen=True)
 class SecretParams:
     rate: float = 0.01
-    order_alpha: float = 0.001
+    order_alpha: float = 0.0001
     #: Lower ends of the classes of lengths.
     lengths: tuple[int, ...] = (0, 24, 32, 40, 48, 64, 96, 128)
     #: Bins of -log10(p), of a tenth each.
@@ -91,7 +91,7 @@ def _normal_tail(z: float) -> float:
 def text_like(counts: np.ndarray, n: int, a: int) -> float:
     """P that ordinary text of this length has symbols as evenly spread: lower tail of a noncentral chi-squared (normal by a power, after Sankaran)."""
     x = float((counts * counts).sum()) * a / n - n
-    df, shift = a - 1, n * max(a * TEXT_REPEATS - 1, 0.05)
+    df, shift = a - 1, n * (max(a * TEXT_REPEATS, 2) - 1)
     mean = df + shift
     h = 1 - 2 * mean * (df + 3 * shift) / (3 * (df + 2 * shift) ** 2)
     p = (df + 2 * shift) / mean**2

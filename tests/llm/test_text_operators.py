@@ -300,6 +300,12 @@ def test_random_tokens_are_told_from_text():
     assert sum(x is not None and x < 1e-6 for x in dull) == 0
 
 
+def test_upper_case_hex_is_found(spark):
+    rows = [(i, f"id {'9F86D081884C7D659A2FEAA0C55AD015A3BF4F1B2B0B822CD15D6C15B0F00A08'[i:]} end") for i in range(3)] + [(9, "FACADE" * 6 + "00")]
+    spans = {r.doc_id: r.spans for r in secret_scan.digest_secrets(docs(spark, rows)).collect()}
+    assert all(spans[i] == f"random:3:{67 - i}" for i in range(3)) and spans[9] == ""
+
+
 def test_masking(spark):
     rows = secret_scan.mask_secrets(docs(spark, SECRETS)).collect()
     text = {r.doc_id: r.text for r in rows}
