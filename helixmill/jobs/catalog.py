@@ -95,7 +95,7 @@ def num_decode(spark, sf_dir):
 @query(f"WITH {sql.records()}, d AS (SELECT sketch_id, translate(substr(seq, 1, 31), 'ACTG', '0123') AS x FROM recs WHERE length(seq) >= 31) SELECT sketch_id AS doc_id, {sql.kmer(WIDE, 'x')} AS kmer FROM d")
 def canonical_kmer(spark, sf_dir):
     head = dna.digits(F.substring("seq", 1, 31))
-    return by_document(spark, sf_dir).where(F.length("seq") >= 31).select(F.col("sketch_id").alias("doc_id"), minimizers.kmer_key(head, 31).alias("kmer"))
+    return by_document(spark, sf_dir).where(F.length("seq") >= 31).select(F.col("sketch_id").alias("doc_id"), minimizers.kmer_key(dna.canonical(head), 31).alias("kmer"))
 
 
 @query(f"WITH {sql.records()}, dd AS (SELECT sketch_id, translate(substr(seq, 1, 11), 'ACTG', '0123') AS x FROM recs WHERE length(seq) >= 11), dc AS (SELECT sketch_id, least(x, {sql.turned('x')}) AS cd FROM dd), u AS (SELECT DISTINCT cd FROM dc),{sql.hashes('u')} SELECT sketch_id AS doc_id, cm AS mmer, ho FROM dc JOIN hashed USING (cd)")
@@ -135,7 +135,7 @@ def short_record_filter(spark, sf_dir):
 
 @query(f"WITH {sql.records()}, d AS (SELECT sketch_id, translate(seq, 'ACTG', '0123') AS d FROM recs WHERE length(seq) >= 21), x AS (SELECT sketch_id, d, unnest(generate_series(0, length(d) - 21)) AS pos FROM d) SELECT sketch_id, CAST(pos AS BIGINT) AS pos, {sql.kmer(MAIN, 'substr(d, pos + 1, 21)')} AS kmer FROM x")
 def kmer_explode(spark, sf_dir):
-    return minimizers.kmers(by_document(spark, sf_dir), MAIN).select("sketch_id", F.col("pos").cast("bigint").alias("pos"), minimizers.kmer_key(F.col("kd"), MAIN.k).alias("kmer"))
+    return minimizers.kmers(by_document(spark, sf_dir), MAIN).select("sketch_id", F.col("pos").cast("bigint").alias("pos"), minimizers.kmer_key(F.col("kc"), MAIN.k).alias("kmer"))
 
 
 SPECTRUM = f"WITH {sql.records()}, d AS (SELECT sketch_id, translate(seq, 'ACTG', '0123') AS d FROM recs WHERE length(seq) >= 21), x AS (SELECT sketch_id, d, unnest(generate_series(0, length(d) - 21)) AS pos FROM d), y AS (SELECT sketch_id, {sql.kmer(MAIN, 'substr(d, pos + 1, 21)')} AS kmer FROM x) SELECT sketch_id, kmer, CAST(count(*) AS BIGINT) AS cnt FROM y GROUP BY ALL"
@@ -205,8 +205,9 @@ def superkmer_rebuild(spark, sf_dir):
 @query(None)
 def decycling_class(spark, sf_dir):
     """How many m-mers of all documents are in each class of the decycling set."""
-    dealt = minimizers.chunks(by_document(spark, sf_dir), MAIN)
-    words = dealt.select("d", F.explode(F.sequence(F.lit(0), F.length("d") - MAIN.m)).alias("off")).select(F.substr("d", F.col("off") + 1, F.lit(MAIN.m)).alias("md"))
+    dealt = minimizers.strands(minimizers.chunks(by_document(spark, sf_dir), MAIN))
+    at = F.sequence(F.lit(0), F.col("n") - MAIN.m)
+    words = dealt.select("fw", "rv", "n", F.explode(at).alias("off")).select(minimizers.word(MAIN.m)[0].cast("string").alias("md"))
     each = words.groupBy("md").agg(F.count("*").alias("n"))
     return each.groupBy(dna.decycling_class(F.col("md"), MAIN.m).alias("class")).agg(F.sum("n").alias("n_mmers"), F.count("*").alias("n_distinct"))
 

@@ -30,42 +30,62 @@ def chunks(records: DataFrame, p: SketchParams, chunk: int = CHUNK) -> DataFrame
     return cut.select(*KEY, "base", dna.digits(F.substr("seq", F.col("base") + 1, F.lit(chunk + p.k - 1))).alias("d"))
 
 
-def kmer_key(d: Column, k: int) -> Column:
-    """Canonical k-mer as a BIGINT, or as a digit string beyond 31 bases."""
-    return dna.number(dna.canonical(d)) if k <= MAX_INT_K else dna.canonical(d)
+def strands(dealt: DataFrame) -> DataFrame:
+    """Chunks with both strands as bytes: fw, rv (reverse complement) and n.
+
+    Substrings of bytes cost their own length only, and the reverse complement
+    of any substring is a substring of the chunk's, so nothing is translated
+    position by position.
+    """
+    return dealt.select(*KEY, "base", F.col("d").cast("binary").alias("fw"), dna.reverse_digits(F.col("d")).cast("binary").alias("rv"), F.length("d").alias("n"))
+
+
+def word(size: int) -> tuple[Column, Column]:
+    """The digits of ``size`` bases at offset ``off`` of a chunk, and of their reverse complement."""
+    return F.substr("fw", F.col("off") + 1, F.lit(size)), F.substr("rv", F.col("n") - F.col("off") - size + 1, F.lit(size))
+
+
+def canonical_word(size: int) -> Column:
+    return F.least(*word(size)).cast("string")
+
+
+def kmer_key(canonical: Column, k: int) -> Column:
+    """Key of a k-mer from its canonical digits: a BIGINT, or beyond 31 bases the digits."""
+    return dna.number(canonical) if k <= MAX_INT_K else canonical
 
 
 def kmers(records: DataFrame, p: SketchParams) -> DataFrame:
-    """Every k-mer with its offset: sketch_id, rec_id, pos and its digits as read."""
-    at = F.sequence(F.lit(0), F.length("d") - p.k)
-    rows = chunks(records, p).select(*KEY, "base", "d", F.explode(at).alias("off"))
-    return rows.select(*KEY, (F.col("base") + F.col("off")).alias("pos"), F.substr("d", F.col("off") + 1, F.lit(p.k)).alias("kd"))
+    """Every k-mer with its offset: sketch_id, rec_id, pos and its canonical digits kc."""
+    at = F.sequence(F.lit(0), F.col("n") - p.k)
+    rows = strands(chunks(records, p)).select(*KEY, "base", "fw", "rv", "n", F.explode(at).alias("off"))
+    return rows.select(*KEY, (F.col("base") + F.col("off")).alias("pos"), canonical_word(p.k).alias("kc"))
 
 
 def minimizers(records: DataFrame, p: SketchParams) -> DataFrame:
     """Every k-mer with its minimizer.
 
-    Columns: sketch_id, rec_id, pos, kd (digits as read), minimizer (number of
-    the canonical m-mer), ho (its hash order), mpos (offset of its leftmost
-    occurrence) and is_rev (whether it stands there reversed).
+    Columns: sketch_id, rec_id, pos, kc (the k-mer's canonical digits),
+    minimizer (number of the canonical m-mer), ho (its hash order), mpos (offset
+    of its leftmost occurrence) and is_rev (whether it stands there reversed).
     """
-    dealt = chunks(records, p).repartition(*KEY, "base")
-    at = F.sequence(F.lit(0), F.length("d") - p.m)
-    mmers = dealt.select(*KEY, "base", "d", F.explode(at).alias("off")).select(
+    dealt = strands(chunks(records, p).repartition(*KEY, "base"))
+    at = F.sequence(F.lit(0), F.col("n") - p.m)
+    read, turned = word(p.m)
+    mmers = dealt.select(*KEY, "base", "fw", "rv", "n", F.explode(at).alias("off")).select(
         *KEY,
         "base",
         "off",
-        F.substr("d", F.col("off") + 1, F.lit(p.m)).alias("md"),
-        F.when(F.col("off") <= F.length("d") - p.k, F.substr("d", F.col("off") + 1, F.lit(p.k))).alias("kd"),
+        dna.number(F.least(read, turned).cast("string")).alias("cm"),
+        (turned < read).alias("rev"),
+        F.when(F.col("off") <= F.col("n") - p.k, canonical_word(p.k)).alias("kc"),
     )
-    coded = mmers.withColumn("cd", dna.canonical(F.col("md"))).withColumn("cm", dna.number(F.col("cd")))
-    one = coded.select(*KEY, "base", "off", "kd", F.struct(dna.hash_order(F.col("cm")).alias("ho"), "off", "cm", (F.col("cd") != F.col("md")).alias("rev")).alias("one"))
+    one = mmers.select(*KEY, "base", "off", "kc", F.struct(dna.hash_order(F.col("cm")).alias("ho"), "off", "cm", "rev").alias("one"))
     window = Window.partitionBy(*KEY, "base").orderBy("off").rowsBetween(0, p.k - p.m)
-    best = one.select(*KEY, "base", "off", "kd", F.min("one").over(window).alias("best")).where("kd is not null")
+    best = one.select(*KEY, "base", "off", "kc", F.min("one").over(window).alias("best")).where("kc is not null")
     return best.select(
         *KEY,
         (F.col("base") + F.col("off")).alias("pos"),
-        "kd",
+        "kc",
         F.col("best.cm").alias("minimizer"),
         F.col("best.ho").alias("ho"),
         (F.col("base") + F.col("best.off")).alias("mpos"),

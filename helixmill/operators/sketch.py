@@ -13,7 +13,7 @@ from .superkmers import covered_mmers, super_kmers
 def selected_kmers(records: DataFrame, p: SketchParams) -> DataFrame:
     """Occurrences of selected k-mers: sketch_id, minimizer, canonical kmer, pos_min (the minimizer's offset)."""
     chosen = minimizers(records, p).where(is_selected(p))
-    return chosen.select("sketch_id", "minimizer", kmer_key(F.col("kd"), p.k).alias("kmer"), (F.col("mpos") - F.col("pos")).cast("bigint").alias("pos_min"))
+    return chosen.select("sketch_id", "minimizer", kmer_key(F.col("kc"), p.k).alias("kmer"), (F.col("mpos") - F.col("pos")).cast("bigint").alias("pos_min"))
 
 
 def build(records: DataFrame, p: SketchParams) -> DataFrame:
@@ -24,7 +24,7 @@ def build(records: DataFrame, p: SketchParams) -> DataFrame:
 
 def spectrum(records: DataFrame, p: SketchParams) -> DataFrame:
     """All distinct canonical k-mers with counts, without selection: sketch_id, kmer and cnt."""
-    return kmers(records, p).select("sketch_id", kmer_key(F.col("kd"), p.k).alias("kmer")).groupBy("sketch_id", "kmer").agg(F.count("*").alias("cnt"))
+    return kmers(records, p).select("sketch_id", kmer_key(F.col("kc"), p.k).alias("kmer")).groupBy("sketch_id", "kmer").agg(F.count("*").alias("cnt"))
 
 
 def total_kmers(records: DataFrame, p: SketchParams) -> DataFrame:
