@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,7 +45,10 @@ def csv_lines(cells: DataFrame, names: DataFrame, digits: int = 6) -> DataFrame:
     Each row is put together in a task of its own; ``names`` has sketch_id and name.
     """
     # One line of a matrix grows with the number of sketches, as the format demands.
-    formatted = F.udf(lambda values: ",".join(f"{v:.{digits}g}" for v in values))
+    @F.pandas_udf("string")
+    def formatted(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda values: ",".join(f"{v:.{digits}g}" for v in values))
+
     rows = cells.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "value"))).alias("cells"))
     body = rows.select((F.col("i") + 1).alias("line"), formatted(F.col("cells.value")).alias("text"))
     header = names.agg(F.array_sort(F.collect_list(F.struct("sketch_id", "name"))).alias("x")).select(F.lit(0).cast("bigint").alias("line"), F.array_join("x.name", ",").alias("text"))
