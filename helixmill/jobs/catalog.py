@@ -16,6 +16,7 @@ from ..functions import dna, packing
 from ..functions.params import SketchParams, ordered
 from ..operators import compare, evaluate, matrix, minimizers, sketch, superkmers
 from ..sources.fasta import records_of
+from ..streaming.folder import sketch_once
 from . import sql
 
 SMALL = SketchParams(15, 5, 4)
@@ -258,6 +259,14 @@ def sketch_pack(spark, sf_dir):
     return packed.select("sketch_id", "minimizer", F.hex("packed").alias("packed_hex"), (packing.unpack(F.col("packed")) == F.col("seq")).alias("round_trip"))
 
 
+@query(f"WITH {sql.sketch(MAIN)} SELECT * FROM sk")
+def stream_sketch(spark, sf_dir):
+    """The sketch of all documents, made file by file by a stream."""
+    table = documents(spark, sf_dir)
+    arriving = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/documents.parque[t]")
+    return sketch_once(records_of(arriving), MAIN)
+
+
 # Comparison.
 
 

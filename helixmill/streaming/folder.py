@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -28,3 +31,15 @@ def sketch_stream(records: DataFrame, target: str, checkpoint: str, p: SketchPar
 
     writer = records.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder name that all executors see: under ``spark.checkpoint.dir``, or a temporary one where that is unset."""
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='helixmill-')}/stream-{uuid4().hex}"
+
+
+def sketch_once(records: DataFrame, p: SketchParams) -> DataFrame:
+    """Run a stream of records to its end in a scratch folder and return the sketch it made."""
+    folder = scratch(records.sparkSession)
+    sketch_stream(records, f"{folder}/sketch", f"{folder}/state", p).awaitTermination()
+    return records.sparkSession.read.parquet(f"{folder}/sketch").drop("batch")
