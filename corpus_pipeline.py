@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixmill.llm.common import stash, table
-from helixmill.llm.ngram_join import near_duplicates
+from helixmill.llm.ngram_join import NO_ID, near_duplicates
 from helixmill.llm.packing import pack_documents
 from helixmill.llm.quality import keep_good
 from helixmill.llm.secret_scan import mask_secrets
-from helixmill.llm.substring_dedup import remove_repeats
+from helixmill.llm.substring_dedup import without_repeats
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,38 +24,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
-def _rows_of(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """Documents joined with rows of (doc_id, th) and more; null ids match each other."""
-    named = found.withColumnRenamed("doc_id", "_id").withColumnRenamed("th", "_th")
-    hashed = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    return docs.join(named, docs["doc_id"].eqNullSafe(named["_id"]) & (hashed == named["_th"]))
-
-
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: that with the least id (one row of repeated ones)."""
     found = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
     # Ids that are given to several texts: the least hash stands for the group.
-    stays = found.groupBy("doc_id").agg(F.min("th").alias("th"))
-    return _rows_of(docs, stays).select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    stays = found.groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("_d")).agg(F.min("th").alias("_th"))
+    keyed = docs.withColumn("_d", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("_th", F.xxhash64(F.coalesce("text", F.lit(""))))
+    return keyed.join(stays, ["_d", "_th"]).dropDuplicates(["_d", "_th"]).select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages of 50 words and more that an earlier one holds.
-
-    A document that loses nothing keeps its text as it is; one that loses every
-    word goes.
-    """
-    found = remove_repeats(docs).where("n_removed > 0").select("doc_id", "th", "kept").distinct()
-    named = found.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("kept").alias("_kept"))
-    hashed = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    joined = docs.join(named, docs["doc_id"].eqNullSafe(named["_id"]) & (hashed == named["_th"]), "left")
-    text = F.coalesce("_kept", "text")
-    return (
-        joined.where("_kept is null or _kept <> ''")
-        .withColumn("n_chars", F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("_kept").cast("bigint")))
-        .withColumn("text", text)
-        .select(*docs.columns)
-    )
+    """Documents without the passages of 50 words and more that an earlier one holds."""
+    return without_repeats(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

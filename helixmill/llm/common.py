@@ -118,3 +118,27 @@ def groups(batches, keys: list[str]):
         held = {name: c[cuts[-1] :] for name, c in cols.items()}
     if held is not None:
         yield held
+
+
+#: Rows of the largest membership table that is broadcast; each holds 64 bits.
+MAX_WORDS = 1 << 21
+
+
+def likely(frame: DataFrame, keys: DataFrame, column: str = "th") -> DataFrame:
+    """The rows of a frame whose key may be among ``keys``, without a shuffle of the frame.
+
+    Keys set bits of a table that is broadcast: one bit for each of many hash
+    values, eight and more times as many as keys, up to a fixed size.  Rows of
+    other keys may get through (all of them, if keys are too many for the
+    table), so a join has to follow; none that belongs is lost.
+    """
+    n = keys.count()
+    words = 1 << 10
+    while words < MAX_WORDS and words * 64 < 16 * n:
+        words *= 2
+    spread = lambda c: F.xxhash64(c, F.lit(11))
+    word = lambda c: F.pmod(spread(c), F.lit(words))
+    bit = lambda c: F.shiftrightunsigned(spread(c), 58).cast("int")
+    table = keys.groupBy(word(F.col(column)).alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit(F.col(column)))).alias("_bits"))
+    held = frame.withColumn("_word", word(F.col(column))).join(F.broadcast(table), "_word")
+    return held.where(F.getbit("_bits", bit(F.col(column))) == 1).drop("_word", "_bits")

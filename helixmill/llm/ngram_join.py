@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, groups, parallelism, stash, texts
+from .common import batch, groups, likely, parallelism, stash, texts
 from .components import components
 from .words import U64, encode, mix, shingle_set, word_hashes
 
@@ -254,7 +254,8 @@ def verified_links(docs: DataFrame, classes: DataFrame, roots: DataFrame, params
             keep = [k for k, (s, node) in enumerate(zip(sets, b.column("node").to_pylist())) if blake2b(s, digest_size=16).digest() == node]
             yield batch(SETS, b.column("node").take(pa.array(keep, pa.int64())), [sets[k] for k in keep])
 
-    sets = t.join(near.select("d", "th", "node"), ["d", "th"]).select("node", "text").mapInArrow(shingle, SETS).dropDuplicates(["node"])
+    wanted = near.select("d", "th", "node")
+    sets = likely(t, wanted).join(wanted, ["d", "th"]).select("node", "text").mapInArrow(shingle, SETS).dropDuplicates(["node"])
     _, own, pairs = grid(F.col("m"), params.verify_block, F.col("node"))
     cells = near.join(sets, "node").select("root", "node", "sig", "shingles", own.alias("own"), F.inline(pairs))
     key = ["root", "i", "j"]
@@ -270,10 +271,14 @@ def near_duplicates(docs: DataFrame, params: JoinParams = JoinParams()) -> DataF
     included) and n_links (classes of other shingle sets that are linked to it).
     """
     signed = stash(sign(docs, params))
-    by_node = signed.groupBy("node").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), "th")).alias("rep"), F.count("*").alias("n_copies"))
-    by_node = stash(by_node.select("node", "rep.d", "rep.th", "n_copies"))
-    reps = signed.where("n_shingles > 0").select("node", F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), "th", "sig")
-    classes = stash(reps.join(by_node.select("node", "d", "th"), ["node", "d", "th"]).dropDuplicates(["node"]))
+    # Signatures follow from the shingles, so any of a class's stands for it.
+    classes = stash(
+        signed.groupBy("node")
+        .agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), "th")).alias("rep"), F.count("*").alias("n_copies"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"))
+        .select("node", "rep.d", "rep.th", "n_copies", "sig", "n_shingles")
+    )
+    by_node = classes.select("node", "d", "th", "n_copies")
+    classes = classes.where("n_shingles > 0").select("node", "d", "th", "sig")
     roots = components(candidate_links(classes.select("node", "sig"), params))
     found = stash(verified_links(docs, classes, roots, params))
     degrees = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("n_links"))

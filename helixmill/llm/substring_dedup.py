@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, stash, texts
+from .common import batch, likely, stash, texts
 from .words import encode, span_hashes, window_hashes, word_hashes
 
 NO_ID = 2**63 - 1
@@ -135,7 +135,8 @@ def repeats(keyed: DataFrame, params: RepeatParams) -> DataFrame:
             F.collect_list(F.when(F.col("first") == F.col("d"), F.col("code"))).alias("codes"),
         )
     )
-    windows = stash(find_windows(keyed.join(judged.where(F.size("codes") > 0).select("d", "th", "codes"), ["d", "th"]), params))
+    partly = judged.where(F.size("codes") > 0).select("d", "th", "codes")
+    windows = stash(find_windows(likely(keyed, partly).join(partly, ["d", "th"]), params))
     first = windows.groupBy("anchor", "window").agg(F.min("d").alias("first"))
     single = windows.join(first, ["anchor", "window"]).where("first < d").groupBy("d", "th").agg(F.collect_list("code").alias("whole"))
     return judged.where(F.size("whole") > 0).select("d", "th", "whole").unionByName(single).groupBy("d", "th").agg(F.flatten(F.collect_list("whole")).alias("codes"))
@@ -174,3 +175,30 @@ def remove_repeats(docs: DataFrame, params: RepeatParams = RepeatParams(), with_
             yield batch(KEPT, *zip(*out)) if out else batch(KEPT, *[[]] * 6)
 
     return joined.mapInArrow(run, KEPT)
+
+
+def without_repeats(docs: DataFrame, params: RepeatParams = RepeatParams()) -> DataFrame:
+    """The documents, columns as they are, with repeated passages cut from their texts and n_chars brought up to date.
+
+    A text that loses nothing stays as it is; a document that loses every word goes.
+    """
+    names, schema = docs.columns, docs.schema
+    keyed = docs.withColumn("_d", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))).withColumn("_th", F.xxhash64(F.coalesce("text", F.lit(""))))
+    found = repeats(_keyed(docs), params).select(F.col("d").alias("_d"), F.col("th").alias("_th"), F.col("codes").alias("_codes"))
+    joined = keyed.join(found, ["_d", "_th"], "left").select(*names, "_codes")
+    text_at, size_at = names.index("text"), names.index("n_chars")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            given, sizes, stays = b.column("text").to_pylist(), b.column("n_chars").to_pylist(), np.ones(len(b), bool)
+            for k, codes in enumerate(b.column("_codes")):
+                if codes.is_valid:
+                    words = encode(given[k]).split()
+                    drop = covered(len(words), codes.values.to_numpy(), params.width)
+                    given[k] = b" ".join(w for w, x in zip(words, drop.tolist()) if not x).decode("utf-8", "surrogatepass")
+                    sizes[k], stays[k] = len(given[k]), not drop.all()
+            columns = [b.column(n) for n in names]
+            columns[text_at], columns[size_at] = pa.array(given, pa.string()), pa.array(sizes, pa.int64())
+            yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(stays))
+
+    return joined.mapInArrow(run, schema)
