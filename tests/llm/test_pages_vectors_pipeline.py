@@ -50,6 +50,19 @@ def test_style_tree_cuts_what_repeats(spark):
     assert text[20] == "We use biscuits on this site.\n\nOwn text."
 
 
+def test_other_layouts(spark):
+    wrapped = (
+        '<body class="home has-sidebar"><div id="page"><div class="siteHeader">Brand</div><div class="with sidebar"><main><h1 class="entry-title">Head</h1>'
+        '<div class="entry-content"><p>One.</p><div class="cookieBar cookie">Accept</div><blockquote>Two.</blockquote><pre>a\n b</pre><table><tr><td>x</td><td>y</td></tr></table>'
+        '<figure><img alt="no"><figcaption>Cap</figcaption></figure></div></main><div id="comments"><article class="comment">Rude</article></div></div>'
+        '<div role="contentinfo">Imprint</div><noscript>no</noscript><template>t</template></div></body>'
+    )
+    loose = '<div class="post"><h2>Head</h2>Lead <span hidden>x</span>text<p>P</p></div><div class="topbar">Top</div><ul class="nav-list"><li>n</li></ul><p>End'
+    text = texts(spark, [(1, "http://a.example/1", wrapped), (2, "http://b.example/1", loose)])
+    assert text[1] == "Head\n\nOne.\n\nTwo.\n\na b\n\nx\n\ny\n\nCap"
+    assert text[2].replace("\n\n", "|") in ("Head|Lead|text|P|End", "Head|Lead text|P|End")
+
+
 def test_copies_keep_their_article(spark):
     rows = [(k, f"https://one.example/{k}", site(f"<article><h1>Same</h1><p>{prose(40, 1)}</p><p>Part {k % 2}</p></article>", k)) for k in range(12)]
     text = texts(spark, rows)
