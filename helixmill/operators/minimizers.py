@@ -1,15 +1,15 @@
 """Minimizers of all k-mers of a table of sequences.
 
 Sequences are cut into chunks of bounded length that overlap by k-1 bases and
-dealt to partitions while they are still compact; positions are exploded after
-that, so the sliding minimum needs no further shuffle and no long sequence
-stays in one task.  A k-mer's minimizer depends on the k-mer alone, so chunks
-don't change the result.
+dealt to partitions while they are still compact, so no long sequence stays in
+one task.  A chunk's m-mer hashes are one array; each k-mer takes the least of
+its slice.  Nothing is sorted, and only selected k-mers leave the task.  A
+k-mer's minimizer depends on the k-mer alone, so chunks don't change the result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dna
@@ -40,13 +40,14 @@ def strands(dealt: DataFrame) -> DataFrame:
     return dealt.select(*KEY, "base", F.col("d").cast("binary").alias("fw"), dna.reverse_digits(F.col("d")).cast("binary").alias("rv"), F.length("d").alias("n"))
 
 
-def word(size: int) -> tuple[Column, Column]:
-    """The digits of ``size`` bases at offset ``off`` of a chunk, and of their reverse complement."""
-    return F.substr("fw", F.col("off") + 1, F.lit(size)), F.substr("rv", F.col("n") - F.col("off") - size + 1, F.lit(size))
+def word(size: int, off: Column | None = None) -> tuple[Column, Column]:
+    """The digits of ``size`` bases at an offset (``off``) of a chunk, and of their reverse complement."""
+    off = F.col("off") if off is None else off
+    return F.substr("fw", off + 1, F.lit(size)), F.substr("rv", F.col("n") - off - size + 1, F.lit(size))
 
 
-def canonical_word(size: int) -> Column:
-    return F.least(*word(size)).cast("string")
+def canonical_word(size: int, off: Column | None = None) -> Column:
+    return F.least(*word(size, off)).cast("string")
 
 
 def kmer_key(canonical: Column, k: int) -> Column:
@@ -69,27 +70,20 @@ def minimizers(records: DataFrame, p: SketchParams) -> DataFrame:
     of its leftmost occurrence) and is_rev (whether it stands there reversed).
     """
     dealt = strands(chunks(records, p).repartition(*KEY, "base"))
-    at = F.sequence(F.lit(0), F.col("n") - p.m)
-    read, turned = word(p.m)
-    mmers = dealt.select(*KEY, "base", "fw", "rv", "n", F.explode(at).alias("off")).select(
-        *KEY,
-        "base",
-        "off",
-        dna.number(F.least(read, turned).cast("string")).alias("cm"),
-        (turned < read).alias("rev"),
-        F.when(F.col("off") <= F.col("n") - p.k, canonical_word(p.k)).alias("kc"),
-    )
-    one = mmers.select(*KEY, "base", "off", "kc", F.struct(dna.hash_order(F.col("cm")).alias("ho"), "off", "cm", "rev").alias("one"))
-    window = Window.partitionBy(*KEY, "base").orderBy("off").rowsBetween(0, p.k - p.m)
-    best = one.select(*KEY, "base", "off", "kc", F.min("one").over(window).alias("best")).where("kc is not null")
-    return best.select(
+    order = F.transform(F.sequence(F.lit(0), F.col("n") - p.m), lambda off: dna.hash_order(dna.number(canonical_word(p.m, off))))
+    hashed = dealt.select(*KEY, "base", "fw", "rv", "n", order.alias("order"))
+    rows = hashed.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - p.k)).alias("off"))
+    inside = F.slice("order", F.col("off") + 1, F.lit(p.window))
+    at = (F.col("off") + F.array_position(inside, F.array_min(inside)) - 1).cast("int")
+    read, turned = word(p.m, at)
+    return rows.select(
         *KEY,
         (F.col("base") + F.col("off")).alias("pos"),
-        "kc",
-        F.col("best.cm").alias("minimizer"),
-        F.col("best.ho").alias("ho"),
-        (F.col("base") + F.col("best.off")).alias("mpos"),
-        F.col("best.rev").alias("is_rev"),
+        canonical_word(p.k).alias("kc"),
+        dna.number(F.least(read, turned).cast("string")).alias("minimizer"),
+        F.array_min(inside).alias("ho"),
+        (F.col("base") + at).alias("mpos"),
+        (turned < read).alias("is_rev"),
     )
 
 
