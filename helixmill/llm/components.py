@@ -10,36 +10,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, parallelism
 
 
-def _large(links: DataFrame) -> DataFrame:
+#: Links for each partition of a round's intermediate results.
+LINKS = 20_000
+
+
+def _large(links: DataFrame, parts: int) -> DataFrame:
     """Link each node's larger neighbours to its least neighbour (or itself)."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
+    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).coalesce(parts)
 
 
-def _small(links: DataFrame) -> DataFrame:
+def _small(links: DataFrame, parts: int) -> DataFrame:
     """Link each node and its smaller neighbours to the least of them.  Here b < a."""
     least = links.groupBy("a").agg(F.min("b").alias("m"))
     moved = links.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b")))
+    return moved.unionByName(least.select("a", F.col("m").alias("b"))).coalesce(parts)
 
 
 def components(links: DataFrame, rounds: int = 100) -> DataFrame:
     """(node, root) for every node of a table of links (a, b); root is the least node of its component.
 
-    Self-links count as nothing; nodes without a link don't appear.
+    Self-links count as nothing; nodes without a link don't appear.  Rounds use
+    no more partitions than their links need, so that a small graph doesn't
+    leave many tiny shuffle files behind.
     """
     links = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
+    state = tuple(links.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first())
     for _ in range(rounds):
-        links = cut(_small(_large(links)).distinct())
-        state = tuple(links.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first())
+        parts = max(1, min(parallelism(links), state[0] // LINKS))
+        links = cut(_small(_large(links.coalesce(parts), parts), parts).distinct().coalesce(parts))
+        seen, state = state, tuple(links.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first())
         if state == seen:
             break
-        seen = state
     else:
         raise RuntimeError("components did not settle")
     return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -58,8 +58,8 @@ class JoinParams:
     #: MinHash values compared between two looks at the posterior.
     step: int = 25
     tolerance: float = 1e-6
-    bucket_block: int = 256
-    verify_block: int = 64
+    bucket_block: int = 512
+    verify_block: int = 128
 
     @property
     def hashes(self) -> int:
