@@ -44,7 +44,7 @@ class ShardParams:
     #: Sampled keys for each range.
     oversampling: int = 8
     #: A group of equal texts stays together up to this share of a shard.
-    group_share: float = 0.005
+    group_share: float = 0.01
     #: A range over so many times the mean is cut again.
     overfull: float = 4.0
 
