@@ -60,7 +60,10 @@ def _least_at(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def seed_runs(words: np.ndarray, params: RepeatParams) -> tuple[np.ndarray, ...]:
-    """Runs of windows with one anchor: first window, number of windows, anchor hash, content hash."""
+    """Runs of windows with one anchor: first window, number of windows, anchor hash, content hash.
+
+    Neighbouring runs of equal anchor and content are one, with the windows of all.
+    """
     if len(words) < params.width:
         return (np.empty(0, np.int64),) * 4
     grams = window_hashes(words, params.gram)
@@ -68,12 +71,15 @@ def seed_runs(words: np.ndarray, params: RepeatParams) -> tuple[np.ndarray, ...]
     starts = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
     counts = np.diff(np.append(starts, len(anchor)))
     content = span_hashes(words, starts, starts + counts - 1 + params.width)
-    return starts, counts, grams[anchor[starts]].view(np.int64), content.view(np.int64)
+    grams = grams[anchor[starts]]
+    # Where words repeat periodically, run after run is the same: one stands for all.
+    heads = np.flatnonzero(np.concatenate(([True], (grams[1:] != grams[:-1]) | (content[1:] != content[:-1]))))
+    return starts[heads], np.add.reduceat(counts, heads), grams[heads].view(np.int64), content[heads].view(np.int64)
 
 
 RUNS = "d bigint, th bigint, code bigint, anchor bigint, content bigint"
 #: A run is coded as first window * SPAN + number of windows.
-SPAN = 1 << 20
+SPAN = 1 << 31
 
 
 def _keyed(docs: DataFrame) -> DataFrame:

@@ -154,7 +154,7 @@ def near_rows():
     return rows + [(500 + i, prose(80, 500 + i)) for i in range(40)]
 
 
-@pytest.mark.parametrize("blocks", [(256, 64), (4, 3)])
+@pytest.mark.parametrize("blocks", [(512, 128), (4, 3)])
 def test_join_against_brute_force(spark, blocks):
     rows = near_rows()
     sets, links = brute_links(rows)
@@ -221,6 +221,7 @@ def passage_rows():
     shared = words(90, 9)
     rows = [(i, t) for i, t, *_ in awkward()]
     rows += [(20 + k, " ".join(words(70 + k, 30 + k) + shared[k : 60 + k] + words(10, 60 + k))) for k in range(12)]
+    rows += [(46, " ".join(["one", "two"] * 90 + words(60, 5))), (47, " ".join(words(20, 6) + ["two", "one"] * 70)), (48, " ".join(["a", "b", "c"] * 40)), (49, " ".join(["b", "c", "a"] * 60 + ["same"] * 51))]
     rows += [(40, " ".join(["same"] * 200)), (41, " ".join(["same"] * 120)), (42, prose(49, 70)), (43, prose(50, 71)), (44, prose(50, 71)), (45, " ".join(shared + words(5, 1) + shared))]
     return rows
 
