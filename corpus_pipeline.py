@@ -25,10 +25,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: that with the least id (one row of repeated ones)."""
-    found = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    # Ids that are given to several texts: the least hash stands for the group.
-    stays = found.groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("_d")).agg(F.min("th").alias("_th"))
+    """One document of each near-duplicate class: that with the least id, null ids last (one row of repeated ones)."""
+    # Ids may be null or given to several texts, so classes have a key of their own; of one id's texts, the least hash stands for the class.
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("_d"), F.col("th").alias("_th")))
+    stays = near_duplicates(docs).groupBy("class_key").agg(first.alias("first")).select("first.*")
     keyed = docs.withColumn("_d", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("_th", F.xxhash64(F.coalesce("text", F.lit(""))))
     return keyed.join(stays, ["_d", "_th"]).dropDuplicates(["_d", "_th"]).select(*docs.columns)
 

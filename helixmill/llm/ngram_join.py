@@ -268,7 +268,8 @@ def near_duplicates(docs: DataFrame, params: JoinParams = JoinParams()) -> DataF
     Returns doc_id, th (hash of the text), class_id (least doc_id of the
     documents that links connect, copies included), copy_id (least doc_id with
     the same shingles), n_copies (documents with the same shingles, itself
-    included) and n_links (classes of other shingle sets that are linked to it).
+    included), n_links (classes of other shingle sets that are linked to it) and
+    class_key, which names the near-duplicate class whatever its ids are.
     """
     signed = stash(sign(docs, params))
     # Signatures follow from the shingles, so any of a class's stands for it.
@@ -285,13 +286,14 @@ def near_duplicates(docs: DataFrame, params: JoinParams = JoinParams()) -> DataF
     groups_of = components(found.where("b is not null").select("a", "b"))
     members = groups_of.join(by_node.select("node", "d"), "node")
     least = members.groupBy("root").agg(F.min("d").alias("class_d"))
-    near = members.join(least, "root").select("node", "class_d").join(degrees, "node", "left")
+    near = members.join(least, "root").select("node", "root", "class_d").join(degrees, "node", "left")
     told = by_node.join(near, "node", "left").select(
         "node",
         F.coalesce("class_d", "d").alias("class_d"),
         F.col("d").alias("copy_d"),
         "n_copies",
         F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
+        F.coalesce("root", "node").alias("class_key"),
     )
     real = lambda c: F.when(F.col(c) == NO_ID, None).otherwise(F.col(c))
-    return signed.select("doc_id", "th", "node").join(told, "node").select("doc_id", "th", real("class_d").alias("class_id"), real("copy_d").alias("copy_id"), "n_copies", "n_links")
+    return signed.select("doc_id", "th", "node").join(told, "node").select("doc_id", "th", real("class_d").alias("class_id"), real("copy_d").alias("copy_id"), "n_copies", "n_links", "class_key")

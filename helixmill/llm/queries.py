@@ -32,7 +32,7 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("th")
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("th", "class_key")
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

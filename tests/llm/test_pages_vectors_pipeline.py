@@ -199,3 +199,28 @@ def test_stages_take_awkward_documents(spark, tmp_path):
             out = stage(spark, docs(spark, rows), str(tmp_path))
             assert out.count() >= 0 and (stage is corpus_pipeline.packing or out.schema.simpleString() == docs(spark, []).schema.simpleString())
     assert corpus_pipeline.quality(spark, docs(spark), str(tmp_path)).columns == [c.split()[0] for c in DOCS.split(", ")]
+
+
+def test_near_copies_keeps_one_of_each_class(spark, tmp_path):
+    """Unrelated texts without an id, or with one id between them, are classes of their own."""
+    rows = [(None, prose(120, i)) for i in range(8)] + [(None, edits(prose(120, i), 1, i)) for i in range(4)] + [(None, prose(120, 7))] * 3
+    rows += [(9, prose(120, 20 + i)) for i in range(3)] + [(8, edits(prose(120, 20), 1, 1)), (10, prose(120, 21)), (None, prose(120, 22)), (11, prose(120, 0))]
+    rows += [(None, None), (None, ""), (12, " ")]
+    sets, links = brute_links([(i, t or "") for i, t in rows])
+    classes, seen = [], set()
+    for s in sets.values():
+        todo, found = [s], set()
+        while todo:
+            s = todo.pop()
+            if s not in seen:
+                seen.add(s)
+                found.add(s)
+                todo += links[s]
+        if found:
+            classes.append(found)
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.near_copies(spark, docs(spark, rows), str(tmp_path)).collect()]
+    assert len(kept) == len(classes) == 12 and set(kept) <= set(rows)
+    for members in classes:
+        mine = [i for i, t in kept if sets[t or ""] in members]
+        ids = [i for i, t in rows if sets[t or ""] in members and i is not None]
+        assert mine == [min(ids, default=None)]
