@@ -15,10 +15,10 @@ texts are the article's own even when a host serves the same passage twice.  If
 a page has an ``article`` or ``main`` element, text outside is left out.
 
 The tree is built by aggregations of hashes on (host, node, feature), pre-summed
-before they shuffle, so a host of any size meets as one row a feature; only
-nodes that occur on at least ``share`` of a host's pages can be cut, so the cut
-list of a host is bounded.  Hot hosts are salted in the join that brings the cut
-lists back.
+before they shuffle, so a host of any size meets as one row a feature.  Cuts come
+back by a join of (host, node) with the nodes that each page could lose, salted
+for hot hosts, so a page meets its own cuts only and a host may have any number
+of them.
 
 Null and empty pages give the empty text; a null url is a host by itself, as are
 urls without a host.  Repeated rows give repeated results; repeated pages count
@@ -62,9 +62,8 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"opti
 class SiteParams:
     #: Branches of less importance are cut.
     least: float = 0.2
-    #: Distinct pages that a node must be on, at least, and their share of the host's.
+    #: Distinct pages that a node must be on, at least.
     pages: int = 3
-    share: float = 0.3
     salts: int = 16
 
 
@@ -190,10 +189,15 @@ def blocks(html: str | None) -> list[Block]:
     return found
 
 
+def candidates(found: list[Block]) -> list[Block]:
+    """The blocks that stay if the tree cuts none."""
+    within = any(b.inside and not b.never for b in found)
+    return [b for b in found if not b.never and (b.inside or not within)]
+
+
 def main_text(found: list[Block], cut: frozenset[int]) -> str:
     """The blocks that stay, joined by empty lines."""
-    within = any(b.inside and not b.never for b in found)
-    return "\n\n".join(b.text for b in found if not b.never and (b.inside or not within) and ((b.inside and b.plain) or not cut.intersection(b.nodes)))
+    return "\n\n".join(b.text for b in candidates(found) if (b.inside and b.plain) or not cut.intersection(b.nodes))
 
 
 def page_host(url: str | None) -> str:
@@ -214,7 +218,6 @@ def style_features(pages: DataFrame) -> DataFrame:
                 host, found = _hash(page_host(url)), blocks(html)
                 page = _hash("\n".join(x.text for x in found))
                 rows += {(host, page, node, _hash(x.text)) for x in found if not x.never and not (x.inside and x.plain) for node in x.nodes}
-                rows.append((host, page, 0, 0))
             yield batch(SEEN, *zip(*rows)) if rows else batch(SEEN, *[[]] * 4)
 
     return pages.mapInArrow(run, SEEN)
@@ -223,13 +226,27 @@ def style_features(pages: DataFrame) -> DataFrame:
 def unimportant_nodes(pages: DataFrame, params: SiteParams = SiteParams()) -> DataFrame:
     """(host, node) of the style nodes whose importance is low, from rows of url and html."""
     seen = stash(style_features(pages).distinct())
-    each = seen.groupBy("host", "node", "feature").agg(F.count("*").alias("n"))
-    on_pages = seen.select("host", "page", "node").distinct().groupBy("host", "node").agg(F.count("*").alias("pages"))
-    hosts = on_pages.where("node = 0").select("host", F.col("pages").alias("of"))
-    nodes = on_pages.where("node <> 0").where(F.col("pages") >= params.pages).join(hosts, "host").where(F.col("pages") >= params.share * F.col("of")).select("host", "node", "pages")
+    each = seen.groupBy("host", "node", "feature").agg(F.count("*").alias("n")).groupBy("host", "node").agg(F.avg(F.log("n")).alias("log_n"))
+    on_pages = seen.select("host", "page", "node").distinct().groupBy("host", "node").agg(F.count("*").alias("pages")).where(F.col("pages") >= params.pages)
     # A feature on n of m pages, evenly: entropy log_m n.
-    held = each.join(nodes, ["host", "node"]).groupBy("host", "node").agg(F.avg(F.log("n") / F.log("pages")).alias("entropy"))
-    return held.where(1 - F.col("entropy") < params.least).select("host", "node")
+    return each.join(on_pages, ["host", "node"]).where(1 - F.col("log_n") / F.log("pages") < params.least).select("host", "node")
+
+
+NODES = "host bigint, key bigint, node bigint"
+
+
+def loose_nodes(pages: DataFrame) -> DataFrame:
+    """(host, key, node) of the style nodes that a page (rows of url, html and key) loses if they are cut."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = set()
+            for url, html, key in zip(b.column("url").to_pylist(), b.column("html").to_pylist(), b.column("key").to_pylist()):
+                host = _hash(page_host(url))
+                rows |= {(host, key, node) for x in candidates(blocks(html)) if not (x.inside and x.plain) for node in x.nodes}
+            yield batch(NODES, *zip(*rows)) if rows else batch(NODES, *[[]] * 3)
+
+    return pages.mapInArrow(run, NODES)
 
 
 TEXTS = "page_id bigint, url string, text string, n_chars bigint"
@@ -239,15 +256,16 @@ def extract_main_text(pages: DataFrame, params: SiteParams = SiteParams()) -> Da
     """page_id, url, text and n_chars of every page."""
     p = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
 
-    def hosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys = pa.array([_hash(page_host(u)) for u in b.column("url").to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns, keys], [*b.schema.names, "host"])
-
-    salts = F.sequence(F.lit(0), F.lit(params.salts - 1))
-    cuts = unimportant_nodes(p.select("url", "html"), params).groupBy("host").agg(F.collect_list("node").alias("nodes")).withColumn("salt", F.explode(salts))
-    keyed = p.mapInArrow(hosts, "page_id bigint, url string, html string, host bigint").withColumn("salt", F.pmod(F.xxhash64("page_id", "html"), F.lit(params.salts)).cast("int"))
-    joined = keyed.join(cuts, ["host", "salt"], "left").select("page_id", "url", "html", "nodes")
+    # Pages of one url and markup lose the same nodes.
+    p = p.withColumn("key", F.xxhash64("url", "html"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(params.salts - 1))).alias("salt")
+    salt = lambda c: F.pmod(c, F.lit(params.salts)).cast("int")
+    cuts = unimportant_nodes(p.select("url", "html"), params).select("host", "node", salts)
+    loose = loose_nodes(p.select("url", "html", "key")).distinct().withColumn("salt", salt(F.col("key")))
+    lost = loose.join(cuts, ["host", "node", "salt"]).groupBy("key").agg(F.collect_set("node").alias("nodes")).select("key", "nodes", salts)
+    # Repeated rows are dealt apart by their numbers.
+    keyed = p.withColumn("salt", salt(F.monotonically_increasing_id()))
+    joined = keyed.join(lost, ["key", "salt"], "left").select("page_id", "url", "html", "nodes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

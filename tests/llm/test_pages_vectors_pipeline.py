@@ -50,6 +50,16 @@ def test_style_tree_cuts_what_repeats(spark):
     assert text[20] == "We use biscuits on this site.\n\nOwn text."
 
 
+def test_style_tree_cuts_what_repeats_in_a_section(spark):
+    """Boilerplate of a section goes however many other sections a host has, outside articles and in marked elements inside."""
+    frame = lambda mark: f"<div class='{mark}'>Words of section {mark}.</div>"
+    mark = lambda k: "abcdefgh"[k % 8] * 3
+    rows = [(k, f"https://one.example/{k}", f"<body>{frame(mark(k))}<div class='body'><p>{prose(30, k)}</p></div></body>") for k in range(40)]
+    rows += [(100 + k, f"https://two.example/{k}", f"<body><article><p>{prose(30, k)}</p>{frame(mark(k))}<div class='{mark(k)}2'>{prose(9, k)}</div></article></body>") for k in range(40)]
+    text = texts(spark, rows * 2)
+    assert all(text[k] == prose(30, k) and text[100 + k] == f"{prose(30, k)}\n\n{prose(9, k)}" for k in range(40))
+
+
 def test_other_layouts(spark):
     wrapped = (
         '<body class="home has-sidebar"><div id="page"><div class="siteHeader">Brand</div><div class="with sidebar"><main><h1 class="entry-title">Head</h1>'
