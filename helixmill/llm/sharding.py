@@ -1,7 +1,7 @@
 """Range sharding with sampled splitters.
 
-Records are ordered by the composite key (hash of the text, doc_id).  A
-size-weighted sample of keys gives splitters that cut the key range into many
+Records are ordered by the composite key (hash of the text, doc_id, row number),
+which tells repeated rows apart.  A size-weighted sample of keys gives splitters that cut the key range into many
 ranges of about equal bytes; exact bytes and rows of each range follow from one
 aggregation.  Ranges that lie across a shard boundary, or hold far more rows or
 bytes than the others, are cut again by a second sample drawn from them alone.
@@ -58,51 +58,53 @@ def slim_records(docs: DataFrame) -> DataFrame:
         F.crc32(F.col("text").cast("binary")).cast("bigint").alias("text_crc32"),
         F.xxhash64("text").alias("h"),
         F.coalesce("doc_id", F.lit(LOWEST)).alias("d"),
+        # Fixed by the checkpoint that follows.
+        F.monotonically_increasing_id().alias("s"),
     )
 
 
-def draw(records: DataFrame, size: int, total: int, seed: int) -> list[tuple[int, int, int]]:
-    """About ``size`` keys, each drawn as often as its bytes demand: (h, d, times), in key order."""
+def draw(records: DataFrame, size: int, total: int, seed: int) -> list[tuple[int, int, int, int]]:
+    """About ``size`` keys, each drawn as often as its bytes demand: (h, d, s, times), in key order."""
     weight = F.col("size") * F.lit(size / max(total, 1))
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed).cast("bigint"), "h", "d"), 11) * F.lit(2.0**-53)
+    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed).cast("bigint"), "h", "d", "s"), 11) * F.lit(2.0**-53)
     times = (F.floor(weight) + (u < weight - F.floor(weight)).cast("bigint")).alias("times")
-    rows = records.select("h", "d", times).where("times > 0").collect()
-    return sorted((r.h, r.d, r.times) for r in rows)
+    rows = records.select("h", "d", "s", times).where("times > 0").collect()
+    return sorted((r.h, r.d, r.s, r.times) for r in rows)
 
 
-def choose(sample: list[tuple[int, int, int]], ranges: int, sampled_bytes: int, group_bytes: float) -> list[tuple[int, int]]:
+def choose(sample: list[tuple[int, int, int, int]], ranges: int, sampled_bytes: int, group_bytes: float) -> list[tuple[int, int, int]]:
     """Quantiles of a sample as lower ends of ranges; those inside light groups move to the group's start."""
-    drawn = sum(x[2] for x in sample)
+    drawn = sum(x[3] for x in sample)
     if not drawn:
         return []
     group: dict[int, int] = {}
-    for h, _, times in sample:
+    for h, _, _, times in sample:
         group[h] = group.get(h, 0) + times
     step, seen, bounds = max(1.0, drawn / ranges), 0, set()
     at = step
-    for h, d, times in sample:
+    for h, d, s, times in sample:
         seen += times
         if seen > at:
             heavy = group[h] * sampled_bytes / drawn > group_bytes
-            bounds.add((h, d if heavy else LOWEST))
+            bounds.add((h, d, s) if heavy else (h, LOWEST, LOWEST))
             at = (seen // step + 1) * step
     return sorted(bounds)
 
 
-def range_of(bounds: list[tuple[int, int]]) -> Column:
-    """Number of the range that holds the key (h, d), by two steps of about sqrt(n) comparisons."""
+def range_of(bounds: list[tuple[int, int, int]]) -> Column:
+    """Number of the range that holds the key (h, d, s), by two steps of about sqrt(n) comparisons."""
     if not bounds:
         return F.lit(0)
     width = isqrt(len(bounds)) + 1
-    blocks = [[{"h": h, "d": d} for h, d in bounds[k : k + width]] for k in range(0, len(bounds), width)]
-    kind = "array<struct<h:bigint,d:bigint>>"
-    below = lambda b: (b["h"] < F.col("h")) | ((b["h"] == F.col("h")) & (b["d"] <= F.col("d")))
+    blocks = [[{"h": h, "d": d, "s": s} for h, d, s in bounds[k : k + width]] for k in range(0, len(bounds), width)]
+    kind = "array<struct<h:bigint,d:bigint,s:bigint>>"
+    below = lambda b: (b["h"] < F.col("h")) | ((b["h"] == F.col("h")) & ((b["d"] < F.col("d")) | ((b["d"] == F.col("d")) & (b["s"] <= F.col("s")))))
     block = F.size(F.filter(constant([b[0] for b in blocks], kind), below))
     inside = F.size(F.filter(F.element_at(constant(blocks, f"array<{kind}>"), F.greatest(block, F.lit(1))), below))
     return F.when(block == 0, 0).otherwise((block - 1) * width + inside).cast("int")
 
 
-def tally(records: DataFrame, bounds: list[tuple[int, int]]) -> dict[int, tuple[int, int]]:
+def tally(records: DataFrame, bounds: list[tuple[int, int, int]]) -> dict[int, tuple[int, int]]:
     """Exact bytes and rows of each range."""
     rows = records.groupBy(range_of(bounds).alias("r")).agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     return {x["r"]: (x["size"], x["n"]) for x in rows}
@@ -149,7 +151,7 @@ def shard_documents(docs: DataFrame, params: ShardParams = ShardParams()) -> Dat
         shard_of[r], offset[r] = shard, filled[shard]
         filled[shard] += n
         before += size
-    order = Window.partitionBy("r").orderBy("h", "d")
+    order = Window.partitionBy("r").orderBy("h", "d", "s")
     return (
         records.withColumn("r", range_of(bounds))
         .withColumn("nth", F.row_number().over(order))

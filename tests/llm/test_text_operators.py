@@ -251,6 +251,18 @@ def test_shards(spark, rows):
         assert max(sums) - min(sums) <= 0.12 * sum(sums) / 16 + 2 * max(r["size"] for r in got)
 
 
+def test_repeated_rows_are_divided(spark):
+    """Rows that agree in text and id go to as many shards as their bytes fill."""
+    rows = [(1, prose(50, 1))] * 200 + [(None, prose(50, 2))] * 200 + [(k, prose(50, k)) for k in range(10, 210)]
+    got = sharding.shard_documents(docs(spark, rows), sharding.ShardParams(min_ranges=64)).collect()
+    sums, slots = Counter(), defaultdict(list)
+    for r in got:
+        sums[r.shard] += r["size"]
+        slots[r.shard].append(r.slot)
+    assert len(got) == 600 and all(sorted(x) == list(range(len(x))) for x in slots.values())
+    assert len(sums) == 16 and max(sums.values()) - min(sums.values()) <= 0.12 * sum(sums.values()) / 16 + 2 * max(r["size"] for r in got)
+
+
 # 7. Secrets.
 
 
