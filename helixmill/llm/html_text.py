@@ -1,43 +1,58 @@
 """Main text of web pages by site style trees.
 
 The pages of a host are merged into one tree of style nodes: a node is a path of
-elements with their class, id and role.  A node's importance follows from how
-its content varies over the host's pages: a feature (a block's text) that stands
-on every page has entropy 1 and says nothing, one that stands on a single page
-has entropy 0.  A node's importance is one minus the mean entropy of its
-features, counted over distinct pages; nodes seen on one page keep importance 1.
-Branches of low importance are cut from each page.
-
-On top of that, elements that are never article text (navigation, footers,
-forms, scripts and the like, by tag, role or class) are always cut, and inside an
-article plain text elements without class, id or role are never cut: their
-texts are the article's own even when a host serves the same passage twice.  If
-a page has an ``article`` or ``main`` element, text outside is left out.
-
-The tree is built by aggregations of hashes on (host, node, feature), pre-summed
-before they shuffle, so a host of any size meets as one row a feature.  Cuts come
-back by a join of (host, node) with the nodes that each page could lose, salted
-for hot hosts, so a page meets its own cuts only and a host may have any number
-of them.
-
-Null and empty pages give the empty text; a null url is a host by itself, as are
-urls without a host.  Repeated rows give repeated results; repeated pages count
-once in the tree.  Other columns play no part.
+elements with their class, id and role.  Two entropies over the host's pages say
+how important a node is:
+
+* content: a text that stands on n of the node's m pages has entropy log_m n;
+  the importance is one minus the mean entropy of the node's own texts.
+* presentation: the sequences of children that the node shows, each with its
+  share of pages; the importance is the entropy of those shares, to base m.
+
+A node with l different sequences of children has the importance
+(1 - gamma^l) presentation + gamma^l content; a leaf that of its content; a node
+on too few pages to judge is important.  A branch is as important as the most
+important node in it, and branches of low importance are cut from each page.
+Every element takes part, articles and what stands in them included; plain text
+elements (headings, paragraphs, lists, tables) inside an article are its flow,
+so their texts are the article's own content.
+
+Tags and roles of the HTML standard that are never article text (navigation,
+footers, forms, scripts, articles inside an article and the like) are left out
+whatever the tree says, and where a page has an ``article`` or ``main`` element,
+what is outside.  Names of classes and ids are no more than a prior, and only
+when every part of a name is a known one.  A branch that calls itself an advert
+or comments goes unless it holds an article on any page of the host.  A vaguer
+name (header, notice) only raises the bar of importance; where a node is on too
+few pages to judge, such a name counts outside of articles alone.
+
+The tree is built by aggregations of hashes on (node, text), pre-summed before
+they shuffle, so a host of any size meets as one row a text.  The nodes to cut
+are broadcast if they are few; beyond that a page gets its own by a join salted
+for hot hosts.
+
+Elements nested deeper than ``DEPTH`` levels belong to the style node above
+them; their text counts as any other.  Null and empty pages give the empty text;
+a null url is a host by itself, as are urls without a host.  Repeated rows give
+repeated results; pages with the same main text count once in the tree.  Other
+columns play no part.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import lru_cache
 from hashlib import blake2b
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, stash
+from .common import batch, parallelism, stash
 
 #: Fixed values of the HTML standard: elements whose content is raw text, elements without content, and elements that start a block.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -46,110 +61,186 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 #: Elements that are never part of an article.
 NEVER = frozenset("head script style noscript template nav footer aside form menu button select option input textarea iframe object svg canvas dialog title xmp noembed noframes search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
-HINTS = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adslot|adbox|banner|sponsor(?:ed)?|promo(?:tion)?|nav(?:bar|igation)?|menu|breadcrumbs?|search|topbar|header|masthead|footer|sidebar|side|aside|widget|cookies?|consent|gdpr|notices?|alerts?|announcements?|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|comments?|replies|disqus|discussion|respond|toolbar|pagination|pager|copyright|legal|disclaimer|skip)(?:$|[\s_-]|\d)", re.IGNORECASE)
-PLAIN = frozenset("article main h1 h2 h3 h4 h5 h6 p b i em strong u a span br ul ol li dl dt dd blockquote pre code table thead tbody tfoot tr td th caption figure figcaption small sub sup s del ins mark q cite abbr time var kbd samp hgroup".split())
-TOKENS = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|[^<]+|<", re.DOTALL)
+#: Text elements that are an article's flow if they have no class, id or role.
+FLOW = frozenset("h1 h2 h3 h4 h5 h6 p ul ol li dl dt dd blockquote pre table thead tbody tfoot tr td th caption figure figcaption hgroup".split())
+P_ENDS = BLOCK - frozenset("caption tbody td tfoot th thead tr html body".split())
+#: Open elements that end when one of the named kind starts, unless one of SCOPES has begun since.
+CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr")}
+SCOPES = frozenset("ul ol dl table select div article section".split())
+
+#: Names of branches that aren't article text, and names that only say so where the content repeats too.
+FIRM = frozenset("ad ads advert adverts advertisement advertising adslot adbox sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar comment comments reply replies disqus respond discussion footer newsletter subscribe share sharing social widget pagination pager cookie cookies consent gdpr toolbar".split())
+SOFT = frozenset("header masthead topbar banner notice notices alert alerts announcement search related recommended popup modal overlay signup login copyright legal disclaimer skip".split())
+NEUTRAL = frozenset("site page main left right top bottom primary secondary list area block box bar container wrapper inner outer global links buttons form item items unit slot posts articles thread section".split())
+
+TOKENS = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|$)|[^<]+|<", re.DOTALL)
+#: Tags up to the next ``>``: for what follows a quote that is never closed.
+LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)", re.DOTALL)
 ATTRIBUTES = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.DOTALL)
 SPACE = re.compile(r"\s+")
-#: Hints that hold for an article inside such an element as well.
-FIRM = re.compile(r"comment|repl|disqus|discussion|respond|related|recommended|promo|sponsor|widget", re.IGNORECASE)
-P_ENDS = BLOCK - frozenset("caption tbody td tfoot th thead tr html body".split())
-#: An open element of the left kind ends when one of the right kind starts.
-CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
+#: What names say of a node, weakest first.
+SOFT_INSIDE, SOFT_OUTSIDE, SURE = 1, 2, 3
+#: Levels of style nodes below a host.
+DEPTH = 64
+MASK = (1 << 64) - 1
 
 
 @dataclass(frozen=True)
 class SiteParams:
-    #: Branches of less importance are cut.
-    least: float = 0.2
-    #: Distinct pages that a node must be on, at least.
+    #: Branches of less importance are cut; branches with a soft name below the second bar.
+    least: float = 0.3
+    named: float = 0.9
+    #: Distinct pages that a node must be on to be judged.
     pages: int = 3
-    salts: int = 16
+    gamma: float = 0.9
+    #: Most nodes (of 8 bytes) that are broadcast.
+    broadcast_nodes: int = 1 << 20
+    #: Without the tree only tags and roles decide.
+    tree: bool = True
 
 
-@dataclass
-class Block:
-    """One run of text inside a block element."""
+def _hash(s: str) -> int:
+    return int.from_bytes(blake2b(s.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
-    text: str
-    #: Hashes of the style nodes from the first below the root down to the block's own.
-    nodes: tuple[int, ...]
-    #: Cut by tag, role or class.
-    never: bool
-    #: Inside an article or main element.
-    inside: bool
-    #: Made of plain elements only since the article began.
-    plain: bool
 
+def _chain(a: int, b: int) -> int:
+    """A signed 64-bit hash of a hash and what follows it."""
+    x = ((a * 0x9E3779B97F4A7C15) ^ (b & MASK)) * 0xD6E8FEB86659FD93 & MASK
+    x ^= x >> 32
+    return x - (1 << 64) if x >> 63 else x
 
-def _hash(s: str) -> int:
-    return int.from_bytes(blake2b(s.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+@lru_cache(maxsize=20_000)
+def name_level(name: str) -> int:
+    """What one class or id says: 2 never an article's text, 1 perhaps not, 0 nothing."""
+    parts = [p for p in re.split(r"[-_\d]+", re.sub("(?<=[a-z])(?=[A-Z])", "-", name).lower()) if p]
+    known = [p for p in parts if p not in NEUTRAL]
+    if not known or not all(p in FIRM or p in SOFT for p in known):
+        return 0
+    return 2 if any(p in FIRM for p in known) else 1
 
 
-def _style(tag: str, given: str) -> tuple[str, int, bool]:
-    """An element's style; whether it is never article text (1: unless an article starts inside); whether it has a class, id or role."""
+@lru_cache(maxsize=20_000)
+def _style(tag: str, given: str) -> tuple[int, bool, bool, int]:
+    """An element's style as a hash, whether it is marked (class, id, role), whether it is never article text, and what its names say."""
     if not given.strip("/ \n\t\r"):
-        return tag, 2 * (tag in NEVER), False
+        return _hash(tag), False, tag in NEVER, 0
     a = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTES.finditer(given)}
-    named = re.sub("(?<=[a-z])(?=[A-Z])", "-", f"{a.get('class', '')} {a.get('id', '')}")
     never = tag in NEVER or a.get("role", "").lower() in ROLES
-    firm = never or bool(FIRM.search(named))
-    if tag not in ("html", "body", "article", "main"):
-        never |= "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower() or bool(HINTS.search(named))
-    elif tag == "article" and FIRM.search(named):
-        never = True
-    mark = ".".join(a[k] for k in ("class", "id", "role") if a.get(k))
-    mark = re.sub(r"\d+", "0", mark)
-    return (f"{tag}.{mark}" if mark else tag), never * (1 + firm), bool(mark)
-
-
-def blocks(html: str | None) -> list[Block]:
-    """The text blocks of a page in order, with references decoded and white space made single."""
-    found: list[Block] = []
-    # Each open element: tag, path of style hashes, path as text, never, inside, plain.
-    stack: list[tuple] = [("", (), "", 0, False, True)]
+    level = 0
+    if tag not in ("html", "body", "main"):
+        never |= "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower()
+        level = max((name_level(x) for x in f"{a.get('class', '')} {a.get('id', '')}".split()), default=0)
+    mark = re.sub(r"\d{2,}", "0", ".".join(a[k] for k in ("class", "id", "role") if a.get(k)))
+    return _hash(f"{tag}.{mark}" if mark else tag), bool(mark), never, level
+
+
+def style_of(tag: str, given: str) -> tuple[int, bool, bool, int]:
+    # Long attributes aren't kept.
+    return _style(tag, given) if len(given) < 300 else _style.__wrapped__(tag, given)
+
+
+@dataclass
+class Page:
+    """The text blocks of a page and the style nodes they stand in."""
+
+    #: (text, number of its node, never, inside an article or main element)
+    blocks: list[tuple[str, int, bool, bool]] = field(default_factory=list)
+    #: Of each node: hash, number of the node above (-1: none), levels below the host, what its names say.
+    ids: list[int] = field(default_factory=list)
+    above: list[int] = field(default_factory=list)
+    level: list[int] = field(default_factory=list)
+    said: list[int] = field(default_factory=list)
+    #: (number of a node, hash of the sequence of its children)
+    shapes: set[tuple[int, int]] = field(default_factory=set)
+    numbers: dict[int, int] = field(default_factory=dict)
+
+    def node(self, above: int, style: int, said: int) -> int:
+        at = _chain(self.ids[above], style) if above >= 0 else style
+        if at in self.numbers:
+            n = self.numbers[at]
+            self.said[n] = min(self.said[n], said)
+            return n
+        self.numbers[at] = n = len(self.ids)
+        self.ids.append(at)
+        self.above.append(above)
+        self.level.append(self.level[above] + 1 if above >= 0 else 0)
+        self.said.append(said)
+        return n
+
+    def chain(self, n: int) -> list[int]:
+        """Hashes of a node and those above it, the host left out."""
+        found = []
+        while self.above[n] >= 0:
+            found.append(self.ids[n])
+            n = self.above[n]
+        return found
+
+
+class _Open:
+    """An open element."""
+
+    __slots__ = ("tag", "node", "own", "never", "inside", "shape")
+
+    def __init__(self, tag: str, node: int, own: bool, never: int, inside: bool):
+        self.tag, self.node, self.own, self.never, self.inside, self.shape = tag, node, own, never, inside, 0
+
+
+def parse(html: str | None, host: int = 0) -> Page:
+    """The blocks of a page in order, with references decoded and white space made single; linear in the page's length."""
+    page = Page()
+    root = _Open("", page.node(-1, host, 0), False, 0, False)
+    stack, open_at, scopes = [root], {}, [0]
     text: list[str] = []
-    owner = stack[0]
+    owner, blank = root, True
 
     def flush() -> None:
-        if text:
-            joined = SPACE.sub(" ", "".join(text)).strip()
-            if joined:
-                found.append(Block(joined, owner[1], owner[3] > 0, owner[4], owner[5]))
-            text.clear()
-
-    def close(tag: str) -> None:
+        nonlocal blank
+        if not blank:
+            page.blocks.append((SPACE.sub(" ", "".join(text)).strip(), owner.node, owner.never > 0, owner.inside))
+        text.clear()
+        blank = True
+
+    def close(k: int) -> None:
+        """End the open elements from place k on."""
         nonlocal owner
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] == tag:
-                if any(e[0] in BLOCK or e[3] != stack[k - 1][3] for e in stack[k:]):
-                    flush()
-                del stack[k:]
-                owner = stack[-1]
-                return
-
-    html, at = html or "", 0
+        if any(e.tag in BLOCK or e.never != stack[k - 1].never or e.own for e in stack[k:]):
+            flush()
+        while len(stack) > k:
+            e = stack.pop()
+            open_at[e.tag].pop()
+            if e.tag in SCOPES:
+                scopes.pop()
+            if e.own and e.shape:
+                page.shapes.add((e.node, e.shape))
+        owner = stack[-1]
+
+    html, at, tokens = html or "", 0, TOKENS
     while at < len(html):
-        m = TOKENS.match(html, at)
-        at = m.end()
-        tag = m[2]
+        m = tokens.match(html, at) or TOKENS.match(html, at)
+        if m[0] == "<" and (loose := LOOSE.match(html, at)):  # a quote that isn't closed: from here on tags end at the next bracket
+            m, tokens = loose, LOOSE
+        at, tag = m.end(), m[2]
         if tag is None:
             token = m[0]
             if token[0] != "<" or token == "<":
                 text.append(unescape(token))
             elif token.startswith("<![CDATA["):
                 text.append(token[9:].removesuffix("]]>"))
+            else:
+                continue
+            blank &= not text[-1].strip()
             continue
         tag = tag.lower()
         if m[1]:
-            if tag == "p" and all(e[0] != "p" for e in stack):
+            if open_at.get(tag):
+                close(open_at[tag][-1])
+            elif tag == "p":
                 flush()
             elif tag == "br":
                 text.append(" ")
-            else:
-                close(tag)
             continue
-        if tag in ("br", "hr", "wbr") or tag in VOID:
+        if tag in VOID:
             if tag == "hr":
                 flush()
             elif tag == "br":
@@ -157,47 +248,55 @@ def blocks(html: str | None) -> list[Block]:
             continue
         if tag in RAW:
             end = re.compile(f"</{tag}(?=[\\s/>])", re.IGNORECASE).search(html, at)
-            stop = end.end() if end else len(html)
-            at = html.find(">", stop) + 1 or len(html) if end else stop
+            at = html.find(">", end.end()) + 1 or len(html) if end else len(html)
             continue
-        if tag in P_ENDS and any(e[0] == "p" for e in stack):
-            close("p")
-        for k in range(len(stack) - 1, 0, -1):
-            if tag in CLOSES.get(stack[k][0], ()):
-                close(stack[k][0])
-                break
-            if stack[k][0] in ("ul", "ol", "dl", "table", "select", "div", "article", "section"):
-                break
-        style, never, marked = _style(tag, m[3])
-        up = stack[-1]
-        block = tag in BLOCK
-        if tag == "header" and not up[4]:
-            never = max(never, 1)
-        held = 0 if up[3] == 1 and tag in ("article", "main") else up[3]
-        if block or never > held:
+        if tag in P_ENDS and open_at.get("p"):
+            close(open_at["p"][-1])
+        if tag in CLOSES:
+            ends = [open_at[t][-1] for t in CLOSES[tag] if open_at.get(t) and open_at[t][-1] > scopes[-1]]
+            if ends:
+                close(min(ends))
+        style, marked, never, level = style_of(tag, m[3])
+        up, block = stack[-1], tag in BLOCK
+        starts = tag in ("article", "main") and not up.inside
+        inside = up.inside or starts
+        # 1: never article text unless an article starts inside; 2: never.
+        never = 2 * (never or (tag == "article" and bool(open_at.get("article")))) or int(tag == "header" and not up.inside)
+        held = 0 if starts and up.never == 1 else up.never
+        if starts:  # what holds an article isn't what its name says
+            n = up.node
+            while n >= 0:
+                page.said[n], n = 0, page.above[n]
+        said = SURE if level == 2 else 0 if not level or tag in ("article", "main") else SOFT_INSIDE if inside else SOFT_OUTSIDE
+        own = tag not in ("html", "body") and page.level[up.node] < DEPTH and (marked if inside and not starts and tag in FLOW else block or bool(level))
+        if block or own or never > held:
             flush()
-        path = f"{up[2]}/{style}" if block or marked else up[2]
-        nodes = (*up[1], _hash(path)) if block or marked else up[1]
-        inside = up[4] or tag in ("article", "main")
-        plain = True if inside and not up[4] else up[5] and tag in PLAIN and not marked
-        stack.append((tag, nodes, path, max(held, never), inside, plain))
-        if not text or not text[-1].strip():
-            owner = stack[-1]
-        if block or not text:
-            owner = stack[-1]
+        up.shape = _chain(up.shape, style) if block or own else up.shape
+        node = page.node(up.node, style, said) if own else up.node
+        e = _Open(tag, node, own, max(held, never), inside)
+        open_at.setdefault(tag, []).append(len(stack))
+        if tag in SCOPES:
+            scopes.append(len(stack))
+        stack.append(e)
+        if blank:
+            owner = e
     flush()
-    return found
+    close(1)
+    return page
 
 
-def candidates(found: list[Block]) -> list[Block]:
+def candidates(page: Page) -> list[tuple[str, int, bool, bool]]:
     """The blocks that stay if the tree cuts none."""
-    within = any(b.inside and not b.never for b in found)
-    return [b for b in found if not b.never and (b.inside or not within)]
+    within = any(inside and not never for _, _, never, inside in page.blocks)
+    return [b for b in page.blocks if not b[2] and (b[3] or not within)]
 
 
-def main_text(found: list[Block], cut: frozenset[int]) -> str:
-    """The blocks that stay, joined by empty lines."""
-    return "\n\n".join(b.text for b in candidates(found) if (b.inside and b.plain) or not cut.intersection(b.nodes))
+def main_text(page: Page, cut: set[int] | frozenset[int]) -> str:
+    """The blocks that stay when the named nodes go, joined by empty lines."""
+    gone: list[bool] = []
+    for at, above in zip(page.ids, page.above):
+        gone.append(above >= 0 and (at in cut or gone[above]))
+    return "\n\n".join(b[0] for b in candidates(page) if not gone[b[1]])
 
 
 def page_host(url: str | None) -> str:
@@ -205,71 +304,118 @@ def page_host(url: str | None) -> str:
     return m[1].lower() if m else f"?{url}"
 
 
-SEEN = "host bigint, page bigint, node bigint, feature bigint"
+#: What a page tells of the tree: kind 0 a text of a node, 1 a sequence of children, 2 the node itself with what its names say and those above.
+SEEN = "host bigint, page bigint, node bigint, kind int, value bigint, chain array<bigint>"
+TEXT, SHAPE, NODE = 0, 1, 2
 
 
-def style_features(pages: DataFrame) -> DataFrame:
-    """(host, page, node, feature) for each block of a page and each style node above it; all are hashes."""
+def style_rows(pages: DataFrame) -> DataFrame:
+    """The rows of all pages' style nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
+            rows: set[tuple] = set()
+            chains: dict[int, list[int] | None] = {}
             for url, html in zip(b.column("url").to_pylist(), b.column("html").to_pylist()):
-                host, found = _hash(page_host(url)), blocks(html)
-                page = _hash("\n".join(x.text for x in found))
-                rows += {(host, page, node, _hash(x.text)) for x in found if not x.never and not (x.inside and x.plain) for node in x.nodes}
-            yield batch(SEEN, *zip(*rows)) if rows else batch(SEEN, *[[]] * 4)
+                host = _hash(page_host(url))
+                found = parse(html, host)
+                number = _hash("\n".join(x[0] for x in candidates(found)))
+                rows |= {(host, number, found.ids[n], TEXT, _hash(t)) for t, n, _, _ in found.blocks}
+                rows |= {(host, number, found.ids[n], SHAPE, s) for n, s in found.shapes}
+                for n, (at, said) in enumerate(zip(found.ids, found.said)):
+                    rows.add((host, number, at, NODE, said))
+                    if at not in chains:
+                        chains[at] = found.chain(n)
+            table = list(rows)
+            each = [chains.pop(r[2], None) if r[3] == NODE else None for r in table]  # once is enough
+            columns = list(zip(*table)) if table else [[]] * 5
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds)), pa.array(each, pa.list_(pa.int64()))], ["host", "page", "node", "kind", "value", "chain"])
 
     return pages.mapInArrow(run, SEEN)
 
 
-def unimportant_nodes(pages: DataFrame, params: SiteParams = SiteParams()) -> DataFrame:
-    """(host, node) of the style nodes whose importance is low, from rows of url and html."""
-    seen = stash(style_features(pages).distinct())
-    each = seen.groupBy("host", "node", "feature").agg(F.count("*").alias("n")).groupBy("host", "node").agg(F.avg(F.log("n")).alias("log_n"))
-    on_pages = seen.select("host", "page", "node").distinct().groupBy("host", "node").agg(F.count("*").alias("pages")).where(F.col("pages") >= params.pages)
-    # A feature on n of m pages, evenly: entropy log_m n.
-    return each.join(on_pages, ["host", "node"]).where(1 - F.col("log_n") / F.log("pages") < params.least).select("host", "node")
-
+def importances(seen: DataFrame, params: SiteParams = SiteParams()) -> DataFrame:
+    """host, node, m (pages), chain, said and importance of every style node, from :func:`style_rows`.
+
+    ``said`` is the least that the node's names say on any page.
+    """
+    of_value = seen.where(F.col("kind") != NODE).select("node", "kind", "value", "page").distinct().groupBy("node", "kind", "value").agg(F.count("*").alias("n"))
+    text, shape = F.col("kind") == TEXT, F.col("kind") == SHAPE
+    n_log_n = F.col("n") * F.log("n")
+    each = of_value.groupBy("node").agg(
+        F.avg(F.when(text, F.log("n"))).alias("log_n"),
+        F.sum(F.when(shape, F.col("n"))).alias("shown"),
+        F.sum(F.when(shape, n_log_n)).alias("n_log_n"),
+        F.count(F.when(shape, 1)).alias("l"),
+    )
+    on = seen.where(F.col("kind") == NODE).groupBy("host", "node", "page").agg(F.min("value").alias("said"))
+    chains = seen.where("chain is not null").groupBy("node").agg(F.first("chain").alias("chain"))
+    nodes = on.groupBy("host", "node").agg(F.count("*").alias("m"), F.min("said").alias("said")).join(chains, "node")
+    content = F.coalesce(1 - F.col("log_n") / F.log("m"), F.lit(0.0))
+    presentation = F.coalesce(F.least(F.lit(1.0), (F.log("shown") - F.col("n_log_n") / F.col("shown")) / F.log("m")), F.lit(0.0))
+    own = F.pow(F.lit(params.gamma), F.coalesce("l", F.lit(0)))
+    judged = F.when(F.col("m") >= params.pages, (1 - own) * presentation + own * content).otherwise(1.0)
+    return nodes.join(each, "node", "left").select("host", "node", "m", "chain", "said", judged.alias("importance"))
+
+
+def nodes_to_cut(seen: DataFrame, params: SiteParams = SiteParams()) -> DataFrame:
+    """The style nodes (node) whose branches go."""
+    nodes = stash(importances(seen, params))
+    branch = nodes.select(F.explode("chain").alias("node"), "importance").groupBy("node").agg(F.max("importance").alias("branch"))
+    told = nodes.where(F.size("chain") > 0).select("node", "m", "said").join(branch, "node")
+    bar = F.when(F.col("said") == SOFT_INSIDE, params.named).when(F.col("said") == SOFT_OUTSIDE, F.when(F.col("m") < params.pages, 2.0).otherwise(params.named)).when(F.col("said") == SURE, 2.0)
+    return told.where(F.col("branch") < F.coalesce(bar, F.lit(params.least))).select("node")
 
-NODES = "host bigint, key bigint, node bigint"
 
-
-def loose_nodes(pages: DataFrame) -> DataFrame:
-    """(host, key, node) of the style nodes that a page (rows of url, html and key) loses if they are cut."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = set()
-            for url, html, key in zip(b.column("url").to_pylist(), b.column("html").to_pylist(), b.column("key").to_pylist()):
-                host = _hash(page_host(url))
-                rows |= {(host, key, node) for x in candidates(blocks(html)) if not (x.inside and x.plain) for node in x.nodes}
-            yield batch(NODES, *zip(*rows)) if rows else batch(NODES, *[[]] * 3)
-
-    return pages.mapInArrow(run, NODES)
+TEXTS = "page_id bigint, url string, text string, n_chars bigint"
 
 
-TEXTS = "page_id bigint, url string, text string, n_chars bigint"
+def _texts(b: pa.RecordBatch, cuts: Iterator) -> pa.RecordBatch:
+    out = []
+    for url, html, cut in zip(b.column("url").to_pylist(), b.column("html").to_pylist(), cuts):
+        page = parse(html, _hash(page_host(url)))
+        out.append(main_text(page, cut if isinstance(cut, frozenset) else cut(page)))
+    return batch(TEXTS, b.column("page_id"), b.column("url"), out, [len(t) for t in out])
 
 
 def extract_main_text(pages: DataFrame, params: SiteParams = SiteParams()) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     p = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    if not params.tree:
+        return p.mapInArrow(lambda batches: (_texts(b, [frozenset()] * len(b)) for b in batches), TEXTS)
+    cuts = stash(nodes_to_cut(stash(style_rows(p.select("url", "html"))), params))
+    if cuts.count() <= params.broadcast_nodes:
+        rows = cuts.toArrow().column("node").to_numpy() if params.broadcast_nodes else np.empty(0, np.int64)
+        shipped = p.sparkSession.sparkContext.broadcast(np.sort(rows))
+
+        def known(page: Page) -> frozenset[int]:
+            held = shipped.value
+            ids = np.array(page.ids, np.int64)
+            at = np.searchsorted(held, ids)
+            return frozenset(ids[(at < len(held)) & (held[np.minimum(at, len(held) - 1)] == ids)].tolist()) if len(held) else frozenset()
+
+        return p.mapInArrow(lambda batches: (_texts(b, [known] * len(b)) for b in batches), TEXTS)
+    return _joined(p, cuts)
 
+
+def _joined(p: DataFrame, cuts: DataFrame) -> DataFrame:
+    """The same by joins: each page meets those of its nodes that are to go."""
     # Pages of one url and markup lose the same nodes.
     p = p.withColumn("key", F.xxhash64("url", "html"))
-    salts = F.explode(F.sequence(F.lit(0), F.lit(params.salts - 1))).alias("salt")
-    salt = lambda c: F.pmod(c, F.lit(params.salts)).cast("int")
-    cuts = unimportant_nodes(p.select("url", "html"), params).select("host", "node", salts)
-    loose = loose_nodes(p.select("url", "html", "key")).distinct().withColumn("salt", salt(F.col("key")))
-    lost = loose.join(cuts, ["host", "node", "salt"]).groupBy("key").agg(F.collect_set("node").alias("nodes")).select("key", "nodes", salts)
-    # Repeated rows are dealt apart by their numbers.
-    keyed = p.withColumn("salt", salt(F.monotonically_increasing_id()))
-    joined = keyed.join(lost, ["key", "salt"], "left").select("page_id", "url", "html", "nodes")
+    n = parallelism(p)
+    salts = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("salt")
+    salt = lambda c: F.pmod(c, F.lit(n)).cast("int")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [main_text(blocks(html), frozenset(cut or ())) for html, cut in zip(b.column("html").to_pylist(), b.column("nodes").to_pylist())]
-            yield batch(TEXTS, b.column("page_id"), b.column("url"), out, [len(t) for t in out])
+            rows = set()
+            for url, html, key in zip(b.column("url").to_pylist(), b.column("html").to_pylist(), b.column("key").to_pylist()):
+                rows |= {(key, at) for at in parse(html, _hash(page_host(url))).ids}
+            yield batch("key bigint, node bigint", *(zip(*rows) if rows else ([], [])))
 
-    return joined.mapInArrow(run, TEXTS)
+    held = p.select("url", "html", "key").mapInArrow(nodes, "key bigint, node bigint").distinct().withColumn("salt", salt(F.col("key")))
+    lost = held.join(cuts.select("node", salts), ["node", "salt"]).groupBy("key").agg(F.collect_set("node").alias("nodes")).select("key", "nodes", salts)
+    # Repeated rows are dealt apart by their numbers.
+    joined = p.withColumn("salt", salt(F.monotonically_increasing_id())).join(lost, ["key", "salt"], "left").select("page_id", "url", "html", "nodes")
+    return joined.mapInArrow(lambda batches: (_texts(b, [frozenset(x or ()) for x in b.column("nodes").to_pylist()]) for b in batches), TEXTS)

@@ -85,6 +85,100 @@ def test_long_and_broken_pages(spark):
     assert text[1] == "\n\n".join(prose(50, k) for k in range(400)) and "3 & 4" in text[3]
 
 
+def test_names_do_not_cut_article_text(spark):
+    page = '<article><div class="article-header"><h1>Title of it</h1><p>Body</p><div class="legal-analysis"><p>A</p></div><div class="side-by-side"><p>B</p></div><p id="search-results">C</p></div></article>'
+    got = texts(spark, [(k, f"http://a.example/{k}", page.replace("Body", prose(20, k))) for k in range(9)] + [(99, "http://b.example", page)])
+    assert got[99] == "Title of it\n\nBody\n\nA\n\nB\n\nC" and all(prose(20, k) in got[k] for k in range(9))
+
+
+def test_names_are_a_prior(spark):
+    """A sure name goes; a vague one needs content that repeats, or a node outside of articles that can't be judged."""
+    notes = lambda k: f"<div class='comments'>{prose(9, 300 + k)}</div>"
+    rows = [(k, f"http://a.example/{k}", f"<body><div class='q'><p>{prose(30, k)}</p>{notes(k)}<p class='notice'>{prose(9, 600 + k)}</p></div></body>") for k in range(12)]
+    rows += [(50, "http://a.example/50", f"<body><div class='q'><p>{prose(30, 50)}</p><div class='sponsor'>{prose(5, 1)}</div></div></body>")]
+    rows += [(60, "http://b.example/", f"<body><div class='q'><p>one</p>{notes(1)}<div class='notice'>two</div></div></body>")]
+    rows += [(70, "http://c.example/", "<article><p>one</p><div class='notice'>two</div></article>"), (71, "http://c.example/2", "<div id='comments'><article><p>three</p></article></div>"), (72, "http://c.example/3", "<div id='comments'>four</div>")]
+    got = texts(spark, rows)
+    assert all(got[k] == f"{prose(30, k)}\n\n{prose(9, 600 + k)}" for k in range(12))
+    assert got[50] == prose(30, 50) and got[60] == "one"
+    assert (got[70], got[71], got[72]) == ("one\n\ntwo", "three", "four")
+
+
+def mixed_site():
+    """Layouts whose names mean nothing; boilerplate stands outside and inside the article."""
+    rows = []
+    for k in range(30):
+        x = f"<div class='x1'><ul><li>Home</li><li>Shop {k % 2}</li></ul></div><div class='x2'><h1>{prose(4, 900 + k)}</h1>" + "".join(f"<p>{prose(15, 40 * k + j)}</p>" for j in range(1 + k % 4))
+        rows.append((k, f"http://n.example/{k}", f"<body>{x}<div class='x3'>All rights {('kept', 'held')[k % 7 == 0]}.</div></div><div class='x4'><p>Made by hand</p></div></body>"))
+        rows.append((100 + k, f"http://m.example/{k}", f"<article><h1>{prose(5, k)}</h1><p>{prose(20, k)}</p><div class='y'><p>Read our rules.</p></div><section><p>{prose(9, 70 + k)}</p></section></article>"))
+    return rows
+
+
+def test_results_come_from_the_tree(spark):
+    rows = mixed_site()
+    off = {r.page_id: r.text for r in html_text.extract_main_text(pages(spark, rows), html_text.SiteParams(tree=False)).collect()}
+    for params in (html_text.SiteParams(), html_text.SiteParams(broadcast_nodes=0)):
+        on = {r.page_id: r.text for r in html_text.extract_main_text(pages(spark, rows * 2), params).collect()}
+        for k in range(30):
+            assert on[k] == "\n\n".join([prose(4, 900 + k), *(prose(15, 40 * k + j) for j in range(1 + k % 4))])
+            assert on[100 + k] == f"{prose(5, k)}\n\n{prose(20, k)}\n\n{prose(9, 70 + k)}"
+    assert all(off[k] != on[k] for k in on) and "Made by hand" in off[3] and "Read our rules." in off[103]
+
+
+def test_importances_against_brute_force(spark):
+    """The same entropies from plain counting over each page's own elements."""
+    from html.parser import HTMLParser
+    from math import log
+
+    class Nodes(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.stack, self.seen, self.texts, self.shapes, self.children = [()], set(), set(), set(), [[]]
+
+        def handle_starttag(self, tag, attrs):
+            name = ".".join([tag, *(v for _, v in attrs)])
+            if tag != "body":
+                self.children[-1].append(name)
+                self.stack.append((*self.stack[-1], name))
+                self.seen.add(self.stack[-1])
+                self.children.append([])
+
+        def handle_endtag(self, tag):
+            if tag != "body":
+                inner = self.children.pop()
+                if inner:
+                    self.shapes.add((self.stack[-1], tuple(inner)))
+                self.stack.pop()
+
+        def handle_data(self, data):
+            self.texts.add((self.stack[-1], data))
+
+    rows = [r for r in mixed_site() if r[0] < 100]
+    read = []
+    for _, _, html in rows:
+        read.append(Nodes())
+        read[-1].feed(html)
+    want = {}
+    for node in {n for r in read for n in r.seen}:
+        m = sum(node in r.seen for r in read)
+        counts = [Counter(v for r in read for n, v in part(r) if n == node) for part in (lambda r: r.texts, lambda r: r.shapes)]
+        content = 1 - sum(log(n) for n in counts[0].values()) / len(counts[0]) / log(m) if counts[0] else 0
+        shares = [n / sum(counts[1].values()) for n in counts[1].values()]
+        weight = 0.9 ** len(shares)
+        want[node] = (m, (1 - weight) * -sum(p * log(p) for p in shares) / log(m) + weight * content)
+    frame = pages(spark, rows).select("url", "html")
+    got = sorted((r.m, round(r.importance, 9)) for r in html_text.importances(html_text.style_rows(frame)).where("size(chain) > 0").collect())
+    assert got == sorted((m, round(x, 9)) for m, x in want.values()) and len({x for _, x in want.values()}) >= 5
+
+
+def test_deep_and_broken_pages():
+    from time import perf_counter
+
+    for html in ("<div>" * 100_000 + "x", "<div><b>" * 50_000 + "x", "<li>x<b>" * 50_000, "<p>x</i>" * 50_000, "<div>" * 50_000 + "x" + "</p></span>" * 50_000, '<a "' * 100_001 + "x", "<a " * 100_000 + '"x', "<table><tr><td>x" * 20_000):
+        began = perf_counter()
+        assert len(html_text.main_text(html_text.parse(html), frozenset())) and perf_counter() - began < 20
+
+
 # 10. Top-k.
 
 VECTOR = "vec_id bigint, embedding array<float>, label int, block string, x string"
