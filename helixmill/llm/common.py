@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 from contextlib import suppress
 from math import isqrt
@@ -17,10 +18,16 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> None:
-    """See that checkpoints have a folder: the one the cluster names, else a temporary one (tests)."""
+    """See that checkpoints have a folder: the one that the session names.
+
+    Only a session that runs in one process may do without; a cluster that names
+    no shared folder is an error.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get(SETTING, None) or context.getConf().get(SETTING)
+        if not named and not re.match(r"local(\[|$)", context.master):
+            raise ValueError(f"set {SETTING} to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="helixmill-checkpoints-"))
 
 
@@ -47,6 +54,35 @@ def parallelism(frame: DataFrame) -> int:
     return int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def unused(frame: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that a frame doesn't have, whatever its own are."""
+    taken, found = {c.lower() for c in frame.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
+#: Rows from which a key counts as hot, at least.
+HOT = 1000
+
+
+def spread_join(frame: DataFrame, told: DataFrame, key: list[str], count: str, rows: int) -> DataFrame:
+    """Join a frame of ``rows`` rows with a table that has one row for each key and says how many rows of the frame have it.
+
+    Keys of more than a thousandth of the rows (1000 at least, so there are 1000
+    such keys at most) come by a broadcast and their rows stay where they are;
+    the other keys meet by a shuffle that no hot key can unbalance.
+    """
+    limit = max(HOT, rows // 1000)
+    if rows <= limit:
+        return frame.join(told, key)
+    hot, cold = F.broadcast(told.where(F.col(count) > limit)), told.where(F.col(count) <= limit)
+    return frame.join(hot, key).unionByName(frame.join(hot.select(*key), key, "left_anti").join(cold, key))
+
+
 def constant(values: list, kind: str) -> Column:
     """A nested list of whole numbers as one literal of a Spark type such as ``array<bigint>``."""
     return F.from_json(F.lit(str(values).replace("'", '"').replace("None", "null")), kind)

@@ -9,15 +9,19 @@ shingles is at least the threshold.
 2. Bands of the signature give candidate buckets.  In a bucket, pairs that no
    earlier band has brought together compare MinHash values step by step; a
    pair is dropped once the posterior probability that its similarity reaches
-   the threshold (uniform prior) falls below the tolerance.  Survivors are
-   reported as a spanning forest, never as all pairs.
-3. Components of the forests bring together what may be linked.  Inside each,
-   every pair is looked at again, pruned as before, and the rest is verified on
-   the exact shingle sets.  Links are counted for each class.
-4. Components of the verified links are the near-duplicate classes.
-
-Buckets and components larger than a block are cut into a grid of block pairs,
-each a bounded unit of work; there is no cap on partners.  With 25 bands of 5
+   the threshold (uniform prior) falls below the tolerance.
+3. Every class belongs to a block: a slice of bounded size of the largest bucket
+   that it is in.  Surviving pairs are reported as the pairs of blocks that they
+   lie across, once for each class, so a large group of near copies isn't
+   listed pair by pair, and a chain of texts meets its neighbours only.
+4. The classes of each pair of blocks meet once: pairs are pruned as before and
+   the rest is verified on the exact shingle sets.  Links are counted for each
+   class and passed on as a spanning forest.
+5. Components of the links are the near-duplicate classes.  A class's key begins
+   with its least doc_id, so the least key of a component is its name.
+
+Buckets larger than a block are cut into a grid of block pairs too, each a
+bounded unit of work; there is no cap on partners.  With 25 bands of 5
 values a pair at the threshold becomes a candidate with probability 0.99995,
 and a pair over it sooner still.
 
@@ -40,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, groups, likely, parallelism, stash, texts
+from .common import batch, groups, likely, parallelism, spread_join, stash, texts
 from .components import components
 from .words import U64, encode, mix, shingle_set, word_hashes
 
@@ -58,8 +62,10 @@ class JoinParams:
     #: MinHash values compared between two looks at the posterior.
     step: int = 25
     tolerance: float = 1e-6
+    #: Rows of a bucket's block; rows and shingles of a block that is verified.
     bucket_block: int = 512
-    verify_block: int = 128
+    verify_block: int = 512
+    verify_shingles: int = 1_000_000
 
     @property
     def hashes(self) -> int:
@@ -154,53 +160,68 @@ def grid(size: Column, block: int, key: Column) -> tuple[Column, Column, Column]
 
 
 def _partners(cell: dict, at: int) -> np.ndarray:
-    """Later rows of a cell that row ``at`` is to be compared with: in a cell of two blocks, those of the other."""
+    """Later rows of a cell that row ``at`` is to be compared with: in a cell of two blocks, those of the other block."""
     blocks = cell["own"]
     later = np.arange(at + 1, len(blocks))
     return later if cell["i"][0] == cell["j"][0] else later[blocks[at + 1 :] != blocks[at]]
 
 
-LINK = "a binary, b binary"
+#: Keys of classes: the least doc_id in an order of bytes, then the digest of the shingles.
+LOWEST = -(2**63)
+
+
+def key_of(d: Column, node: Column) -> Column:
+    return F.concat(F.unhex(F.lpad(F.hex(d.bitwiseXOR(F.lit(LOWEST).cast("bigint"))), 16, "0")), node)
+
+
+def id_of(key: Column) -> Column:
+    return F.conv(F.hex(F.substring(key, 1, 8)), 16, -10).cast("bigint").bitwiseXOR(F.lit(LOWEST).cast("bigint"))
+
+
+MEETING = "i bigint, j bigint, own bigint, key binary"
 
 
 def _candidates(params: JoinParams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = []
         for cell in groups(batches, ["band", "bucket", "i", "j"]):
-            nodes = cell["node"]
-            if len(nodes) < 2:
+            n = len(cell["key"])
+            if n < 2:
                 continue
-            sigs = np.frombuffer(b"".join(cell["sig"]), np.uint32).reshape(len(nodes), -1)
+            sigs = np.frombuffer(b"".join(cell["sig"]), np.uint32).reshape(n, -1)
             before = int(cell["band"][0]) * params.rows
-            forest = Forest(len(nodes))
-            for at in range(len(nodes) - 1):
+            blocks, of = np.unique(cell["block"], return_inverse=True)
+            meets = np.zeros((len(blocks), n), bool)
+            for at in range(n - 1):
                 others = _partners(cell, at)
                 if before and len(others):
                     same = (sigs[others, :before] == sigs[at, :before]).reshape(len(others), -1, params.rows)
                     others = others[~same.all(axis=2).any(axis=1)]
-                for k in others[in_play(sigs[at], sigs[others], params)]:
-                    forest.join(at, int(k))
-            out += [(nodes[x], nodes[y]) for x, y in forest.links]
-            if len(out) > 5000:
-                yield batch(LINK, *zip(*out))
-                out = []
-        if out:
-            yield batch(LINK, *zip(*out))
+                others = others[in_play(sigs[at], sigs[others], params)]
+                meets[of[at], others] = True
+                meets[of[others], at] = True
+            other, row = np.nonzero(meets)
+            if len(row):
+                own, other = blocks[of[row]], blocks[other]
+                yield batch(MEETING, np.minimum(own, other), np.maximum(own, other), own, [cell["key"][x] for x in row])
 
     return run
 
 
-def candidate_links(classes: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
-    """Spanning forests of the pairs that survive pruning, from the classes' signatures (node, sig)."""
+def candidate_meetings(classes: DataFrame, n_classes: int, params: JoinParams = JoinParams()) -> DataFrame:
+    """Which classes (key, sig, n_shingles) meet across which blocks (i, j) after pruning; ``own`` is the class's block."""
     width = params.rows * 4
     bands = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(params.bands - 1)), lambda k: F.xxhash64(F.substring("sig", k * width + 1, F.lit(width))))).alias("band", "bucket")
-    rows = classes.select("node", bands)
-    sizes = rows.groupBy("band", "bucket").agg(F.count("*").alias("m")).where("m > 1")
-    members = rows.join(sizes, ["band", "bucket"]).join(classes, "node")
-    _, own, pairs = grid(F.col("m"), params.bucket_block, F.col("node"))
-    cells = members.select("band", "bucket", "node", "sig", own.alias("own"), F.inline(pairs))
-    key = ["band", "bucket", "i", "j"]
-    return cells.repartition(parallelism(classes), *key).sortWithinPartitions(*key).mapInArrow(_candidates(params), LINK).distinct()
+    rows = classes.select("key", "n_shingles", bands)
+    sizes = rows.groupBy("band", "bucket").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("w")).where("m > 1")
+    members = spread_join(rows.drop("n_shingles"), sizes, ["band", "bucket"], "m", params.bands * n_classes)
+    each = members.groupBy("key").agg(F.collect_list(F.struct("band", "bucket", "m")).alias("at"), F.max(F.struct("m", "w", "band", "bucket")).alias("home"))
+    slices = F.ceil(F.greatest(F.col("home.m") / params.verify_block, F.col("home.w") / params.verify_shingles)).cast("int")
+    block = F.xxhash64("home.band", "home.bucket", F.pmod(F.xxhash64("key", F.lit(3)), slices))
+    near = each.select("key", "at", block.alias("block")).join(classes.select("key", "sig"), "key").select("key", "sig", "block", F.inline("at"))
+    _, own, pairs = grid(F.col("m"), params.bucket_block, F.col("key"))
+    cells = near.select("band", "bucket", "key", "sig", "block", own.alias("own"), F.inline(pairs))
+    by = ["band", "bucket", "i", "j"]
+    return cells.repartition(parallelism(classes), *by).sortWithinPartitions(*by).mapInArrow(_candidates(params), MEETING).distinct()
 
 
 VERIFIED = "a binary, b binary, links bigint"
@@ -208,58 +229,73 @@ VERIFIED = "a binary, b binary, links bigint"
 
 def _verified(params: JoinParams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cell in groups(batches, ["root", "i", "j"]):
-            nodes = cell["node"]
-            if len(nodes) < 2:
+        for cell in groups(batches, ["i", "j"]):
+            keys, n = cell["key"], len(cell["key"])
+            if n < 2:
                 continue
-            sigs = np.frombuffer(b"".join(cell["sig"]), np.uint32).reshape(len(nodes), -1)
+            sigs = np.frombuffer(b"".join(cell["sig"]), np.uint32).reshape(n, -1)
             sets = [np.frombuffer(s, U64) for s in cell["shingles"]]
             sizes = np.array([len(s) for s in sets])
             all_codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
-            codes = np.split(all_codes, np.cumsum(sizes)[:-1])
-            mine, degree, forest = np.zeros(int(all_codes.max()) + 1, bool), np.zeros(len(nodes), np.int64), Forest(len(nodes))
-            for at in range(len(nodes) - 1):
+            starts = np.cumsum(sizes) - sizes
+            mine, degree, forest = np.zeros(int(all_codes.max()) + 1, bool), np.zeros(n, np.int64), Forest(n)
+            for at in range(n - 1):
                 others = _partners(cell, at)
                 others = others[(sizes[others] * params.bottom >= sizes[at] * params.top) & (sizes[at] * params.bottom >= sizes[others] * params.top)]
                 others = others[in_play(sigs[at], sigs[others], params)]
                 if not len(others):
                     continue
-                mine[codes[at]] = True
-                for k in others:
-                    common = int(np.count_nonzero(mine[codes[k]]))
-                    if params.bottom * common >= params.top * (sizes[at] + sizes[k] - common):
-                        degree[at] += 1
-                        degree[k] += 1
-                        forest.join(at, int(k))
-                mine[codes[at]] = False
-            out = [(nodes[x], None, int(degree[x])) for x in np.flatnonzero(degree)] + [(nodes[x], nodes[y], 0) for x, y in forest.links]
+                own = all_codes[starts[at] : starts[at] + sizes[at]]
+                mine[own] = True
+                if len(others) * 4 > n:  # as good as all: one pass over the cell
+                    common = np.add.reduceat(mine[all_codes], starts, dtype=np.int64)[others]
+                else:
+                    common = np.array([np.count_nonzero(mine[all_codes[starts[k] : starts[k] + sizes[k]]]) for k in others])
+                mine[own] = False
+                linked = others[params.bottom * common >= params.top * (sizes[at] + sizes[others] - common)]
+                degree[at] += len(linked)
+                degree[linked] += 1
+                for k in linked.tolist():
+                    forest.join(at, k)
+            out = [(keys[x], None, int(degree[x])) for x in np.flatnonzero(degree)] + [(keys[x], keys[y], 0) for x, y in forest.links]
             if out:
                 yield batch(VERIFIED, *zip(*out))
 
     return run
 
 
-SETS = "node binary, shingles binary"
+SETS = "key binary, sig binary, shingles binary"
 
 
-def verified_links(docs: DataFrame, classes: DataFrame, roots: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
-    """Exact links inside components: forests (a, b) and each class's number of links (b null)."""
-    sizes = roots.groupBy("root").agg(F.count("*").alias("m"))
-    near = roots.join(sizes, "root").join(classes, "node")
+def shingles_of(docs: DataFrame, wanted: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
+    """Signature and sorted shingles of the wanted classes (d, th, key, node)."""
     t = texts(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), F.xxhash64("text").alias("th"), "text")
+    rows = "d bigint, th bigint, node binary, sig binary, shingles binary"
 
-    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingle_set(word_hashes(encode(x)), params.width).tobytes() for x in b.column("text").to_pylist()]
-            keep = [k for k, (s, node) in enumerate(zip(sets, b.column("node").to_pylist())) if blake2b(s, digest_size=16).digest() == node]
-            yield batch(SETS, b.column("node").take(pa.array(keep, pa.int64())), [sets[k] for k in keep])
-
-    wanted = near.select("d", "th", "node")
-    sets = likely(t, wanted).join(wanted, ["d", "th"]).select("node", "text").mapInArrow(shingle, SETS).dropDuplicates(["node"])
-    _, own, pairs = grid(F.col("m"), params.verify_block, F.col("node"))
-    cells = near.join(sets, "node").select("root", "node", "sig", "shingles", own.alias("own"), F.inline(pairs))
-    key = ["root", "i", "j"]
-    return cells.repartition(parallelism(docs), *key).sortWithinPartitions(*key).mapInArrow(_verified(params), VERIFIED)
+            keep, nodes, sigs, sets, seen = [], [], [], [], set()
+            for k, (d, th, text) in enumerate(zip(b.column("d").to_pylist(), b.column("th").to_pylist(), b.column("text").to_pylist())):
+                if (d, th) not in seen:  # of repeated rows a batch sends one
+                    seen.add((d, th))
+                    s = shingle_set(word_hashes(encode(text)), params.width)
+                    keep.append(k)
+                    nodes.append(blake2b(s.tobytes(), digest_size=16).digest())
+                    sigs.append(signature(s, params.hashes).tobytes())
+                    sets.append(s.tobytes())
+            at = pa.array(keep, pa.int64())
+            yield batch(rows, b.column("d").take(at), b.column("th").take(at), nodes, sigs, sets)
+
+    # A text's hash may be another's too, so its digest has to agree.
+    found = likely(t, wanted).mapInArrow(run, rows)
+    return found.join(wanted.select("d", "th", "node", "key"), ["d", "th", "node"]).select("key", "sig", "shingles").dropDuplicates(["key"])
+
+
+def verified_links(docs: DataFrame, classes: DataFrame, meetings: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
+    """Exact links of the classes that meet: forests (a, b) and each class's number of links (b null)."""
+    wanted = classes.join(meetings.select("key").distinct(), "key").select("d", "th", "node", "key")
+    sets = shingles_of(docs, wanted, params)
+    return meetings.join(sets, "key").repartition(parallelism(docs), "i", "j").sortWithinPartitions("i", "j").mapInArrow(_verified(params), VERIFIED)
 
 
 def near_duplicates(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
@@ -273,27 +309,21 @@ def near_duplicates(docs: DataFrame, params: JoinParams = JoinParams()) -> DataF
     """
     signed = stash(sign(docs, params))
     # Signatures follow from the shingles, so any of a class's stands for it.
-    classes = stash(
-        signed.groupBy("node")
-        .agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), "th")).alias("rep"), F.count("*").alias("n_copies"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"))
-        .select("node", "rep.d", "rep.th", "n_copies", "sig", "n_shingles")
-    )
-    by_node = classes.select("node", "d", "th", "n_copies")
-    classes = classes.where("n_shingles > 0").select("node", "d", "th", "sig")
-    roots = components(candidate_links(classes.select("node", "sig"), params))
-    found = stash(verified_links(docs, classes, roots, params))
-    degrees = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("n_links"))
-    groups_of = components(found.where("b is not null").select("a", "b"))
-    members = groups_of.join(by_node.select("node", "d"), "node")
-    least = members.groupBy("root").agg(F.min("d").alias("class_d"))
-    near = members.join(least, "root").select("node", "root", "class_d").join(degrees, "node", "left")
-    told = by_node.join(near, "node", "left").select(
+    grouped = signed.groupBy("node").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), "th")).alias("rep"), F.count("*").alias("n_copies"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"))
+    classes = stash(grouped.select(key_of(F.col("rep.d"), F.col("node")).alias("key"), "node", "rep.d", "rep.th", "n_copies", "sig", "n_shingles"))
+    texted = classes.where("n_shingles > 0")
+    n_classes, n_rows = classes.agg(F.count("*"), F.coalesce(F.sum("n_copies"), F.lit(0))).first()
+    meetings = stash(candidate_meetings(texted, n_classes, params))
+    found = stash(verified_links(docs, texted, meetings, params))
+    degrees = found.where("b is null").groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("n_links"))
+    roots = components(found.where("b is not null").select("a", "b")).select(F.col("node").alias("key"), "root")
+    real = lambda c: F.when(c == NO_ID, None).otherwise(c)
+    told = classes.select("key", "node", "d", "n_copies").join(roots, "key", "left").join(degrees, "key", "left").select(
         "node",
-        F.coalesce("class_d", "d").alias("class_d"),
-        F.col("d").alias("copy_d"),
+        real(id_of(F.coalesce("root", "key"))).alias("class_id"),
+        real(F.col("d")).alias("copy_id"),
         "n_copies",
         F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
-        F.coalesce("root", "node").alias("class_key"),
+        F.coalesce("root", "key").alias("class_key"),
     )
-    real = lambda c: F.when(F.col(c) == NO_ID, None).otherwise(F.col(c))
-    return signed.select("doc_id", "th", "node").join(told, "node").select("doc_id", "th", real("class_d").alias("class_id"), real("copy_d").alias("copy_id"), "n_copies", "n_links", "class_key")
+    return spread_join(signed.select("doc_id", "th", "node"), told, ["node"], "n_copies", n_rows).select("doc_id", "th", "class_id", "copy_id", "n_copies", "n_links", "class_key")

@@ -233,6 +233,15 @@ def test_bounds_hold():
 # Components.
 
 
+def test_components_with_hot_nodes(spark, monkeypatch):
+    from helixmill.llm import common
+
+    monkeypatch.setattr(common, "HOT", 5)
+    links = [(1000 + i, i % 3) for i in range(60)] + [(i, i + 1) for i in range(2000, 2030)] + [(3000, 3000 + i) for i in range(1, 40)]
+    got = dict((r.node, r.root) for r in components.components(spark.createDataFrame(links, "a bigint, b bigint")).collect())
+    assert got == {**{x: x for x in range(3)}, **{1000 + i: i % 3 for i in range(60)}, **dict.fromkeys(range(2000, 2031), 2000), **dict.fromkeys(range(3000, 3040), 3000)}
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (102, 100), (200, 200), (301, 300)] + [(500, i) for i in range(501, 540)]
     got = dict((r.node, r.root) for r in components.components(spark.createDataFrame(chain, "a bigint, b bigint")).collect())

@@ -154,11 +154,11 @@ def near_rows():
     return rows + [(500 + i, prose(80, 500 + i)) for i in range(40)]
 
 
-@pytest.mark.parametrize("blocks", [(512, 128), (4, 3)])
+@pytest.mark.parametrize("blocks", [(512, 512), (4, 3)])
 def test_join_against_brute_force(spark, blocks):
     rows = near_rows()
     sets, links = brute_links(rows)
-    p = ngram_join.JoinParams(bucket_block=blocks[0], verify_block=blocks[1])
+    p = ngram_join.JoinParams(bucket_block=blocks[0], verify_block=blocks[1], verify_shingles=blocks[1] * 300)
     got = ngram_join.near_duplicates(docs(spark, rows, clashing=True), p).collect()
     assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows)
     of = {(i): sets[t or ""] for i, t in rows if i is not None}
@@ -183,6 +183,22 @@ def test_join_against_brute_force(spark, blocks):
             assert r.copy_id == min(i for i, x in of.items() if x == s)
 
 
+def test_join_of_a_chain_and_a_star(spark):
+    """Thousands of texts that are linked to their neighbours only, or to one centre only."""
+    line, centre = words(8 * 2500 + 100, 77, 10**6), prose(200, 78)
+    rows = [(i, " ".join(line[8 * i : 8 * i + 100])) for i in range(2500)]
+    rows += [(5000, centre)] + [(5001 + i, f"{centre} {' '.join(f'leaf{i}x{k}' for k in range(44))}") for i in range(1500)]
+    got = {r.doc_id: r for r in ngram_join.near_duplicates(docs(spark, rows)).collect()}
+    assert all(got[i].class_id == 0 and got[i].n_links == (1 if i in (0, 2499) else 2) for i in range(2500))
+    assert got[5000].n_links == 1500 and all(got[5001 + i].class_id == 5000 and got[5001 + i].n_links == 1 for i in range(1500))
+
+
+def test_negative_and_missing_ids_name_classes(spark):
+    rows = [(-5, prose(90, 1)), (3, edits(prose(90, 1), 1, 1)), (None, prose(90, 2)), (7, edits(prose(90, 2), 1, 1)), (None, prose(90, 3)), (None, edits(prose(90, 3), 1, 1))]
+    got = sorted((r.class_id is None, r.class_id or 0, r.n_links) for r in ngram_join.near_duplicates(docs(spark, rows)).collect())
+    assert got == [(False, -5, 1)] * 2 + [(False, 7, 1)] * 2 + [(True, 0, 1)] * 2
+
+
 def test_join_of_nothing(spark):
     assert ngram_join.near_duplicates(docs(spark, [])).count() == 0
     rows = ngram_join.near_duplicates(docs(spark, [(None, None), (None, ""), (3, " ")])).collect()
