@@ -4,10 +4,11 @@ The global histogram of lengths is one aggregation.  Dynamic programming over
 it chooses the bucket boundaries that minimise padding; a batch then holds as
 many documents as its budget allows at the bucket's padded length.
 
-The histogram that reaches the driver is bounded: lengths up to ``exact`` have
-a bin each, longer ones are rounded up to the next of ``steps`` values per
-power of two, so there are ``exact + 64 * steps`` bins at most.  The boundaries
-are optimal among the bins' upper ends.
+The histogram has a row for each length that occurs.  Different lengths up to
+L need texts of L^2 / 2 tokens in all, so it grows at most with the square root
+of the corpus.  The boundaries are optimal over all choices of lengths: the cost
+of a bucket obeys the quadrangle inequality, so the best last bucket's start
+never moves back, and a divide and conquer finds it in n log n steps a bucket.
 
 Null and empty texts have length 0 and are packed like others (padded to one
 token at least).  A document longer than the budget is a batch by itself; none
@@ -29,8 +30,6 @@ from .common import constant, cut, texts
 class PackParams:
     buckets: int = 16
     token_budget: int = 16_384
-    exact: int = 256
-    steps: int = 16
     #: Rows aimed at for each piece of a bucket that is numbered by one task.
     rows_per_piece: int = 50_000
     max_pieces: int = 4096
@@ -41,39 +40,44 @@ def word_count(text: Column) -> Column:
     return F.size(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("bigint")
 
 
-def bin_of(length: Column, params: PackParams) -> Column:
-    """Upper end of the histogram bin that holds a length."""
-    power = F.length(F.bin(F.greatest(length, F.lit(2)) - 1)) - 1
-    step = F.greatest(F.lit(1), F.pow(F.lit(2.0), power) / params.steps).cast("bigint")
-    return F.when(length <= params.exact, F.greatest(length, F.lit(1))).otherwise(F.ceil(length / step) * step).cast("bigint")
+def _layer(before: np.ndarray, docs: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least costs with one bucket more, and where the last bucket starts: all middles of a level of the recursion at once."""
+    n = len(ends)
+    cost, first = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+    lo, hi, a, b = (np.array([x]) for x in (1, n, 0, n - 1))
+    while len(lo):
+        mid = (lo + hi) // 2
+        sizes = np.minimum(mid - 1, b) - a + 1
+        at = np.cumsum(sizes) - sizes
+        starts = np.arange(sizes.sum()) - np.repeat(at - a, sizes)
+        each = np.repeat(mid, sizes)
+        sums = before[starts] + (docs[each] - docs[starts]) * ends[each - 1]
+        least = np.minimum.reduceat(sums, at)
+        hits = np.flatnonzero(sums == np.repeat(least, sizes))
+        best = starts[hits[np.searchsorted(hits, at)]]
+        cost[mid], first[mid] = least, best
+        left, right = lo < mid, mid < hi
+        lo, hi, a, b = (np.concatenate(x) for x in ((lo[left], mid[right] + 1), (mid[left] - 1, hi[right]), (a[left], best[right]), (best[left], b[right])))
+    return cost, first
 
 
 def best_boundaries(lengths: list[int], counts: list[int], buckets: int) -> list[int]:
-    """Upper ends of at most ``buckets`` buckets that minimise the sum of padded lengths.
-
-    ``cost[j]`` is the least sum over the first j bins; a last bucket of the
-    bins i..j-1 adds their documents times the length of bin j-1.
-    """
+    """Upper ends of at most ``buckets`` buckets that minimise the sum of padded lengths."""
     n = len(lengths)
     if not n:
         return []
-    ends = np.asarray(lengths, float)
-    docs = np.concatenate(([0.0], np.cumsum(np.asarray(counts, float))))
-    added = np.where(np.tri(n, k=-1, dtype=bool), np.inf, (docs[None, 1:] - docs[:-1, None]) * ends[None, :])
-    cost = np.full(n + 1, np.inf)
-    cost[0] = 0
-    back = []
-    for _ in range(min(buckets, n)):
-        spans = cost[:-1, None] + added
-        first = spans.argmin(axis=0)
-        cost = np.concatenate(([np.inf], spans[first, np.arange(n)]))
+    ends = np.asarray(lengths, np.int64)
+    docs = np.concatenate(([0], np.cumsum(np.asarray(counts, np.int64))))
+    cost, back = np.concatenate(([0], docs[1:] * ends)), [np.zeros(n + 1, np.int64)]
+    for _ in range(min(buckets, n) - 1):
+        cost, first = _layer(cost, docs, ends)
         back.append(first)
     found, j = [], n
     for first in reversed(back):
         if j <= 0:
             break
         found.append(int(lengths[j - 1]))
-        j = int(first[j - 1])
+        j = int(first[j])
     return found[::-1]
 
 
@@ -87,7 +91,7 @@ def pack_lengths(rows: DataFrame, params: PackParams = PackParams()) -> DataFram
         rows.select(
             "doc_id",
             "n_tokens",
-            bin_of(F.col("n_tokens"), params).alias("bin"),
+            F.greatest(F.col("n_tokens"), F.lit(1)).alias("bin"),
             F.xxhash64("doc_id", F.monotonically_increasing_id()).alias("u"),
         )
     )
@@ -128,6 +132,8 @@ def pack_lengths(rows: DataFrame, params: PackParams = PackParams()) -> DataFram
     )
 
 
-def pack_documents(docs: DataFrame, params: PackParams = PackParams()) -> DataFrame:
-    """:func:`pack_lengths` over the word counts of texts."""
-    return pack_lengths(texts(docs).select("doc_id", word_count(F.col("text")).alias("n_tokens")), params)
+def pack_documents(docs: DataFrame, params: PackParams = PackParams(), length: Column | None = None) -> DataFrame:
+    """:func:`pack_lengths` over the word counts of texts, or another length of each document (such as its token ids'); a null length is 0."""
+    if length is None:
+        return pack_lengths(texts(docs).select("doc_id", word_count(F.col("text")).alias("n_tokens")), params)
+    return pack_lengths(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(length.cast("bigint"), F.lit(0)).alias("n_tokens")), params)
