@@ -8,7 +8,9 @@ flattened into arrays that every task traverses for a whole batch at once.
 Null and empty texts have all-zero statistics and get a score like others.
 Labels that are null are left out of training; without labels of both kinds
 every document scores the share of good labels (0.5 if there is none).
-Repeated rows score alike.  Other columns (lang, source, doc_id) never enter a
+Repeated rows score alike.  An id that is labelled both ways counts as
+unlabelled; of several texts under one labelled id the one of least hash is
+learnt from.  Other columns (lang, source, doc_id) never enter a
 score.
 """
 
@@ -171,7 +173,7 @@ def fold(doc_id: Column, params: QualityParams) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(params.folds))
 
 
-SAMPLE = "quality int, features binary"
+SAMPLE = "doc_id bigint, quality int, th bigint, features binary"
 
 
 def train(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParams()) -> Trees:
@@ -181,15 +183,18 @@ def train(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityPar
     """
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     known = known.where("doc_id is not null and quality in (0, 1)").where(fold(F.col("doc_id"), params) != params.held_out)
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(params.sample)
+    known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other").drop("other")
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(params.sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = matrix(b.column("text").to_pylist())
-            yield batch(SAMPLE, b.column("quality"), [r.tobytes() for r in rows])
+            yield batch(SAMPLE, b.column("doc_id"), b.column("quality"), b.column("th"), [r.tobytes() for r in rows])
 
     ids = docs.sparkSession.createDataFrame([tuple(r) for r in chosen.collect()], "doc_id bigint, quality int")
-    rows = texts(docs).join(F.broadcast(ids), "doc_id").select("quality", "text").mapInArrow(run, SAMPLE).limit(2 * params.sample).collect()
+    seen = texts(docs).join(F.broadcast(ids), "doc_id").select("doc_id", "quality", F.xxhash64("text").alias("th"), "text").mapInArrow(run, SAMPLE)
+    # One row for each sampled id, so as bounded as the sample.
+    rows = seen.groupBy("doc_id").agg(F.min(F.struct("th", "features", "quality")).alias("x")).select("x.features", "x.quality").collect()
     rows = sorted((bytes(r["features"]), r["quality"]) for r in rows)
     x = np.frombuffer(b"".join(f for f, _ in rows), np.float64).reshape(len(rows), len(FEATURES))
     return fit(x, np.array([q for _, q in rows], float), params)

@@ -380,6 +380,22 @@ def test_boundaries_are_optimal():
     assert packing.best_boundaries([], [], 4) == []
 
 
+def test_boundaries_of_long_texts_are_optimal():
+    """Against the plain quadratic programme, on lengths from 1 to 20,000."""
+    rng = np.random.default_rng(4)
+    for n, k in ((1, 3), (2, 2), (3, 16), (300, 7), (700, 16)):
+        ends = np.unique(rng.integers(1, 20_001, n))
+        counts = rng.integers(1, 50, len(ends))
+        docs = np.concatenate(([0], np.cumsum(counts)))
+        best = np.concatenate(([0], docs[1:] * ends))
+        for _ in range(k - 1):
+            best = np.array([0, *(min(best[i] + (docs[j] - docs[i]) * ends[j - 1] for i in range(j)) for j in range(1, len(ends) + 1))])
+        found = np.array(packing.best_boundaries(ends.tolist(), counts.tolist(), k))
+        assert len(found) <= k and (counts * found[np.searchsorted(found, ends)]).sum() == best[-1]
+    many = packing.best_boundaries(list(range(1, 200_001)), [1] * 200_000, 16)
+    assert len(many) == 16 and many[-1] == 200_000 and all(abs(e - 12_500 * (i + 1)) <= 1 for i, e in enumerate(many))
+
+
 def test_packing(spark):
     rows = awkward() + [(100 + i, prose(1 + i % 90, i), "en", "s", 1) for i in range(400)]
     p = packing.PackParams(buckets=5, token_budget=512)
@@ -398,6 +414,10 @@ def test_packing(spark):
         assert sorted(n for n, *_ in found) == list(range(len(found)))
         assert all(size == max(1, 512 // pad) for n, size, pad in found if n < len(found) - 1)
     assert packing.pack_documents(docs(spark, [])).count() == 0
+    from pyspark.sql import functions as F
+
+    given = packing.pack_documents(docs(spark, rows), p, F.col("n_chars")).collect()
+    assert Counter((r.doc_id, r.n_tokens) for r in given) == Counter((r[0], r[4] or 0) for r in rows)
 
 
 # 9. Quality.
@@ -442,6 +462,36 @@ def test_trees_flatten_well():
     assert np.allclose(one, s[:20])
 
 
+def test_splits_against_brute_force():
+    """A tree of depth 1 takes the split of greatest gain among all thresholds of all features."""
+    rng = np.random.default_rng(8)
+    x, p = rng.integers(0, 12, (80, len(quality.FEATURES))).astype(float), quality.QualityParams(trees=1, depth=1)
+    y = ((x[:, 5] > 6) | (rng.random(80) < 0.1)).astype(float)
+    trees = quality.fit(x, y, p)
+    g, h = y - y.mean(), np.full(80, y.mean() * (1 - y.mean()))
+    gains = {}
+    for j in range(x.shape[1]):
+        for t in np.unique(x[:, j]):
+            left = x[:, j] <= t
+            if min(left.sum(), (~left).sum()) >= p.least_leaf:
+                gains[j, t] = sum(g[s].sum() ** 2 / (h[s].sum() + p.ridge) for s in (left, ~left))
+    j, t = max(gains, key=gains.get)
+    left = x[:, trees.feature[0, 0]] <= trees.cut[0, 0]
+    assert trees.feature[0, 0] == j and (left == (x[:, j] <= t)).all()
+    value = [p.rate * g[s].sum() / (h[s].sum() + p.ridge) for s in (left, ~left)]
+    assert np.allclose(trees.value[0, [trees.left[0, 0], trees.left[0, 0] + 1]], value)
+
+
+def test_labels_of_repeated_ids(spark):
+    """One text an id is learnt from; ids with both labels teach nothing."""
+    rows, marks = labelled(spark, 60)
+    trees = quality.train(docs(spark, rows), spark.createDataFrame(marks, "doc_id bigint, quality int, toxic int"))
+    many = quality.train(docs(spark, rows * 7), spark.createDataFrame(marks * 3, "doc_id bigint, quality int, toxic int"))
+    assert all(np.array_equal(getattr(trees, n), getattr(many, n)) for n in ("feature", "cut", "value"))
+    none = quality.train(docs(spark, rows), spark.createDataFrame(marks + [(i, 1 - q, 0) for i, q, _ in marks], "doc_id bigint, quality int, toxic int"))
+    assert none.prior == 0 and not len(none.feature)
+
+
 # The registered queries need no more than the tables.
 
 
