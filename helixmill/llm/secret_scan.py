@@ -5,18 +5,19 @@ token that could be key material: its encoding is inferred (hexadecimal, base32,
 base58, base64 or base64url; two kinds of characters at least), its symbols are
 mapped to 0..A-1, and three tests ask whether they look uniform and independent:
 
-* chi-squared of the symbol counts against the alphabet,
+* chi-squared of the symbol counts against a uniform alphabet,
 * runs above and below the middle of the alphabet,
 * serial correlation of neighbouring symbols.
 
-The null hypothesis is ordinary text, whose symbols repeat as those of words do.
-Under it the chi-squared statistic is about noncentral with a noncentrality that
-grows with the token's length, so its lower tail is a p-value that knows the
-length; the two other tests veto tokens whose order isn't random (a combined
-p-value below ``order_alpha``).  Benjamini-Hochberg control of the false
-discovery rate is applied to all candidates of the corpus, separately for each
-class of lengths: the p-values are binned, the bounded histogram is aggregated,
-and each class gets its threshold from it.
+Their p-values are combined into one statistic after Fisher, which is small for
+random tokens and grows with any departure from randomness.  What has to be
+controlled are false discoveries of ordinary text, so a token's p-value is the
+chance that ordinary text of its length has a statistic as small: there the
+chi-squared is noncentral, as symbols repeat like those of words, and the order
+tests get the benefit of the doubt (they are taken as uniform).  Benjamini-
+Hochberg control of the false discovery rate is applied to all candidates of the
+corpus, separately for each class of lengths: the p-values are binned, the
+bounded histogram is aggregated, and each class gets its threshold from it.
 
 Offsets are code points, ends exclusive.  Null and empty texts have no spans;
 texts are scanned whole.  Repeated rows are scanned alike and each counts as a
@@ -26,17 +27,20 @@ test.  Other columns play no part.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import erfc, log, sqrt
+from math import erfc, exp, log, sqrt
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import stash, texts
+from .common import stash, texts, unused
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -54,14 +58,13 @@ ALPHABETS = {
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
 }
 VALUES = {name: {c: i for i, c in enumerate(a)} for name, a in ALPHABETS.items()}
-#: Chance that two symbols of ordinary text are equal: as in prose, or twice that of a uniform draw in small alphabets.
-TEXT_REPEATS = 0.066
+#: Chance that two symbols of ordinary tokens are equal, at least: less than in prose, as tokens mix kinds of characters; twice that of a uniform draw in small alphabets.
+TEXT_REPEATS = 0.05
 
 
 @dataclass(frozen=True)
 class SecretParams:
     rate: float = 0.01
-    order_alpha: float = 0.0001
     #: Lower ends of the classes of lengths.
     lengths: tuple[int, ...] = (0, 24, 32, 40, 48, 64, 96, 128)
     #: Bins of -log10(p), of a tenth each.
@@ -88,9 +91,23 @@ def _normal_tail(z: float) -> float:
     return 0.5 * erfc(z / sqrt(2))
 
 
-def text_like(counts: np.ndarray, n: int, a: int) -> float:
-    """P that ordinary text of this length has symbols as evenly spread: lower tail of a noncentral chi-squared (normal by a power, after Sankaran)."""
-    x = float((counts * counts).sum()) * a / n - n
+#: Least p-value that is told from 0.
+TINY = 1e-300
+
+
+def uniform_p(x: float, df: int) -> float:
+    """Upper tail of a chi-squared (cube root approximation after Wilson and Hilferty)."""
+    return max(TINY, _normal_tail(((x / df) ** (1 / 3) - (1 - 2 / (9 * df))) / sqrt(2 / (9 * df))))
+
+
+def uniform_quantile(log_p: float, df: int) -> float:
+    """Where the logarithm of :func:`uniform_p` is ``log_p``."""
+    z = -NormalDist().inv_cdf(min(exp(log_p), 1 - 1e-16)) if log_p > -600 else sqrt(-2 * log_p)
+    return df * max(0.0, 1 - 2 / (9 * df) + z * sqrt(2 / (9 * df))) ** 3
+
+
+def text_tail(x: float, n: int, a: int) -> float:
+    """P that the chi-squared of ordinary text is at most x: lower tail of a noncentral one (normal by a power, after Sankaran)."""
     df, shift = a - 1, n * (max(a * TEXT_REPEATS, 2) - 1)
     mean = df + shift
     h = 1 - 2 * mean * (df + 3 * shift) / (3 * (df + 2 * shift) ** 2)
@@ -100,47 +117,72 @@ def text_like(counts: np.ndarray, n: int, a: int) -> float:
     return _normal_tail(-z)
 
 
-def order_p(values: np.ndarray, a: int) -> float:
-    """Combined p-value (after Fisher) of the runs test and the serial correlation of a token's symbols."""
+def battery(values: np.ndarray, a: int) -> tuple[float, float, float]:
+    """p-values of a token's symbols under randomness: chi-squared, runs and serial correlation."""
     n = len(values)
+    counts = np.bincount(values, minlength=a)
+    p_chi = uniform_p(float((counts * counts).sum()) * a / n - n, a - 1)
     high = values >= a / 2
     n1, n2 = int(high.sum()), n - int(high.sum())
     if not n1 or not n2:
-        return 0.0
+        return p_chi, TINY, TINY
     runs = 1 + int((high[1:] != high[:-1]).sum())
     mean = 1 + 2 * n1 * n2 / n
     spread = sqrt(max((mean - 1) * (mean - 2) / (n - 1), 1e-9))
     p_runs = 2 * _normal_tail(abs(runs - mean) / spread)
     d = values - values.mean()
     r = float((d[1:] * d[:-1]).sum() / max((d * d).sum(), 1e-9))
-    p_serial = 2 * _normal_tail(abs(r + 1 / n) * sqrt(n))
-    x = -log(max(p_runs, 1e-300)) - log(max(p_serial, 1e-300))
-    return min(1.0, float(np.exp(-x)) * (1 + x))
+    return p_chi, max(TINY, p_runs), max(TINY, 2 * _normal_tail(abs(r + 1 / n) * sqrt(n)))
+
+
+def combined(ps: tuple[float, ...]) -> float:
+    """Fisher's statistic."""
+    return -2 * sum(map(log, ps))
+
+
+_NODES, _WEIGHTS = np.polynomial.legendre.leggauss(24)
+
 
+def text_p(t: float, n: int, a: int) -> float:
+    """P that ordinary text has a combined statistic of at most t.
 
-def judge(token: str, params: SecretParams) -> float | None:
+    The part v of the two order tests has four degrees of freedom; what is left
+    for the chi-squared test is t - v, that is, a tail of exp(-(t - v) / 2).
+    """
+    # Beyond 100 the order tests' part has no weight left.
+    top = min(t, 100.0)
+    total = 0.0
+    for x, w in zip(_NODES, _WEIGHTS):
+        v = top * (x + 1) / 2
+        total += w * top / 2 * v / 4 * exp(-v / 2) * text_tail(uniform_quantile(-(t - v) / 2, a - 1), n, a)
+    return min(1.0, total)
+
+
+def judge(token: str) -> float | None:
     """The p-value of a token under ordinary text; None if it is no candidate."""
     name = infer(token.rstrip("="))
     if name is None:
         return None
     alphabet = VALUES[name]
     values = np.array([alphabet[c] for c in token.rstrip("=")])
-    if order_p(values, len(alphabet)) < params.order_alpha:
-        return None
-    return text_like(np.bincount(values, minlength=len(alphabet)), len(values), len(alphabet))
+    return text_p(combined(battery(values, len(alphabet))), len(values), len(alphabet))
 
 
 def random_spans(text: str, base: list[tuple[int, int, int]], params: SecretParams) -> list[tuple[int, int, int, int]]:
-    """(start, end, class of length, bin of the p-value) of candidates that no base span touches."""
+    """(start, end, class of length, bin of the p-value) of candidates that no base span touches; ``base`` is sorted by start."""
+    starts, reach = [s for _, s, _ in base], []
+    for _, _, e in base:  # how far the spans up to each one reach
+        reach.append(max(e, reach[-1]) if reach else e)
     found = []
     for m in TOKEN.finditer(text):
         start, end = m.span()
-        if any(s < end and start < e for _, s, e in base):
+        before = bisect_right(starts, end - 1)
+        if before and reach[before - 1] > start:
             continue
-        p = judge(m.group(), params)
+        p = judge(m.group())
         if p is not None:
             of_length = sum(end - start >= low for low in params.lengths) - 1
-            found.append((start, end, of_length, min(params.bins - 1, int(-10 * np.log10(max(p, 1e-300))))))
+            found.append((start, end, of_length, min(params.bins - 1, int(-10 * np.log10(max(p, TINY))))))
     return found
 
 
@@ -212,27 +254,45 @@ def digest_secrets(docs: DataFrame, params: SecretParams = SecretParams()) -> Da
     )
 
 
+SPANS = "array<struct<start:int,end:int,len:int,bin:int>>"
+_SPANS = pa.list_(pa.struct([("start", _INT), ("end", _INT), ("len", _INT), ("bin", _INT)]))
+
+
 def mask_secrets(docs: DataFrame, params: SecretParams = SecretParams(), mark: str = "[SECRET]") -> DataFrame:
-    """The documents with every span replaced by a mark and n_chars brought up to date.
+    """The documents with every span replaced by a mark and n_chars (if there is such a column) brought up to date.
 
-    Spans are found and replaced text by text, so no text is shuffled: the
-    thresholds of the battery come from a first pass over all texts.
+    Each text is scanned once; the documents are written beside their spans and
+    reread when the thresholds of the battery are known, so no text is shuffled.
     """
-    scanned = scan(docs, params).select(F.explode("candidates").alias("c")).groupBy("c.len", "c.bin").agg(F.count("*").alias("n"))
-    least = thresholds({(x["len"], x["bin"]): x["n"] for x in scanned.collect()}, params)
+    names, (held,) = docs.columns, unused(docs, "spans")
+    schema = T.StructType([*docs.schema.fields, T.StructField(held, T._parse_datatype_string(SPANS))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for text in b.column("text").to_pylist():
+                base = base_spans(text or "")
+                # Base spans have no class of length, so they always count.
+                spans = [(s, e, -1, 0) for _, s, e in base] + random_spans(text or "", base, params)
+                rows.append([dict(zip(("start", "end", "len", "bin"), s)) for s in spans])
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(rows, _SPANS)], [*names, held])
+
+    scanned = stash(docs.mapInArrow(run, schema))
+    each = scanned.select(F.explode(held).alias("c")).where("c.len >= 0").groupBy("c.len", "c.bin").agg(F.count("*").alias("n"))
+    least = thresholds({(x["len"], x["bin"]): x["n"] for x in each.collect()}, params)
 
     @F.pandas_udf("string")
-    def masked(given: pd.Series) -> pd.Series:
-        return given.map(lambda text: text if text is None else replace(text, least, params, mark))
+    def masked(given: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([t if t is None or not len(x) else replace(t, x, least, mark) for t, x in zip(given, spans)], dtype=object)
 
-    return docs.withColumn("text", masked(F.col("text"))).withColumn("n_chars", F.length("text").cast("bigint"))
+    out = scanned.withColumn("text", masked(F.col("text"), F.col(held))).drop(held)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
 
 
-def replace(text: str, least: list[int], params: SecretParams, mark: str) -> str:
-    base = base_spans(text)
-    spans = sorted([(s, e) for _, s, e in base] + [(s, e) for s, e, k, b in random_spans(text, base, params) if b >= least[k]])
+def replace(text: str, spans: list[dict], least: list[int], mark: str) -> str:
+    """A text with the spans that count, joined where they overlap, replaced by a mark."""
     out, at = [], 0
-    for start, end in spans:
+    for start, end in sorted((s["start"], s["end"]) for s in spans if s["len"] < 0 or s["bin"] >= least[s["len"]]):
         if end <= at:
             continue
         if start >= at:
