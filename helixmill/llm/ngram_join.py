@@ -12,8 +12,9 @@ shingles is at least the threshold.
    the threshold (uniform prior) falls below the tolerance.
 3. Every class belongs to a block: a slice of bounded size of the largest bucket
    that it is in.  Surviving pairs are reported as the pairs of blocks that they
-   lie across, once for each class, so a large group of near copies isn't
-   listed pair by pair, and a chain of texts meets its neighbours only.
+   lie across, once for each class or, where many classes do, once for the
+   block.  So a large group of near copies isn't listed pair by pair, and a
+   chain of texts meets its neighbours only.
 4. The classes of each pair of blocks meet once: pairs are pruned as before and
    the rest is verified on the exact shingle sets.  Links are counted for each
    class and passed on as a spanning forest.
@@ -65,6 +66,8 @@ class JoinParams:
     #: Rows of a bucket's block; rows and shingles of a block that is verified.
     bucket_block: int = 512
     verify_block: int = 512
+    #: A block with more classes than this to meet another sends all of its classes.
+    whole_from: int = 16
     verify_shingles: int = 1_000_000
 
     @property
@@ -201,14 +204,23 @@ def _candidates(params: JoinParams):
                 meets[of[others], at] = True
             other, row = np.nonzero(meets)
             if len(row):
-                own, other = blocks[of[row]], blocks[other]
-                yield batch(MEETING, np.minimum(own, other), np.maximum(own, other), own, [cell["key"][x] for x in row])
+                pairs, first, pair, counts = np.unique(other * len(blocks) + of[row], return_index=True, return_inverse=True, return_counts=True)
+                whole = counts > params.whole_from
+                single = np.flatnonzero(~whole[pair])
+                own = blocks[of[np.concatenate((row[single], row[first[whole]]))]]
+                other = blocks[np.concatenate((other[single], other[first[whole]]))]
+                yield batch(MEETING, np.minimum(own, other), np.maximum(own, other), own, [*(cell["key"][x] for x in row[single]), *[None] * int(whole.sum())])
 
     return run
 
 
 def candidate_meetings(classes: DataFrame, n_classes: int, params: JoinParams = JoinParams()) -> DataFrame:
-    """Which classes (key, sig, n_shingles) meet across which blocks (i, j) after pruning; ``own`` is the class's block."""
+    """Which classes (key, sig, n_shingles) meet across which blocks (i, j) after pruning; ``own`` is the class's block.
+
+    Where many classes of a block meet another block, the block is told as a
+    whole and its classes follow from a join, so groups of any size are told in
+    rows of blocks.
+    """
     width = params.rows * 4
     bands = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(params.bands - 1)), lambda k: F.xxhash64(F.substring("sig", k * width + 1, F.lit(width))))).alias("band", "bucket")
     rows = classes.select("key", "n_shingles", bands)
@@ -217,11 +229,14 @@ def candidate_meetings(classes: DataFrame, n_classes: int, params: JoinParams =
     each = members.groupBy("key").agg(F.collect_list(F.struct("band", "bucket", "m")).alias("at"), F.max(F.struct("m", "w", "band", "bucket")).alias("home"))
     slices = F.ceil(F.greatest(F.col("home.m") / params.verify_block, F.col("home.w") / params.verify_shingles)).cast("int")
     block = F.xxhash64("home.band", "home.bucket", F.pmod(F.xxhash64("key", F.lit(3)), slices))
-    near = each.select("key", "at", block.alias("block")).join(classes.select("key", "sig"), "key").select("key", "sig", "block", F.inline("at"))
+    held = stash(each.select("key", "at", block.alias("block")))
+    near = held.join(classes.select("key", "sig"), "key").select("key", "sig", "block", F.inline("at"))
     _, own, pairs = grid(F.col("m"), params.bucket_block, F.col("key"))
     cells = near.select("band", "bucket", "key", "sig", "block", own.alias("own"), F.inline(pairs))
     by = ["band", "bucket", "i", "j"]
-    return cells.repartition(parallelism(classes), *by).sortWithinPartitions(*by).mapInArrow(_candidates(params), MEETING).distinct()
+    told = stash(cells.repartition(parallelism(classes), *by).sortWithinPartitions(*by).mapInArrow(_candidates(params), MEETING).distinct())
+    whole = told.where("key is null").drop("key").join(held.select(F.col("block").alias("own"), "key"), "own")
+    return told.where("key is not null").unionByName(whole).distinct()
 
 
 VERIFIED = "a binary, b binary, links bigint"

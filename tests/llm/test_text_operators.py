@@ -158,7 +158,7 @@ def near_rows():
 def test_join_against_brute_force(spark, blocks):
     rows = near_rows()
     sets, links = brute_links(rows)
-    p = ngram_join.JoinParams(bucket_block=blocks[0], verify_block=blocks[1], verify_shingles=blocks[1] * 300)
+    p = ngram_join.JoinParams(bucket_block=blocks[0], verify_block=blocks[1], verify_shingles=blocks[1] * 300, whole_from=blocks[1] // 3)
     got = ngram_join.near_duplicates(docs(spark, rows, clashing=True), p).collect()
     assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows)
     of = {(i): sets[t or ""] for i, t in rows if i is not None}
