@@ -6,7 +6,6 @@ import atexit
 import re
 import tempfile
 from contextlib import suppress
-from math import isqrt
 from uuid import uuid4
 
 import numpy as np
@@ -105,17 +104,6 @@ def batch(schema: str, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, ARROW[kind]) for c, (_, kind) in zip(columns, fields)], [name for name, _ in fields])
 
 
-def range_number(bounds: list[int], key: Column) -> Column:
-    """How many of the sorted bounds are at most the key, by two steps of about sqrt(n) comparisons."""
-    if not bounds:
-        return F.lit(0)
-    width = isqrt(len(bounds)) + 1
-    blocks = [bounds[k : k + width] for k in range(0, len(bounds), width)]
-    block = F.size(F.filter(constant([b[0] for b in blocks], "array<bigint>"), lambda b: b <= key))
-    inside = F.size(F.filter(F.element_at(constant(blocks, "array<array<bigint>>"), F.greatest(block, F.lit(1))), lambda b: b <= key))
-    return F.when(block == 0, 0).otherwise((block - 1) * width + inside).cast("int")
-
-
 def stash(frame: DataFrame) -> DataFrame:
     """Like :func:`cut`, as Parquet: for wide or long intermediate tables.
 
@@ -176,5 +164,7 @@ def likely(frame: DataFrame, keys: DataFrame, column: str = "th") -> DataFrame:
     word = lambda c: F.pmod(spread(c), F.lit(words))
     bit = lambda c: F.shiftrightunsigned(spread(c), 58).cast("int")
     table = keys.groupBy(word(F.col(column)).alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit(F.col(column)))).alias("_bits"))
-    held = frame.withColumn("_word", word(F.col(column))).join(F.broadcast(table), "_word")
-    return held.where(F.getbit("_bits", bit(F.col(column))) == 1).drop("_word", "_bits")
+    name, bits = unused(frame, "word", "bits")
+    table = table.select(F.col("_word").alias(name), F.col("_bits").alias(bits))
+    held = frame.withColumn(name, word(F.col(column))).join(F.broadcast(table), name)
+    return held.where(F.getbit(bits, bit(F.col(column))) == 1).drop(name, bits)

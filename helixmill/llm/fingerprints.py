@@ -3,10 +3,12 @@
 A k-mer of code points is a closed syncmer if the least hash among its inner
 s-mers is that of its first or last one.  The choice depends on the k-mer alone,
 so equal passages give equal anchors wherever they stand.  ``anchors`` returns
-position and hash of every chosen k-mer for positional matching; a fingerprint
-keeps the ``size`` smallest distinct anchor hashes (32 bits each, in hex), and
-two fingerprints' likeness estimates the Jaccard similarity of their anchor
-sets.  The fingerprint's length is fixed; all of a text counts, at any length.
+position and hash of every chosen k-mer.  A fingerprint keeps the ``size``
+smallest distinct anchor hashes (32 bits each, in hex), and two fingerprints'
+likeness estimates the Jaccard similarity of their anchor sets, whatever the
+order of passages.  Its length is fixed; all of a text counts, at any length.
+Where both texts are at hand, ``aligned`` matches anchors by position as well:
+the largest share of a text's anchors that recur in the other at one offset.
 
 Null and empty texts have the empty fingerprint; a text without an anchor
 (shorter than k code points) is fingerprinted by its whole content.  Two empty
@@ -25,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, parallelism, range_number, texts
+from .common import batch, parallelism, stash, texts
+from .ranges import draw, quantiles, range_of
 from .words import U64, mix
 
 BASE = 0x9E3779B97F4A7C15
@@ -89,16 +92,32 @@ def anchors(text: str | None, params: SyncmerParams = SyncmerParams()) -> tuple[
     return at, mix(h)
 
 
-def fingerprint(text: str | None, params: SyncmerParams = SyncmerParams()) -> str:
+def fingerprint(text: str | None, params: SyncmerParams = SyncmerParams(), hashes: np.ndarray | None = None) -> str:
+    """The fingerprint of a text; ``hashes`` saves finding its anchors again."""
     if not text:
         return ""
-    _, hashes = anchors(text, params)
+    hashes = anchors(text, params)[1] if hashes is None else hashes
     if not len(hashes):
         return blake2b(text.encode("utf-8", "surrogatepass"), digest_size=4).hexdigest()
     least = np.unique((hashes >> U64(32)).astype(np.uint32))[: params.size]
     return least.astype(">u4").tobytes().hex()
 
 
+def aligned(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Largest share of the first text's anchors (positions, hashes) that the second has at one offset; 0 without anchors.
+
+    An anchor that a text repeats is matched at its first position there.
+    """
+    if not len(a[0]) or not len(b[0]):
+        return 0.0
+    one, at_one = np.unique(a[1], return_index=True)
+    two, at_two = np.unique(b[1], return_index=True)
+    _, x, y = np.intersect1d(one, two, assume_unique=True, return_indices=True)
+    if not len(x):
+        return 0.0
+    return float(np.unique(b[0][at_two[y]] - a[0][at_one[x]], return_counts=True)[1].max() / len(one))
+
+
 def likeness(a: str, b: str, params: SyncmerParams = SyncmerParams()) -> float:
     """Estimated Jaccard similarity of two anchor sets from their smallest members."""
     if a == b:
@@ -130,65 +149,102 @@ def edited(text: str, other: str) -> str:
     return text[: len(text) - half] + other[:half]
 
 
-RESULT = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+RESULT = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, aligned_edited double"
 
 
-def _compare(doc_id: int | None, text: str, own: str, following: str, following_print: str, params: SyncmerParams) -> tuple:
-    new = edited(text, following)
-    near = own if new == text else fingerprint(new, params)
+@dataclass
+class _Row:
+    """A text with what is known of it; ``times`` rows have it."""
+
+    rid: int
+    doc_id: int | None
+    text: str
+    times: int
+    anchors: tuple[np.ndarray, np.ndarray]
+    print: str
+
+
+def _compare(row: _Row, following: _Row, params: SyncmerParams) -> tuple:
+    new = edited(row.text, following.text)
+    found = row.anchors if new == row.text else anchors(new, params)
+    near = row.print if new == row.text else fingerprint(new, params, found[1])
     digest = sha256(new.encode("utf-8", "surrogatepass")).hexdigest()
-    return (doc_id, len(text), digest, own, near, likeness(own, near, params), likeness(own, following_print, params))
+    alike = 1.0 if new == row.text else aligned(row.anchors, found)
+    return (row.doc_id, len(row.text), digest, row.print, near, likeness(row.print, near, params), likeness(row.print, following.print, params), alike)
 
 
-#: Ranges of doc_id: at least, at most, and rows aimed at for each.
-MIN_RANGES, MAX_RANGES, RANGE_ROWS = 1024, 65536, 50_000
+#: Ranges of keys: at least, at most, rows aimed at for each, and sampled keys for each.
+MIN_RANGES, MAX_RANGES, RANGE_ROWS, OVERSAMPLING = 1024, 65536, 50_000, 8
+WALKED = "h bigint, d bigint, s bigint, rid int, guest boolean, doc_id bigint, text string, times bigint"
+
+
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a batch's rows of one id and text one, with their number."""
+    for b in batches:
+        first: dict[tuple, int] = {}
+        times: dict[int, int] = {}
+        for k, key in enumerate(zip(b.column("h").to_pylist(), b.column("d").to_pylist(), b.column("text").to_pylist())):
+            at = first.setdefault(key, k)
+            times[at] = times.get(at, 0) + 1
+        kept = b.take(pa.array(list(times), pa.int64()))
+        yield pa.RecordBatch.from_arrays([*(kept.column(f.split()[0]) for f in WALKED.split(", ")[:-1]), pa.array(list(times.values()), pa.int64())], [f.split()[0] for f in WALKED.split(", ")])
 
 
 def compare_neighbours(docs: DataFrame, params: SyncmerParams = SyncmerParams()) -> DataFrame:
     """Fingerprint each text, its edit by the next document's, and compare.
 
     The next document is the one with the next smaller doc_id (the first comes
-    after the last).  Quantiles of the ids give ranges; each range's texts are
-    brought together once, with the first text of the range after it as a
-    guest, and walked in descending order.  The guests (one a range, a bounded
-    number) are found by a broadcast of their ids.  Null ids come last; equal
-    ids are ordered by a hash of their texts.
+    after the last).  Null ids come last; equal ids are ordered by a hash of
+    their texts.  Sampled splitters of (id, hash) give ranges of about equal
+    bytes, however often an id occurs; each range's texts are brought together
+    once, with the first text of the range after it as a guest, and walked in
+    order.  The guests (one a range, a bounded number) are found by a broadcast
+    of their keys.  Rows that agree in id and text are each other's neighbours,
+    so a batch sends one of them with their number.
     """
-    t = texts(docs)
-    rows = t.agg(F.count("*")).first()[0]
+    t = texts(docs).select("doc_id", "text", F.col("doc_id").isNull().cast("bigint").alias("h"), F.coalesce(F.bitwise_not("doc_id"), F.lit(0)).alias("d"), F.xxhash64("text").alias("s"))
+    keys = stash(t.select("h", "d", "s", (F.octet_length("text") + 100).cast("bigint").alias("size")))
+    rows, total = keys.agg(F.count("*"), F.sum("size")).first()
     if not rows:
         return t.select("doc_id").mapInArrow(lambda batches: iter(()), RESULT)
     ranges = min(MAX_RANGES, max(MIN_RANGES, rows // RANGE_ROWS))
-    marks = t.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 4 * max(ranges, 10_000))).first()[0] or []
-    number = F.when(F.col("doc_id").isNull(), -1).otherwise(range_number(sorted(set(marks)), F.col("doc_id")))
-    numbered = t.withColumn("rid", number)
-    # Descending ids: after a range comes the one numbered below it, after the lowest the highest.
-    tops = sorted((x["rid"], x["top"]) for x in numbered.groupBy("rid").agg(F.max("doc_id").alias("top")).collect())
-    before = [(tops[(k + 1) % len(tops)][0], rid, top) for k, (rid, top) in enumerate(tops)]
-    hosts = t.sparkSession.createDataFrame(before, "host int, rid int, top bigint")
+    bounds = quantiles(draw(keys, ranges * OVERSAMPLING, F.col("size") / total, 3), ranges)
+    number = range_of(bounds)
+    tops = sorted((x["rid"], *x["top"]) for x in keys.groupBy(number.alias("rid")).agg(F.min(F.struct("h", "d", "s")).alias("top")).collect())
+    # The text that comes after a range is the first of the next one, after the last that of the first.
+    before = [(tops[k - 1][0], *top[1:]) for k, top in enumerate(tops)]
+    hosts = t.sparkSession.createDataFrame(before, "host int, h bigint, d bigint, s bigint")
     guests = (
-        numbered.join(F.broadcast(hosts), "rid")
-        .where(F.col("doc_id").eqNullSafe(F.col("top")))
+        t.join(F.broadcast(hosts), ["h", "d", "s"])
         .groupBy("host")
-        .agg(F.max(F.struct(F.xxhash64("text").alias("h"), "text", "doc_id")).alias("x"))
-        .select("x.doc_id", "x.text", F.col("host").alias("rid"), F.lit(True).alias("guest"))
-    )
-    walked = (
-        numbered.withColumn("guest", F.lit(False))
-        .unionByName(guests)
-        .repartition(max(parallelism(docs), 1), "rid")
-        .sortWithinPartitions("rid", "guest", F.desc_nulls_last("doc_id"), F.desc(F.xxhash64("text")))
+        .agg(F.max(F.struct("text", "doc_id", "h", "d", "s")).alias("x"))
+        .select("x.h", "x.d", "x.s", F.col("host").alias("rid"), F.lit(True).alias("guest"), "x.doc_id", "x.text", F.lit(1).cast("bigint").alias("times"))
     )
+    numbered = t.select("h", "d", "s", number.alias("rid"), F.lit(False).alias("guest"), "doc_id", "text", F.lit(1).cast("bigint").alias("times"))
+    walked = numbered.mapInArrow(_once, WALKED).unionByName(guests).repartition(max(parallelism(docs), 1), "rid").sortWithinPartitions("rid", "guest", "h", "d", "s", "text")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+        last: _Row | None = None
         for b in batches:
             out = []
-            for doc_id, text, rid, guest in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "rid", "guest"))):
-                own = last[3] if last is not None and last[2] == text else fingerprint(text, params)
-                if last is not None and last[0] == rid:
-                    out.append(_compare(*last[1:], text, own, params))
-                last = None if guest else (rid, doc_id, text, own)
-            yield batch(RESULT, *zip(*out)) if out else batch(RESULT, *[[]] * 7)
+            for rid, guest, doc_id, text, times in zip(*(b.column(c).to_pylist() for c in ("rid", "guest", "doc_id", "text", "times"))):
+                if last is not None and last.rid == rid and not guest and last.doc_id == doc_id and last.text == text:
+                    last.times += times
+                    continue
+                if last is not None and last.text == text:
+                    row = _Row(rid, doc_id, text, times, last.anchors, last.print)
+                else:
+                    found = anchors(text, params)
+                    row = _Row(rid, doc_id, text, times, found, fingerprint(text, params, found[1]))
+                if last is not None and last.rid == rid:
+                    if last.times > 1:
+                        out += [_compare(last, last, params)] * (last.times - 1)
+                    out.append(_compare(last, row, params))
+                last = None if guest else row
+                if len(out) >= 10_000:
+                    yield batch(RESULT, *zip(*out))
+                    out = []
+            if out:
+                yield batch(RESULT, *zip(*out))
 
     return walked.mapInArrow(walk, RESULT)

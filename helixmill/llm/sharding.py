@@ -1,19 +1,23 @@
 """Range sharding with sampled splitters.
 
 Records are ordered by the composite key (hash of the text, doc_id, row number),
-which tells repeated rows apart.  A size-weighted sample of keys gives splitters that cut the key range into many
-ranges of about equal bytes; exact bytes and rows of each range follow from one
-aggregation.  Ranges that lie across a shard boundary, or hold far more rows or
-bytes than the others, are cut again by a second sample drawn from them alone.
-Whole ranges are then dealt to shards in key order, and each record's slot is
-its range's offset plus its row number in the range.
-
-Equal texts have equal hashes and so are neighbours: a splitter inside a group
-of equal texts is moved to the group's start, unless the group alone weighs
-more than ``group_share`` of a shard; only such a group is divided.
-
-Only built-in functions run on the executors.  The driver sees the sample and
-one row for each range; both are bounded by ``max_ranges``, whatever the input.
+which tells repeated rows apart.  Keys are drawn by weight (bytes, and rows for
+the sake of many short texts) and their quantiles cut the key range into many
+ranges of about equal weight; exact bytes and rows of each range follow from one
+aggregation.  Ranges far over the mean are cut again by a second sample drawn
+from them alone.  Whole ranges are dealt to shards, the heaviest first and each
+to the shard with least bytes so far, and a record's slot is its range's offset
+in the shard plus its row number in the range.
+
+Equal texts have equal hashes and so are neighbours.  No range begins inside a
+group of equal texts, but for groups of more than a share of all bytes or rows
+(at most 2 / share such groups, found by an exact aggregation): these have
+ranges of their own, so that no task numbers a whole group, and all ranges of a
+group go to one shard.  Only a group that is larger than a shard by itself, which
+the law of equal bytes can't hold together, is divided among shards.
+
+Only built-in functions run on the executors.  The driver sees the samples, the
+heavy groups and one row for each range, all bounded whatever the input.
 
 Null texts count as empty (size 1), null ids sort first; repeated rows are
 separate records with separate slots; an empty table gives no rows.  Other
@@ -23,15 +27,17 @@ columns of the input play no part.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import ceil, isqrt
+from heapq import heapify, heapreplace
+from math import ceil
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import constant, cut, texts
+from .ranges import LOWEST, Key, draw, quantiles, range_of
 
-LOWEST = -(2**63)
 LAW = "bytes"
+HIGHEST = 2**63 - 1
 
 
 @dataclass(frozen=True)
@@ -43,8 +49,8 @@ class ShardParams:
     rows_per_range: int = 100_000
     #: Sampled keys for each range.
     oversampling: int = 8
-    #: A group of equal texts stays together up to this share of a shard.
-    group_share: float = 0.01
+    #: Share of all bytes or rows from which a group of equal texts has ranges of its own.
+    heavy: float = 1 / 1024
     #: A range over so many times the mean is cut again.
     overfull: float = 4.0
 
@@ -63,61 +69,43 @@ def slim_records(docs: DataFrame) -> DataFrame:
     )
 
 
-def draw(records: DataFrame, size: int, total: int, seed: int) -> list[tuple[int, int, int, int]]:
-    """About ``size`` keys, each drawn as often as its bytes demand: (h, d, s, times), in key order."""
-    weight = F.col("size") * F.lit(size / max(total, 1))
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed).cast("bigint"), "h", "d", "s"), 11) * F.lit(2.0**-53)
-    times = (F.floor(weight) + (u < weight - F.floor(weight)).cast("bigint")).alias("times")
-    rows = records.select("h", "d", "s", times).where("times > 0").collect()
-    return sorted((r.h, r.d, r.s, r.times) for r in rows)
-
-
-def choose(sample: list[tuple[int, int, int, int]], ranges: int, sampled_bytes: int, group_bytes: float) -> list[tuple[int, int, int]]:
-    """Quantiles of a sample as lower ends of ranges; those inside light groups move to the group's start."""
-    drawn = sum(x[3] for x in sample)
-    if not drawn:
-        return []
-    group: dict[int, int] = {}
-    for h, _, _, times in sample:
-        group[h] = group.get(h, 0) + times
-    step, seen, bounds = max(1.0, drawn / ranges), 0, set()
-    at = step
-    for h, d, s, times in sample:
-        seen += times
-        if seen > at:
-            heavy = group[h] * sampled_bytes / drawn > group_bytes
-            bounds.add((h, d, s) if heavy else (h, LOWEST, LOWEST))
-            at = (seen // step + 1) * step
-    return sorted(bounds)
-
-
-def range_of(bounds: list[tuple[int, int, int]]) -> Column:
-    """Number of the range that holds the key (h, d, s), by two steps of about sqrt(n) comparisons."""
-    if not bounds:
-        return F.lit(0)
-    width = isqrt(len(bounds)) + 1
-    blocks = [[{"h": h, "d": d, "s": s} for h, d, s in bounds[k : k + width]] for k in range(0, len(bounds), width)]
-    kind = "array<struct<h:bigint,d:bigint,s:bigint>>"
-    below = lambda b: (b["h"] < F.col("h")) | ((b["h"] == F.col("h")) & ((b["d"] < F.col("d")) | ((b["d"] == F.col("d")) & (b["s"] <= F.col("s")))))
-    block = F.size(F.filter(constant([b[0] for b in blocks], kind), below))
-    inside = F.size(F.filter(F.element_at(constant(blocks, f"array<{kind}>"), F.greatest(block, F.lit(1))), below))
-    return F.when(block == 0, 0).otherwise((block - 1) * width + inside).cast("int")
-
-
-def tally(records: DataFrame, bounds: list[tuple[int, int, int]]) -> dict[int, tuple[int, int]]:
+def heavy_groups(records: DataFrame, total: int, rows: int, params: ShardParams) -> dict[int, int]:
+    """Exact bytes of the groups of equal texts with a large share of bytes or rows."""
+    sums = records.groupBy("h").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+    found = sums.where((F.col("size") > params.heavy * total) | (F.col("n") > params.heavy * rows)).select("h", "size").collect()
+    return {r["h"]: r["size"] for r in found}
+
+
+def bounds_of(keys: list[Key], heavy: dict[int, int]) -> set[Key]:
+    """Lower ends of ranges: inside heavy groups as they are, else moved to the start of their group."""
+    found = {k if k[0] in heavy else (k[0], LOWEST, LOWEST) for k in keys}
+    for h in heavy:
+        found.add((h, LOWEST, LOWEST))
+        if h < HIGHEST:
+            found.add((h + 1, LOWEST, LOWEST))
+    return found
+
+
+def tally(records: DataFrame, bounds: list[Key]) -> dict[int, tuple[int, int]]:
     """Exact bytes and rows of each range."""
     rows = records.groupBy(range_of(bounds).alias("r")).agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     return {x["r"]: (x["size"], x["n"]) for x in rows}
 
 
-def _across(held: dict[int, tuple[int, int]], total: int, shards: int) -> set[int]:
-    """Ranges in which a shard ends."""
-    found, before = set(), 0
+def deal(held: dict[int, tuple[int, int]], bounds: list[Key], heavy: dict[int, int], total: int, shards: int) -> dict[int, int]:
+    """The shard of each range: items of ranges that stay together, heaviest first, each to the shard with least bytes."""
+    items: dict[tuple, list[int]] = {}
     for r in sorted(held):
-        after = before + held[r][0]
-        if before * shards // total != (after - 1) * shards // total:
-            found.add(r)
-        before = after
+        h = bounds[r - 1][0] if r else None
+        whole = h in heavy and heavy[h] * shards <= total
+        items.setdefault(("group", h) if whole else ("range", r), []).append(r)
+    weights = sorted(((sum(held[r][0] for r in rs), rs) for rs in items.values()), key=lambda x: (-x[0], x[1]))
+    load, found = [(0, k) for k in range(shards)], {}
+    heapify(load)
+    for weight, rs in weights:
+        bytes_so_far, shard = load[0]
+        heapreplace(load, (bytes_so_far + weight, shard))
+        found |= dict.fromkeys(rs, shard)
     return found
 
 
@@ -131,26 +119,23 @@ def shard_documents(docs: DataFrame, params: ShardParams = ShardParams()) -> Dat
     whole = records.agg(F.sum("size").alias("size"), F.count("*").alias("n")).first()
     total, rows = whole["size"] or 0, whole["n"]
     ranges = min(params.max_ranges, max(params.min_ranges, ceil(rows / params.rows_per_range)))
-    group_bytes = params.group_share * total / params.shards
-    bounds = choose(draw(records, ranges * params.oversampling, total, 1), ranges, total, group_bytes)
+    heavy = heavy_groups(records, total, rows, params) if rows else {}
+    weight = lambda size, n: (F.col("size") / max(size, 1) + F.lit(1.0 / max(n, 1))) / 2
+    bounds = sorted(bounds_of(quantiles(draw(records, ranges * params.oversampling, weight(total, rows), 1), ranges), heavy))
     held = tally(records, bounds)
-    if held:
-        mean_bytes, mean_rows = total / len(held), rows / len(held)
-        again = _across(held, total, params.shards) | {r for r, (b, n) in held.items() if b > params.overfull * mean_bytes or n > params.overfull * mean_rows}
-        inner = records.where(range_of(bounds).isin(sorted(again)))
-        within = sum(held[r][0] for r in again)
-        finer = choose(draw(inner, ranges * params.oversampling, within, 2), ranges, within, group_bytes)
-        bounds = sorted({*bounds, *finer})
+    mean_bytes, mean_rows = total / ranges, rows / ranges
+    again = sorted(r for r, (b, n) in held.items() if b > params.overfull * mean_bytes or n > params.overfull * mean_rows)
+    if again:
+        size, n = (sum(held[r][k] for r in again) for k in (0, 1))
+        inner = draw(records.where(range_of(bounds).isin(again)), ranges * params.oversampling, weight(size, n), 2)
+        bounds = sorted(set(bounds) | bounds_of(quantiles(inner, ranges), heavy))
         held = tally(records, bounds)
 
-    shard_of, offset, before = [0] * (len(bounds) + 1), [0] * (len(bounds) + 1), 0
-    filled = [0] * params.shards
+    dealt = deal(held, bounds, heavy, total, params.shards)
+    shard_of, offset, filled = [0] * (len(bounds) + 1), [0] * (len(bounds) + 1), [0] * params.shards
     for r in sorted(held):
-        size, n = held[r]
-        shard = min(params.shards - 1, (2 * before + size) * params.shards // (2 * total))
-        shard_of[r], offset[r] = shard, filled[shard]
-        filled[shard] += n
-        before += size
+        shard_of[r], offset[r] = dealt[r], filled[dealt[r]]
+        filled[dealt[r]] += held[r][1]
     order = Window.partitionBy("r").orderBy("h", "d", "s")
     return (
         records.withColumn("r", range_of(bounds))
@@ -165,4 +150,3 @@ def shard_documents(docs: DataFrame, params: ShardParams = ShardParams()) -> Dat
             F.lit(None).cast("int").alias("grown_shard"),
         )
     )
-

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, likely, stash, texts
+from .common import batch, likely, stash, texts, unused
 from .words import encode, span_hashes, window_hashes, word_hashes
 
 NO_ID = 2**63 - 1
@@ -184,27 +184,30 @@ def remove_repeats(docs: DataFrame, params: RepeatParams = RepeatParams(), with_
 
 
 def without_repeats(docs: DataFrame, params: RepeatParams = RepeatParams()) -> DataFrame:
-    """The documents, columns as they are, with repeated passages cut from their texts and n_chars brought up to date.
+    """The documents, columns as they are, with repeated passages cut from their texts and n_chars (if there is such a column) brought up to date.
 
     A text that loses nothing stays as it is; a document that loses every word goes.
     """
     names, schema = docs.columns, docs.schema
-    keyed = docs.withColumn("_d", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))).withColumn("_th", F.xxhash64(F.coalesce("text", F.lit(""))))
-    found = repeats(_keyed(docs), params).select(F.col("d").alias("_d"), F.col("th").alias("_th"), F.col("codes").alias("_codes"))
-    joined = keyed.join(found, ["_d", "_th"], "left").select(*names, "_codes")
-    text_at, size_at = names.index("text"), names.index("n_chars")
+    d, th, held = unused(docs, "d", "th", "codes")
+    keyed = docs.withColumn(d, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))).withColumn(th, F.xxhash64(F.coalesce("text", F.lit(""))))
+    found = repeats(_keyed(docs), params).select(F.col("d").alias(d), F.col("th").alias(th), F.col("codes").alias(held))
+    joined = keyed.join(found, [d, th], "left").select(*names, held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            given, sizes, stays = b.column("text").to_pylist(), b.column("n_chars").to_pylist(), np.ones(len(b), bool)
-            for k, codes in enumerate(b.column("_codes")):
+            given, stays, changed = b.column("text").to_pylist(), np.ones(len(b), bool), {}
+            for k, codes in enumerate(b.column(held)):
                 if codes.is_valid:
                     words = encode(given[k]).split()
                     drop = covered(len(words), codes.values.to_numpy(), params.width)
                     given[k] = b" ".join(w for w, x in zip(words, drop.tolist()) if not x).decode("utf-8", "surrogatepass")
-                    sizes[k], stays[k] = len(given[k]), not drop.all()
-            columns = [b.column(n) for n in names]
-            columns[text_at], columns[size_at] = pa.array(given, pa.string()), pa.array(sizes, pa.int64())
-            yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(stays))
+                    changed[k], stays[k] = len(given[k]), not drop.all()
+            columns = {n: b.column(n) for n in names}
+            columns["text"] = pa.array(given, pa.string())
+            if "n_chars" in columns:
+                sizes = columns["n_chars"].to_pylist()
+                columns["n_chars"] = pa.array([changed.get(k, x) for k, x in enumerate(sizes)], columns["n_chars"].type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names).filter(pa.array(stays))
 
     return joined.mapInArrow(run, schema)

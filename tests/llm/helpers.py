@@ -31,7 +31,7 @@ def docs(spark, rows=None, clashing=False):
     rows = awkward() if rows is None else rows
     frame = spark.createDataFrame([r if len(r) == 5 else (*r, "en", "src0", None if r[1] is None else len(r[1])) for r in rows], DOCS)
     if clashing:
-        for name in ("th", "node", "d", "sig", "shard", "slot", "rid", "r", "h", "code", "anchor", "content", "spans", "kept", "bin", "bucket", "text_", "score", "guest", "size"):
+        for name in ("th", "node", "d", "sig", "shard", "slot", "rid", "r", "h", "code", "anchor", "content", "spans", "kept", "bin", "bucket", "text_", "score", "guest", "size", "_d", "_th", "_codes", "codes", "_word", "_bits", "block", "key", "times"):
             from pyspark.sql import functions as F
 
             frame = frame.withColumn(name, F.lit(f"x-{name}"))

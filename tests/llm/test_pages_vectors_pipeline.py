@@ -172,7 +172,7 @@ def test_importances_against_brute_force(spark):
 def test_deep_and_broken_pages():
     from time import perf_counter
 
-    for html in ("<div>" * 100_000 + "x", "<div><b>" * 50_000 + "x", "<li>x<b>" * 50_000, "<p>x</i>" * 50_000, "<div>" * 50_000 + "x" + "</p></span>" * 50_000, '<a "' * 100_001 + "x", "<a " * 100_000 + '"x', "<table><tr><td>x" * 20_000):
+    for html in ("<p>x</p>" + "<div>" * 100_000 + "x", "<div><b>" * 50_000 + "x", "<li>x<b>" * 50_000, "<p>x</i>" * 50_000, "<div>" * 50_000 + "x" + "</p></span>" * 50_000, 'x<a "' * 100_001, "x" + "<a " * 100_000 + '"', "<table><tr><td>x" * 20_000):
         began = perf_counter()
         assert len(html_text.main_text(html_text.parse(html), frozenset())) and perf_counter() - began < 20
 
@@ -219,15 +219,37 @@ def test_top_k_of_few(spark):
 def test_bounds_hold():
     rng = np.random.default_rng(2)
     x, q = np.floor(rng.normal(size=(60, 6)) * 256), np.floor(rng.normal(size=(4, 6)) * 256)
-    order = np.argsort(x, axis=0)
-    rank = np.empty_like(order)
-    np.put_along_axis(rank, order, np.arange(60)[:, None], axis=0)
+    lists, at = topk.Lists(x), np.array([0, 3, 5, 59])
     for depth in (1, 5, 30, 60):
-        low, high = topk._bounds(x, rank, np.take_along_axis(x, order, axis=0), depth, q)
-        assert (low <= x @ q.T).all() and (x @ q.T <= high).all()
+        low, high = lists.bounds(at, depth, q)
+        assert (low <= x[at] @ q.T).all() and (x[at] @ q.T <= high).all()
     assert (low == high).all()
 
 
+def test_floors_cross_blocks():
+    """With a floor a cell keeps what reaches it, and looks closely at little else."""
+    rng = np.random.default_rng(9)
+    x, q = np.floor(rng.normal(size=(2000, 8)) * 256), np.floor(rng.normal(size=(5, 8)) * 256)
+    ids, exact = np.arange(2000), x @ q.T
+    floors = np.sort(exact, axis=0)[-3]
+    found = topk.aggregate(ids, x, np.arange(5000, 5005), q, floors, topk.TopKParams())
+    for c in range(5):
+        mine = [(i, s) for query, i, s in found if query == 5000 + c]
+        assert {i for i, s in mine if s >= floors[c]} == set(np.flatnonzero(exact[:, c] >= floors[c])) and all(s == exact[i, c] for i, s in mine)
+
+
+def test_top_k_of_huge_components(spark):
+    rows = [(0, [1e30, 1.0]), (50, [1.0, 2.0]), (1, [3.0, 1e17]), (2, [-1e308, 5.0]), (3, [2.5, -1.0]), (4, [1e30, 0.0]), (5, [7.0, 7.0]), (6, [-3.0, 4.0]), (7, [1e9, 1e9]), (8, [0.1, 0.2])]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(frame, topk.TopKParams(block=4)).collect())
+    whole = {i: [int(np.floor(256 * x)) if abs(x) < 1e300 else 256 * int(x) for x in v] for i, v in rows}
+    want = []
+    for q in (0, 50):
+        scores = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(whole[q], whole[i])))), i) for i in whole if i != q)[:5]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores)]
+    assert got == want
+
+
 # Components.
 
 
@@ -312,6 +334,10 @@ def test_stages_take_awkward_documents(spark, tmp_path):
         for _, stage in corpus_pipeline.STAGES[1:]:
             out = stage(spark, docs(spark, rows), str(tmp_path))
             assert out.count() >= 0 and (stage is corpus_pipeline.packing or out.schema.simpleString() == docs(spark, []).schema.simpleString())
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        given = docs(spark, clashing=True).drop("n_chars")
+        out = stage(spark, given, str(tmp_path))
+        assert out.count() > 0 and (stage is corpus_pipeline.packing or out.columns == given.columns)
     assert corpus_pipeline.quality(spark, docs(spark), str(tmp_path)).columns == [c.split()[0] for c in DOCS.split(", ")]
 
 

@@ -111,6 +111,39 @@ def test_neighbours(spark):
     assert fingerprints.compare_neighbours(docs(spark, [])).count() == 0
 
 
+def anchor_set(text):
+    return set((fingerprints.anchors(text)[1] >> np.uint64(32)).tolist()) or ({text} if text else set())
+
+
+def test_likeness_estimates_the_similarity_of_anchor_sets(spark):
+    rows = [(i, prose(60 + 40 * i, i)) for i in range(30)] + [(50 + i, edits(prose(400, 3), 5 * i, i)) for i in range(10)]
+    got = {r.doc_id: r for r in fingerprints.compare_neighbours(docs(spark, rows)).collect()}
+    ordered, errors = sorted(rows, reverse=True), []
+    for (i, text), (_, following) in zip(ordered, ordered[1:] + ordered[:1]):
+        a, b, c = map(anchor_set, (text, fingerprints.edited(text, following), following))
+        errors += [got[i].near_edited - len(a & b) / len(a | b), got[i].near_next - len(a & c) / len(a | c)]
+        # By position: what the first half has keeps its place.
+        own, new = (dict(reversed([*zip(*reversed(fingerprints.anchors(x)))])) for x in (text, fingerprints.edited(text, following)))
+        offsets = Counter(new[h] - own[h] for h in own.keys() & new.keys())
+        assert 0.3 < got[i].aligned_edited <= 1 and abs(got[i].aligned_edited - max(offsets.values()) / len(own)) < 0.05
+    assert np.abs(errors).max() < 0.25 and np.abs(errors).mean() < 0.05
+
+
+def test_rows_of_one_id_are_spread(spark, monkeypatch):
+    """Repeated rows and a hot id: every row is compared once, with neighbours as in a plain walk."""
+    monkeypatch.setattr(fingerprints, "MIN_RANGES", 16)
+    rows = [(None, prose(20, i)) for i in range(50)] + [(7, prose(20, 100 + i)) for i in range(80)] + [(5, "same text of one id")] * 90 + [(None, None)] * 40 + [(i, prose(9, i)) for i in range(20, 60)]
+    frame = docs(spark, rows).repartition(5)
+    got = fingerprints.compare_neighbours(frame).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows)
+    from pyspark.sql import functions as F
+
+    hashes = {(r.doc_id, r.text): r.h for r in frame.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).distinct().collect()}
+    ordered = sorted(((i is None, -(i or 0), hashes[i, t or ""], t or "") for i, t in rows))
+    want = Counter(sha256(fingerprints.edited(a[3], b[3]).encode()).hexdigest() for a, b in zip(ordered, ordered[1:] + ordered[:1]))
+    assert Counter(r.edited_sha256 for r in got) == want
+
+
 def test_likeness():
     a, b = prose(400, 1), prose(400, 2)
     f = fingerprints.fingerprint
@@ -267,16 +300,22 @@ def test_shards(spark, rows):
         assert max(sums) - min(sums) <= 0.12 * sum(sums) / 16 + 2 * max(r["size"] for r in got)
 
 
-def test_repeated_rows_are_divided(spark):
-    """Rows that agree in text and id go to as many shards as their bytes fill."""
+@pytest.mark.parametrize("ranges", [64, 1024])
+def test_equal_texts_stay_together(spark, ranges):
+    """Groups that fit a shard are whole; only what is larger than a shard is divided, and sums stay near equal."""
     rows = [(1, prose(50, 1))] * 200 + [(None, prose(50, 2))] * 200 + [(k, prose(50, k)) for k in range(10, 210)]
-    got = sharding.shard_documents(docs(spark, rows), sharding.ShardParams(min_ranges=64)).collect()
-    sums, slots = Counter(), defaultdict(list)
+    rows += [(1000 + 10 * g + k, prose(40, 2000 + g)) for g in range(40) for k in range(10)] + [(5000 + k, None) for k in range(300)]
+    got = sharding.shard_documents(docs(spark, rows), sharding.ShardParams(min_ranges=ranges)).collect()
+    sums, slots, groups = Counter(), defaultdict(list), defaultdict(set)
     for r in got:
         sums[r.shard] += r["size"]
         slots[r.shard].append(r.slot)
-    assert len(got) == 600 and all(sorted(x) == list(range(len(x))) for x in slots.values())
-    assert len(sums) == 16 and max(sums.values()) - min(sums.values()) <= 0.12 * sum(sums.values()) / 16 + 2 * max(r["size"] for r in got)
+        groups[r["size"], r.text_crc32].add(r.shard)
+    text = {(len((t or "").encode()) + 1, zlib.crc32((t or "").encode())): t for _, t in rows}
+    assert len(got) == len(rows) and all(sorted(x) == list(range(len(x))) for x in slots.values())
+    divided = {text[k] for k, shards in groups.items() if len(shards) > 1}
+    assert divided == {prose(50, 1), prose(50, 2)}
+    assert len(sums) == 16 and max(sums.values()) - min(sums.values()) <= 0.1 * sum(sums.values()) / 16
 
 
 # 7. Secrets.
