@@ -2,14 +2,23 @@
 
 Vectors are turned into integers, floor(scale * x).  Candidates are dealt to
 blocks by a hash of their ids, queries to groups; each (block, group) cell is
-one bounded unit of work, so rows grow with candidates x query groups and never
-with pairs.  In a cell every dimension is a list sorted by value.  The lists are
-read in step from their good end (top for positive query weights, bottom for
-negative ones).  What has been read of a candidate bounds its score from both
-sides: a value not read yet lies between the list's frontier and its far end.
-Reading stops when no outsider's upper bound reaches the k-th best lower bound;
-the scores of those still in play are then resolved exactly, with ties to the
-smaller id.  All sums are whole numbers below 2**53 in float64, so exact.
+one bounded unit of work.  In a cell every dimension is a list sorted by value.
+The lists are read in step from their good end (top for positive query weights,
+bottom for negative ones).  What has been read of a candidate bounds its score
+from both sides: a value not read yet lies between the list's frontier and its
+far end.  A candidate whose upper bound falls below the k-th best lower bound is
+an outsider and leaves; reading stops when only a few are left, whose scores are
+then resolved from the rest of their lists, with ties to the smaller id.
+
+Bounds cross blocks: the first block of candidates is searched first, and the
+k-th best score that it gives each query is where the search of the others
+begins, so most of their candidates leave at the first look.
+
+The work is that of a stated query set against all rows: each vector is sent
+once to each group of queries.  All sums are whole numbers below 2**53 in
+float64, so exact; pairs with a vector too wide for that are computed in whole
+numbers of any size.  A score beyond the range of a long shows, and counts, as
+its end.
 
 Vectors that are null or hold null or non-finite components take no part.
 Shorter vectors count as padded with zeros.  An id given several times is as
@@ -19,14 +28,16 @@ many candidates and one query (its least vector); null ids take no part; an empt
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import ceil
+from math import ceil, floor, isfinite
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import parallelism
+from .common import parallelism, stash
+
+LEAST, MOST = -(2**63), 2**63 - 1
 
 
 @dataclass(frozen=True)
@@ -40,47 +51,94 @@ class TopKParams:
     depths: tuple[float, ...] = (0.02, 0.1, 0.3, 0.6, 1.0)
 
 
-def _bounds(x: np.ndarray, rank: np.ndarray, ordered: np.ndarray, depth: int, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lower and upper bounds of every candidate's score for queries of weights ``q`` at a reading depth."""
-    n = len(x)
-    up, down = np.maximum(q, 0), np.minimum(q, 0)
-    top, bottom = ordered[-1], ordered[0]
-    front, back = ordered[max(n - depth, 0)], ordered[min(depth, n) - 1]
-    high, low = rank >= n - depth, rank < depth
-    least = np.where(high, x, bottom) @ up.T + np.where(low, x, top) @ down.T
-    most = np.where(high, x, np.minimum(front, top)) @ up.T + np.where(low, x, np.maximum(back, bottom)) @ down.T
-    return least, most
-
-
-def aggregate(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, params: TopKParams) -> list[tuple[int, int, int]]:
-    """The k best candidates of a cell for each query, as (query_id, vec_id, score)."""
-    order = np.argsort(x, axis=0, kind="stable")
-    rank = np.empty_like(order)
-    np.put_along_axis(rank, order, np.arange(len(x))[:, None], axis=0)
-    ordered = np.take_along_axis(x, order, axis=0)
-    self_of = ids[:, None] == query_ids[None, :]
-    need = params.k
-    found: list[tuple[int, int, int]] = []
-    open_queries = np.arange(len(query_ids))
+def whole(x: float, scale: int) -> int:
+    """floor(scale * x) of any finite double."""
+    return floor(x * scale) if isfinite(x * scale) else int(x) * scale
+
+
+class Lists:
+    """The candidates of a cell as one sorted list for each dimension."""
+
+    def __init__(self, x: np.ndarray):
+        order = np.argsort(x, axis=0, kind="stable")
+        self.x, self.n = x, len(x)
+        self.rank = np.empty_like(order)
+        np.put_along_axis(self.rank, order, np.arange(len(x))[:, None], axis=0)
+        self.ordered = np.take_along_axis(x, order, axis=0)
+
+    def bounds(self, at: np.ndarray, depth: int, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper bounds of the scores of candidates ``at`` for queries of weights ``q`` at a reading depth."""
+        x, rank, n = self.x[at], self.rank[at], self.n
+        up, down = np.maximum(q, 0).T, np.minimum(q, 0).T
+        front, back = self.ordered[max(n - depth, 0)], self.ordered[min(depth, n) - 1]
+        high, low = rank >= n - depth, rank < depth
+        least = np.where(high, x, self.ordered[0]) @ up + np.where(low, x, self.ordered[-1]) @ down
+        # A value not read is the frontier at most.
+        most = least + np.where(high, 0, front - self.ordered[0]) @ up + np.where(low, 0, back - self.ordered[-1]) @ down
+        return least, most
+
+
+def aggregate(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, floors: np.ndarray, params: TopKParams) -> list[tuple[int, int, int]]:
+    """The k best candidates of a cell for each query, as (query_id, vec_id, score); those under a query's floor may be left out."""
+    if not len(x) or not len(queries):
+        return []
+    lists, found, k = Lists(x), [], params.k
+    open_queries, at = np.arange(len(query_ids)), np.arange(len(x))
     for share in params.depths:
-        depth = max(1, ceil(share * len(x)))
-        least, most = _bounds(x, rank, ordered, depth, queries[open_queries])
-        own = self_of[:, open_queries]
+        least, most = lists.bounds(at, max(1, ceil(share * len(x))), queries[open_queries])
+        own = ids[at][:, None] == query_ids[open_queries][None, :]
         least[own], most[own] = -np.inf, -np.inf
-        kth = np.partition(least, max(len(x) - need, 0), axis=0)[max(len(x) - need, 0)]
+        kth = floors[open_queries]
+        if len(at) >= k:
+            kth = np.maximum(kth, np.partition(least, len(at) - k, axis=0)[len(at) - k])
         in_play = (most >= kth) & ~own
-        done = (in_play.sum(axis=0) <= 4 * need) | (share >= 1)
+        done = (in_play.sum(axis=0) <= 4 * k) | (share >= 1)
         for c in np.flatnonzero(done):
-            at = np.flatnonzero(in_play[:, c])
-            score = x[at] @ queries[open_queries[c]]
-            best = np.lexsort((ids[at], -score))[:need]
-            found += [(int(query_ids[open_queries[c]]), int(ids[at[b]]), int(score[b])) for b in best]
-        open_queries = open_queries[~done]
+            left = at[in_play[:, c]]
+            score = x[left] @ queries[open_queries[c]]
+            best = np.lexsort((ids[left], -score))[:k]
+            found += [(int(query_ids[open_queries[c]]), int(ids[left[b]]), int(score[b])) for b in best]
+        at, open_queries = at[in_play[:, ~done].any(axis=1)], open_queries[~done]
         if not len(open_queries):
             break
     return found
 
 
+def exact_pairs(ids: list[int], x: list[list[int]], query_id: int, q: list[int], k: int) -> list[tuple[int, int, int]]:
+    """The k best of some candidates for one query in whole numbers of any size."""
+    scores = [(-max(LEAST, min(MOST, sum(a * b for a, b in zip(v, q)))), i) for i, v in zip(ids, x) if i != query_id]
+    return [(query_id, i, -s) for s, i in sorted(scores)[:k]]
+
+
+def search_cell(cell: pd.DataFrame, params: TopKParams) -> list[tuple[int, int, int]]:
+    """The k best candidates for each query of a cell (vec_id, x, asks, least); a query has its k best in it, or fewer above its floor."""
+    width = max(map(len, cell["x"]))
+    x = np.zeros((len(cell), width))
+    for i, row in enumerate(cell["x"]):
+        x[i, : len(row)] = row
+    asks, ids = cell["asks"].to_numpy(bool), cell["vec_id"].to_numpy(np.int64)
+    if not width or not asks.any() or asks.all():
+        return []
+    # Vectors up to this size have exact inner products.
+    narrow = (np.abs(x) < np.sqrt(2.0**53 / width) / params.scale - 1).all(axis=1)
+    query_rows = np.flatnonzero(asks)[np.unique(ids[asks], return_index=True)[1]]
+    candidates = np.flatnonzero(~asks)
+    near, asking = candidates[narrow[candidates]], query_rows[narrow[query_rows]]
+    floors = cell["least"].to_numpy(np.float64, na_value=-np.inf)
+    z = np.floor(np.where(narrow[:, None], x, 0) * params.scale)
+    found = aggregate(ids[near], z[near], ids[asking], z[asking], floors[asking], params)
+    wide = candidates[~narrow[candidates]]
+    for r in query_rows:
+        rest = wide if narrow[r] else candidates
+        if len(rest):
+            numbers = {int(i): [whole(float(v), params.scale) for v in x[i]] for i in (*rest, r)}
+            found += exact_pairs(ids[rest].tolist(), [numbers[int(i)] for i in rest], int(ids[r]), numbers[int(r)], params.k)
+    return found
+
+
+FOUND = "query_id bigint, vec_id bigint, score bigint"
+
+
 def top_k(vectors: DataFrame, params: TopKParams = TopKParams(), id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The k best inner products of every query (id divisible by ``every``) with all other vectors.
 
@@ -90,27 +148,28 @@ def top_k(vectors: DataFrame, params: TopKParams = TopKParams(), id_col: str = "
         vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("x"))
         .where("vec_id is not null and x is not null")
         .where(~F.exists("x", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))))
-        .select("vec_id", F.transform("x", lambda e: F.floor(e * params.scale).cast("double")).alias("x"))
     )
     is_query = F.pmod("vec_id", F.lit(params.every)) == 0
     n, n_queries = v.agg(F.count("*"), F.count(F.when(is_query, 1))).first()
     blocks, groups = max(1, ceil(n / params.block)), max(1, ceil(n_queries / params.group))
-    numbers = lambda m: F.sequence(F.lit(0), F.lit(m - 1))
-    salted = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(blocks)).cast("int")
-    cells = v.select("vec_id", "x", salted.alias("block"), F.explode(numbers(groups)).alias("grp"), F.lit(False).alias("asks")).unionByName(
-        v.where(is_query).groupBy("vec_id").agg(F.min("x").alias("x")).select("vec_id", "x", F.explode(numbers(blocks)).alias("block"), F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int").alias("grp"), F.lit(True).alias("asks"))
-    )
+    numbers = lambda low, m: F.explode(F.sequence(F.lit(low), F.lit(m - 1)))
+    held = stash(v.withColumn("block", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(blocks)).cast("int")))
+    group = F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int").alias("grp")
+    queries = held.where(is_query).groupBy("vec_id").agg(F.min("x").alias("x")).select("vec_id", "x", group)
+    none = F.lit(None).cast("bigint").alias("least")
 
     def run(cell: pd.DataFrame) -> pd.DataFrame:
-        width = max(map(len, cell["x"]))
-        x = np.zeros((len(cell), width))
-        for i, row in enumerate(cell["x"]):
-            x[i, : len(row)] = row
-        asks, ids = cell["asks"].to_numpy(bool), cell["vec_id"].to_numpy(np.int64)
-        query_ids, first = np.unique(ids[asks], return_index=True)
-        found = aggregate(ids[~asks], x[~asks], query_ids, x[asks][first], params) if width and asks.any() and not asks.all() else []
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
-
-    best = cells.repartition(max(parallelism(vectors), 1), "block", "grp").groupBy("block", "grp").applyInPandas(run, "query_id bigint, vec_id bigint, score bigint")
+        return pd.DataFrame(search_cell(cell, params), columns=["query_id", "vec_id", "score"]).astype("int64")
+
+    def search(asked: DataFrame, low: int, high: int) -> DataFrame:
+        """The best of the blocks from low to high - 1 for queries with floors."""
+        some = held.where(F.col("block").between(low, high - 1)).select("vec_id", "x", none, "block", numbers(0, groups).alias("grp"), F.lit(False).alias("asks"))
+        cells = some.unionByName(asked.select("vec_id", "x", "least", numbers(low, high).alias("block"), "grp", F.lit(True).alias("asks")))
+        return cells.repartition(max(parallelism(vectors), 1), "block", "grp").groupBy("block", "grp").applyInPandas(run, FOUND)
+
+    found = stash(search(queries.withColumn("least", none), 0, 1))
+    if blocks > 1:
+        floors = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") >= params.k)
+        found = found.unionByName(search(queries.join(floors.drop("n"), "vec_id", "left").select("vec_id", "x", "grp", "least"), 1, blocks))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= params.k)
+    return found.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= params.k)
