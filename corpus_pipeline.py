@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixmill.llm.common import stash, table
+from helixmill.llm.common import stash, table, unused
 from helixmill.llm.ngram_join import NO_ID, near_duplicates
 from helixmill.llm.packing import pack_documents
 from helixmill.llm.quality import keep_good
@@ -27,10 +27,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class: that with the least id, null ids last (one row of repeated ones)."""
     # Ids may be null or given to several texts, so classes have a key of their own; of one id's texts, the least hash stands for the class.
-    first = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("_d"), F.col("th").alias("_th")))
-    stays = near_duplicates(docs).groupBy("class_key").agg(first.alias("first")).select("first.*")
-    keyed = docs.withColumn("_d", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("_th", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return keyed.join(stays, ["_d", "_th"]).dropDuplicates(["_d", "_th"]).select(*docs.columns)
+    d, th = unused(docs, "d", "th")
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias(d), F.col("th").alias(th))).alias("first")
+    stays = near_duplicates(docs).groupBy("class_key").agg(first).select("first.*")
+    keyed = docs.withColumn(d, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))).withColumn(th, F.xxhash64(F.coalesce("text", F.lit(""))))
+    return keyed.join(stays, [d, th]).dropDuplicates([d, th]).select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
