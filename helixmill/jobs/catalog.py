@@ -16,7 +16,7 @@ from ..functions import dna, packing
 from ..functions.params import SketchParams, ordered
 from ..operators import compare, evaluate, matrix, minimizers, sketch, superkmers
 from ..sources.fasta import records_of
-from ..streaming.folder import sketch_once
+from ..streaming.folder import scratch, sketch_once
 from . import sql
 
 SMALL = SketchParams(15, 5, 4)
@@ -30,6 +30,11 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
+def number() -> Column:
+    """A source's number; documents whose source has none belong to no collection."""
+    return F.regexp_extract("source", "([0-9]+)", 1).try_cast("bigint")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -39,8 +44,7 @@ def by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    numbered = documents(spark, sf_dir).withColumn("number", F.regexp_extract("source", "([0-9]+)", 1).cast("bigint"))
-    return records_of(numbered, "number")
+    return records_of(documents(spark, sf_dir).withColumn("number", number()), "number")
 
 
 def by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +56,13 @@ def by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 LANGUAGE = "-CAST(ascii(lang) AS BIGINT) * 256 - ascii(substr(lang, 2, 1))"
 
 
+def written(frame: DataFrame) -> DataFrame:
+    """Write a frame to the shared folder and reread it, so that what uses it several times computes it once."""
+    path = scratch(frame.sparkSession)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.parquet(path)
+
+
 def query(text: str | None) -> Callable[[Query], Query]:
     """Register a query, with SQL for the same result if there is any."""
 
@@ -86,24 +97,26 @@ def nuc_encode(spark, sf_dir):
     return of_seq(dna.digits(F.col("seq")), "digits")(spark, sf_dir)
 
 
-@query(f"WITH {sql.records()} SELECT sketch_id AS doc_id, substr(seq, 1, 31) AS head, {sql.fold("translate(substr(seq, 1, 31), 'ACTG', '0123')")} AS code FROM recs WHERE length(seq) >= 31")
+def positions_sql(size: int) -> str:
+    """CTEs up to ``spot`` (doc_id, pos, word): every word of so many bases."""
+    return f"{sql.records()}, spot AS (SELECT sketch_id AS doc_id, pos, substr(seq, CAST(pos + 1 AS INT), {size}) AS word FROM (SELECT sketch_id, seq, unnest(generate_series(0, length(seq) - {size})) AS pos FROM recs WHERE length(seq) >= {size}))"
+
+
+@query(f"WITH {positions_sql(31)} SELECT doc_id, CAST(pos AS BIGINT) AS pos, word, {sql.fold("translate(word, 'ACTG', '0123')")} AS code FROM spot")
 def num_decode(spark, sf_dir):
-    code = dna.number(dna.digits(F.substring("seq", 1, 31)))
-    rows = by_document(spark, sf_dir).where(F.length("seq") >= 31).select(F.col("sketch_id").alias("doc_id"), code.alias("code"))
-    return rows.select("doc_id", dna.text_of(F.col("code"), 31).alias("head"), "code")
+    """Every word of 31 bases as a number, and the bases that the number stands for."""
+    found = minimizers.mmers(by_document(spark, sf_dir), 31)
+    return found.select(F.col("sketch_id").alias("doc_id"), "pos", dna.text_of(F.col("code"), 31).alias("word"), "code")
 
 
-@query(f"WITH {sql.records()}, d AS (SELECT sketch_id, translate(substr(seq, 1, 31), 'ACTG', '0123') AS x FROM recs WHERE length(seq) >= 31) SELECT sketch_id AS doc_id, {sql.kmer(WIDE, 'x')} AS kmer FROM d")
+@query(f"WITH {positions_sql(31)}, d AS (SELECT doc_id, pos, translate(word, 'ACTG', '0123') AS x FROM spot) SELECT doc_id, CAST(pos AS BIGINT) AS pos, {sql.kmer(WIDE, 'x')} AS kmer FROM d")
 def canonical_kmer(spark, sf_dir):
-    head = dna.digits(F.substring("seq", 1, 31))
-    return by_document(spark, sf_dir).where(F.length("seq") >= 31).select(F.col("sketch_id").alias("doc_id"), minimizers.kmer_key(dna.canonical(head), 31).alias("kmer"))
+    return minimizers.kmers(by_document(spark, sf_dir), WIDE).select(F.col("sketch_id").alias("doc_id"), "pos", "kmer")
 
 
-@query(f"WITH {sql.records()}, dd AS (SELECT sketch_id, translate(substr(seq, 1, 11), 'ACTG', '0123') AS x FROM recs WHERE length(seq) >= 11), dc AS (SELECT sketch_id, least(x, {sql.turned('x')}) AS cd FROM dd), u AS (SELECT DISTINCT cd FROM dc),{sql.hashes('u')} SELECT sketch_id AS doc_id, cm AS mmer, ho FROM dc JOIN hashed USING (cd)")
+@query(f"WITH {positions_sql(11)}, dd AS (SELECT doc_id, pos, translate(word, 'ACTG', '0123') AS x FROM spot), dc AS (SELECT doc_id, pos, least(x, {sql.turned('x')}) AS cd FROM dd), u AS (SELECT DISTINCT cd FROM dc),{sql.hashes('u')} SELECT doc_id, CAST(pos AS BIGINT) AS pos, cm AS mmer, ho FROM dc JOIN hashed USING (cd)")
 def mmer_hash(spark, sf_dir):
-    code = dna.number(dna.canonical(dna.digits(F.substring("seq", 1, 11))))
-    rows = by_document(spark, sf_dir).where(F.length("seq") >= 11).select(F.col("sketch_id").alias("doc_id"), code.alias("mmer"))
-    return rows.withColumn("ho", dna.hash_order(F.col("mmer")))
+    return minimizers.mmers(by_document(spark, sf_dir), 11).select(F.col("sketch_id").alias("doc_id"), "pos", "mmer", "ho")
 
 
 def _rates_sql(p: SketchParams) -> str:
@@ -136,7 +149,7 @@ def short_record_filter(spark, sf_dir):
 
 @query(f"WITH {sql.records()}, d AS (SELECT sketch_id, translate(seq, 'ACTG', '0123') AS d FROM recs WHERE length(seq) >= 21), x AS (SELECT sketch_id, d, unnest(generate_series(0, length(d) - 21)) AS pos FROM d) SELECT sketch_id, CAST(pos AS BIGINT) AS pos, {sql.kmer(MAIN, 'substr(d, pos + 1, 21)')} AS kmer FROM x")
 def kmer_explode(spark, sf_dir):
-    return minimizers.kmers(by_document(spark, sf_dir), MAIN).select("sketch_id", F.col("pos").cast("bigint").alias("pos"), minimizers.kmer_key(F.col("kc"), MAIN.k).alias("kmer"))
+    return minimizers.kmers(by_document(spark, sf_dir), MAIN).select("sketch_id", "pos", "kmer")
 
 
 SPECTRUM = f"WITH {sql.records()}, d AS (SELECT sketch_id, translate(seq, 'ACTG', '0123') AS d FROM recs WHERE length(seq) >= 21), x AS (SELECT sketch_id, d, unnest(generate_series(0, length(d) - 21)) AS pos FROM d), y AS (SELECT sketch_id, {sql.kmer(MAIN, 'substr(d, pos + 1, 21)')} AS kmer FROM x) SELECT sketch_id, kmer, CAST(count(*) AS BIGINT) AS cnt FROM y GROUP BY ALL"
@@ -157,8 +170,7 @@ def kmer_abundance_filter(spark, sf_dir):
 
 @query(f"WITH {sql.minimizers(MAIN)} SELECT sketch_id, CAST(pos AS BIGINT) AS pos, minimizer, ho, CAST(mpos AS BIGINT) AS mpos, is_rev FROM mins")
 def minimizer_per_kmer(spark, sf_dir):
-    wide = lambda c: F.col(c).cast("bigint").alias(c)
-    return minimizers.minimizers(by_document(spark, sf_dir), MAIN).select("sketch_id", wide("pos"), "minimizer", "ho", wide("mpos"), "is_rev")
+    return minimizers.minimizers(by_document(spark, sf_dir), MAIN).select("sketch_id", "pos", "minimizer", "ho", "mpos", "is_rev")
 
 
 @query(f"WITH {sql.minimizers(MAIN)} SELECT minimizer, CAST(count(*) AS BIGINT) AS n_kmers, CAST(count(DISTINCT sketch_id) AS BIGINT) AS n_sketches FROM mins GROUP BY minimizer")
@@ -203,14 +215,50 @@ def superkmer_rebuild(spark, sf_dir):
     return superkmers.rebuild(sketch.build(by_document(spark, sf_dir), MAIN), MAIN)
 
 
-@query(None)
+@query(f"WITH {sql.sketch(MAIN)} SELECT sketch_id, kmer FROM sk")
+def rebuilt_kmers(spark, sf_dir):
+    """The k-mers that rebuilt super-k-mers hold: those of the sketch."""
+    return superkmers.kmers_of(superkmer_rebuild(spark, sf_dir), MAIN)
+
+
+SEQUENCES = f"{sql.segments(MAIN)}, long AS (SELECT seg.*, CASE WHEN is_rev THEN translate(reverse(substr(seq, CAST(start + 1 AS INT), CAST(len AS INT))), 'ACGT', 'TGCA') ELSE substr(seq, CAST(start + 1 AS INT), CAST(len AS INT)) END AS word FROM seg JOIN recs USING (sketch_id, rec_id) WHERE selected)"
+
+
+def selected_sequences(spark, sf_dir) -> DataFrame:
+    return superkmers.super_kmers(by_document(spark, sf_dir), MAIN, with_seq=True).where("selected")
+
+
+@query(f"WITH {SEQUENCES} SELECT sketch_id, start, word AS seq FROM long")
+def superkmer_sequences(spark, sf_dir):
+    """Selected super-k-mers, read so that the minimizer is in its canonical form."""
+    return superkmers.oriented(selected_sequences(spark, sf_dir)).select("sketch_id", "start", "seq")
+
+
+@query(f"WITH {SEQUENCES} SELECT sketch_id, start, minimizer, substr(word, 1, 14) AS \"left\", substr(word, 22, 14) AS \"right\", word AS seq FROM long WHERE is_maximal")
+def maximal_flanks(spark, sf_dir):
+    """Maximal super-k-mers as stored (minimizer and flanks), and put together again."""
+    parts = superkmers.flanks(selected_sequences(spark, sf_dir), MAIN).drop("rec_id")
+    return parts.withColumn("seq", dna.with_minimizer(F.col("left"), dna.text_of(F.col("minimizer"), MAIN.m), F.col("right")))
+
+
+@query(f"WITH {sql.sketch(MAIN)} SELECT sketch_id, kmer FROM sk")
+def superkmer_kmers(spark, sf_dir):
+    """Sketches decoded from their super-k-mers."""
+    return superkmers.kmers_of(selected_sequences(spark, sf_dir), MAIN)
+
+
+_SINES = "list_sum(list_transform(generate_series(1, {m}), lambda i: CAST(substr({d}, CAST(i AS INT), 1) AS DOUBLE) * sin(2 * pi() * (i - 1) / {m})))"
+DECYCLING = f"""WITH {positions_sql(MAIN.m)}, w AS (SELECT translate(word, 'ACTG', '0123') AS md, count(*) AS n FROM spot GROUP BY ALL),
+v AS (SELECT n, {_SINES.format(m=MAIN.m, d="md")} AS here, {_SINES.format(m=MAIN.m, d="(substr(md, 2) || substr(md, 1, 1))")} AS turned FROM w)
+SELECT CAST(CASE WHEN here > 1e-6 AND turned < 1e-6 THEN 2 WHEN here < -1e-6 AND turned > -1e-6 THEN 1 ELSE 0 END AS INTEGER) AS "class", CAST(sum(n) AS BIGINT) AS n_mmers, CAST(count(*) AS BIGINT) AS n_distinct FROM v GROUP BY ALL"""
+
+
+@query(DECYCLING)
 def decycling_class(spark, sf_dir):
     """How many m-mers of all documents are in each class of the decycling set."""
-    dealt = minimizers.strands(minimizers.chunks(by_document(spark, sf_dir), MAIN))
-    at = F.sequence(F.lit(0), F.col("n") - MAIN.m)
-    words = dealt.select("fw", "rv", "n", F.explode(at).alias("off")).select(minimizers.word(MAIN.m)[0].cast("string").alias("md"))
-    each = words.groupBy("md").agg(F.count("*").alias("n"))
-    return each.groupBy(dna.decycling_class(F.col("md"), MAIN.m).alias("class")).agg(F.sum("n").alias("n_mmers"), F.count("*").alias("n_distinct"))
+    each = minimizers.mmers(by_document(spark, sf_dir), MAIN.m).groupBy("code").agg(F.count("*").alias("n"))
+    digits = F.lpad(F.conv(F.col("code").cast("string"), 10, 4), MAIN.m, "0")
+    return each.groupBy(dna.decycling_class(digits, MAIN.m).alias("class")).agg(F.sum("n").alias("n_mmers"), F.count("*").alias("n_distinct"))
 
 
 # Sketches.
@@ -251,12 +299,26 @@ def bucket_sizes(spark, sf_dir):
     return sketch.build(by_document(spark, sf_dir), MAIN).groupBy("minimizer").agg(F.countDistinct("kmer").alias("n_kmers"), F.count("*").alias("n_rows"), F.countDistinct("sketch_id").alias("n_sketches"))
 
 
-@query(None)
+_BYTE = " + ".join(f"{4 ** (3 - i)} * (instr('ACTG', substr(padded, CAST(i4 + {i + 1} AS INT), 1)) - 1)" for i in range(4))
+
+
+@query(f"""WITH {SEQUENCES}, pad AS (SELECT sketch_id, start, len, word, rpad(word, CAST((len + 3) // 4 * 4 AS INT), 'A') AS padded FROM long)
+SELECT sketch_id, start, printf('%02X', CAST(len % 4 AS INT)) || array_to_string(list_transform(generate_series(0, CAST(length(padded) - 1 AS BIGINT), 4), lambda i4: printf('%02X', CAST({_BYTE} AS INT))), '') AS packed_hex, word AS unpacked FROM pad""")
 def sketch_pack(spark, sf_dir):
-    """Rebuilt super-k-mers at two bits a base, and back."""
-    rebuilt = superkmer_rebuild(spark, sf_dir)
-    packed = rebuilt.select("sketch_id", "minimizer", "seq", packing.pack(F.col("seq")).alias("packed"))
-    return packed.select("sketch_id", "minimizer", F.hex("packed").alias("packed_hex"), (packing.unpack(F.col("packed")) == F.col("seq")).alias("round_trip"))
+    """Selected super-k-mers at two bits a base, and back."""
+    found = superkmers.oriented(selected_sequences(spark, sf_dir)).select("sketch_id", "start", packing.pack(F.col("seq")).alias("packed"))
+    return found.select("sketch_id", "start", F.hex("packed").alias("packed_hex"), packing.unpack(F.col("packed")).alias("unpacked"))
+
+
+@query(None)
+def output_metrics(spark, sf_dir):
+    """What packing each sketch into super-k-mers gives."""
+    return sketch.output_metrics(by_document(spark, sf_dir), MAIN)
+
+
+@query(f"WITH {sql.records()} SELECT sketch_id, format('{{:,}}', CAST(sum(length(seq) - 20) AS BIGINT)) AS n_kmers FROM recs WHERE length(seq) >= 21 GROUP BY sketch_id")
+def formatted_counts(spark, sf_dir):
+    return sketch.total_kmers(by_document(spark, sf_dir), MAIN).select("sketch_id", dna.thousands(F.col("total_kmers")).alias("n_kmers"))
 
 
 @query(f"WITH {sql.sketch(MAIN)} SELECT * FROM sk")
@@ -279,9 +341,9 @@ def cardinality(spark, sf_dir):
     return compare.cardinality(main_sketch(spark, sf_dir))
 
 
-@query(f"WITH {sql.sketch(MAIN)} SELECT minimizer, kmer, CAST(count(DISTINCT sketch_id) AS BIGINT) AS n_sketches, array_to_string(list_sort(list(DISTINCT sketch_id)), ',') AS sketch_ids FROM sk GROUP BY minimizer, kmer HAVING count(DISTINCT sketch_id) > 1")
+@query(f"WITH {sql.sketch(MAIN)} SELECT minimizer, kmer, sketch_id, n_sketches FROM (SELECT *, CAST(count(*) OVER (PARTITION BY minimizer, kmer) AS BIGINT) AS n_sketches FROM sk) WHERE n_sketches > 1")
 def color_map(spark, sf_dir):
-    return compare.color_map(main_sketch(spark, sf_dir)).withColumn("sketch_ids", F.array_join(F.col("sketch_ids").cast("array<string>"), ","))
+    return compare.color_map(main_sketch(spark, sf_dir))
 
 
 def pairs_sql(p: SketchParams, columns: str, where: str = "", of: str = "doc_id") -> str:
@@ -326,20 +388,38 @@ def query_vs_bank(spark, sf_dir):
     return compare.against_bank(sketch.build(by_language(spark, sf_dir), MAIN), sketch.build(by_source(spark, sf_dir), MAIN))
 
 
+def jaccard_cells(held: DataFrame) -> DataFrame:
+    sizes = compare.cardinality(held)
+    return matrix.dense(compare.scored(compare.shared(held), sizes), sizes, "jaccard")
+
+
+def source_sketch(spark, sf_dir) -> DataFrame:
+    return written(sketch.build(by_source(spark, sf_dir), MAIN))
+
+
+def every_kmer(spark, sf_dir) -> DataFrame:
+    """All k-mers of the sources, from one pass over the sequences."""
+    return written(sketch.build(by_source(spark, sf_dir), SketchParams(MAIN.k, MAIN.m, 1)))
+
+
+def at_rate(every: DataFrame, p: SketchParams) -> DataFrame:
+    """The sketch of a rate as part of all k-mers."""
+    return every.where(dna.hash_order(F.col("minimizer")) <= F.lit(ordered(p.threshold())).cast("bigint"))
+
+
 def source_cells(spark, sf_dir, column: str = "jaccard") -> DataFrame:
-    held = sketch.build(by_source(spark, sf_dir), MAIN)
+    held = source_sketch(spark, sf_dir)
+    if column == "jaccard":
+        return jaccard_cells(held)
     sizes = compare.cardinality(held)
     pairs = compare.scored(compare.shared(held), sizes)
-    if column == "containment":
-        back = pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("containment_ji").alias("containment"))
-        return matrix.dense(pairs.select("i", "j", F.col("containment_ij").alias("containment")).unionByName(back), sizes, "containment", symmetric=False)
-    return matrix.dense(pairs, sizes, column)
+    back = pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("containment_ji").alias("containment"))
+    return matrix.dense(pairs.select("i", "j", F.col("containment_ij").alias("containment")).unionByName(back), sizes, "containment", symmetric=False)
 
 
-def exact_cells(spark, sf_dir) -> DataFrame:
-    every = sketch.build(by_source(spark, sf_dir), SketchParams(MAIN.k, MAIN.m, 1))
-    sizes = compare.cardinality(every)
-    return matrix.dense(compare.scored(compare.shared(every), sizes), sizes, "jaccard")
+def exact_and_estimate(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    every = every_kmer(spark, sf_dir)
+    return jaccard_cells(every), jaccard_cells(at_rate(every, MAIN))
 
 
 @query(f"WITH {sql.sketch(MAIN, sql.SOURCE)},{sql.PAIRS},{sql.dense('jaccard')} SELECT * FROM cells")
@@ -362,10 +442,10 @@ def matrix_reorder(spark, sf_dir):
     """The matrix with its axes in order of falling sketch size."""
     from pyspark.sql import Window
 
-    sizes = compare.cardinality(sketch.build(by_source(spark, sf_dir), MAIN))
+    held = source_sketch(spark, sf_dir)
     # One row a sketch of a dense matrix: few by nature.
     place = F.row_number().over(Window.orderBy(F.desc("n"), "sketch_id")).cast("bigint") - 1
-    return matrix.reorder(source_cells(spark, sf_dir), sizes.select("sketch_id", place.alias("place")))
+    return matrix.reorder(jaccard_cells(held), compare.cardinality(held).select("sketch_id", place.alias("place")))
 
 
 # Evaluation.
@@ -373,17 +453,17 @@ def matrix_reorder(spark, sf_dir):
 
 @query(f"WITH {sql.both(MAIN, sql.SOURCE)} SELECT * FROM exact")
 def exact_jaccard(spark, sf_dir):
-    return exact_cells(spark, sf_dir)
+    return jaccard_cells(every_kmer(spark, sf_dir))
 
 
 @query(f"WITH {sql.both(MAIN, sql.SOURCE)} SELECT round(t, 9) AS mean_truth, round(e, 9) AS mean_estimate, round(abs(t - e), 9) AS diff FROM (SELECT avg(value) AS t FROM exact), (SELECT avg(value) AS e FROM cells)")
 def error_mean_abs(spark, sf_dir):
-    found = evaluate.mean_error(exact_cells(spark, sf_dir), source_cells(spark, sf_dir))
+    found = evaluate.mean_error(*exact_and_estimate(spark, sf_dir))
     return found.select(*(F.round(c, 9).alias(c) for c in found.columns))
 
 
 def source_triangle(spark, sf_dir) -> DataFrame:
-    return evaluate.triangle(exact_cells(spark, sf_dir), source_cells(spark, sf_dir))
+    return evaluate.triangle(*exact_and_estimate(spark, sf_dir))
 
 
 @query(f"WITH {sql.both(MAIN, sql.SOURCE)} SELECT round(avg(estimate), 9) AS mean, round(stddev_pop(estimate), 9) AS std, round(median(estimate), 9) AS median, round(max(estimate), 9) AS max, round(min(estimate), 9) AS min FROM tri")
@@ -406,8 +486,11 @@ def harmonic_mean(spark, sf_dir):
 @query(f"WITH {sql.both(MAIN, sql.SOURCE)}, z AS (SELECT CAST(sum(n) AS DOUBLE) AS size FROM sizes), d AS (SELECT abs((SELECT avg(value) FROM exact) - (SELECT avg(value) FROM cells)) AS diff) SELECT round(diff, 9) AS value, 'error' AS type, CAST({MAIN.s} AS BIGINT) AS threshold, size, 'sketch' AS tool FROM d, z")
 def benchmark_table(spark, sf_dir):
     """Error of the sketch's rate beside its size in k-mers."""
-    size = compare.cardinality(sketch.build(by_source(spark, sf_dir), MAIN)).agg(F.sum("n").alias("size"))
-    diffs = error_mean_abs(spark, sf_dir).join(size, F.lit(True)).select("diff", "size", F.lit(MAIN.s).cast("bigint").alias("threshold"))
+    every = every_kmer(spark, sf_dir)
+    held = at_rate(every, MAIN)
+    size = compare.cardinality(held).agg(F.sum("n").alias("size"))
+    error = evaluate.mean_error(jaccard_cells(every), jaccard_cells(held)).select(F.round("diff", 9).alias("diff"))
+    diffs = error.join(size, F.lit(True)).select("diff", "size", F.lit(MAIN.s).cast("bigint").alias("threshold"))
     return evaluate.benchmark_rows(diffs, "size", "sketch")
 
 

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
+from ..functions.hashing import P1, P2, P3, P4, P5, SEED
 from ..functions.params import SketchParams, ordered
 
-SOURCE = "CAST(regexp_extract(source, '([0-9]+)', 1) AS BIGINT)"
+SOURCE = "TRY_CAST(regexp_extract(source, '([0-9]+)', 1) AS BIGINT)"
 MASK = "18446744073709551616::UHUGEINT"
-#: The five primes of XXH64.
-P1, P2, P3, P4, P5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
-SEED = 1312
 
 
 def fold(d: str) -> str:
@@ -21,7 +19,9 @@ def turned(d: str) -> str:
 
 
 def records(sketch: str = "doc_id") -> str:
-    return f"recs AS (SELECT {sketch} AS sketch_id, doc_id AS rec_id, upper(regexp_replace(coalesce(text, ''), '[^ACGTacgt]', '', 'g')) AS seq FROM documents)"
+    """Cleaned records; those that belong to no sketch are left out."""
+    rows = f"SELECT {sketch} AS sketch_id, doc_id AS rec_id, upper(regexp_replace(coalesce(text, ''), '[^ACGTacgt]', '', 'g')) AS seq FROM documents"
+    return f"recs AS (SELECT * FROM ({rows}) WHERE sketch_id IS NOT NULL)"
 
 
 def hashes(codes: str) -> str:
@@ -53,10 +53,10 @@ spots AS (SELECT sketch_id, rec_id, d, unnest(generate_series(0, length(d) - {p.
 mm AS (SELECT sketch_id, rec_id, pos, substr(d, pos + 1, {p.m}) AS md, CASE WHEN pos <= length(d) - {p.k} THEN substr(d, pos + 1, {p.k}) END AS kd FROM spots),
 mc AS (SELECT *, least(md, {turned("md")}) AS cd FROM mm),
 distinct_codes AS (SELECT DISTINCT cd FROM mc),{hashes("distinct_codes")},
-keyed AS (SELECT mc.*, cm, ho, cd <> md AS rev, ho::HUGEINT * 1048576 + pos AS key FROM mc JOIN hashed USING (cd)),
+keyed AS (SELECT sketch_id, rec_id, pos, kd, ((ho::HUGEINT + 9223372036854775808::HUGEINT) * 1048576 + pos) * 2 + (cd <> md)::INT AS key FROM mc JOIN hashed USING (cd)),
 best AS (SELECT sketch_id, rec_id, pos, kd, min(key) OVER (PARTITION BY sketch_id, rec_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {p.k - p.m} FOLLOWING) AS key FROM keyed),
-mins AS (SELECT b.sketch_id, b.rec_id, b.pos, b.kd, o.cm AS minimizer, o.ho, o.pos AS mpos, o.rev AS is_rev
-         FROM best b JOIN keyed o ON b.sketch_id = o.sketch_id AND b.rec_id = o.rec_id AND b.key = o.key WHERE b.kd IS NOT NULL)"""
+told AS (SELECT sketch_id, rec_id, pos, kd, (key // 2097152 - 9223372036854775808::HUGEINT)::BIGINT AS ho, CAST(key // 2 % 1048576 AS BIGINT) AS mpos, key % 2 = 1 AS is_rev FROM best WHERE kd IS NOT NULL),
+mins AS (SELECT sketch_id, rec_id, pos, kd, cm AS minimizer, told.ho, mpos, is_rev FROM told JOIN hashed ON told.ho = hashed.ho)"""
 
 
 def kmer(p: SketchParams, d: str = "kd") -> str:

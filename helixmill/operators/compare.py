@@ -21,20 +21,40 @@ def cardinality(sketch: DataFrame) -> DataFrame:
 
 
 def color_map(sketch: DataFrame) -> DataFrame:
-    """k-mers of several sketches with the sorted ids that hold them: minimizer, kmer, n_sketches and sketch_ids."""
-    held = sketch.groupBy("minimizer", "kmer").agg(F.array_sort(F.collect_set("sketch_id")).alias("sketch_ids"))
-    return held.withColumn("n_sketches", F.size("sketch_ids").cast("bigint")).where("n_sketches > 1")
+    """k-mers of several sketches, one row for each sketch that holds them: minimizer, kmer, sketch_id and n_sketches.
+
+    Long rows, so a k-mer of any number of sketches is no single large value.
+    """
+    held = sketch.groupBy("minimizer", "kmer").agg(F.count("*").alias("n_sketches")).where("n_sketches > 1")
+    return sketch.select("minimizer", "kmer", "sketch_id").join(held, ["minimizer", "kmer"])
+
+
+#: Sketches of a block when the holders of a k-mer are paired.
+HOLDERS = 256
 
 
 def shared(sketch: DataFrame) -> DataFrame:
     """Shared k-mers of each pair i < j that has any: i, j and n_shared.
 
-    An equi-join on (minimizer, k-mer); tables bucketed by both keys
-    meet bucket by bucket, without an exchange.
+    K-mers held by the same sketches are counted together first (the set of
+    holders is told by a digest of 128 bits and its size), so a set of d
+    sketches makes its pairs once, however many k-mers its members share.  The
+    pairs of large sets are made block by block.  Tables bucketed by minimizer
+    and k-mer are grouped without an exchange.
     """
-    a = sketch.select("minimizer", "kmer", F.col("sketch_id").alias("i"))
-    b = sketch.select("minimizer", "kmer", F.col("sketch_id").alias("j"))
-    return a.join(b, ["minimizer", "kmer"]).where("i < j").groupBy("i", "j").agg(F.count("*").alias("n_shared"))
+    digest = lambda salt: F.bit_xor(F.xxhash64(F.lit(salt), "sketch_id"))
+    kmers = sketch.groupBy("minimizer", "kmer").agg(F.count("*").alias("d"), digest(1).alias("x"), digest(2).alias("y")).where("d > 1")
+    sets = kmers.groupBy("d", "x", "y").agg(F.count("*").alias("weight"), F.min(F.struct("minimizer", "kmer")).alias("one"))
+    holders = sketch.select("minimizer", "kmer", "sketch_id").join(sets.select("d", "x", "y", "weight", "one.*"), ["minimizer", "kmer"])
+    blocks = F.ceil(F.col("d") / HOLDERS).cast("int")
+    own = F.pmod(F.xxhash64("sketch_id", F.lit(3)), blocks).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(k, own).alias("low"), F.greatest(k, own).alias("high")))
+    dealt = holders.select("x", "y", "d", "weight", "sketch_id", own.alias("own"), F.inline(cells))
+    key = ["x", "y", "d", "low", "high"]
+    a = dealt.where("own = low").select(*key, "weight", F.col("sketch_id").alias("i"))
+    b = dealt.where("own = high").select(*key, F.col("sketch_id").alias("j"))
+    pairs = a.join(b, key).where("low < high or i < j")
+    return pairs.groupBy(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).agg(F.sum("weight").alias("n_shared"))
 
 
 def scored(pairs: DataFrame, sizes: DataFrame) -> DataFrame:

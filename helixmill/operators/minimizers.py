@@ -1,92 +1,167 @@
-"""Minimizers of all k-mers of a table of sequences.
+"""Words and minimizers of all positions of a table of sequences.
 
 Sequences are cut into chunks of bounded length that overlap by k-1 bases and
 dealt to partitions while they are still compact, so no long sequence stays in
-one task.  A chunk's m-mer hashes are one array; each k-mer takes the least of
-its slice.  Nothing is sorted, and only selected k-mers leave the task.  A
-k-mer's minimizer depends on the k-mer alone, so chunks don't change the result.
+one task.  In a task, blocks of chunks are arrays of two-bit codes: m-mers,
+hashes and the sliding minimum are computed for all positions at once, and only
+selected k-mers become rows.  A k-mer's minimizer depends on the k-mer alone, so
+chunks don't change a result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import dna
+from ..functions import hashing
 from ..functions.params import MAX_INT_K, SketchParams, ordered
 
-CHUNK = 1024
+CHUNK = 16_384
+#: Bases that a task works on at once.
+BLOCK = 1 << 19
 KEY = ("sketch_id", "rec_id")
 
 
-def chunks(records: DataFrame, p: SketchParams, chunk: int = CHUNK) -> DataFrame:
-    """Digit strings of at most ``chunk + k - 1`` bases: sketch_id, rec_id, base (offset) and d.
+def chunks(records: DataFrame, k: int, chunk: int = CHUNK) -> DataFrame:
+    """Pieces of at most ``chunk + k - 1`` bases: sketch_id, rec_id, base (offset) and bases (bytes).
 
-    Records shorter than k are left out.
+    Records shorter than k are left out.  Slices of bytes cost their own length
+    only, wherever they begin.
     """
-    long_enough = records.where(F.length("seq") >= p.k)
-    offsets = F.sequence(F.lit(0), F.length("seq") - p.k, F.lit(chunk))
+    long_enough = records.where(F.length("seq") >= k).select(*KEY, F.col("seq").cast("binary").alias("seq"))
+    offsets = F.sequence(F.lit(0), F.length("seq") - k, F.lit(chunk))
     cut = long_enough.select(*KEY, "seq", F.explode(offsets).alias("base"))
-    return cut.select(*KEY, "base", dna.digits(F.substr("seq", F.col("base") + 1, F.lit(chunk + p.k - 1))).alias("d"))
+    return cut.select(*KEY, F.col("base").cast("bigint").alias("base"), F.substring("seq", F.col("base") + 1, F.lit(chunk + k - 1)).alias("bases"))
 
 
-def strands(dealt: DataFrame) -> DataFrame:
-    """Chunks with both strands as bytes: fw, rv (reverse complement) and n.
+class Block:
+    """Some chunks laid end to end as codes, with the positions at which a word of k bases lies inside a chunk."""
 
-    Substrings of bytes cost their own length only, and the reverse complement
-    of any substring is a substring of the chunk's, so nothing is translated
-    position by position.
-    """
-    return dealt.select(*KEY, "base", F.col("d").cast("binary").alias("fw"), dna.reverse_digits(F.col("d")).cast("binary").alias("rv"), F.length("d").alias("n"))
+    def __init__(self, rows: pa.RecordBatch, k: int):
+        data = rows.column("bases")
+        sizes = np.array([len(x.as_buffer()) for x in data], np.int64)
+        self.codes = hashing.CODES[np.frombuffer(b"".join(x.as_buffer() for x in data), np.uint8)]
+        starts, counts = np.cumsum(sizes) - sizes, np.maximum(sizes - k + 1, 0)
+        self.row = np.repeat(np.arange(len(sizes)), counts)
+        inside = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        self.at = starts[self.row] + inside
+        self.shift = (rows.column("base").to_numpy() - starts)[self.row]
+        self.rows = rows
+
+    def keys(self, chosen: np.ndarray) -> list[np.ndarray]:
+        return [self.rows.column(c).take(pa.array(self.row[chosen])) for c in KEY]
+
+    def canonical(self, at: np.ndarray, k: int) -> pa.Array:
+        """Keys of the k-mers at some positions: whole numbers, or beyond 31 bases the digits."""
+        if k <= MAX_INT_K:
+            ahead, back = hashing.words(self.codes, k)
+            return pa.array(np.minimum(ahead[at], back[at]).view(np.int64))
+        ahead = self.codes[at[:, None] + np.arange(k)] + np.uint8(48)
+        back = (ahead[:, ::-1] - np.uint8(48) ^ np.uint8(2)) + np.uint8(48)
+        if not len(at):
+            return pa.array([], pa.string())
+        one, two = (np.ascontiguousarray(x).view(f"S{k}").ravel() for x in (ahead, back))
+        return pa.array(np.where(one < two, one, two).astype(str), pa.string())
+
+
+def blocks(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[Block]:
+    for b in batches:
+        start, size = 0, 0
+        for n, x in enumerate(b.column("bases")):
+            size += len(x.as_buffer())
+            if size >= BLOCK or n == b.num_rows - 1:
+                yield Block(b.slice(start, n + 1 - start), k)
+                start, size = n + 1, 0
 
 
-def word(size: int, off: Column | None = None) -> tuple[Column, Column]:
-    """The digits of ``size`` bases at an offset (``off``) of a chunk, and of their reverse complement."""
-    off = F.col("off") if off is None else off
-    return F.substr("fw", off + 1, F.lit(size)), F.substr("rv", F.col("n") - off - size + 1, F.lit(size))
+def over_blocks(records: DataFrame, k: int, work: Callable[[Block], list], schema: str) -> DataFrame:
+    """Rows that a function makes of each block of chunks."""
+    names = [c.split()[0] for c in schema.split(", ")]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, k):
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in work(block)], names)
 
-def canonical_word(size: int, off: Column | None = None) -> Column:
-    return F.least(*word(size, off)).cast("string")
+    return chunks(records, k).repartition(*KEY, "base").mapInArrow(run, schema)
 
 
-def kmer_key(canonical: Column, k: int) -> Column:
-    """Key of a k-mer from its canonical digits: a BIGINT, or beyond 31 bases the digits."""
-    return dna.number(canonical) if k <= MAX_INT_K else canonical
+def key_type(k: int) -> str:
+    return "bigint" if k <= MAX_INT_K else "string"
 
 
 def kmers(records: DataFrame, p: SketchParams) -> DataFrame:
-    """Every k-mer with its offset: sketch_id, rec_id, pos and its canonical digits kc."""
-    at = F.sequence(F.lit(0), F.col("n") - p.k)
-    rows = strands(chunks(records, p)).select(*KEY, "base", "fw", "rv", "n", F.explode(at).alias("off"))
-    return rows.select(*KEY, (F.col("base") + F.col("off")).alias("pos"), canonical_word(p.k).alias("kc"))
+    """Every k-mer with its offset and canonical key: sketch_id, rec_id, pos and kmer."""
+
+    def work(x: Block) -> list:
+        return [*x.keys(slice(None)), x.at + x.shift, x.canonical(x.at, p.k)]
+
+    return over_blocks(records, p.k, work, f"sketch_id bigint, rec_id bigint, pos bigint, kmer {key_type(p.k)}")
+
+
+def mmers(records: DataFrame, m: int) -> DataFrame:
+    """Every m-mer: sketch_id, rec_id, pos, code (as read), mmer (canonical) and ho (hash order)."""
+
+    def work(x: Block) -> list:
+        ahead, back = hashing.words(x.codes, m)
+        canonical = np.minimum(ahead, back)
+        return [*x.keys(slice(None)), x.at + x.shift, ahead[x.at].view(np.int64), canonical[x.at].view(np.int64), hashing.ordered(hashing.xxh64(canonical))[x.at]]
+
+    return over_blocks(records, m, work, "sketch_id bigint, rec_id bigint, pos bigint, code bigint, mmer bigint, ho bigint")
 
 
-def minimizers(records: DataFrame, p: SketchParams) -> DataFrame:
-    """Every k-mer with its minimizer.
+def _minima(x: Block, p: SketchParams) -> tuple[np.ndarray, ...]:
+    """Canonical m-mers, whether they are read in reverse, their hash order, and where each k-mer's minimizer starts."""
+    ahead, back = hashing.words(x.codes, p.m)
+    canonical = np.minimum(ahead, back)
+    ho = hashing.ordered(hashing.xxh64(canonical))
+    return canonical.view(np.int64), back < ahead, ho, hashing.least_at(ho, p.window)[x.at]
 
-    Columns: sketch_id, rec_id, pos, kc (the k-mer's canonical digits),
-    minimizer (number of the canonical m-mer), ho (its hash order), mpos (offset
-    of its leftmost occurrence) and is_rev (whether it stands there reversed).
+
+def minimizers(records: DataFrame, p: SketchParams, most: int | None = None) -> DataFrame:
+    """Every k-mer with its minimizer; with ``most`` only those whose minimizer's hash order is at most that.
+
+    Columns: sketch_id, rec_id, pos, kmer (canonical key), minimizer (number of
+    the canonical m-mer), ho (its hash order), mpos (offset of its leftmost
+    occurrence) and is_rev (whether it stands there reversed).
+    """
+
+    def work(x: Block) -> list:
+        canonical, turned, ho, at = _minima(x, p)
+        chosen = slice(None) if most is None else np.flatnonzero(ho[at] <= most)
+        at = at[chosen]
+        return [*x.keys(chosen), x.at[chosen] + x.shift[chosen], x.canonical(x.at[chosen], p.k), canonical[at], ho[at], at + x.shift[chosen], turned[at]]
+
+    return over_blocks(records, p.k, work, f"sketch_id bigint, rec_id bigint, pos bigint, kmer {key_type(p.k)}, minimizer bigint, ho bigint, mpos bigint, is_rev boolean")
+
+
+def runs(records: DataFrame, p: SketchParams) -> DataFrame:
+    """Runs of k-mers that share one occurrence of a minimizer, cut at the ends of chunks.
+
+    Columns: sketch_id, rec_id, mpos, start, n_kmers, minimizer, ho, is_rev and
+    seq (the bases of the run).
     """
-    dealt = strands(chunks(records, p).repartition(*KEY, "base"))
-    order = F.transform(F.sequence(F.lit(0), F.col("n") - p.m), lambda off: dna.hash_order(dna.number(canonical_word(p.m, off))))
-    hashed = dealt.select(*KEY, "base", "fw", "rv", "n", order.alias("order"))
-    rows = hashed.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - p.k)).alias("off"))
-    inside = F.slice("order", F.col("off") + 1, F.lit(p.window))
-    at = (F.col("off") + F.array_position(inside, F.array_min(inside)) - 1).cast("int")
-    read, turned = word(p.m, at)
-    return rows.select(
-        *KEY,
-        (F.col("base") + F.col("off")).alias("pos"),
-        canonical_word(p.k).alias("kc"),
-        dna.number(F.least(read, turned).cast("string")).alias("minimizer"),
-        F.array_min(inside).alias("ho"),
-        (F.col("base") + at).alias("mpos"),
-        (turned < read).alias("is_rev"),
-    )
+
+    def work(x: Block) -> list:
+        canonical, turned, ho, at = _minima(x, p)
+        first = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (x.row[1:] != x.row[:-1])))) if len(at) else np.empty(0, np.int64)
+        counts = np.diff(np.append(first, len(at)))
+        at, begin = at[first], x.at[first]
+        letters = np.frombuffer(b"ACTG", np.uint8)[x.codes].tobytes()
+        seqs = [letters[s : s + n] for s, n in zip(begin.tolist(), (counts + p.k - 1).tolist())]
+        return [*x.keys(first), at + x.shift[first], begin + x.shift[first], counts, canonical[at], ho[at], turned[at], pa.array([s.decode() for s in seqs], pa.string())]
+
+    return over_blocks(records, p.k, work, "sketch_id bigint, rec_id bigint, mpos bigint, start bigint, n_kmers bigint, minimizer bigint, ho bigint, is_rev boolean, seq string")
+
+
+def most_selected(p: SketchParams) -> int:
+    """The largest hash order that is selected."""
+    return ordered(p.threshold())
 
 
 def is_selected(p: SketchParams) -> Column:
     """Whether a minimizer's hash is at most the threshold (unsigned)."""
-    return F.col("ho") <= F.lit(ordered(p.threshold())).cast("bigint")
+    return F.col("ho") <= F.lit(most_selected(p)).cast("bigint")

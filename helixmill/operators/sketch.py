@@ -6,14 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.params import SketchParams
-from .minimizers import is_selected, kmer_key, kmers, minimizers
-from .superkmers import covered_mmers, super_kmers
+from .minimizers import kmers, minimizers, most_selected
+from .superkmers import covered_mmers, rebuild, super_kmers
 
 
 def selected_kmers(records: DataFrame, p: SketchParams) -> DataFrame:
     """Occurrences of selected k-mers: sketch_id, minimizer, canonical kmer, pos_min (the minimizer's offset)."""
-    chosen = minimizers(records, p).where(is_selected(p))
-    return chosen.select("sketch_id", "minimizer", kmer_key(F.col("kc"), p.k).alias("kmer"), (F.col("mpos") - F.col("pos")).cast("bigint").alias("pos_min"))
+    return minimizers(records, p, most_selected(p)).select("sketch_id", "minimizer", "kmer", (F.col("mpos") - F.col("pos")).alias("pos_min"))
 
 
 def build(records: DataFrame, p: SketchParams) -> DataFrame:
@@ -24,7 +23,7 @@ def build(records: DataFrame, p: SketchParams) -> DataFrame:
 
 def spectrum(records: DataFrame, p: SketchParams) -> DataFrame:
     """All distinct canonical k-mers with counts, without selection: sketch_id, kmer and cnt."""
-    return kmers(records, p).select("sketch_id", kmer_key(F.col("kc"), p.k).alias("kmer")).groupBy("sketch_id", "kmer").agg(F.count("*").alias("cnt"))
+    return kmers(records, p).groupBy("sketch_id", "kmer").agg(F.count("*").alias("cnt"))
 
 
 def total_kmers(records: DataFrame, p: SketchParams) -> DataFrame:
@@ -64,10 +63,41 @@ def metrics(records: DataFrame, p: SketchParams) -> DataFrame:
     )
 
 
-def write_sketches(sketch: DataFrame, meta: DataFrame, table: str, buckets: int = 64) -> None:
-    """Save sketches as a table bucketed and sorted by the keys of comparisons, which then join without an exchange, and their parameters beside it."""
-    sketch.write.mode("overwrite").bucketBy(buckets, "minimizer", "kmer").sortBy("minimizer", "kmer").saveAsTable(table)
-    meta.write.mode("overwrite").saveAsTable(f"{table}_meta")
+def output_metrics(records: DataFrame, p: SketchParams) -> DataFrame:
+    """What packing a sketch's k-mers into super-k-mers gives, one row a sketch.
+
+    Columns: sketch_id, rebuilt (super-k-mers), rebuilt_maximal, kmers_per_rebuilt,
+    maximal_percent, output_kb, bits_per_kmer, minimizers, superkmers_per_minimizer.
+    """
+    rebuilt = rebuild(build(records, p), p)
+    maximal = F.length("seq") == p.longest
+    # A maximal super-k-mer is stored without its minimizer, at two bits a base after a byte for the length.
+    size = 1 + F.ceil(F.when(maximal, F.length("seq") - p.m).otherwise(F.length("seq")) / 4)
+    sums = rebuilt.groupBy("sketch_id").agg(
+        F.count("*").alias("rebuilt"),
+        F.count(F.when(maximal, 1)).alias("rebuilt_maximal"),
+        F.sum("n_kmers").alias("kmers"),
+        F.sum(size).alias("bytes"),
+        F.countDistinct("minimizer").alias("minimizers"),
+    )
+    return sums.select(
+        "sketch_id",
+        "rebuilt",
+        "rebuilt_maximal",
+        (F.col("kmers") / F.col("rebuilt")).alias("kmers_per_rebuilt"),
+        (F.col("rebuilt_maximal") * 100 / F.col("rebuilt")).alias("maximal_percent"),
+        (F.col("bytes") / 1000).alias("output_kb"),
+        (F.col("bytes") * 8 / F.col("kmers")).alias("bits_per_kmer"),
+        "minimizers",
+        F.floor(F.col("rebuilt") / F.col("minimizers")).alias("superkmers_per_minimizer"),
+    )
+
+
+def write_sketches(sketch: DataFrame, meta: DataFrame, table: str, buckets: int = 64, folder: str | None = None) -> None:
+    """Save sketches as a table bucketed and sorted by the keys of comparisons, which then join without an exchange, and their parameters beside it (in the warehouse, or in a folder)."""
+    place = lambda name: {"path": f"{folder}/{name}"} if folder else {}
+    sketch.write.mode("overwrite").options(**place("sketch")).bucketBy(buckets, "minimizer", "kmer").sortBy("minimizer", "kmer").saveAsTable(table)
+    meta.write.mode("overwrite").options(**place("meta")).saveAsTable(f"{table}_meta")
 
 
 def meta_rows(names: DataFrame, p: SketchParams) -> DataFrame:

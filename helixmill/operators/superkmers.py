@@ -1,7 +1,8 @@
 """Super-k-mers: maximal runs of k-mers that share one occurrence of a minimizer.
 
 The leftmost occurrence of a sliding minimum never moves back, so runs are the
-groups of equal (sequence, occurrence) and need one aggregation, not a lag.
+groups of equal (sequence, occurrence); they are found inside chunks and put
+together by one aggregation, not a lag.
 """
 
 from __future__ import annotations
@@ -14,19 +15,27 @@ from pyspark.sql import functions as F
 
 from ..functions import dna
 from ..functions.params import SketchParams
-from .minimizers import is_selected, minimizers
+from .minimizers import is_selected, kmers, runs
 
 
-def super_kmers(records: DataFrame, p: SketchParams) -> DataFrame:
-    """sketch_id, rec_id, start, len, n_kmers, minimizer, ho, is_rev, is_maximal and selected."""
-    runs = minimizers(records, p).groupBy("sketch_id", "rec_id", "mpos").agg(
-        F.min("pos").cast("bigint").alias("start"),
-        F.count("*").alias("n_kmers"),
+def super_kmers(records: DataFrame, p: SketchParams, with_seq: bool = False) -> DataFrame:
+    """sketch_id, rec_id, start, len, n_kmers, minimizer, ho, is_rev, is_maximal, selected and, if wanted, seq (the bases).
+
+    Runs that the ends of chunks cut are joined again.
+    """
+    pieces = runs(records, p)
+    seq = [F.array_sort(F.collect_list(F.struct("start", "seq"))).alias("parts")] if with_seq else []
+    joined = pieces.groupBy("sketch_id", "rec_id", "mpos").agg(
+        F.min("start").alias("start"),
+        F.sum("n_kmers").alias("n_kmers"),
         F.first("minimizer").alias("minimizer"),
         F.first("ho").alias("ho"),
         F.first("is_rev").alias("is_rev"),
+        *seq,
     )
-    return runs.select(
+    # A run has at most as many k-mers as a window has m-mers, so two parts at most; parts overlap by k-1 bases.
+    whole = F.concat(F.col("parts")[0]["seq"], F.coalesce(F.substring(F.try_element_at("parts", F.lit(2))["seq"], p.k, p.longest), F.lit(""))).alias("seq")
+    return joined.select(
         "sketch_id",
         "rec_id",
         "start",
@@ -37,9 +46,29 @@ def super_kmers(records: DataFrame, p: SketchParams) -> DataFrame:
         "is_rev",
         (F.col("n_kmers") == p.window).alias("is_maximal"),
         is_selected(p).alias("selected"),
+        *([whole] if with_seq else []),
     )
 
 
+def oriented(segments: DataFrame) -> DataFrame:
+    """Segments with seq read so that the minimizer is in its canonical form."""
+    return segments.withColumn("seq", F.when(F.col("is_rev"), dna.reverse_complement(F.col("seq"))).otherwise(F.col("seq")))
+
+
+def flanks(segments: DataFrame, p: SketchParams) -> DataFrame:
+    """Maximal super-k-mers (with seq) as the minimizer and the k-m bases on both of its sides, which is how they are stored."""
+    side = p.k - p.m
+    return oriented(segments.where("is_maximal")).select(
+        "sketch_id", "rec_id", "start", "minimizer", F.substring("seq", 1, side).alias("left"), F.substring("seq", side + p.m + 1, side).alias("right")
+    )
+
+
+def kmers_of(sequences: DataFrame, p: SketchParams) -> DataFrame:
+    """Distinct canonical k-mers of a table of super-k-mers (sketch_id, seq): sketch_id and kmer."""
+    numbered = sequences.select("sketch_id", F.monotonically_increasing_id().alias("rec_id"), "seq")
+    return kmers(numbered, p).select("sketch_id", "kmer").distinct()
+
+
 def covered_mmers(segments: DataFrame, p: SketchParams) -> DataFrame:
     """m-mers that the selected super-k-mers of each sketch cover, each counted once: sketch_id and n_mmers."""
     order = Window.partitionBy("sketch_id", "rec_id").orderBy("start")

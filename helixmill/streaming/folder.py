@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.params import SketchParams
@@ -22,24 +24,39 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
 def sketch_stream(records: DataFrame, target: str, checkpoint: str, p: SketchParams, once: bool = True) -> StreamingQuery:
     """Append the sketch of each micro-batch's records to a folder, one subfolder a batch.
 
-    A sketch is per file and files arrive whole, so appending is exact; a batch
-    that is run again after a failure overwrites its own subfolder.
+    A batch that is run again after a failure overwrites its own subfolder.  A
+    sketch whose records arrive in several batches has rows in several
+    subfolders; :func:`read_sketch` adds them up.
     """
 
     def append(batch: DataFrame, number: int) -> None:
-        build(batch, p).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        build(batch, SketchParams(p.k, p.m, p.s, 1, p.mode)).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     writer = records.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder name that all executors see: under ``spark.checkpoint.dir``, or a temporary one where that is unset."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='helixmill-')}/stream-{uuid4().hex}"
+    """A new folder name that all executors see: under ``spark.checkpoint.dir``; only a session in one process may leave that unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{named or tempfile.mkdtemp(prefix='helixmill-')}/work-{uuid4().hex}"
+
+
+def read_sketch(spark: SparkSession, target: str, p: SketchParams) -> DataFrame:
+    """The sketch of all batches: sketch_id, minimizer, kmer, cnt and pos_min.
+
+    Counts of a k-mer are added up before the least abundance is asked for, so
+    ``sketch_stream`` keeps every count.
+    """
+    parts = spark.read.parquet(target).drop("batch")
+    found = parts.groupBy("sketch_id", "minimizer", "kmer").agg(F.sum("cnt").alias("cnt"), F.min("pos_min").alias("pos_min"))
+    return found.where(F.col("cnt") >= p.abundance) if p.abundance > 1 else found
 
 
 def sketch_once(records: DataFrame, p: SketchParams) -> DataFrame:
     """Run a stream of records to its end in a scratch folder and return the sketch it made."""
     folder = scratch(records.sparkSession)
     sketch_stream(records, f"{folder}/sketch", f"{folder}/state", p).awaitTermination()
-    return records.sparkSession.read.parquet(f"{folder}/sketch").drop("batch")
+    return read_sketch(records.sparkSession, f"{folder}/sketch", p)

@@ -41,10 +41,46 @@ def test_chunks_do_not_matter(spark, monkeypatch):
     seqs = [random_seqs(2, 3000, 3)]
     whole = {(r.minimizer, r.kmer, r.cnt) for r in sketch.build(records(spark, seqs), P).collect()}
     original = minimizers.chunks
-    monkeypatch.setattr(minimizers, "chunks", lambda rec, p, chunk=64: original(rec, p, 64))
+    monkeypatch.setattr(minimizers, "chunks", lambda rec, k, chunk=64: original(rec, k, 64))
     assert {(r.minimizer, r.kmer, r.cnt) for r in sketch.build(records(spark, seqs), P).collect()} == whole
 
 
+def test_long_record_takes_many_tasks(spark):
+    """A record of two million bases is cut in linear time and dealt to all partitions."""
+    from time import perf_counter
+
+    rng = random.Random(1)
+    seq = "".join(rng.choices("ACGT", k=1 << 21))
+    frame = records(spark, [[seq]])
+    began = perf_counter()
+    dealt = minimizers.chunks(frame, 21).repartition(4, "sketch_id", "rec_id", "base")
+    assert dealt.count() == -(-(len(seq) - 20) // minimizers.CHUNK)
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 4 and perf_counter() - began < 30
+    assert minimizers.kmers(frame, SketchParams(21, 7, 4)).count() == len(seq) - 20
+
+
+def test_runs_across_chunks(spark, monkeypatch):
+    """Super-k-mers and their bases are the same however sequences are cut."""
+    seqs = random_seqs(3, 900, 21)
+    whole = sorted(map(tuple, superkmers.super_kmers(records(spark, [seqs]), P, with_seq=True).collect()))
+    original = minimizers.chunks
+    monkeypatch.setattr(minimizers, "chunks", lambda rec, k, chunk=64: original(rec, k, 50))
+    assert sorted(map(tuple, superkmers.super_kmers(records(spark, [seqs]), P, with_seq=True).collect())) == whole
+    for r in superkmers.super_kmers(records(spark, [seqs]), P, with_seq=True).collect():
+        assert r.seq == seqs[r.rec_id][r.start : r.start + r.len]
+    for r in superkmers.flanks(superkmers.super_kmers(records(spark, [seqs]), P, with_seq=True), P).collect():
+        assert len(r.left) == len(r.right) == P.k - P.m
+
+
+def test_output_metrics(spark):
+    held = records(spark, [random_seqs(3, 500, 23)])
+    row, rebuilt = sketch.output_metrics(held, P).first(), superkmers.rebuild(sketch.build(held, P), P).collect()
+    stored = [1 + -(-(len(r.seq) - P.m * (len(r.seq) == P.longest)) // 4) for r in rebuilt]
+    assert (row.rebuilt, row.rebuilt_maximal) == (len(rebuilt), sum(len(r.seq) == P.longest for r in rebuilt))
+    assert abs(row.output_kb - sum(stored) / 1000) < 1e-9 and abs(row.bits_per_kmer - 8 * sum(stored) / sum(r.n_kmers for r in rebuilt)) < 1e-9
+
+
 def test_strands_are_alike(spark):
     seqs = random_seqs(3, 400, 5)
     turned = [s.translate(model.OTHER)[::-1] for s in seqs]
@@ -101,6 +137,18 @@ def test_comparison(spark):
     assert compare.at_least(compare.all_pairs(sets(spark, {1, 2, 3, 4}, {3, 4, 5})), "jaccard", 0.45).count() == 0
 
 
+def test_pairs_of_hot_kmers(spark, monkeypatch):
+    """k-mers in every sketch: pairs are made once, in blocks."""
+    rng = random.Random(2)
+    members = [set(range(40)) | {rng.randrange(100, 160) for _ in range(9)} for _ in range(50)]
+    want = {(i, j): len(members[i] & members[j]) for i in range(50) for j in range(i + 1, 50)}
+    for block in (256, 7):
+        monkeypatch.setattr(compare, "HOLDERS", block)
+        assert {(r.i, r.j): r.n_shared for r in compare.shared(sets(spark, *members)).collect()} == want
+    colors = compare.color_map(sets(spark, {1, 2}, {2, 3}, {2})).collect()
+    assert sorted((r.kmer, r.sketch_id, r.n_sketches) for r in colors) == [(2, 0, 3), (2, 1, 3), (2, 2, 3)]
+
+
 def test_bank(spark):
     held = sets(spark, {1, 2}, {2, 3}, {1, 2, 3})
     rows = compare.against_bank(held.where("sketch_id = 0"), held.where("sketch_id > 0")).collect()
