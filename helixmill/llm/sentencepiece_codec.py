@@ -4,13 +4,14 @@ The model's protobuf is parsed on the driver and rebuilt as a Tokenizer: the
 normaliser (character map, white-space rules, marker U+2581 for spaces), the
 metaspace dummy prefix, unigram scores or the merges that BPE scores imply, and
 byte fallback.  The model file is read by the driver alone and shipped as bytes
-(its size is checked), so executors need no path to it.
+(its size is checked), so executors need no path to it.  Models with
+user-defined pieces, which SentencePiece cuts out before all else, are refused.
 
 If no piece holds a marker after another character, no token crosses from such
 a character to a marker, and a text can be cut there exactly.  Then each
-distinct chunk of a batch is encoded once (all of them in one multithreaded
-call) and, with ``verify``, compared with the SentencePiece library's own
-encoding of that chunk; otherwise whole texts are encoded and compared.
+distinct chunk of a batch is encoded once, all of them in one multithreaded
+call; otherwise whole texts are.  With ``verify`` every whole text's ids are
+compared with the SentencePiece library's own encoding of it.
 
 Null and empty texts encode to no tokens and decode to the empty text.  Repeated
 rows are encoded alike; very long texts are encoded whole.  Other columns pass
@@ -22,7 +23,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import lru_cache
 from hashlib import sha256
 
@@ -37,15 +38,17 @@ MARK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Largest model that is broadcast.
 MAX_MODEL_BYTES = 64 << 20
-#: Distinct chunks kept by a worker; the cache starts anew beyond it.
-CACHE = 800_000
+#: Bytes of distinct chunks kept by a worker, and the longest chunk that is kept; the cache starts anew beyond them.
+CACHE, LONGEST = 32 << 20, 256
 
 
 @dataclass
 class Codec:
     """A rebuilt model with its checks."""
 
+    #: The whole rebuilt tokenizer, and the same for chunks that are normalised already.
     tokenizer: object
+    core: object
     decoder: object
     reference: object
     chunks: re.Pattern | None
@@ -53,38 +56,31 @@ class Codec:
     #: The bytes that a piece stands for.
     plain: list[bytes]
     prefix: bool
+    known: dict[str, list[int]] = field(default_factory=dict)
+    held: int = 0
 
     def encode(self, batch: list[str], verify: bool) -> tuple[list[list[int]], list[bool]]:
-        if self.chunks is None:
-            return self._whole(batch, verify)
-        known, split = self.__dict__.setdefault("known", {}), []
-        if len(known) > CACHE:
-            known.clear()
-        for text in batch:
-            split.append(self.chunks.findall(self.normal(text)) if text else [])
-        new = list({c for chunks in split for c in chunks if c not in known})
-        for c, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            known[c] = found.ids
-        wrong = set()
-        if verify and new:
-            # A marker by itself ends a text; the library can't be given just that, but has only one piece for it.
-            own = self.reference.encode([c[1:].replace(MARK, " ") for c in new], num_threads=threads())
-            own = [[self.reference.piece_to_id(c)] if c == MARK else ids for c, ids in zip(new, own)]
-            wrong = {c for c, ids in zip(new, own) if ids != known[c]}
-            self.__dict__.setdefault("wrong", set()).update(wrong)
-        bad = self.__dict__.get("wrong", ())
-        ids = [[i for c in chunks for i in known[c]] for chunks in split]
-        return ids, [not bad or not any(c in bad for c in chunks) for chunks in split]
-
-    def normal(self, text: str) -> str:
-        return (MARK if self.prefix else "") + text.replace(" ", MARK)
-
-    def _whole(self, batch: list[str], verify: bool) -> tuple[list[list[int]], list[bool]]:
-        ids = [e.ids if t else [] for t, e in zip(batch, self.tokenizer.encode_batch_fast(batch, add_special_tokens=False))]
+        """Token ids of texts, and whether they equal the SentencePiece library's (True unless verified)."""
+        ids = self._by_chunks(batch) if self.chunks is not None else [e.ids if t else [] for t, e in zip(batch, self.tokenizer.encode_batch_fast(batch, add_special_tokens=False))]
         if not verify:
             return ids, [True] * len(ids)
         return ids, [a == b for a, b in zip(ids, self.reference.encode(batch, num_threads=threads()))]
 
+    def _by_chunks(self, batch: list[str]) -> list[list[int]]:
+        split = [self.chunks.findall((MARK if self.prefix else "") + t.replace(" ", MARK)) if t else [] for t in batch]
+        new = list({c for chunks in split for c in chunks if c not in self.known})
+        found = {c: e.ids for c, e in zip(new, self.core.encode_batch_fast(new, add_special_tokens=False))}
+        known = self.known
+        ids = [[i for c in chunks for i in (known[c] if c in known else found[c])] for chunks in split]
+        if self.held > CACHE:
+            self.known.clear()
+            self.held = 0
+        for c, x in found.items():
+            if len(c) <= LONGEST:
+                self.known[c] = x
+                self.held += len(c) + 8 * len(x)
+        return ids
+
     def decode(self, batch: list[list[int]]) -> list[str]:
         """Texts of token lists; valid runs of byte pieces become their characters."""
         return [self._decode(ids) if len(ids) else "" for ids in batch]
@@ -116,6 +112,8 @@ def build(model: bytes) -> Codec:
     spec, trained, pieces = proto.normalizer_spec, proto.trainer_spec, list(proto.pieces)
     if trained.model_type not in (1, 2):
         raise ValueError("only unigram and BPE models can be rebuilt")
+    if any(p.type == 4 for p in pieces):
+        raise ValueError("models with user-defined pieces can't be rebuilt")
     unknown = next((i for i, p in enumerate(pieces) if p.type == 2), 0)
     if trained.model_type == 1:
         core = models.Unigram([(p.piece, p.score) for p in pieces], unknown, trained.byte_fallback)
@@ -129,25 +127,26 @@ def build(model: bytes) -> Codec:
         )
     simple = not spec.precompiled_charsmap and not spec.remove_extra_whitespaces and spec.escape_whitespaces
     apart = not any(re.search(f"[^{MARK}]{MARK}", p.piece) for p in pieces) and not trained.treat_whitespace_as_suffix
-    tokenizer = Tokenizer(core)
+    plain_core, tokenizer = Tokenizer(core), Tokenizer(core)
     chunked = simple and apart and spec.add_dummy_prefix
-    if not chunked:
-        steps = []
-        if spec.precompiled_charsmap:
-            steps.append(normalizers.Precompiled(spec.precompiled_charsmap))
-        if spec.remove_extra_whitespaces:
-            steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
-        if spec.add_dummy_prefix:
-            steps.append(normalizers.Prepend(MARK))
-        if spec.escape_whitespaces:
-            steps.append(normalizers.Replace(" ", MARK))
-        tokenizer.normalizer = normalizers.Sequence(steps)
+    steps = []
+    if spec.precompiled_charsmap:
+        steps.append(normalizers.Precompiled(spec.precompiled_charsmap))
+    if spec.remove_extra_whitespaces:
+        steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
+    if spec.add_dummy_prefix:
+        steps.append(normalizers.Prepend(MARK))
+    if spec.escape_whitespaces:
+        steps.append(normalizers.Replace(" ", MARK))
+    tokenizer.normalizer = normalizers.Sequence(steps)
     parts = [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
     if spec.add_dummy_prefix:
         parts.append(decoders.Strip(" ", 1, 0))
+    tokenizer.decoder = decoders.Sequence(parts)
     return Codec(
         tokenizer,
-        decoders.Sequence(parts),
+        plain_core,
+        tokenizer.decoder,
         SentencePieceProcessor(model_proto=model),
         re.compile(f"{MARK}*[^{MARK}]+|{MARK}+") if chunked else None,
         [p.piece for p in pieces],

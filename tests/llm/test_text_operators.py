@@ -73,6 +73,48 @@ def test_unigram_model():
     assert ids == [reference.encode(t) for t in texts] and all(same)
 
 
+def test_unigram_model_of_realistic_size():
+    """The 32,000 pieces of the BPE model with unigram scores, on texts of several languages."""
+    from math import log
+
+    from sentencepiece import SentencePieceProcessor
+    from sentencepiece import sentencepiece_model_pb2 as protobuf
+
+    m = protobuf.ModelProto()
+    m.ParseFromString(sentencepiece_codec.read_model())
+    m.trainer_spec.model_type = 1
+    for n, piece in enumerate(m.pieces):
+        if piece.type == 1:
+            piece.score = -log(n + 10) - 0.37 * (n % 101) / 101
+    raw = m.SerializeToString()
+    codec, reference = sentencepiece_codec.build(raw), SentencePieceProcessor(model_proto=raw)
+    texts = ["The quick brown fox jumps over the lazy dog.", "Größere Übungen machen Spaß", "el niño comió una manzana", "déjà vu à l'été", "漢字 and 😀 emoji", "x  y   z", "tokenization_of-code(x) == 42;", prose(300, 1), "unbelievably international misunderstandings"]
+    ids, same = codec.encode(texts, True)
+    assert all(same) and ids == [reference.encode(t) for t in texts] and codec.decode(ids) == [reference.decode(i) for i in ids]
+    assert max(map(len, ids)) > 300 and len({i for x in ids for i in x}) > 60
+
+
+def test_rebuilt_tokenizer_is_whole():
+    """The rebuilt tokenizer alone, normaliser and decoder included, does what chunks do; wrong ids are told; odd models are refused."""
+    from sentencepiece import sentencepiece_model_pb2 as protobuf
+
+    raw = sentencepiece_codec.read_model()
+    codec = sentencepiece_codec.build(raw)
+    texts = [" two  spaces ", "line\nbreak", "漢字 é", "x" * 3000, prose(40, 1)]
+    assert [codec.tokenizer.encode(t, add_special_tokens=False).ids for t in texts] == codec.encode(texts, True)[0]
+    assert [codec.tokenizer.decode(i) for i in codec.encode(texts, True)[0]] == texts
+    assert not any(len(c) > sentencepiece_codec.LONGEST for c in codec.known)
+    held = codec.known.pop("▁line", None)
+    codec.known["▁line"] = [0]
+    assert codec.encode(["a line here", "none"], True)[1] == [False, True]
+    codec.known["▁line"] = held if held is not None else codec.known.pop("▁line") and codec.core.encode("▁line", add_special_tokens=False).ids
+    m = protobuf.ModelProto()
+    m.ParseFromString(raw)
+    m.pieces.add(piece="<own>", score=0, type=4)
+    with pytest.raises(ValueError):
+        sentencepiece_codec.build(m.SerializeToString())
+
+
 # 2. Fingerprints.
 
 
