@@ -317,13 +317,46 @@ def passage_rows():
     return rows
 
 
-def test_repeats_against_brute_force(spark):
+@pytest.mark.parametrize("cell", [64, 2])
+def test_repeats_against_brute_force(spark, cell):
     rows = passage_rows()
-    got = substring_dedup.remove_repeats(docs(spark, rows, clashing=True))
+    got = substring_dedup.remove_repeats(docs(spark, rows, clashing=True), substring_dedup.RepeatParams(cell=cell))
     assert rows_of(got, "doc_id", "n_words", "n_removed", "kept_sha256") == brute_repeats(rows)
     assert substring_dedup.remove_repeats(docs(spark, [])).count() == 0
 
 
+def test_frequent_seeds_against_brute_force(spark):
+    """A line in every document with words of its own around it, some of which others have as well."""
+    rng = np.random.default_rng(12)
+    line, pool = words(14, 900), [words(60, 901 + k) for k in range(4)]
+    rows = []
+    for k in range(300):
+        left, right = pool[rng.integers(4)][: rng.integers(1, 60)], pool[rng.integers(4)][: rng.integers(1, 60)]
+        rows.append((k, " ".join([*words(5, 5000 + k), *left[::-1], *line, *right, *words(5, 9000 + k)])))
+    for cell in (64, 8):
+        got = substring_dedup.remove_repeats(docs(spark, rows), substring_dedup.RepeatParams(cell=cell))
+        assert rows_of(got, "doc_id", "n_words", "n_removed", "kept_sha256") == brute_repeats(rows)
+
+
+def test_extension_is_word_by_word():
+    rng = np.random.default_rng(13)
+    texts = [rng.integers(0, 2, 60).astype(np.uint64) for _ in range(12)]
+    at = rng.integers(0, 50, 12)
+    for k in range(12):
+        texts[k][at[k] : at[k] + 10] = 7
+    left, right = substring_dedup.extend(texts, at, 10, 40)
+    for a in range(12):
+        for b in range(12):
+            x, y = texts[a].tolist(), texts[b].tolist()
+            n = 0
+            while n < 40 and at[a] - n > 0 and at[b] - n > 0 and x[at[a] - n - 1] == y[at[b] - n - 1]:
+                n += 1
+            m = 0
+            while m < 40 and at[a] + 10 + m < 60 and at[b] + 10 + m < 60 and x[at[a] + 10 + m] == y[at[b] + 10 + m]:
+                m += 1
+            assert (left[a, b], right[a, b]) == (n, m)
+
+
 # 6. Sharding.
 
 
