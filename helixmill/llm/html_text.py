@@ -69,8 +69,8 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("opt
 SCOPES = frozenset("ul ol dl table select div article section".split())
 
 #: Names of branches that aren't article text, and names that only say so where the content repeats too.
-FIRM = frozenset("ad ads advert adverts advertisement advertising adslot adbox sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar comment comments reply replies disqus respond discussion footer newsletter subscribe share sharing social widget pagination pager cookie cookies consent gdpr toolbar".split())
-SOFT = frozenset("header masthead topbar banner notice notices alert alerts announcement search related recommended popup modal overlay signup login copyright legal disclaimer skip".split())
+FIRM = frozenset("ad ads advert adverts advertisement advertising adslot adbox sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar comment comments reply replies disqus respond discussion footer newsletter subscribe share sharing social widget pagination pager cookie cookies consent gdpr toolbar topbar related recommended popup modal overlay signup login skip".split())
+SOFT = frozenset("header masthead banner notice notices alert alerts announcement search copyright legal disclaimer".split())
 NEUTRAL = frozenset("site page main left right top bottom primary secondary list area block box bar container wrapper inner outer global links buttons form item items unit slot posts articles thread section".split())
 
 TOKENS = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|$)|[^<]+|<", re.DOTALL)
