@@ -479,11 +479,11 @@ def test_battery_against_simulation():
 def test_many_spans_take_linear_time():
     from time import perf_counter
 
-    text = " ".join(f"password=secret{i}x Zq{i:07d}kLmN8vXwTyRu{i % 97}" for i in range(100_000))
+    text = " ".join(f"password=secret{i}x Zq{i:07d}kLmN8vXwTyRu{i % 97}" for i in range(30_000))
     began = perf_counter()
     base = secret_scan.base_spans(text)
     found = secret_scan.random_spans(text, base, secret_scan.SecretParams())
-    assert len(base) == 100_000 == len(found) and perf_counter() - began < 240
+    assert len(base) == 30_000 == len(found) and perf_counter() - began < 120
 
 
 def test_upper_case_hex_is_found(spark):
