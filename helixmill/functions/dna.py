@@ -17,7 +17,7 @@ SEED_PREIMAGE = -5563857264322183404
 
 def clean(text: Column) -> Column:
     """Only the letters ACGTacgt of a text, in upper case; a null stays null."""
-    return F.upper(F.regexp_replace(text, "[^ACGTacgt]", ""))
+    return F.upper(F.regexp_replace(text, "[^ACGTacgt]+", ""))
 
 
 def digits(seq: Column) -> Column:

@@ -32,9 +32,10 @@ def chunks(records: DataFrame, k: int, chunk: int = CHUNK) -> DataFrame:
     Records shorter than k are left out.  Slices of bytes cost their own length
     only, wherever they begin.
     """
-    long_enough = records.where(F.length("seq") >= k).select(*KEY, F.col("seq").cast("binary").alias("seq"))
-    offsets = F.sequence(F.lit(0), F.length("seq") - k, F.lit(chunk))
-    cut = long_enough.select(*KEY, "seq", F.explode(offsets).alias("base"))
+    held = records.select(*KEY, F.col("seq").cast("binary").alias("seq"))
+    # A filter on the length would be pushed below the cleaning and clean each sequence again.
+    offsets = F.when(F.length("seq") >= k, F.sequence(F.lit(0), F.length("seq") - k, F.lit(chunk)))
+    cut = held.select(*KEY, "seq", F.explode_outer(offsets).alias("base")).where("base is not null")
     return cut.select(*KEY, F.col("base").cast("bigint").alias("base"), F.substring("seq", F.col("base") + 1, F.lit(chunk + k - 1)).alias("bases"))
 
 
