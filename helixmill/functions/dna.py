@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .params import MAX_INT_K
+
 BASES = "ACTG"
 #: Hashing this value first with Spark's fixed seed leaves the seed 1312 for the next column.
 SEED_PREIMAGE = -5563857264322183404
@@ -52,6 +54,11 @@ def text_of(n: Column, size: int) -> Column:
     return bases(F.lpad(F.conv(n.cast("string"), 10, 4), size, "0"))
 
 
+def kmer_text(kmer: Column, k: int) -> Column:
+    """Bases of a k-mer's key: a number, or beyond 31 bases a string of digits."""
+    return text_of(kmer, k) if k <= MAX_INT_K else bases(kmer)
+
+
 def seeded_hash(mmer: Column) -> Column:
     """XXH64 (seed 1312) of the eight little-endian bytes of a number, as a signed BIGINT."""
     return F.xxhash64(F.lit(SEED_PREIMAGE).cast("bigint"), mmer.cast("bigint"))

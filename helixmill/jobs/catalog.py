@@ -16,7 +16,8 @@ from ..functions import dna, packing
 from ..functions.params import SketchParams, ordered
 from ..operators import compare, evaluate, matrix, minimizers, sketch, superkmers
 from ..sources.fasta import records_of
-from ..streaming.folder import scratch, sketch_once
+from ..sources.shared import written
+from ..streaming.folder import sketch_once
 from . import sql
 
 SMALL = SketchParams(15, 5, 4)
@@ -56,13 +57,6 @@ def by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 LANGUAGE = "-CAST(ascii(lang) AS BIGINT) * 256 - ascii(substr(lang, 2, 1))"
 
 
-def written(frame: DataFrame) -> DataFrame:
-    """Write a frame to the shared folder and reread it, so that what uses it several times computes it once."""
-    path = scratch(frame.sparkSession)
-    frame.write.parquet(path)
-    return frame.sparkSession.read.parquet(path)
-
-
 def query(text: str | None) -> Callable[[Query], Query]:
     """Register a query, with SQL for the same result if there is any."""
 
@@ -210,8 +204,9 @@ def superkmer_density(spark, sf_dir):
     return joined.select("sketch_id", "n_mmers", "n_selected", (F.col("n_selected").cast("double") / F.col("n_mmers") * (MAIN.window + 1)).alias("density"))
 
 
-@query(None)
+@query(f"WITH RECURSIVE {sql.rebuilt(MAIN)} SELECT * FROM chains")
 def superkmer_rebuild(spark, sf_dir):
+    """Each document's sketch packed into as few super-k-mers as can be."""
     return superkmers.rebuild(sketch.build(by_document(spark, sf_dir), MAIN), MAIN)
 
 
@@ -310,7 +305,14 @@ def sketch_pack(spark, sf_dir):
     return found.select("sketch_id", "start", F.hex("packed").alias("packed_hex"), packing.unpack(F.col("packed")).alias("unpacked"))
 
 
-@query(None)
+_OUTPUT = f"""WITH RECURSIVE {sql.rebuilt(MAIN)},
+sized AS (SELECT *, length(seq) = {MAIN.longest} AS maximal, 1 + ceil(CASE WHEN length(seq) = {MAIN.longest} THEN length(seq) - {MAIN.m} ELSE length(seq) END / 4.0) AS bytes FROM chains),
+sums AS (SELECT sketch_id, CAST(count(*) AS BIGINT) AS rebuilt, CAST(sum(maximal::INT) AS BIGINT) AS rebuilt_maximal, CAST(sum(n_kmers) AS BIGINT) AS kmers, CAST(sum(bytes) AS BIGINT) AS bytes, CAST(count(DISTINCT minimizer) AS BIGINT) AS minimizers FROM sized GROUP BY sketch_id)
+SELECT sketch_id, rebuilt, rebuilt_maximal, kmers::DOUBLE / rebuilt AS kmers_per_rebuilt, (rebuilt_maximal * 100)::DOUBLE / rebuilt AS maximal_percent, bytes::DOUBLE / 1000 AS output_kb,
+  (bytes * 8)::DOUBLE / kmers AS bits_per_kmer, minimizers, rebuilt // minimizers AS superkmers_per_minimizer FROM sums"""
+
+
+@query(_OUTPUT)
 def output_metrics(spark, sf_dir):
     """What packing each sketch into super-k-mers gives."""
     return sketch.output_metrics(by_document(spark, sf_dir), MAIN)

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.params import SketchParams
 from ..operators import compare, matrix, sketch
-from ..sources import fasta
-from ..streaming.folder import scratch
+from ..sources import exchange, fasta
+from ..sources.shared import scratch
 from . import sql, tools
 from .catalog import MAIN, SMALL, at_rate, documents, every_kmer, jaccard_cells, number, query, source_cells, source_sketch
 
@@ -49,7 +49,7 @@ def fasta_file_jaccard(spark, sf_dir):
 @query(f"WITH {sql.sketch(SMALL, sql.SOURCE)} SELECT * FROM sk")
 def hidden_fasta_sketch(spark, sf_dir):
     """Sketches of files that are taken for what their first bytes say."""
-    return sketch.build(fasta.read_any_fasta(spark, *fasta_files(spark, sf_dir, "gzip")), SMALL)
+    return sketch.build(fasta.read_any_fasta(spark, *fasta_files(spark, sf_dir, "gzip"), SMALL.k), SMALL)
 
 
 @query(f"WITH {sql.records()} SELECT seq, CAST(count(*) AS BIGINT) AS n FROM recs WHERE seq <> '' GROUP BY seq")
@@ -125,6 +125,56 @@ def compared_tables(spark, sf_dir):
     return tools.compare_tables(spark, saved(spark, source_sketch(spark, sf_dir)))[0]
 
 
+def sketch_collection(spark: SparkSession, sf_dir: str) -> list[str]:
+    """Write each source's sketch as a file; the files' paths as their list has them."""
+    folder = scratch(spark)
+    held = source_sketch(spark, sf_dir)
+    name = F.concat(F.lit("src"), F.col("sketch_id").cast("string"), F.lit(".gz"))
+    tools.write_sketch_files(held, held.select("sketch_id", name.alias("name")).distinct(), MAIN, folder, "made.txt")
+    return tools.listed_paths(spark, f"{folder}/made.txt")
+
+
+def numbers_of(paths: list[str]) -> list[int]:
+    return [int(p.rsplit("src", 1)[1].split(".")[0]) for p in paths]
+
+
+@query(f"WITH {sql.sketch(MAIN, sql.SOURCE)} SELECT sketch_id, minimizer, kmer FROM sk")
+def sketch_file_kmers(spark, sf_dir):
+    """Sketches written in the exchange format and read again."""
+    paths = sketch_collection(spark, sf_dir)
+    return exchange.read_sketches(spark, paths, MAIN, numbers_of(paths))
+
+
+@query(f"WITH RECURSIVE {sql.rebuilt(MAIN, sql.SOURCE)} SELECT sketch_id, minimizer, seq FROM chains")
+def sketch_file_superkmers(spark, sf_dir):
+    """The super-k-mers that sketch files hold."""
+    paths = sketch_collection(spark, sf_dir)
+    return exchange.read_super_kmers(spark, paths, numbers_of(paths))
+
+
+@query(f"WITH {sql.sketch(MAIN, sql.SOURCE)} SELECT sketch_id, {MAIN.k} AS k, {MAIN.m} AS m, CAST(sum(cnt) AS BIGINT) AS selected, {float(MAIN.s)}::DOUBLE AS rate FROM sk GROUP BY sketch_id")
+def sketch_file_headers(spark, sf_dir):
+    paths = sketch_collection(spark, sf_dir)
+    return exchange.read_headers(spark, paths, numbers_of(paths))
+
+
+@query(f"WITH {sql.sketch(MAIN, sql.SOURCE)} SELECT CAST(row_number() OVER (ORDER BY sketch_id) - 1 AS BIGINT) AS ord, 'src' || sketch_id || '.gz' AS name FROM sizes")
+def sketch_file_list(spark, sf_dir):
+    """The list of written sketches, in the order of the sketches."""
+    return spark.createDataFrame([(i, p.rsplit("/", 1)[1]) for i, p in enumerate(sketch_collection(spark, sf_dir))], "ord bigint, name string")
+
+
+@query(f"""WITH {sql.sketch(MAIN, sql.SOURCE)},{sql.PAIRS}
+SELECT i, j, containment_ij AS containment, jaccard FROM scores UNION ALL SELECT j, i, containment_ji, jaccard FROM scores""")
+def compared_files(spark, sf_dir):
+    """Sketch files compared with each other."""
+    paths = sketch_collection(spark, sf_dir)
+    number = F.regexp_extract("name", "src([0-9]+)", 1).cast("bigint")
+    scores, names = tools.compare_files(spark, paths)
+    row, column = (names.select(F.col("sketch_id").alias(c), number.alias(f"{c}_")) for c in "ij")
+    return scores.join(row, "i").join(column, "j").select(F.col("i_").alias("i"), F.col("j_").alias("j"), "containment", "jaccard")
+
+
 def names_of(cells: DataFrame) -> DataFrame:
     return cells.select(F.col("i").alias("sketch_id")).distinct().withColumn("name", F.concat(F.lit("src"), F.col("sketch_id").cast("string")))
 
@@ -185,8 +235,8 @@ def benchmark_files(spark, sf_dir):
     """Resource tables, one file for each collection, whose number is in the file's name."""
     folder = scratch(spark)
     sums = of_collections(spark, sf_dir).groupBy("number").agg(F.count("*").alias("ram"), (F.sum(F.length(F.coalesce("text", F.lit("")))) / 4).alias("time"))
-    line = F.concat_ws("\t", F.lit("x"), F.col("ram").cast("double").cast("string"), F.lit("y"), F.col("time").cast("string"))
-    sums.select("number", F.concat(F.lit("a\tmemory\tb\ttime\n"), line).alias("value")).repartition("number").write.partitionBy("number").text(folder)
+    line = F.concat_ws("\t", F.lit("x"), F.lit("y"), F.col("ram").cast("double").cast("string"), F.lit("z"), F.col("time").cast("string"))
+    sums.select("number", F.concat(F.lit("a\tb\tmemory\tc\ttime\n"), line).alias("value")).repartition("number").write.partitionBy("number").text(folder)
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     system = jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(conf)
     paths = []

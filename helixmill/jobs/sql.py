@@ -81,6 +81,28 @@ seg AS (SELECT sketch_id, rec_id, CAST(min(pos) AS BIGINT) AS start, CAST(count(
         FROM mins GROUP BY sketch_id, rec_id, mpos)"""
 
 
+def letters(n: str, size: int) -> str:
+    """Bases of a number."""
+    return f"translate(array_to_string(list_transform(generate_series({size - 1}, 0, -1), lambda i: ({n} >> CAST(2 * i AS INT)) & 3), ''), '0123', 'ACTG')"
+
+
+def rebuilt(p: SketchParams, of: str = "doc_id") -> str:
+    """CTEs (recursive ones among them) up to ``chains`` (sketch_id, minimizer, seq, n_kmers): a sketch packed into super-k-mers."""
+    return f"""{sketch(p, of)},
+texts AS (SELECT sketch_id, minimizer, {letters("kmer", p.k)} AS x, {letters("minimizer", p.m)} AS own FROM sk),
+turned AS (SELECT sketch_id, minimizer, own, CASE WHEN contains(x, own) THEN x ELSE translate(reverse(x), 'ACGT', 'TGCA') END AS x FROM texts),
+nodes AS (SELECT sketch_id, minimizer, x, instr(x, own) - 1 AS spot FROM turned),
+befores AS (SELECT *, substr(x, 2) AS overlap, row_number() OVER (PARTITION BY sketch_id, minimizer, spot, substr(x, 2) ORDER BY instr('ATCG', substr(x, 1, 1))) AS n FROM nodes WHERE spot > 0),
+behinds AS (SELECT *, substr(x, 1, {p.k - 1}) AS overlap, row_number() OVER (PARTITION BY sketch_id, minimizer, spot, substr(x, 1, {p.k - 1}) ORDER BY instr('ATCG', substr(x, {p.k}, 1))) AS n FROM nodes),
+linked AS (SELECT b.sketch_id, b.minimizer, b.x, a.x AS follower FROM befores b JOIN behinds a ON a.sketch_id = b.sketch_id AND a.minimizer = b.minimizer AND a.overlap = b.overlap AND a.spot = b.spot - 1 AND a.n = b.n),
+grown AS (
+  SELECT sketch_id, minimizer, x AS last, x AS seq, 1 AS n FROM nodes ANTI JOIN linked ON linked.sketch_id = nodes.sketch_id AND linked.minimizer = nodes.minimizer AND linked.follower = nodes.x
+  UNION ALL
+  SELECT g.sketch_id, g.minimizer, follower, seq || substr(follower, {p.k}), n + 1 FROM grown g JOIN linked l ON l.sketch_id = g.sketch_id AND l.minimizer = g.minimizer AND l.x = g.last
+),
+chains AS (SELECT sketch_id, minimizer, seq, CAST(n AS BIGINT) AS n_kmers FROM grown ANTI JOIN linked ON linked.sketch_id = grown.sketch_id AND linked.minimizer = grown.minimizer AND linked.x = grown.last)"""
+
+
 PAIRS = """
 pairs AS (SELECT a.sketch_id AS i, b.sketch_id AS j, CAST(count(*) AS BIGINT) AS n_shared
           FROM sk a JOIN sk b ON a.minimizer = b.minimizer AND a.kmer = b.kmer AND a.sketch_id < b.sketch_id GROUP BY ALL),

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.params import SketchParams
-from ..operators import compare, evaluate, matrix, sketch
-from ..sources import fasta
+from ..operators import compare, evaluate, matrix, sketch, superkmers
+from ..sources import exchange, fasta
+from ..sources.shared import written
 
 
 def sketch_files(spark: SparkSession, paths: list[str], p: SketchParams, table: str, prefix: str = "subsampled_", hidden: bool = False) -> DataFrame:
@@ -23,6 +24,55 @@ def sketch_files(spark: SparkSession, paths: list[str], p: SketchParams, table:
     return spark.table(f"{table}_meta").orderBy("sketch_id")
 
 
+def write_sketch_files(counted: DataFrame, names: DataFrame, p: SketchParams, folder: str, listed: str, overwrite: bool = False) -> None:
+    """Write sketches, counted without a least abundance, as files of the exchange format.
+
+    ``names`` has the sketch_id and file name of every sketch, those without
+    k-mers included; the headers tell all selected occurrences, the files hold
+    the k-mers that are abundant enough.
+    """
+    selected = counted.groupBy("sketch_id").agg(F.sum("cnt").alias("selected"))
+    told = names.join(selected, "sketch_id", "left").na.fill(0, ["selected"])
+    exchange.write_sketches(superkmers.rebuild(counted.where(F.col("cnt") >= p.abundance), p), told, p, folder, listed, overwrite)
+
+
+def sketch_to_files(spark: SparkSession, paths: list[str], p: SketchParams, folder: str, listed: str = "sketches.txt", prefix: str = "subsampled_", hidden: bool = False, overwrite: bool = False) -> list[str]:
+    """Sketch FASTA files, each into a file of the exchange format; the files' paths, which ``folder/listed`` lists too, in the order of the inputs."""
+    p = p.normalised()
+    records = fasta.read_any_fasta(spark, paths, k=p.k) if hidden else fasta.read_fasta(spark, paths)
+    named = spark.createDataFrame(list(enumerate(paths)), "sketch_id bigint, path string")
+    names = named.select("sketch_id", fasta.output_name(F.col("path"), prefix).alias("name"))
+    counted = written(sketch.build(records, SketchParams(p.k, p.m, p.s, 1, p.mode)))
+    write_sketch_files(counted, names, p, folder, listed, overwrite)
+    return listed_paths(spark, f"{folder}/{listed}")
+
+
+def listed_paths(spark: SparkSession, path: str, shortest: int = fasta.COMPARE) -> list[str]:
+    """The paths in a list, in their order (the list is the caller's own, so it fits the driver)."""
+    return [r["path"] for r in fasta.read_paths(spark, path, shortest).orderBy("ord").collect()]
+
+
+def compare_files(spark: SparkSession, bank: list[str], queries: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Score sketch files with each other, or query files with all: (i, j, containment, jaccard) for i <> j, and (sketch_id, name).
+
+    Queries are numbered first and the bank after them; a file may be in both.
+    Files made with different parameters are an error.
+    """
+    first, paths = len(queries or []), [*(queries or []), *bank]
+    made = sketch.agreed(exchange.read_headers(spark, paths).withColumnRenamed("rate", "s"))
+    held = written(exchange.read_sketches(spark, paths, made))
+    names = spark.createDataFrame([(i, p.rsplit("/", 1)[-1]) for i, p in enumerate(paths)], "sketch_id bigint, name string")
+    if queries is None:
+        return _directed(compare.all_pairs(held)), names
+    return compare.against_bank(held.where(F.col("sketch_id") < first), held.where(F.col("sketch_id") >= first)).drop("n_shared"), names
+
+
+def _directed(pairs: DataFrame) -> DataFrame:
+    there = pairs.select("i", "j", F.col("containment_ij").alias("containment"), "jaccard")
+    back = pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("containment_ji").alias("containment"), "jaccard")
+    return there.unionByName(back)
+
+
 def compare_tables(spark: SparkSession, bank: str, queries: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Score the sketches of a table with each other, or those of another table with all: (i, j, containment, jaccard) for i <> j, and (sketch_id, name).
 
@@ -31,10 +81,7 @@ def compare_tables(spark: SparkSession, bank: str, queries: str | None = None) -
     meta = spark.table(f"{bank}_meta")
     if queries is None:
         sketch.agreed(meta)
-        pairs = compare.all_pairs(spark.table(bank))
-        there = pairs.select("i", "j", F.col("containment_ij").alias("containment"), "jaccard")
-        back = pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("containment_ji").alias("containment"), "jaccard")
-        return there.unionByName(back), meta.select("sketch_id", "name")
+        return _directed(compare.all_pairs(spark.table(bank))), meta.select("sketch_id", "name")
     own = spark.table(f"{queries}_meta")
     sketch.agreed(own.unionByName(meta))
     first = own.agg(F.max("sketch_id")).first()[0] + 1

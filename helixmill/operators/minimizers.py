@@ -30,13 +30,15 @@ def chunks(records: DataFrame, k: int, chunk: int = CHUNK) -> DataFrame:
     """Pieces of at most ``chunk + k - 1`` bases: sketch_id, rec_id, base (offset) and bases (bytes).
 
     Records shorter than k are left out.  Slices of bytes cost their own length
-    only, wherever they begin.
+    only, wherever they begin.  A record may come in several rows that overlap by
+    k-1 bases and say their offset in ``base``.
     """
-    held = records.select(*KEY, F.col("seq").cast("binary").alias("seq"))
+    start = F.col("base") if "base" in records.columns else F.lit(0)
+    held = records.select(*KEY, start.cast("bigint").alias("row_base"), F.col("seq").cast("binary").alias("seq"))
     # A filter on the length would be pushed below the cleaning and clean each sequence again.
     offsets = F.when(F.length("seq") >= k, F.sequence(F.lit(0), F.length("seq") - k, F.lit(chunk)))
-    cut = held.select(*KEY, "seq", F.explode_outer(offsets).alias("base")).where("base is not null")
-    return cut.select(*KEY, F.col("base").cast("bigint").alias("base"), F.substring("seq", F.col("base") + 1, F.lit(chunk + k - 1)).alias("bases"))
+    cut = held.select(*KEY, "row_base", "seq", F.explode_outer(offsets).alias("base")).where("base is not null")
+    return cut.select(*KEY, (F.col("row_base") + F.col("base")).alias("base"), F.substring("seq", F.col("base") + 1, F.lit(chunk + k - 1)).alias("bases"))
 
 
 class Block:

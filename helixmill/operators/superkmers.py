@@ -7,14 +7,12 @@ together by one aggregation, not a lag.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dna
 from ..functions.params import SketchParams
+from ..sources.shared import written
 from .minimizers import is_selected, kmers, runs
 
 
@@ -77,45 +75,61 @@ def covered_mmers(segments: DataFrame, p: SketchParams) -> DataFrame:
     return segments.where("selected").withColumn("fresh", fresh).groupBy("sketch_id").agg(F.sum("fresh").alias("n_mmers"))
 
 
-REBUILT = "sketch_id bigint, minimizer bigint, seq string, n_kmers bigint"
+def placed(sketch: DataFrame, p: SketchParams) -> DataFrame:
+    """The k-mers of a sketch read so that their minimizer is in its canonical form: sketch_id, minimizer, x (bases) and at (its leftmost place)."""
+    own = dna.text_of(F.col("minimizer"), p.m)
+    told = sketch.select("sketch_id", "minimizer", dna.kmer_text(F.col("kmer"), p.k).alias("x"), own.alias("own"))
+    turned = told.select("sketch_id", "minimizer", "own", F.when(F.contains("x", "own"), F.col("x")).otherwise(dna.reverse_complement(F.col("x"))).alias("x"))
+    return turned.select("sketch_id", "minimizer", "x", (F.instr(F.col("x"), F.col("own")) - 1).alias("at"))
 
 
-def rebuild(sketch: DataFrame, p: SketchParams) -> DataFrame:
-    """Pack the distinct k-mers of each (sketch, minimizer) into few super-k-mers.
+#: Order in which neighbours are tried.
+TRIED = "ATCG"
+
+
+def links(nodes: DataFrame, p: SketchParams) -> DataFrame:
+    """Which k-mer follows which: sketch_id, minimizer, x and after.
+
+    A k-mer may be followed by one that overlaps it in k-1 bases and has the
+    minimizer a place further left.  The k-mers on both sides of an overlap, four
+    at most, are paired in order of their bases, so a k-mer has one follower
+    and follows one at most, and as many are linked as can be.
+    """
+    side = lambda left, overlap, base, at: F.struct(
+        F.lit(left).alias("left"), overlap.alias("overlap"), at.alias("spot"), F.struct(F.instr(F.lit(TRIED), base).alias("rank"), F.col("x").alias("x")).alias("one")
+    )
+    x, at = F.col("x"), F.col("at")
+    ends = F.array(
+        F.when(at > 0, side(True, F.substring(x, 2, p.k - 1), F.substring(x, 1, 1), at)),
+        F.when(at < p.k - p.m, side(False, F.substring(x, 1, p.k - 1), F.substring(x, p.k, 1), at + 1)),
+    )
+    halves = nodes.select("sketch_id", "minimizer", F.inline(F.filter(ends, lambda e: e.isNotNull())))
+    members = lambda left: F.array_sort(F.collect_list(F.when(F.col("left") == left, F.col("one"))))
+    met = halves.groupBy("sketch_id", "minimizer", "spot", "overlap").agg(members(True).alias("before"), members(False).alias("behind"))
+    pairs = F.slice(F.arrays_zip("before", "behind"), F.lit(1), F.least(F.size("before"), F.size("behind")))
+    return met.select("sketch_id", "minimizer", F.inline(pairs)).select("sketch_id", "minimizer", F.col("before.x").alias("x"), F.col("behind.x").alias("after"))
 
-    k-mers are laid around their minimizer and chained greedily by overlaps of
-    k-1 bases, in order of their number; every k-mer is in exactly one result.
-    A bucket holds the k-mers of one minimizer in one sketch.
+
+def rebuild(sketch: DataFrame, p: SketchParams) -> DataFrame:
+    """Pack the distinct k-mers of each (sketch, minimizer) into as few super-k-mers as can be: sketch_id, minimizer, seq and n_kmers.
+
+    k-mers reach as far to the left and right as their minimizer's place lets
+    them, so no super-k-mer is longer than a maximal one; every k-mer is in
+    exactly one.  Chains are put together over rows by doubling steps: a k-mer
+    knows the first of as many as 1, 2, 4, ... before it, until it knows its
+    chain's head.  So a minimizer with any number of k-mers is spread over tasks;
+    a group is one overlap or one chain.
     """
-    k, m = p.k, p.m
-
-    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for sketch_id, minimizer, mmer, members in zip(*(b.column(c).to_pylist() for c in ("sketch_id", "minimizer", "mmer", "kmers"))):
-                other = mmer.translate(str.maketrans("ACGT", "TGCA"))[::-1]
-                left = {}
-                for x in sorted(members):
-                    y = x.translate(str.maketrans("ACGT", "TGCA"))[::-1]
-                    left[x if mmer in x or other not in y else y] = None
-                while left:
-                    seq = next(iter(left))
-                    del left[seq]
-                    n = 1
-                    for forward in (True, False):
-                        grown = True
-                        while grown and len(seq) < 2 * k - m:
-                            grown = False
-                            for base in "ACTG":
-                                x = seq[1 - k :] + base if forward else base + seq[: k - 1]
-                                if x in left:
-                                    del left[x]
-                                    seq, n, grown = (seq + base if forward else base + seq), n + 1, True
-                                    break
-                    out.append((sketch_id, minimizer, seq, n))
-            names = ["sketch_id", "minimizer", "seq", "n_kmers"]
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names)
-
-    buckets = sketch.groupBy("sketch_id", "minimizer").agg(F.collect_list(dna.text_of(F.col("kmer"), k)).alias("kmers"))
-    return buckets.withColumn("mmer", dna.text_of(F.col("minimizer"), m)).mapInArrow(chain, REBUILT)
+    key = ["sketch_id", "minimizer"]
+    nodes = written(placed(sketch, p))
+    before = links(nodes, p).select(*key, F.col("after").alias("x"), F.col("x").alias("head"))
+    known = written(nodes.join(before, [*key, "x"], "left").select(*key, "x", "at", F.coalesce("head", "x").alias("head")))
+    reach = 1
+    while reach < p.window - 1:
+        further = known.where("x <> head").select(*key, F.col("x").alias("head"), F.col("head").alias("first"))
+        known = written(known.join(further, [*key, "head"], "left").select(*key, "x", "at", F.coalesce("first", "head").alias("head")))
+        reach *= 2
+    # A chain has as many k-mers as a window has places at most.
+    chains = known.groupBy(*key, "head").agg(F.array_sort(F.collect_list(F.struct((-F.col("at")).alias("place"), F.substring("x", p.k, 1).alias("base")))).alias("members"))
+    rest = F.array_join(F.transform(F.slice("members", 2, p.window), lambda r: r["base"]), "")
+    return chains.select(*key, F.concat("head", rest).alias("seq"), F.size("members").cast("bigint").alias("n_kmers"))

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import gzip
+import json
 import re
-import zlib
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dna
+from .streams import FastaStreams
 
 #: Shortest lines that count as paths: where sketches are built, and where they are compared.
 BUILD, COMPARE = 4, 3
@@ -88,26 +86,22 @@ def read_fasta(spark: SparkSession, paths: list[str], ids: list[int] | None = No
     return _records(rows.join(F.broadcast(listed), "file").select("sketch_id", "value"))
 
 
-def read_any_fasta(spark: SparkSession, paths: list[str], ids: list[int] | None = None) -> DataFrame:
+def read_any_fasta(spark: SparkSession, paths: list[str], ids: list[int] | None = None, k: int | None = None) -> DataFrame:
     """Like :func:`read_fasta` for files whose names hide that they are gzip or zlib streams.
 
-    Each file is decompressed in one task.
+    Each file is inflated piece by piece in one task, so it may be of any size.
+    With ``k``, long records come as rows that overlap by k-1 bases (and have
+    their offset in ``base``), which is what sketching k-mers of that size takes:
+    then no row holds more than about a million bases.
     """
-    listed = located(spark, paths, ids).drop("path")
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for sketch_id, content in zip(b.column("sketch_id").to_pylist(), b.column("content")):
-                content = content.as_py()
-                if content[:2] == b"\x1f\x8b":
-                    content = gzip.decompress(content)
-                elif content[:1] == b"\x78" and content[1:2] in (b"\x01", b"\x9c", b"\xda"):
-                    content = zlib.decompress(content)
-                records = content.decode("latin-1").split("\n>")
-                yield pa.RecordBatch.from_arrays([pa.array([sketch_id] * len(records), pa.int64()), pa.array(records, pa.string())], ["sketch_id", "value"])
-
-    files = spark.read.format("binaryFile").load(_escaped(paths)).select("content", _file().alias("file"))
-    return _records(files.join(F.broadcast(listed), "file").select("sketch_id", "content").mapInArrow(unpack, "sketch_id bigint, value string"))
+    located(spark, paths, ids)  # an error if a file doesn't exist
+    spark.dataSource.register(FastaStreams)
+    told = spark.createDataFrame([(i, int(own)) for i, own in enumerate(range(len(paths)) if ids is None else ids)], "place bigint, sketch_id bigint")
+    cut = {} if k is None else {"overlap": k - 1}
+    rows = spark.read.format("fasta_streams").options(paths=json.dumps(paths), **cut).load().join(F.broadcast(told), "place")
+    # Records of several files can belong to one sketch.
+    numbered = F.col("place") * (1 << 40) + F.col("record")
+    return rows.select("sketch_id", numbered.alias("rec_id"), *([] if k is None else ["base"]), "seq")
 
 
 def _records(rows: DataFrame) -> DataFrame:
@@ -170,9 +164,9 @@ def read_distances(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_benchmarks(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Resource tables (a header, then a line; second field memory, last one time): name, key (first number of the file's name), ram and time."""
+    """Resource tables (a header, then a line; third field memory, last one time): name, key (first number of the file's name), ram and time."""
     rows = numbered_lines(spark, paths).where("line = 1").select(F.regexp_extract("file", "([^/]*)$", 1).alias("name"), F.split("value", "\t").alias("f"))
-    return rows.select("name", F.regexp_extract("name", r"(\d+)", 1).try_cast("bigint").alias("key"), F.col("f")[1].cast("double").alias("ram"), F.element_at("f", -1).cast("double").alias("time"))
+    return rows.select("name", F.regexp_extract("name", r"(\d+)", 1).try_cast("bigint").alias("key"), F.get("f", F.lit(2)).cast("double").alias("ram"), F.element_at("f", -1).cast("double").alias("time"))
 
 
 def read_sizes(spark: SparkSession, paths: list[str]) -> DataFrame:

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-from uuid import uuid4
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.params import SketchParams
 from ..operators.sketch import build
+from ..sources.shared import scratch
 
 RECORDS = "sketch_id bigint, rec_id bigint, seq string"
 
@@ -36,14 +33,6 @@ def sketch_stream(records: DataFrame, target: str, checkpoint: str, p: SketchPar
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder name that all executors see: under ``spark.checkpoint.dir``; only a session in one process may leave that unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{named or tempfile.mkdtemp(prefix='helixmill-')}/work-{uuid4().hex}"
-
-
 def read_sketch(spark: SparkSession, target: str, p: SketchParams) -> DataFrame:
     """The sketch of all batches: sketch_id, minimizer, kmer, cnt and pos_min.
 

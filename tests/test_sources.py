@@ -43,7 +43,7 @@ def test_lists_and_tables(spark, tmp_path):
     assert {(r.i, r.j): r.value for r in fasta.read_matrix(spark, str(tmp_path / "m.csv")).collect()} == {(0, 0): 1, (0, 1): 0.5, (1, 0): 0.25, (1, 1): 1}
     (tmp_path / "d.csv").write_text("name;a;b\na;0;0.25\nb;0.25;0\n")
     assert {(r.i, r.j): r.value for r in fasta.read_distances(spark, str(tmp_path / "d.csv")).collect()} == {(0, 0): 1, (0, 1): 0.75, (1, 0): 0.75, (1, 1): 1}
-    (tmp_path / "run_12_x.tsv").write_text("h\tram\tt\n1\t250\t3.5\n")
+    (tmp_path / "run_12_x.tsv").write_text("s\tuser\tram\tio\tt\n1\t9\t250\t8\t3.5\n")
     row = fasta.read_benchmarks(spark, [str(tmp_path / "run_12_x.tsv")]).first()
     assert (row.key, row.ram, row.time) == (12, 250.0, 3.5)
     assert fasta.read_sizes(spark, [str(tmp_path / "d.csv")]).first().mib == (tmp_path / "d.csv").stat().st_size / 1048576
