@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dna, packing
 from ..functions.params import SketchParams, ordered
-from ..operators import compare, evaluate, matrix, minimizers, sketch, superkmers
+from ..operators import compare, evaluate, matrix, minimizers, segments, sketch, superkmers
 from ..sources.fasta import records_of
 from ..sources.shared import written
 from ..streaming.folder import sketch_once
@@ -182,6 +182,12 @@ def super_kmers(spark, sf_dir):
     return superkmers.super_kmers(by_document(spark, sf_dir), MAIN).drop("rec_id")
 
 
+@query(f"WITH RECURSIVE {sql.tracked(MAIN)} SELECT {SEGMENT} FROM cut")
+def superkmers_compat(spark, sf_dir):
+    """Super-k-mers as a scan cuts them that remembers one position."""
+    return segments.tracked_super_kmers(by_document(spark, sf_dir), MAIN).drop("rec_id")
+
+
 @query(f"WITH {sql.segments(MAIN)} SELECT sketch_id, CAST(count(*) AS BIGINT) AS n_superkmers, CAST(sum(is_maximal::INT) AS BIGINT) AS n_maximal, CAST(sum((is_maximal AND selected)::INT) AS BIGINT) AS n_selected_maximal FROM seg GROUP BY sketch_id")
 def maximal_super_kmers(spark, sf_dir):
     count = lambda c: F.count(F.when(c, 1))

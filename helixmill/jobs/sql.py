@@ -81,6 +81,28 @@ seg AS (SELECT sketch_id, rec_id, CAST(min(pos) AS BIGINT) AS start, CAST(count(
         FROM mins GROUP BY sketch_id, rec_id, mpos)"""
 
 
+def tracked(p: SketchParams) -> str:
+    """CTEs (recursive ones among them) up to ``cut`` (sketch_id, rec_id, start, len, n_kmers, minimizer, ho, is_rev, is_maximal, selected): super-k-mers of a scan that remembers one position."""
+    w = p.k - p.m
+    return f"""{minimizers(p)},
+spotted AS (SELECT sketch_id, rec_id, pos, ho, cd <> md AS turned FROM mc JOIN hashed USING (cd)),
+met AS (SELECT t.sketch_id, t.rec_id, t.pos, t.ho, list([t.pos + {w} - s.pos, s.turned::INT] ORDER BY s.pos DESC) AS found
+        FROM mins t JOIN spotted s ON t.sketch_id = s.sketch_id AND t.rec_id = s.rec_id AND t.ho = s.ho AND s.pos BETWEEN t.pos AND t.pos + {w} GROUP BY ALL),
+alike AS (SELECT *, found[1][1] AS nearest, found[1][2] = 1 AS rev, list_transform(list_filter(found, lambda x: x[2] = found[1][2]), lambda x: x[1]) AS same FROM met),
+placed AS (SELECT sketch_id, rec_id, pos, ho, rev, CASE WHEN rev THEN least(CASE WHEN nearest = 0 THEN 0 ELSE {w} - nearest END, coalesce(same[2], {w})) ELSE {w} - same[len(same)] END AS place FROM alike),
+lagged AS (SELECT *, coalesce(lag(ho) OVER (PARTITION BY sketch_id, rec_id ORDER BY pos) > ho, false) AS smaller FROM placed),
+ahead AS (SELECT l.sketch_id, l.rec_id, l.pos, l.ho, CASE WHEN smaller THEN s.turned ELSE rev END AS rev, l.pos + CASE WHEN smaller THEN {w + 1} ELSE place + 1 END AS reach,
+          min(CASE WHEN smaller THEN l.pos END) OVER (PARTITION BY l.sketch_id, l.rec_id ORDER BY l.pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nearest
+          FROM lagged l JOIN spotted s ON s.sketch_id = l.sketch_id AND s.rec_id = l.rec_id AND s.pos = l.pos + {w}),
+steps AS (SELECT sketch_id, rec_id, pos, ho, rev, least(reach, coalesce(nearest, reach)) AS follow FROM ahead),
+orbit AS (SELECT sketch_id, rec_id, pos, follow FROM steps WHERE pos = 0
+          UNION ALL SELECT s.sketch_id, s.rec_id, s.pos, s.follow FROM orbit o JOIN steps s ON s.sketch_id = o.sketch_id AND s.rec_id = o.rec_id AND s.pos = o.follow),
+ends AS (SELECT sketch_id, rec_id, max(pos) + 1 AS n FROM mins GROUP BY ALL),
+cut AS (SELECT o.sketch_id, o.rec_id, CAST(o.pos AS BIGINT) AS start, CAST(least(o.follow, n) - o.pos + {p.k - 1} AS BIGINT) AS len, CAST(least(o.follow, n) - o.pos AS BIGINT) AS n_kmers, minimizer, m.ho, s.rev AS is_rev,
+        least(o.follow, n) - o.pos = {p.window} AS is_maximal, m.ho <= {ordered(p.threshold())} AS selected
+        FROM orbit o JOIN ends USING (sketch_id, rec_id) JOIN steps s ON s.sketch_id = o.sketch_id AND s.rec_id = o.rec_id AND s.pos = o.pos JOIN mins m ON m.sketch_id = o.sketch_id AND m.rec_id = o.rec_id AND m.pos = o.pos)"""
+
+
 def letters(n: str, size: int) -> str:
     """Bases of a number."""
     return f"translate(array_to_string(list_transform(generate_series({size - 1}, 0, -1), lambda i: ({n} >> CAST(2 * i AS INT)) & 3), ''), '0123', 'ACTG')"

@@ -26,8 +26,8 @@ BLOCK = 1 << 19
 KEY = ("sketch_id", "rec_id")
 
 
-def chunks(records: DataFrame, k: int, chunk: int = CHUNK) -> DataFrame:
-    """Pieces of at most ``chunk + k - 1`` bases: sketch_id, rec_id, base (offset) and bases (bytes).
+def chunks(records: DataFrame, k: int, chunk: int = CHUNK, more: int = 0) -> DataFrame:
+    """Pieces of at most ``chunk + k - 1`` bases (and ``more`` that follow): sketch_id, rec_id, base (offset) and bases (bytes).
 
     Records shorter than k are left out.  Slices of bytes cost their own length
     only, wherever they begin.  A record may come in several rows that overlap by
@@ -38,7 +38,7 @@ def chunks(records: DataFrame, k: int, chunk: int = CHUNK) -> DataFrame:
     # A filter on the length would be pushed below the cleaning and clean each sequence again.
     offsets = F.when(F.length("seq") >= k, F.sequence(F.lit(0), F.length("seq") - k, F.lit(chunk)))
     cut = held.select(*KEY, "row_base", "seq", F.explode_outer(offsets).alias("base")).where("base is not null")
-    return cut.select(*KEY, (F.col("row_base") + F.col("base")).alias("base"), F.substring("seq", F.col("base") + 1, F.lit(chunk + k - 1)).alias("bases"))
+    return cut.select(*KEY, (F.col("row_base") + F.col("base")).alias("base"), F.substring("seq", F.col("base") + 1, F.lit(chunk + k - 1 + more)).alias("bases"))
 
 
 class Block:
@@ -81,15 +81,20 @@ def blocks(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[Block]:
                 start, size = n + 1, 0
 
 
-def over_blocks(records: DataFrame, k: int, work: Callable[[Block], list], schema: str) -> DataFrame:
-    """Rows that a function makes of each block of chunks."""
+def on_blocks(cut: DataFrame, k: int, work: Callable[[Block], list], schema: str) -> DataFrame:
+    """Rows that a function makes of each block of dealt chunks."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, k):
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in work(block)], names)
 
-    return chunks(records, k).repartition(*KEY, "base").mapInArrow(run, schema)
+    return cut.mapInArrow(run, schema)
+
+
+def over_blocks(records: DataFrame, k: int, work: Callable[[Block], list], schema: str) -> DataFrame:
+    """Rows that a function makes of each block of chunks."""
+    return on_blocks(chunks(records, k).repartition(*KEY, "base"), k, work, schema)
 
 
 def key_type(k: int) -> str:

@@ -41,7 +41,7 @@ def test_chunks_do_not_matter(spark, monkeypatch):
     seqs = [random_seqs(2, 3000, 3)]
     whole = {(r.minimizer, r.kmer, r.cnt) for r in sketch.build(records(spark, seqs), P).collect()}
     original = minimizers.chunks
-    monkeypatch.setattr(minimizers, "chunks", lambda rec, k, chunk=64: original(rec, k, 64))
+    monkeypatch.setattr(minimizers, "chunks", lambda rec, k, chunk=64, more=0: original(rec, k, 64, more))
     assert {(r.minimizer, r.kmer, r.cnt) for r in sketch.build(records(spark, seqs), P).collect()} == whole
 
 
@@ -65,7 +65,7 @@ def test_runs_across_chunks(spark, monkeypatch):
     seqs = random_seqs(3, 900, 21)
     whole = sorted(map(tuple, superkmers.super_kmers(records(spark, [seqs]), P, with_seq=True).collect()))
     original = minimizers.chunks
-    monkeypatch.setattr(minimizers, "chunks", lambda rec, k, chunk=64: original(rec, k, 50))
+    monkeypatch.setattr(minimizers, "chunks", lambda rec, k, chunk=64, more=0: original(rec, k, 50, more))
     assert sorted(map(tuple, superkmers.super_kmers(records(spark, [seqs]), P, with_seq=True).collect())) == whole
     for r in superkmers.super_kmers(records(spark, [seqs]), P, with_seq=True).collect():
         assert r.seq == seqs[r.rec_id][r.start : r.start + r.len]
