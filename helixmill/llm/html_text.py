@@ -19,12 +19,14 @@ so their texts are the article's own content.
 
 Tags and roles of the HTML standard that are never article text (navigation,
 footers, forms, scripts, articles inside an article and the like) are left out
-whatever the tree says, and where a page has an ``article`` or ``main`` element,
-what is outside.  Names of classes and ids are no more than a prior, and only
-when every part of a name is a known one.  A branch that calls itself an advert
-or comments goes unless it holds an article on any page of the host.  A vaguer
-name (header, notice) only raises the bar of importance; where a node is on too
-few pages to judge, such a name counts outside of articles alone.
+whatever the tree says, and where a page has text in a ``main`` element, or else
+in an ``article``, what is outside.  Names of classes and ids are no more than a prior, and only
+when every part of a name is a known one.  Inside an article a name raises the
+bar of importance that a branch has to reach, so text that a page has for itself
+is never cut by a name there.  Outside, a branch that calls itself an advert
+or comments goes once it is on enough pages to be judged, unless it holds an
+article on any page of the host; a vaguer name (header, notice) raises the bar;
+and on too few pages a named branch goes only if its content repeats.
 
 The tree is built by aggregations of hashes on (node, text), pre-summed before
 they shuffle, so a host of any size meets as one row a text.  The nodes to cut
@@ -69,8 +71,8 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("opt
 SCOPES = frozenset("ul ol dl table select div article section".split())
 
 #: Names of branches that aren't article text, and names that only say so where the content repeats too.
-FIRM = frozenset("ad ads advert adverts advertisement advertising adslot adbox sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar comment comments reply replies disqus respond discussion footer newsletter subscribe share sharing social widget pagination pager cookie cookies consent gdpr toolbar topbar related recommended popup modal overlay signup login skip".split())
-SOFT = frozenset("header masthead banner notice notices alert alerts announcement search copyright legal disclaimer".split())
+FIRM = frozenset("ad ads advert adverts advertisement advertising adslot adbox sponsor sponsored nav navbar navigation breadcrumb breadcrumbs sidebar comment comments disqus footer newsletter widget pagination pager cookie cookies gdpr toolbar topbar".split())
+SOFT = frozenset("header masthead banner notice notices announcement copyright disclaimer menu related recommended share sharing promo popup modal overlay signup subscribe consent".split())
 NEUTRAL = frozenset("site page main left right top bottom primary secondary list area block box bar container wrapper inner outer global links buttons form item items unit slot posts articles thread section".split())
 
 TOKENS = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|$)|[^<]+|<", re.DOTALL)
@@ -78,8 +80,10 @@ TOKENS = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|
 LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)", re.DOTALL)
 ATTRIBUTES = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.DOTALL)
 SPACE = re.compile(r"\s+")
-#: What names say of a node, weakest first.
-SOFT_INSIDE, SOFT_OUTSIDE, SURE = 1, 2, 3
+#: What names say of a node, weakest first: any inside an article, and the two kinds outside.
+INSIDE, SOFT_OUTSIDE, SURE = 1, 2, 3
+#: Where a block stands.
+ARTICLE, MAIN = 1, 2
 #: Levels of style nodes below a host.
 DEPTH = 64
 MASK = (1 << 64) - 1
@@ -144,8 +148,8 @@ def style_of(tag: str, given: str) -> tuple[int, bool, bool, int]:
 class Page:
     """The text blocks of a page and the style nodes they stand in."""
 
-    #: (text, number of its node, never, inside an article or main element)
-    blocks: list[tuple[str, int, bool, bool]] = field(default_factory=list)
+    #: (text, number of its node, never, inside an article or a main element)
+    blocks: list[tuple[str, int, bool, int]] = field(default_factory=list)
     #: Of each node: hash, number of the node above (-1: none), levels below the host, what its names say.
     ids: list[int] = field(default_factory=list)
     above: list[int] = field(default_factory=list)
@@ -182,14 +186,14 @@ class _Open:
 
     __slots__ = ("tag", "node", "own", "never", "inside", "shape")
 
-    def __init__(self, tag: str, node: int, own: bool, never: int, inside: bool):
+    def __init__(self, tag: str, node: int, own: bool, never: int, inside: int):
         self.tag, self.node, self.own, self.never, self.inside, self.shape = tag, node, own, never, inside, 0
 
 
 def parse(html: str | None, host: int = 0) -> Page:
     """The blocks of a page in order, with references decoded and white space made single; linear in the page's length."""
     page = Page()
-    root = _Open("", page.node(-1, host, 0), False, 0, False)
+    root = _Open("", page.node(-1, host, 0), False, 0, 0)
     stack, open_at, scopes = [root], {}, [0]
     text: list[str] = []
     owner, blank = root, True
@@ -259,7 +263,7 @@ def parse(html: str | None, host: int = 0) -> Page:
         style, marked, never, level = style_of(tag, m[3])
         up, block = stack[-1], tag in BLOCK
         starts = tag in ("article", "main") and not up.inside
-        inside = up.inside or starts
+        inside = up.inside or (MAIN if tag == "main" else ARTICLE if starts else 0)
         # 1: never article text unless an article starts inside; 2: never.
         never = 2 * (never or (tag == "article" and bool(open_at.get("article")))) or int(tag == "header" and not up.inside)
         held = 0 if starts and up.never == 1 else up.never
@@ -267,7 +271,7 @@ def parse(html: str | None, host: int = 0) -> Page:
             n = up.node
             while n >= 0:
                 page.said[n], n = 0, page.above[n]
-        said = SURE if level == 2 else 0 if not level or tag in ("article", "main") else SOFT_INSIDE if inside else SOFT_OUTSIDE
+        said = 0 if not level else (SURE if level == 2 and starts else 0) if tag in ("article", "main") else INSIDE if inside else SURE if level == 2 else SOFT_OUTSIDE
         own = tag not in ("html", "body") and page.level[up.node] < DEPTH and (marked if inside and not starts and tag in FLOW else block or bool(level))
         if block or own or never > held:
             flush()
@@ -285,10 +289,10 @@ def parse(html: str | None, host: int = 0) -> Page:
     return page
 
 
-def candidates(page: Page) -> list[tuple[str, int, bool, bool]]:
-    """The blocks that stay if the tree cuts none."""
-    within = any(inside and not never for _, _, never, inside in page.blocks)
-    return [b for b in page.blocks if not b[2] and (b[3] or not within)]
+def candidates(page: Page) -> list[tuple[str, int, bool, int]]:
+    """The blocks that stay if the tree cuts none: those in a main element, else those in articles, else all."""
+    within = max((inside for _, _, never, inside in page.blocks if not never), default=0)
+    return [b for b in page.blocks if not b[2] and b[3] >= within]
 
 
 def main_text(page: Page, cut: set[int] | frozenset[int]) -> str:
@@ -336,9 +340,10 @@ def style_rows(pages: DataFrame) -> DataFrame:
 
 
 def importances(seen: DataFrame, params: SiteParams = SiteParams()) -> DataFrame:
-    """host, node, m (pages), chain, said and importance of every style node, from :func:`style_rows`.
+    """host, node, m (pages), chain, said, importance and unjudged of every style node, from :func:`style_rows`.
 
-    ``said`` is the least that the node's names say on any page.
+    ``said`` is the least that the node's names say on any page; ``unjudged`` is
+    the importance that two pages are enough for.
     """
     of_value = seen.where(F.col("kind") != NODE).select("node", "kind", "value", "page").distinct().groupBy("node", "kind", "value").agg(F.count("*").alias("n"))
     text, shape = F.col("kind") == TEXT, F.col("kind") == SHAPE
@@ -355,17 +360,19 @@ def importances(seen: DataFrame, params: SiteParams = SiteParams()) -> DataFrame
     content = F.coalesce(1 - F.col("log_n") / F.log("m"), F.lit(0.0))
     presentation = F.coalesce(F.least(F.lit(1.0), (F.log("shown") - F.col("n_log_n") / F.col("shown")) / F.log("m")), F.lit(0.0))
     own = F.pow(F.lit(params.gamma), F.coalesce("l", F.lit(0)))
-    judged = F.when(F.col("m") >= params.pages, (1 - own) * presentation + own * content).otherwise(1.0)
-    return nodes.join(each, "node", "left").select("host", "node", "m", "chain", "said", judged.alias("importance"))
+    judged = lambda pages: F.when(F.col("m") >= pages, (1 - own) * presentation + own * content).otherwise(1.0)
+    return nodes.join(each, "node", "left").select("host", "node", "m", "chain", "said", judged(params.pages).alias("importance"), judged(min(2, params.pages)).alias("unjudged"))
 
 
 def nodes_to_cut(seen: DataFrame, params: SiteParams = SiteParams()) -> DataFrame:
     """The style nodes (node) whose branches go."""
     nodes = stash(importances(seen, params))
-    branch = nodes.select(F.explode("chain").alias("node"), "importance").groupBy("node").agg(F.max("importance").alias("branch"))
+    branch = nodes.select(F.explode("chain").alias("node"), "importance", "unjudged").groupBy("node").agg(F.max("importance").alias("branch"), F.max("unjudged").alias("few"))
     told = nodes.where(F.size("chain") > 0).select("node", "m", "said").join(branch, "node")
-    bar = F.when(F.col("said") == SOFT_INSIDE, params.named).when(F.col("said") == SOFT_OUTSIDE, F.when(F.col("m") < params.pages, 2.0).otherwise(params.named)).when(F.col("said") == SURE, 2.0)
-    return told.where(F.col("branch") < F.coalesce(bar, F.lit(params.least))).select("node")
+    enough = F.col("m") >= params.pages
+    low = F.when(enough, F.col("branch") < params.named).otherwise(F.col("few") < params.named)
+    named = F.when(F.col("said") == INSIDE, F.col("branch") < params.named).when(F.col("said") == SOFT_OUTSIDE, low).when(F.col("said") == SURE, enough | low)
+    return told.where((F.col("branch") < params.least) | F.coalesce(named, F.lit(False))).select("node")
 
 
 TEXTS = "page_id bigint, url string, text string, n_chars bigint"

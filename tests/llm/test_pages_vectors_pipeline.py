@@ -1,11 +1,14 @@
+import re
 from collections import Counter
+from html.parser import HTMLParser
+from math import log
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
 from helixmill.llm import components, html_text, quality, topk
-from .helpers import DOCS, docs, prose
+from .helpers import awkward, docs, prose
 from .test_text_operators import brute_base, brute_links, brute_repeats, edits
 
 PAGE = "page_id bigint, url string, html string, text string, host string"
@@ -33,7 +36,7 @@ def test_main_text(spark):
     got = html_text.extract_main_text(pages(spark, rows)).collect()
     assert Counter(r.page_id for r in got) == Counter(r[0] for r in rows)
     text = {r.page_id: r.text for r in got}
-    assert text[1] == "Title & more\n\nSome bold text. Next\n\nSecond <p>\n\na\n\nb"
+    assert text[1] == "Title & more\n\nSome bold text. Next\n\nSecond <p>\n\na\n\nb\n\nShare"
     assert (text[2], text[3], text[4], text[5], text[6], text[None]) == ("", "", "Plain", "no markup é", "open", "m")
     assert all(r.n_chars == len(r.text) for r in got)
     assert html_text.extract_main_text(pages(spark, [])).count() == 0
@@ -67,8 +70,8 @@ def test_other_layouts(spark):
     )
     loose = '<div class="post"><h2>Head</h2>Lead <span hidden>x</span>text<p>P</p></div><div class="topbar">Top</div><ul class="nav-list"><li>n</li></ul><p>End'
     text = texts(spark, [(1, "http://a.example/1", wrapped), (2, "http://b.example/1", loose)])
-    assert text[1] == "Head\n\nOne.\n\nTwo.\n\na b\n\nx\n\ny\n\nCap"
-    assert text[2].replace("\n\n", "|") in ("Head|Lead|text|P|End", "Head|Lead text|P|End")
+    assert text[1] == "Head\n\nOne.\n\nAccept\n\nTwo.\n\na b\n\nx\n\ny\n\nCap"
+    assert text[2].replace("\n\n", "|") in ("Head|Lead|text|P|Top|n|End", "Head|Lead text|P|Top|n|End")
 
 
 def test_copies_keep_their_article(spark):
@@ -89,17 +92,34 @@ def test_names_do_not_cut_article_text(spark):
     assert got[99] == "Title of it\n\nBody\n\nA\n\nB\n\nC" and all(prose(20, k) in got[k] for k in range(9))
 
 
+NAMES = ("discussion", "related", "menu", "recommended", "share", "zzz", "comments", "ad", "sidebar", "cookie-notice", "consent", "login", "promotion", "nav", "footer", "search", "related-posts")
+
+
+def test_names_never_cut_what_a_page_has_for_itself(spark):
+    """Own paragraphs of an article stay under any name, on one page and on many."""
+    one = "<article><h1>T</h1><section class='{0}'><p>{1}</p></section><div id='{0}'><div>{2}</div></div></article>"
+    rows = [(i, f"http://{name}.example/", one.format(name, prose(12, i), prose(9, 500 + i))) for i, name in enumerate(NAMES)]
+    rows += [(100 + 12 * i + k, f"http://many-{name}.example/{k}", one.format(name, prose(12, 1000 + 12 * i + k), prose(9, 2000 + 12 * i + k))) for i, name in enumerate(NAMES) for k in range(12)]
+    got = texts(spark, rows)
+    assert all(got[i] == f"T\n\n{prose(12, i)}\n\n{prose(9, 500 + i)}" for i in range(len(NAMES)))
+    assert all(got[100 + j].endswith(f"{prose(12, 1000 + j)}\n\n{prose(9, 2000 + j)}") for j in range(12 * len(NAMES)))
+
+
 def test_names_are_a_prior(spark):
-    """A sure name goes; a vague one needs content that repeats, or a node outside of articles that can't be judged."""
+    """Outside of articles a sure name goes once it can be judged, a vague one if its content repeats; before that either only if it repeats."""
     notes = lambda k: f"<div class='comments'>{prose(9, 300 + k)}</div>"
     rows = [(k, f"http://a.example/{k}", f"<body><div class='q'><p>{prose(30, k)}</p>{notes(k)}<p class='notice'>{prose(9, 600 + k)}</p></div></body>") for k in range(12)]
-    rows += [(50, "http://a.example/50", f"<body><div class='q'><p>{prose(30, 50)}</p><div class='sponsor'>{prose(5, 1)}</div></div></body>")]
     rows += [(60, "http://b.example/", f"<body><div class='q'><p>one</p>{notes(1)}<div class='notice'>two</div></div></body>")]
     rows += [(70, "http://c.example/", "<article><p>one</p><div class='notice'>two</div></article>"), (71, "http://c.example/2", "<div id='comments'><article><p>three</p></article></div>"), (72, "http://c.example/3", "<div id='comments'>four</div>")]
+    rows += [(80 + k, f"http://d.example/{k}", f"<div class='q'><p>{prose(9, k)}</p></div><div class='sponsor'>Buy</div><div class='notice'>Rules</div>") for k in range(2)]
+    # In an article: what half of the pages share goes under a name and stays without one.
+    rows += [(100 + k, f"http://e.example/{k}", f"<article><p>{prose(9, k)}</p><div class='share'>Tell {k // 6}</div><div class='x'>Told {k // 6}</div></article>") for k in range(12)]
     got = texts(spark, rows)
     assert all(got[k] == f"{prose(30, k)}\n\n{prose(9, 600 + k)}" for k in range(12))
-    assert got[50] == prose(30, 50) and got[60] == "one"
+    assert got[60] == f"one\n\n{prose(9, 301)}\n\ntwo"
     assert (got[70], got[71], got[72]) == ("one\n\ntwo", "three", "four")
+    assert got[80] == prose(9, 0) and got[81] == prose(9, 1)
+    assert all("Tell" not in got[100 + k] for k in range(12))
 
 
 def mixed_site():
@@ -123,52 +143,88 @@ def test_results_come_from_the_tree(spark):
     assert all(off[k] != on[k] for k in on) and "Made by hand" in off[3] and "Read our rules." in off[103]
 
 
-def test_importances_against_brute_force(spark):
-    """The same entropies from plain counting over each page's own elements."""
-    from html.parser import HTMLParser
-    from math import log
-
-    class Nodes(HTMLParser):
-        def __init__(self):
-            super().__init__()
-            self.stack, self.seen, self.texts, self.shapes, self.children = [()], set(), set(), set(), [[]]
-
-        def handle_starttag(self, tag, attrs):
-            name = ".".join([tag, *(v for _, v in attrs)])
-            if tag != "body":
-                self.children[-1].append(name)
-                self.stack.append((*self.stack[-1], name))
-                self.seen.add(self.stack[-1])
-                self.children.append([])
-
-        def handle_endtag(self, tag):
-            if tag != "body":
-                inner = self.children.pop()
-                if inner:
-                    self.shapes.add((self.stack[-1], tuple(inner)))
-                self.stack.pop()
-
-        def handle_data(self, data):
-            self.texts.add((self.stack[-1], data))
+class Nodes(HTMLParser):
+    """A page's style nodes, texts and child sequences, from Python's own parser; for well-formed pages of block elements."""
 
-    rows = [r for r in mixed_site() if r[0] < 100]
-    read = []
-    for _, _, html in rows:
-        read.append(Nodes())
-        read[-1].feed(html)
-    want = {}
+    def __init__(self, html):
+        super().__init__()
+        self.stack, self.seen, self.texts, self.shapes, self.children, self.blocks = [()], set(), set(), set(), [[]], []
+        self.feed(html)
+
+    def handle_starttag(self, tag, attrs):
+        name = ".".join([tag, *(v for _, v in attrs)])
+        if tag != "body":
+            self.children[-1].append(name)
+            self.stack.append((*self.stack[-1], name))
+            self.seen.add(self.stack[-1])
+            self.children.append([])
+
+    def handle_endtag(self, tag):
+        if tag != "body":
+            inner = self.children.pop()
+            if inner:
+                self.shapes.add((self.stack[-1], tuple(inner)))
+            self.stack.pop()
+
+    def handle_data(self, data):
+        self.texts.add((self.stack[-1], data))
+        self.blocks.append((self.stack[-1], data))
+
+
+def brute_tree(htmls):
+    """(pages, importance) of every style node of a host, by plain counting."""
+    read, want = [Nodes(h) for h in htmls], {}
     for node in {n for r in read for n in r.seen}:
         m = sum(node in r.seen for r in read)
         counts = [Counter(v for r in read for n, v in part(r) if n == node) for part in (lambda r: r.texts, lambda r: r.shapes)]
-        content = 1 - sum(log(n) for n in counts[0].values()) / len(counts[0]) / log(m) if counts[0] else 0
+        content = 1 - sum(log(n) for n in counts[0].values()) / len(counts[0]) / log(m) if counts[0] and m > 1 else 0
         shares = [n / sum(counts[1].values()) for n in counts[1].values()]
         weight = 0.9 ** len(shares)
-        want[node] = (m, (1 - weight) * -sum(p * log(p) for p in shares) / log(m) + weight * content)
+        want[node] = (m, (1 - weight) * -sum(p * log(p) for p in shares) / log(m) + weight * content if m > 2 else 1.0)
+    return want
+
+
+def brute_texts(htmls):
+    """Main texts of a host's pages without articles or names that say anything: blocks not under a branch of low importance."""
+    tree = brute_tree(htmls)
+    branch = {node: max(x for other, (_, x) in tree.items() if other[: len(node)] == node) for node in tree}
+    return ["\n\n".join(text for node, text in Nodes(h).blocks if all(branch[node[:i]] >= 0.3 for i in range(1, len(node) + 1))) for h in htmls]
+
+
+def test_importances_against_brute_force(spark):
+    """The same entropies from plain counting over each page's own elements."""
+    rows = [r for r in mixed_site() if r[0] < 100]
+    want = brute_tree([html for _, _, html in rows])
     frame = pages(spark, rows).select("url", "html")
     got = sorted((r.m, round(r.importance, 9)) for r in html_text.importances(html_text.style_rows(frame)).where("size(chain) > 0").collect())
     assert got == sorted((m, round(x, 9)) for m, x in want.values()) and len({x for _, x in want.values()}) >= 5
 
 
+def test_texts_against_a_brute_force_tree(spark):
+    """On sites where only the tree decides, random ones included, each page's text is what plain counting leaves."""
+    import random
+
+    rng, rows = random.Random(11), [r for r in mixed_site() if r[0] < 100]
+    for site_id in range(6):
+        names = [rng.choice("abcdefghijklmnopqrst") * 3 for _ in range(8)]
+        for k in range(15):
+            parts = []
+            for i, name in enumerate(names):
+                said = prose(6, 100 * i + k % 2 if i < 3 else rng.choice((i, 100 * i + k % rng.choice((2, 5)), 10_000 * (site_id + 1) + 100 * i + k)))
+                parts.append(f"<div class='{name}'><p>{said}</p>" + (f"<div class='in{i}'>{prose(4, k % 3 if i % 2 else 5000 + 20 * site_id + k)}</div>" if rng.random() < 0.7 else "") + "</div>")
+            rng.shuffle(parts)
+            rows.append((1000 + 20 * site_id + k, f"http://r{site_id}.example/{k}", f"<body>{''.join(parts)}</body>"))
+    got, hosts = texts(spark, rows), {}
+    for page_id, url, html in rows:
+        hosts.setdefault(html_text.page_host(url), []).append((page_id, html))
+    changed = 0
+    for members in hosts.values():
+        for (page_id, html), want in zip(members, brute_texts([h for _, h in members])):
+            assert got[page_id] == want
+            changed += want != "\n\n".join(t for _, t in Nodes(html).blocks)
+    assert changed > 60
+
+
 def test_deep_and_broken_pages():
     from time import perf_counter
 
@@ -328,17 +384,59 @@ def test_pipeline(spark, tmp_path):
     assert sorted((r.doc_id, r.n_tokens) for r in whole.collect()) == sorted((r.doc_id, r.n_tokens) for r in held[4])
 
 
+def kept_texts(rows):
+    """What the substring stage leaves of rows (doc_id, text), by brute force on windows of 50 words."""
+    split, first = [(i, t, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t, *_ in rows], {}
+    rank = lambda i: float("inf") if i is None else i
+    for i, _, w in split:
+        for s in range(len(w) - 49):
+            key = tuple(w[s : s + 50])
+            first[key] = min(first.get(key, rank(i)), rank(i))
+    out = []
+    for i, t, w in split:
+        gone = {p for s in range(len(w) - 49) if first[tuple(w[s : s + 50])] < rank(i) for p in range(s, s + 50)}
+        left = [x for p, x in enumerate(w) if p not in gone]
+        if left or not gone:
+            out.append((i, " ".join(left) if gone else t))
+    return Counter(out)
+
+
 def test_stages_take_awkward_documents(spark, tmp_path):
+    """Row by row: what each stage makes of null, empty, repeated and long texts, and of an empty table."""
     spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    for rows in (None, []):
-        for _, stage in corpus_pipeline.STAGES[1:]:
-            out = stage(spark, docs(spark, rows), str(tmp_path))
-            assert out.count() >= 0 and (stage is corpus_pipeline.packing or out.schema.simpleString() == docs(spark, []).schema.simpleString())
+    rows, folder = awkward(), str(tmp_path)
+    pairs = lambda frame: Counter((r.doc_id, r.text) for r in frame.collect())
+    given = docs(spark, rows)
+    assert pairs(corpus_pipeline.repeated_passages(spark, given, folder)) == kept_texts(rows)
+    assert Counter(map(tuple, corpus_pipeline.secrets(spark, given, folder).collect())) == Counter(rows)
+    packed = corpus_pipeline.packing(spark, given, folder).collect()
+    assert Counter((r.doc_id, r.n_tokens) for r in packed) == Counter((i, len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))) for i, t, *_ in rows)
+    assert len({(r.bucket, r.batch, r.slot) for r in packed}) == len(packed) and all(r.pad_to >= r.n_tokens for r in packed)
+    accepted = Counter((r.doc_id, r.predicted) for r in quality.classify(given, spark.read.parquet(f"{folder}/labels.parquet")).collect())
+    assert Counter(r.doc_id for r in corpus_pipeline.quality(spark, given, folder).collect()) == Counter({i: n for (i, p), n in accepted.items() if p}) == Counter()
+    for _, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, docs(spark, []), folder)
+        assert empty.count() == 0 and (stage is corpus_pipeline.packing or empty.schema.simpleString() == docs(spark, []).schema.simpleString())
+    clash = docs(spark, rows, clashing=True).drop("n_chars")
     for _, stage in corpus_pipeline.STAGES[1:]:
-        given = docs(spark, clashing=True).drop("n_chars")
-        out = stage(spark, given, str(tmp_path))
-        assert out.count() > 0 and (stage is corpus_pipeline.packing or out.columns == given.columns)
-    assert corpus_pipeline.quality(spark, docs(spark), str(tmp_path)).columns == [c.split()[0] for c in DOCS.split(", ")]
+        out = stage(spark, clash, folder)
+        assert (stage is corpus_pipeline.packing or out.columns == clash.columns) and Counter(r.doc_id for r in out.collect()) == Counter(r.doc_id for r in stage(spark, given, folder).collect())
+
+
+@pytest.mark.parametrize("hot", [1000, 20])
+def test_stages_take_many_repeated_rows(spark, tmp_path, monkeypatch, hot):
+    """Hundreds of rows of one text without an id beside an earlier holder: whole results, and no array that grows with the copies."""
+    from helixmill.llm import common, substring_dedup
+
+    monkeypatch.setattr(common, "HOT", hot)
+    text = prose(400, 1)
+    rows = [(5, prose(60, 2) + " " + text)] + [(None, text + " tail")] * 300 + [(7, prose(80, 3))] * 200 + [(8, prose(80, 3) + " " + prose(70, 4)), (None, None), (None, None)]
+    given, folder = docs(spark, rows), str(tmp_path)
+    assert Counter((r.doc_id, r.text) for r in corpus_pipeline.repeated_passages(spark, given, folder).collect()) == kept_texts(rows)
+    found = substring_dedup.repeats(substring_dedup._keyed(given), substring_dedup.RepeatParams()).collect()
+    assert found and max(len(r.codes) for r in found) < 60
+    near = corpus_pipeline.near_copies(spark, given, folder).collect()
+    assert Counter(r.doc_id for r in near) == Counter([5, 7, 8, None])
 
 
 def test_near_copies_keeps_one_of_each_class(spark, tmp_path):
