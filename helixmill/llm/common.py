@@ -82,6 +82,22 @@ def spread_join(frame: DataFrame, told: DataFrame, key: list[str], count: str, r
     return frame.join(hot, key).unionByName(frame.join(hot.select(*key), key, "left_anti").join(cold, key))
 
 
+def salted_left_join(frame: DataFrame, told: DataFrame, key: list[str]) -> DataFrame:
+    """Left join with a table that has one row for each key, by a shuffle in which rows of a frequent key are dealt to all partitions.
+
+    Frequent keys are those of more than a thousandth of the rows (and ``HOT``),
+    so there are 1000 at most; told's rows for them are repeated for each partition.
+    """
+    rows, n = frame.count(), parallelism(frame)
+    hot = frame.groupBy(*key).agg(F.count("*").alias("_times")).where(F.col("_times") > max(HOT, rows // 1000)).select(*key)
+    flag, salt = unused(frame.join(told.limit(0), key, "left"), "flag", "salt")
+    hot = F.broadcast(cut(hot).withColumn(flag, F.lit(True)))
+    own = F.when(F.col(flag), F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int")).otherwise(0)
+    every = F.when(F.col(flag), F.sequence(F.lit(0), F.lit(n - 1))).otherwise(F.array(F.lit(0)))
+    dealt = frame.join(hot, key, "left").withColumn(salt, own).drop(flag)
+    return dealt.join(told.join(hot, key, "left").withColumn(salt, F.explode(every)).drop(flag), [*key, salt], "left").drop(salt)
+
+
 def constant(values: list, kind: str) -> Column:
     """A nested list of whole numbers as one literal of a Spark type such as ``array<bigint>``."""
     return F.from_json(F.lit(str(values).replace("'", '"').replace("None", "null")), kind)

@@ -27,7 +27,7 @@ result doesn't depend on an order of processing.
 
 Aggregations are partial before they shuffle, so a passage of a third of all
 documents meets as one row a task; pairs are made of different contents only, in
-groups of bounded size.  Words are compared by hashes of 64 bits each.
+groups of bounded size; repeated rows are dealt apart where they are many.  Words are compared by hashes of 64 bits each.
 
 Null and empty texts, and texts shorter than a window, lose nothing.  Documents
 with a null id come after all others; rows with equal ids never take from each
@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, groups, likely, parallelism, spread_join, stash, texts, unused
+from .common import batch, groups, likely, parallelism, salted_left_join, spread_join, stash, texts, unused
 from .words import U64, encode, mix, span_hashes, window_hashes, word_hashes
 
 NO_ID = 2**63 - 1
@@ -258,17 +258,18 @@ def extended(seeds: DataFrame, params: RepeatParams) -> DataFrame:
 def repeats(keyed: DataFrame, params: RepeatParams) -> DataFrame:
     """Each document (d, th) that has repeated windows, with their coded runs."""
     runs = stash(find_runs(keyed, params))
-    contents = runs.groupBy("anchor", "content").agg(F.min("d").alias("first"))
+    contents = runs.groupBy("anchor", "content").agg(F.min("d").alias("first"), F.count("*").alias("times"))
     shared = contents.groupBy("anchor").agg(F.count("*").alias("n"), F.min("first").alias("low"), F.max("first").alias("high"))
     shared = shared.where("n > 1 and low < high").select("anchor", F.lit(True).alias("partly"))
-    told = contents.join(shared, "anchor", "left")
+    told = stash(contents.join(shared, "anchor", "left").where("times > 1 or partly"))
+    # Repeated rows have the same runs, so a set holds no more than one text's.
     judged = stash(
-        runs.join(told, ["anchor", "content"])
+        spread_join(runs, told, ["anchor", "content"], "times", runs.count())
         .where("first < d or partly")
         .groupBy("d", "th")
         .agg(
-            F.collect_list(F.when(F.col("first") < F.col("d"), F.col("code"))).alias("whole"),
-            F.collect_list(F.when(F.col("first") == F.col("d"), F.col("code"))).alias("codes"),
+            F.collect_set(F.when(F.col("first") < F.col("d"), F.col("code"))).alias("whole"),
+            F.collect_set(F.when(F.col("first") == F.col("d"), F.col("code"))).alias("codes"),
         )
     )
     partly = judged.where(F.size("codes") > 0).select("d", "th", "codes")
@@ -294,7 +295,7 @@ def remove_repeats(docs: DataFrame, params: RepeatParams = RepeatParams(), with_
     """doc_id, th (hash of the text), n_words, n_removed, kept (the kept words joined by one space; null
     without ``with_text``) and kept_sha256."""
     keyed = _keyed(docs)
-    joined = keyed.join(repeats(keyed, params), ["d", "th"], "left")
+    joined = salted_left_join(keyed, stash(repeats(keyed, params)), ["d", "th"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -322,7 +323,7 @@ def without_repeats(docs: DataFrame, params: RepeatParams = RepeatParams()) -> D
     d, th, held = unused(docs, "d", "th", "codes")
     keyed = docs.withColumn(d, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))).withColumn(th, F.xxhash64(F.coalesce("text", F.lit(""))))
     found = repeats(_keyed(docs), params).select(F.col("d").alias(d), F.col("th").alias(th), F.col("codes").alias(held))
-    joined = keyed.join(found, [d, th], "left").select(*names, held)
+    joined = salted_left_join(keyed, stash(found), [d, th]).select(*names, held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
