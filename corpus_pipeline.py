@@ -20,32 +20,46 @@ from helixmill.llm.substring_dedup import without_repeats
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts, rows as they are.
+
+    A null text is scored as an empty one; without a label nothing is accepted.
+    """
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class: that with the least id, null ids last (one row of repeated ones)."""
+    """One document of each near-duplicate class: that with the least id, null ids last (one row of repeated ones).
+
+    Texts without words, nulls and empty ones among them, are one class.
+    """
     # Ids may be null or given to several texts, so classes have a key of their own; of one id's texts, the least hash stands for the class.
     d, th = unused(docs, "d", "th")
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias(d), F.col("th").alias(th))).alias("first")
     stays = near_duplicates(docs).groupBy("class_key").agg(first).select("first.*")
     keyed = docs.withColumn(d, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))).withColumn(th, F.xxhash64(F.coalesce("text", F.lit(""))))
-    return keyed.join(stays, [d, th]).dropDuplicates([d, th]).select(*docs.columns)
+    # Repeated rows become one of each task before texts move; the join needs no further exchange of them.
+    return keyed.dropDuplicates([d, th]).join(stays, [d, th]).select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages of 50 words and more that an earlier one holds."""
+    """Documents without the passages of 50 words and more that one with a smaller id holds; a null id is the largest.
+
+    A row that loses nothing stays as it is, one that loses every word goes.
+    Rows of one id, repeated ones among them, take nothing from each other.
+    """
     return without_repeats(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their secrets masked."""
+    """Documents with their secrets masked; every row stays, one without a secret as it is, nulls included."""
     return mask_secrets(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Length buckets and token-budget batches: doc_id, n_tokens, bucket, pad_to, batch and slot."""
+    """Length buckets and token-budget batches, a row for each row: doc_id, n_tokens, bucket, pad_to, batch and slot.
+
+    A null text has no tokens; repeated rows take a slot each.
+    """
     return pack_documents(docs)
 
 
