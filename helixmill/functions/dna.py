@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .hashing import EPS
 from .params import MAX_INT_K
 
 BASES = "ACTG"
@@ -80,12 +81,12 @@ def with_minimizer(left: Column, minimizer: Column, right: Column) -> Column:
 
 def decycling_class(d: Column, m: int) -> Column:
     """Class of an m-mer under a decycling set: 2 if its weighted sum of sines is
-    positive and that of its rotation isn't, 1 for the mirrored case, else 0."""
+    positive and that of its rotation (last base first) isn't, 1 for the mirrored case, else 0."""
     from math import pi, sin
 
-    eps = 1e-6
+    eps = EPS
     sines = F.array(*[F.lit(sin(2 * pi * i / m)) for i in range(m)])
     codes = F.transform(F.sequence(F.lit(1), F.lit(m)), lambda i: F.substring(d, i, F.lit(1)).cast("double"))
     weigh = lambda c: F.aggregate(F.zip_with(c, sines, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    here, turned = weigh(codes), weigh(F.concat(F.slice(codes, 2, m - 1), F.slice(codes, 1, 1)))
+    here, turned = weigh(codes), weigh(F.concat(F.slice(codes, m, 1), F.slice(codes, 1, m - 1)))
     return F.when((here > eps) & (turned < eps), 2).when((here < -eps) & (turned > -eps), 1).otherwise(0)

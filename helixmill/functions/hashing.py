@@ -11,6 +11,8 @@ U64 = np.uint64
 #: The five primes of XXH64 and the seed of the sketch format.
 P1, P2, P3, P4, P5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
 SEED = 1312
+#: Fixed value: what counts as zero in a decycling set.
+EPS = 1e-6
 
 CODES = np.zeros(256, np.uint8)
 CODES[[ord(c) for c in "ACTG"]] = range(4)
@@ -34,6 +36,21 @@ def ordered(x: np.ndarray) -> np.ndarray:
     return (x ^ U64(1 << 63)).view(np.int64)
 
 
+def decycling_class(x: np.ndarray, m: int) -> np.ndarray:
+    """Class of each m-mer under a decycling set: 2 if its weighted sum of sines is
+    positive and that of its rotation (last base first) isn't, 1 for the mirrored case, else 0."""
+    sines = np.sin(2 * np.pi * np.arange(m) / m)
+    digits = [(x >> U64(2 * (m - 1 - i)) & U64(3)).astype(np.float64) for i in range(m)]
+    here = sum(s * d for s, d in zip(sines, digits))
+    turned = sum(s * d for s, d in zip(sines, [digits[-1], *digits[:-1]]))
+    return np.where((here > EPS) & (turned < EPS), 2, np.where((here < -EPS) & (turned > -EPS), 1, 0))
+
+
+def by_class(h: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Hashes of 62 bits below two bits for the class: 2, then 1, then 0."""
+    return h & U64((1 << 62) - 1) | np.array([1 << 63, 1 << 62, 0], U64)[classes]
+
+
 def words(codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Every word of ``size`` bases (31 at most) and its reverse complement, put together from halves."""
     ahead = back = None

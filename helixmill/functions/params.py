@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from decimal import Decimal, localcontext
 
 MAX_HASH = 2**64 - 1
@@ -17,7 +17,9 @@ class SketchParams:
     """k-mer size, minimizer size, subsampling rate, least abundance, and how the rate is turned into a threshold.
 
     ``mode`` is ``hitting`` (a k-mer is kept at about the rate 1/s) or
-    ``fracminhash`` (a minimizer is kept at the rate 1/s).
+    ``fracminhash`` (a minimizer is kept at the rate 1/s).  ``order`` says which
+    m-mer of a k-mer is its minimizer: that of least ``hash``, or with
+    ``decycling`` of the best class of the decycling set, then of least hash.
     """
 
     k: int = 31
@@ -25,6 +27,7 @@ class SketchParams:
     s: float = 1000
     abundance: int = 1
     mode: str = "hitting"
+    order: str = "hash"
 
     def normalised(self) -> SketchParams:
         """Sizes made odd by rounding up, then m held to its largest value."""
@@ -34,7 +37,14 @@ class SketchParams:
             raise ValueError(f"need 0 < m < k <= {MAX_K}, got k={k}, m={m}")
         if self.mode not in ("hitting", "fracminhash"):
             raise ValueError(f"unknown mode {self.mode!r}")
-        return SketchParams(k, m, self.s, self.abundance, self.mode)
+        if self.order not in ("hash", "decycling"):
+            raise ValueError(f"unknown order {self.order!r}")
+        return replace(self, k=k, m=m)
+
+    @property
+    def counting(self) -> SketchParams:
+        """The same with every k-mer abundant enough."""
+        return replace(self, abundance=1)
 
     @property
     def window(self) -> int:

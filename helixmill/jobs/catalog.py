@@ -24,6 +24,7 @@ SMALL = SketchParams(15, 5, 4)
 MAIN = SketchParams(21, 7, 4)
 WIDE = SketchParams(31, 11, 10)
 LONG = SketchParams(33, 11, 10)
+CLASSED = SketchParams(21, 7, 4, order="decycling")
 RATES = (2, 4, 8, 16, 1000)
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -202,12 +203,18 @@ DENSITY = f"""cov AS (SELECT *, lag(start + len - {MAIN.m} + 1) OVER (PARTITION
 n AS (SELECT sketch_id, CAST(sum(len - {MAIN.m} + 1 - greatest(0, coalesce(pe, start) - start)) AS BIGINT) AS n_mmers, CAST(count(*) AS BIGINT) AS n_selected FROM cov GROUP BY sketch_id)"""
 
 
-@query(f"WITH {sql.segments(MAIN)}, {DENSITY} SELECT sketch_id, n_mmers, n_selected, n_selected::DOUBLE / n_mmers * {MAIN.window + 1} AS density FROM n")
-def superkmer_density(spark, sf_dir):
-    segments = superkmers.super_kmers(by_document(spark, sf_dir), MAIN)
-    chosen = segments.where("selected").groupBy("sketch_id").agg(F.count("*").alias("n_selected"))
-    joined = superkmers.covered_mmers(segments, MAIN).join(chosen, "sketch_id")
-    return joined.select("sketch_id", "n_mmers", "n_selected", (F.col("n_selected").cast("double") / F.col("n_mmers") * (MAIN.window + 1)).alias("density"))
+def density_query(p: SketchParams) -> tuple[str, Query]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        segments = superkmers.super_kmers(by_document(spark, sf_dir), p)
+        chosen = segments.where("selected").groupBy("sketch_id").agg(F.count("*").alias("n_selected"))
+        joined = superkmers.covered_mmers(segments, p).join(chosen, "sketch_id")
+        return joined.select("sketch_id", "n_mmers", "n_selected", (F.col("n_selected").cast("double") / F.col("n_mmers") * (p.window + 1)).alias("density"))
+
+    return f"WITH {sql.segments(p)}, {DENSITY} SELECT sketch_id, n_mmers, n_selected, n_selected::DOUBLE / n_mmers * {p.window + 1} AS density FROM n", run
+
+
+for _name, _p in {"superkmer_density": MAIN, "density_decycling": CLASSED}.items():
+    SQL[_name], QUERIES[_name] = density_query(_p)
 
 
 @query(f"WITH RECURSIVE {sql.rebuilt(MAIN)} SELECT * FROM chains")
@@ -248,10 +255,8 @@ def superkmer_kmers(spark, sf_dir):
     return superkmers.kmers_of(selected_sequences(spark, sf_dir), MAIN)
 
 
-_SINES = "list_sum(list_transform(generate_series(1, {m}), lambda i: CAST(substr({d}, CAST(i AS INT), 1) AS DOUBLE) * sin(2 * pi() * (i - 1) / {m})))"
-DECYCLING = f"""WITH {positions_sql(MAIN.m)}, w AS (SELECT translate(word, 'ACTG', '0123') AS md, count(*) AS n FROM spot GROUP BY ALL),
-v AS (SELECT n, {_SINES.format(m=MAIN.m, d="md")} AS here, {_SINES.format(m=MAIN.m, d="(substr(md, 2) || substr(md, 1, 1))")} AS turned FROM w)
-SELECT CAST(CASE WHEN here > 1e-6 AND turned < 1e-6 THEN 2 WHEN here < -1e-6 AND turned > -1e-6 THEN 1 ELSE 0 END AS INTEGER) AS "class", CAST(sum(n) AS BIGINT) AS n_mmers, CAST(count(*) AS BIGINT) AS n_distinct FROM v GROUP BY ALL"""
+DECYCLING = f"""WITH {positions_sql(MAIN.m)}, w AS (SELECT translate(word, 'ACTG', '0123') AS md, count(*) AS n FROM spot GROUP BY ALL)
+SELECT CAST({sql.decycling("md", MAIN.m)} AS INTEGER) AS "class", CAST(sum(n) AS BIGINT) AS n_mmers, CAST(count(*) AS BIGINT) AS n_distinct FROM w GROUP BY ALL"""
 
 
 @query(DECYCLING)
@@ -275,6 +280,7 @@ for _name, _p in {
     "sketch_fracminhash": SketchParams(MAIN.k, MAIN.m, MAIN.s, 1, "fracminhash"),
     "sketch_k31": WIDE,
     "sketch_k33": LONG,
+    "sketch_decycling": CLASSED,
 }.items():
     SQL[_name], QUERIES[_name] = sketch_query(_p)
 

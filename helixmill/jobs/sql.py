@@ -24,12 +24,23 @@ def records(sketch: str = "doc_id") -> str:
     return f"recs AS (SELECT * FROM ({rows}) WHERE sketch_id IS NOT NULL)"
 
 
-def hashes(codes: str) -> str:
-    """CTEs from a table ``codes`` (cd) to ``hashed`` (cd, cm, ho): number and hash order of each digit string."""
+def decycling(d: str, m: int) -> str:
+    """Class of a digit string of m bases under the decycling set."""
+    sines = "list_sum(list_transform(generate_series(1, {m}), lambda i: CAST(substr({d}, CAST(i AS INT), 1) AS DOUBLE) * sin(2 * pi() * (i - 1) / {m})))"
+    here, turned = sines.format(m=m, d=d), sines.format(m=m, d=f"(substr({d}, {m}, 1) || substr({d}, 1, {m - 1}))")
+    return f"CASE WHEN {here} > 1e-6 AND {turned} < 1e-6 THEN 2 WHEN {here} < -1e-6 AND {turned} > -1e-6 THEN 1 ELSE 0 END"
+
+
+def hashes(codes: str, decycling_m: int | None = None) -> str:
+    """CTEs from a table ``codes`` (cd) to ``hashed`` (cd, cm, ho): number and hash order of each digit string (by class first, if a size is given)."""
 
     def mul(a: str, p: int) -> str:
         return f"(({a}) * {p}::UHUGEINT) % {MASK}"
 
+    last = "x"
+    if decycling_m:
+        last = f"(x % {2**62}::UHUGEINT + CASE {decycling('cd', decycling_m)} WHEN 2 THEN 0::UHUGEINT WHEN 1 THEN {2**62}::UHUGEINT ELSE {2**63}::UHUGEINT END)"
+
     def rotl(a: str, b: int) -> str:
         return f"(({a}) % {2 ** (64 - b)}::UHUGEINT) * {2**b}::UHUGEINT + ({a}) // {2 ** (64 - b)}::UHUGEINT"
 
@@ -42,7 +53,8 @@ h4 AS (SELECT cd, cm, {rotl("x", 27)} AS x FROM h3),
 h5 AS (SELECT cd, cm, (({mul("x", P1)}) + {P4}::UHUGEINT) % {MASK} AS x FROM h4),
 h6 AS (SELECT cd, cm, {mul("xor(x, x // 8589934592::UHUGEINT)", P2)} AS x FROM h5),
 h7 AS (SELECT cd, cm, {mul("xor(x, x // 536870912::UHUGEINT)", P3)} AS x FROM h6),
-hashed AS (SELECT cd, cm, (xor(x, x // 4294967296::UHUGEINT)::HUGEINT - 9223372036854775808::HUGEINT)::BIGINT AS ho FROM h7)"""
+h8 AS (SELECT cd, cm, xor(x, x // 4294967296::UHUGEINT) AS x FROM h7),
+hashed AS (SELECT cd, cm, ({last}::HUGEINT - 9223372036854775808::HUGEINT)::BIGINT AS ho FROM h8)"""
 
 
 def minimizers(p: SketchParams, sketch: str = "doc_id") -> str:
@@ -52,7 +64,7 @@ dig AS (SELECT sketch_id, rec_id, translate(seq, 'ACTG', '0123') AS d FROM recs
 spots AS (SELECT sketch_id, rec_id, d, unnest(generate_series(0, length(d) - {p.m})) AS pos FROM dig),
 mm AS (SELECT sketch_id, rec_id, pos, substr(d, pos + 1, {p.m}) AS md, CASE WHEN pos <= length(d) - {p.k} THEN substr(d, pos + 1, {p.k}) END AS kd FROM spots),
 mc AS (SELECT *, least(md, {turned("md")}) AS cd FROM mm),
-distinct_codes AS (SELECT DISTINCT cd FROM mc),{hashes("distinct_codes")},
+distinct_codes AS (SELECT DISTINCT cd FROM mc),{hashes("distinct_codes", p.m if p.order == "decycling" else None)},
 keyed AS (SELECT sketch_id, rec_id, pos, kd, ((ho::HUGEINT + 9223372036854775808::HUGEINT) * 1048576 + pos) * 2 + (cd <> md)::INT AS key FROM mc JOIN hashed USING (cd)),
 best AS (SELECT sketch_id, rec_id, pos, kd, min(key) OVER (PARTITION BY sketch_id, rec_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {p.k - p.m} FOLLOWING) AS key FROM keyed),
 told AS (SELECT sketch_id, rec_id, pos, kd, (key // 2097152 - 9223372036854775808::HUGEINT)::BIGINT AS ho, CAST(key // 2 % 1048576 AS BIGINT) AS mpos, key % 2 = 1 AS is_rev FROM best WHERE kd IS NOT NULL),

@@ -42,7 +42,7 @@ def sketch_to_files(spark: SparkSession, paths: list[str], p: SketchParams, fold
     records = fasta.read_any_fasta(spark, paths, k=p.k) if hidden else fasta.read_fasta(spark, paths)
     named = spark.createDataFrame(list(enumerate(paths)), "sketch_id bigint, path string")
     names = named.select("sketch_id", fasta.output_name(F.col("path"), prefix).alias("name"))
-    counted = written(sketch.build(records, SketchParams(p.k, p.m, p.s, 1, p.mode)))
+    counted = written(sketch.build(records, p.counting))
     write_sketch_files(counted, names, p, folder, listed, overwrite)
     return listed_paths(spark, f"{folder}/{listed}")
 

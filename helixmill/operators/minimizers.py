@@ -121,11 +121,19 @@ def mmers(records: DataFrame, m: int) -> DataFrame:
     return over_blocks(records, m, work, "sketch_id bigint, rec_id bigint, pos bigint, code bigint, mmer bigint, ho bigint")
 
 
+def order_of(canonical: np.ndarray, p: SketchParams) -> np.ndarray:
+    """Signed numbers in the order in which canonical m-mers are preferred as minimizers."""
+    h = hashing.xxh64(canonical)
+    if p.order == "decycling":
+        h = hashing.by_class(h, hashing.decycling_class(canonical, p.m))
+    return hashing.ordered(h)
+
+
 def _minima(x: Block, p: SketchParams) -> tuple[np.ndarray, ...]:
     """Canonical m-mers, whether they are read in reverse, their hash order, and where each k-mer's minimizer starts."""
     ahead, back = hashing.words(x.codes, p.m)
     canonical = np.minimum(ahead, back)
-    ho = hashing.ordered(hashing.xxh64(canonical))
+    ho = order_of(canonical, p)
     return canonical.view(np.int64), back < ahead, ho, hashing.least_at(ho, p.window)[x.at]
 
 

@@ -48,7 +48,7 @@ def metrics(records: DataFrame, p: SketchParams) -> DataFrame:
         count(chosen).alias("selected_superkmers"),
         count(chosen & F.col("is_maximal")).alias("selected_maximal"),
     )
-    kept = build(records, SketchParams(p.k, p.m, p.s, 1, p.mode))
+    kept = build(records, p.counting)
     by_kmer = kept.groupBy("sketch_id").agg(F.count("*").alias("distinct_kmers"), F.countDistinct("minimizer").alias("minimizers"), count(F.col("cnt") >= p.abundance).alias("kept_kmers"))
     joined = by_segment.join(by_kmer, "sketch_id", "left").join(covered_mmers(segments, p), "sketch_id", "left").na.fill(0, ["distinct_kmers", "minimizers", "kept_kmers", "n_mmers"])
     ratio = lambda a, b: F.when(F.col(b) != 0, F.col(a).cast("double") / F.col(b))

@@ -27,7 +27,7 @@ def sketch_stream(records: DataFrame, target: str, checkpoint: str, p: SketchPar
     """
 
     def append(batch: DataFrame, number: int) -> None:
-        build(batch, SketchParams(p.k, p.m, p.s, 1, p.mode)).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        build(batch, p.counting).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     writer = records.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

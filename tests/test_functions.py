@@ -71,3 +71,31 @@ def test_decycling_covers_all_rotations(spark):
     for w in words:  # every rotation cycle of an m-mer that isn't constant is hit
         if len(set(w)) > 1:
             assert any(kind[w[i:] + w[:i]] == 2 for i in range(3))
+
+
+def test_decycling_classes(spark):
+    """Classes by the definition, in arrays and in columns; every cycle of rotations has one m-mer of class 2 at least, unless all its sums are 0."""
+    import math
+
+    import numpy as np
+
+    from helixmill.functions import dna, hashing
+
+    for m in (3, 5, 7):
+        x = np.arange(4**m, dtype=np.uint64)
+        digits = [[int(n) >> 2 * (m - 1 - i) & 3 for i in range(m)] for n in x]
+        weigh = lambda d: sum(math.sin(2 * math.pi * i / m) * c for i, c in enumerate(d))
+        want = []
+        for d in digits:
+            here, turned = weigh(d), weigh([d[-1], *d[:-1]])
+            want.append(2 if here > 1e-6 > turned else 1 if here < -1e-6 < turned else 0)
+        got = hashing.decycling_class(x, m)
+        assert got.tolist() == want
+        by_digits = dict(zip(map(tuple, digits), want))
+        for d in by_digits:
+            turns = [d[i:] + d[:i] for i in range(m)]
+            assert any(by_digits[t] == 2 for t in turns) or all(abs(weigh(t)) < 1e-6 for t in turns)
+        frame = spark.createDataFrame([("".join(map(str, d)),) for d in digits], "d string")
+        assert [r.c for r in frame.select(dna.decycling_class(frame.d, m).alias("c")).collect()] == want
+    order = hashing.by_class(np.array([2**64 - 1, 5, 7], np.uint64), np.array([2, 1, 0]))
+    assert order.tolist() == [2**62 - 1, 2**62 + 5, 2**63 + 7]
