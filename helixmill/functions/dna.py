@@ -56,8 +56,11 @@ def text_of(n: Column, size: int) -> Column:
 
 
 def kmer_text(kmer: Column, k: int) -> Column:
-    """Bases of a k-mer's key: a number, or beyond 31 bases a string of digits."""
-    return text_of(kmer, k) if k <= MAX_INT_K else bases(kmer)
+    """Bases of a k-mer's key: a number, or beyond 31 bases a struct of ``hi`` (all but the last 32 bases) and ``lo`` (those, less 2**63)."""
+    if k <= MAX_INT_K:
+        return text_of(kmer, k)
+    # As text of a number below zero, conv takes its 64 bits for an unsigned one.
+    return F.concat(text_of(kmer["hi"], k - 32), text_of(kmer["lo"].bitwiseXOR(F.lit(-(2**63)).cast("bigint")), 32))
 
 
 def seeded_hash(mmer: Column) -> Column:

@@ -52,7 +52,7 @@ def by_class(h: np.ndarray, classes: np.ndarray) -> np.ndarray:
 
 
 def words(codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Every word of ``size`` bases (31 at most) and its reverse complement, put together from halves."""
+    """Every word of ``size`` bases (32 at most) and its reverse complement, put together from halves."""
     ahead = back = None
     one, two, width, done, left = codes.astype(U64), (codes ^ 2).astype(U64), 1, 0, size
     n = len(codes) - size + 1

@@ -270,6 +270,14 @@ def decycling_class(spark, sf_dir):
 # Sketches.
 
 
+def main_sketch(spark, sf_dir, p: SketchParams = MAIN) -> DataFrame:
+    return sketch.build(by_document(spark, sf_dir), p)
+
+
+def pairs_sql(p: SketchParams, columns: str, where: str = "", of: str = "doc_id") -> str:
+    return f"WITH {sql.sketch(p, of)},{sql.PAIRS} SELECT {columns} FROM scores {where}"
+
+
 def sketch_query(p: SketchParams) -> tuple[str, Query]:
     return f"WITH {sql.sketch(p)} SELECT * FROM sk", lambda spark, sf_dir: sketch.build(by_document(spark, sf_dir), p)
 
@@ -279,12 +287,23 @@ for _name, _p in {
     "sketch_abundance2": SketchParams(MAIN.k, MAIN.m, MAIN.s, 2),
     "sketch_fracminhash": SketchParams(MAIN.k, MAIN.m, MAIN.s, 1, "fracminhash"),
     "sketch_k31": WIDE,
-    "sketch_k33": LONG,
     "sketch_decycling": CLASSED,
 }.items():
     SQL[_name], QUERIES[_name] = sketch_query(_p)
 
 
+@query(f"WITH {sql.sketch(LONG)} SELECT sketch_id, minimizer, kmer.hi AS kmer_hi, kmer.lo AS kmer_lo, cnt, pos_min FROM sk")
+def sketch_k33(spark, sf_dir):
+    """k-mers of 66 bits, their keys in two parts."""
+    found = sketch.build(by_document(spark, sf_dir), LONG)
+    return found.select("sketch_id", "minimizer", F.col("kmer.hi").alias("kmer_hi"), F.col("kmer.lo").alias("kmer_lo"), "cnt", "pos_min")
+
+
+@query(pairs_sql(LONG, "i, j, n_shared, jaccard"))
+def jaccard_pairs_k33(spark, sf_dir):
+    return compare.all_pairs(main_sketch(spark, sf_dir, LONG)).select("i", "j", "n_shared", "jaccard")
+
+
 METRICS = f"""WITH {sql.sketch(MAIN)}, seg AS (SELECT sketch_id, rec_id, min(pos) AS start, count(*) + {MAIN.k - 1} AS len, count(*) AS n_kmers, count(*) = {MAIN.window} AS is_maximal, any_value(ho) <= {ordered(MAIN.threshold())} AS selected FROM mins GROUP BY sketch_id, rec_id, mpos),
 {DENSITY},
 s AS (SELECT sketch_id, CAST(sum(n_kmers) AS BIGINT) AS total_kmers, CAST(count(*) AS BIGINT) AS total_superkmers, CAST(sum(is_maximal::INT) AS BIGINT) AS maximal_superkmers,
@@ -346,10 +365,6 @@ def stream_sketch(spark, sf_dir):
 # Comparison.
 
 
-def main_sketch(spark, sf_dir, p: SketchParams = MAIN) -> DataFrame:
-    return sketch.build(by_document(spark, sf_dir), p)
-
-
 @query(f"WITH {sql.sketch(MAIN)} SELECT * FROM sizes")
 def cardinality(spark, sf_dir):
     return compare.cardinality(main_sketch(spark, sf_dir))
@@ -360,10 +375,6 @@ def color_map(spark, sf_dir):
     return compare.color_map(main_sketch(spark, sf_dir))
 
 
-def pairs_sql(p: SketchParams, columns: str, where: str = "", of: str = "doc_id") -> str:
-    return f"WITH {sql.sketch(p, of)},{sql.PAIRS} SELECT {columns} FROM scores {where}"
-
-
 @query(pairs_sql(MAIN, "i, j, n_shared"))
 def pair_intersection(spark, sf_dir):
     return compare.shared(main_sketch(spark, sf_dir))

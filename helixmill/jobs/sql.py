@@ -73,7 +73,10 @@ mins AS (SELECT sketch_id, rec_id, pos, kd, cm AS minimizer, told.ho, mpos, is_r
 
 def kmer(p: SketchParams, d: str = "kd") -> str:
     least = f"least({d}, {turned(d)})"
-    return fold(least) if p.k <= 31 else least
+    if p.k <= 31:
+        return fold(least)
+    low = f"list_reduce(list_transform(string_split(substr({least}, {p.k - 31}), ''), lambda x: x::HUGEINT), lambda a, b: a * 4 + b)"
+    return f"struct_pack(hi := {fold(f'substr({least}, 1, {p.k - 32})')}, lo := ({low} - 9223372036854775808::HUGEINT)::BIGINT)"
 
 
 def sketch(p: SketchParams, of: str = "doc_id") -> str:

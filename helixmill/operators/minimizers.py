@@ -59,16 +59,16 @@ class Block:
         return [self.rows.column(c).take(pa.array(self.row[chosen])) for c in KEY]
 
     def canonical(self, at: np.ndarray, k: int) -> pa.Array:
-        """Keys of the k-mers at some positions: whole numbers, or beyond 31 bases the digits."""
+        """Keys of the k-mers at some positions: whole numbers, or beyond 31 bases a high and a low part in the same order."""
         if k <= MAX_INT_K:
             ahead, back = hashing.words(self.codes, k)
             return pa.array(np.minimum(ahead[at], back[at]).view(np.int64))
-        ahead = self.codes[at[:, None] + np.arange(k)] + np.uint8(48)
-        back = (ahead[:, ::-1] - np.uint8(48) ^ np.uint8(2)) + np.uint8(48)
-        if not len(at):
-            return pa.array([], pa.string())
-        one, two = (np.ascontiguousarray(x).view(f"S{k}").ravel() for x in (ahead, back))
-        return pa.array(np.where(one < two, one, two).astype(str), pa.string())
+        high, low = hashing.words(self.codes, k - 32), hashing.words(self.codes, 32)
+        rest = at + (k - 32)
+        ahead, back = (high[0][at], low[0][rest]), (high[1][at + 32], low[1][at])
+        first = (ahead[0] < back[0]) | (ahead[0] == back[0]) & (ahead[1] <= back[1])
+        hi, lo = (np.where(first, x, y) for x, y in zip(ahead, back))
+        return pa.StructArray.from_arrays([pa.array(hi.view(np.int64)), pa.array(hashing.ordered(lo))], ["hi", "lo"])
 
 
 def blocks(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[Block]:
@@ -83,7 +83,7 @@ def blocks(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[Block]:
 
 def on_blocks(cut: DataFrame, k: int, work: Callable[[Block], list], schema: str) -> DataFrame:
     """Rows that a function makes of each block of dealt chunks."""
-    names = [c.split()[0] for c in schema.split(", ")]
+    names = [c.split()[0] for c in schema.split(", ")]  # nested types have no blank after their commas
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, k):
@@ -98,7 +98,7 @@ def over_blocks(records: DataFrame, k: int, work: Callable[[Block], list], schem
 
 
 def key_type(k: int) -> str:
-    return "bigint" if k <= MAX_INT_K else "string"
+    return "bigint" if k <= MAX_INT_K else "struct<hi:bigint,lo:bigint>"
 
 
 def kmers(records: DataFrame, p: SketchParams) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from helixmill.functions import dna
 from helixmill.functions.params import SketchParams
 from helixmill.operators import compare, evaluate, matrix, minimizers, sketch, superkmers
 
@@ -31,10 +32,27 @@ def test_sketch_equals_model(spark, p):
         assert got.get(i, {}) == model.sketch(s, p.k, p.m, p.threshold(), p.abundance)
 
 
-def test_long_kmers_are_digit_strings(spark):
-    p = SketchParams(33, 11, 1)
-    rows = sketch.build(records(spark, [["ACGTTGCATGTCGCATGATGCATGAGAGCTACGATTACAGATTACACCATG"]]), p).collect()
-    assert len(rows) == 51 - 33 + 1 and all(len(r.kmer) == 33 for r in rows)
+@pytest.mark.parametrize("k", [33, 45, 63])
+def test_long_kmers_have_keys_in_two_parts(spark, k):
+    """The parts are the canonical number's, sort as it does, and give the bases back."""
+    p, seqs = SketchParams(k, 11, 1), random_seqs(6, 200, 77) + ["G" * 70, "C" * 70, "ACGT" * 20, ""]
+    rows = sketch.build(records(spark, [seqs]), p).select("minimizer", "kmer", "cnt", dna.kmer_text(F.col("kmer"), k).alias("text")).orderBy("kmer").collect()
+    number = lambda key: key.hi * 2**64 + key.lo + 2**63
+    assert {(r.minimizer, number(r.kmer)): r.cnt for r in rows} == model.sketch(seqs, k, 11, p.threshold())
+    assert all(model.number(r.text) == number(r.kmer) and len(r.text) == k for r in rows)
+    numbers = [number(r.kmer) for r in rows]
+    assert numbers == sorted(numbers) and len(numbers) > 100
+
+
+def test_long_kmers_are_compared(spark, tmp_path):
+    p, shared = SketchParams(41, 11, 2), random_seqs(1, 900, 5)[0]
+    held = sketch.build(records(spark, [[shared[30 * i :] + random_seqs(1, 400, i)[0]] for i in range(3)]), p)
+    kept = [{tuple(r.kmer) for r in held.where(F.col("sketch_id") == i).collect()} for i in range(3)]
+    assert {(r.i, r.j): r.jaccard for r in compare.all_pairs(held).collect()} == {(i, j): len(kept[i] & kept[j]) / len(kept[i] | kept[j]) for i in range(3) for j in range(i + 1, 3)}
+    spark.sql("drop table if exists long_bank")
+    sketch.write_sketches(held, held.select("sketch_id").distinct(), "long_bank", 4, str(tmp_path))
+    assert sorted(map(tuple, spark.table("long_bank").collect())) == sorted(map(tuple, held.collect()))
+    spark.sql("drop table long_bank")
 
 
 def test_chunks_do_not_matter(spark, monkeypatch):
