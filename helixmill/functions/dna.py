@@ -23,6 +23,11 @@ def clean(text: Column) -> Column:
     return F.upper(F.regexp_replace(text, "[^ACGTacgt]+", ""))
 
 
+def with_gaps(text: Column) -> Column:
+    """A text of the same length: the letters ACGTacgt in upper case, and N for every other."""
+    return F.upper(F.regexp_replace(text, "[^ACGTacgt]", "N"))
+
+
 def digits(seq: Column) -> Column:
     return F.translate(seq, BASES, "0123")
 

@@ -16,6 +16,8 @@ EPS = 1e-6
 
 CODES = np.zeros(256, np.uint8)
 CODES[[ord(c) for c in "ACTG"]] = range(4)
+#: Whether a byte is a base.
+KNOWN = np.isin(np.arange(256), [ord(c) for c in "ACTG"])
 
 
 def _rotated(x: np.ndarray, bits: int) -> np.ndarray:

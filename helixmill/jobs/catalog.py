@@ -12,11 +12,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import dna, packing
+from ..functions import dna, packing, tables
 from ..functions.params import SketchParams, ordered
 from ..operators import compare, evaluate, matrix, minimizers, segments, sketch, superkmers
 from ..sources.fasta import records_of
 from ..sources.shared import written
+from ..streaming.comparison import compare_once
 from ..streaming.folder import sketch_once
 from . import sql
 
@@ -362,6 +363,42 @@ def stream_sketch(spark, sf_dir):
     return sketch_once(records_of(arriving), MAIN)
 
 
+GAPPED = SketchParams(5, 3, 1)
+
+
+@query(f"WITH {sql.sketch(GAPPED, gaps=True)} SELECT * FROM sk")
+def sketch_split_on_gaps(spark, sf_dir):
+    """Sketches whose k-mers don't span letters other than ACGT."""
+    return sketch.build(records_of(documents(spark, sf_dir), gaps=True), GAPPED)
+
+
+@query(f"WITH {sql.minimizers(GAPPED, gaps=True)} SELECT sketch_id, CAST(pos AS BIGINT) AS pos, CAST(mpos AS BIGINT) AS mpos, minimizer FROM mins")
+def minimizers_split_on_gaps(spark, sf_dir):
+    """Their offsets are those of the texts."""
+    return minimizers.minimizers(records_of(documents(spark, sf_dir), gaps=True), GAPPED).select("sketch_id", "pos", "mpos", "minimizer")
+
+
+def sequences_in_sql(sf_dir: str) -> str:
+    return f"TABLE(SELECT doc_id AS sketch_id, doc_id AS rec_id, text AS seq FROM parquet.`{sf_dir}/documents.parquet`)"
+
+
+@query(f"WITH {sql.sketch(MAIN)} SELECT * FROM sk")
+def sketch_in_sql(spark, sf_dir):
+    """Sketches of a table, from one SQL text."""
+    tables.register(spark)
+    return spark.sql(
+        f"""SELECT sketch_id, minimizer, kmer, count(*) AS cnt, min(pos_min) AS pos_min
+        FROM selected_kmers({sequences_in_sql(sf_dir)} PARTITION BY (rec_id), {MAIN.k}, {MAIN.m}, {float(MAIN.s)}D) GROUP BY sketch_id, minimizer, kmer"""
+    )
+
+
+@query(SPECTRUM)
+def spectrum_in_sql(spark, sf_dir):
+    """All k-mers of a table with their counts, from one SQL text."""
+    tables.register(spark)
+    return spark.sql(f"SELECT sketch_id, kmer, count(*) AS cnt FROM sequence_kmers({sequences_in_sql(sf_dir)}, {MAIN.k}) GROUP BY sketch_id, kmer")
+
+
 # Comparison.
 
 
@@ -390,6 +427,23 @@ def jaccard_pairs(spark, sf_dir):
     return compare.all_pairs(main_sketch(spark, sf_dir)).drop("containment_ij", "containment_ji")
 
 
+NEAREST = "sides AS (SELECT i, j, jaccard FROM scores UNION ALL SELECT j, i, jaccard FROM scores), ranked AS (SELECT i, CAST(row_number() OVER (PARTITION BY i ORDER BY jaccard DESC, j) AS INTEGER) AS rank, j, jaccard FROM sides)"
+
+
+@query(f"WITH {sql.sketch(MAIN)},{sql.PAIRS},{NEAREST} SELECT i, rank, j, jaccard FROM ranked WHERE rank <= 3")
+def nearest_sketches(spark, sf_dir):
+    """The three most similar documents of each."""
+    return compare.nearest(compare.all_pairs(main_sketch(spark, sf_dir)), "jaccard", 3)
+
+
+@query(pairs_sql(MAIN, "i, j, n_shared, n_i, n_j, jaccard"))
+def stream_jaccard(spark, sf_dir):
+    """Similarities of all documents, kept up by a stream."""
+    table = documents(spark, sf_dir)
+    arriving = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/documents.parque[t]")
+    return compare_once(records_of(arriving), MAIN).drop("containment_ij", "containment_ji")
+
+
 @query(pairs_sql(WIDE, "i, j, n_shared, n_i, n_j, jaccard"))
 def jaccard_pairs_k31(spark, sf_dir):
     return compare.all_pairs(main_sketch(spark, sf_dir, WIDE)).drop("containment_ij", "containment_ji")

@@ -18,9 +18,9 @@ def turned(d: str) -> str:
     return f"translate(reverse({d}), '0123', '2301')"
 
 
-def records(sketch: str = "doc_id") -> str:
-    """Cleaned records; those that belong to no sketch are left out."""
-    rows = f"SELECT {sketch} AS sketch_id, doc_id AS rec_id, upper(regexp_replace(coalesce(text, ''), '[^ACGTacgt]', '', 'g')) AS seq FROM documents"
+def records(sketch: str = "doc_id", other: str = "") -> str:
+    """Cleaned records; those that belong to no sketch are left out.  Other letters are replaced."""
+    rows = f"SELECT {sketch} AS sketch_id, doc_id AS rec_id, upper(regexp_replace(coalesce(text, ''), '[^ACGTacgt]', '{other}', 'g')) AS seq FROM documents"
     return f"recs AS (SELECT * FROM ({rows}) WHERE sketch_id IS NOT NULL)"
 
 
@@ -57,17 +57,18 @@ h8 AS (SELECT cd, cm, xor(x, x // 4294967296::UHUGEINT) AS x FROM h7),
 hashed AS (SELECT cd, cm, ({last}::HUGEINT - 9223372036854775808::HUGEINT)::BIGINT AS ho FROM h8)"""
 
 
-def minimizers(p: SketchParams, sketch: str = "doc_id") -> str:
+def minimizers(p: SketchParams, sketch: str = "doc_id", gaps: bool = False) -> str:
     """CTEs up to ``mins`` (sketch_id, rec_id, pos, kd, minimizer, ho, mpos, is_rev)."""
-    return f"""{records(sketch)},
+    whole = lambda d: f" WHERE NOT contains({d}, 'N')" if gaps else ""
+    return f"""{records(sketch, "N" if gaps else "")},
 dig AS (SELECT sketch_id, rec_id, translate(seq, 'ACTG', '0123') AS d FROM recs WHERE length(seq) >= {p.k}),
 spots AS (SELECT sketch_id, rec_id, d, unnest(generate_series(0, length(d) - {p.m})) AS pos FROM dig),
 mm AS (SELECT sketch_id, rec_id, pos, substr(d, pos + 1, {p.m}) AS md, CASE WHEN pos <= length(d) - {p.k} THEN substr(d, pos + 1, {p.k}) END AS kd FROM spots),
-mc AS (SELECT *, least(md, {turned("md")}) AS cd FROM mm),
+mc AS (SELECT *, least(md, {turned("md")}) AS cd FROM mm{whole("md")}),
 distinct_codes AS (SELECT DISTINCT cd FROM mc),{hashes("distinct_codes", p.m if p.order == "decycling" else None)},
 keyed AS (SELECT sketch_id, rec_id, pos, kd, ((ho::HUGEINT + 9223372036854775808::HUGEINT) * 1048576 + pos) * 2 + (cd <> md)::INT AS key FROM mc JOIN hashed USING (cd)),
 best AS (SELECT sketch_id, rec_id, pos, kd, min(key) OVER (PARTITION BY sketch_id, rec_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {p.k - p.m} FOLLOWING) AS key FROM keyed),
-told AS (SELECT sketch_id, rec_id, pos, kd, (key // 2097152 - 9223372036854775808::HUGEINT)::BIGINT AS ho, CAST(key // 2 % 1048576 AS BIGINT) AS mpos, key % 2 = 1 AS is_rev FROM best WHERE kd IS NOT NULL),
+told AS (SELECT sketch_id, rec_id, pos, kd, (key // 2097152 - 9223372036854775808::HUGEINT)::BIGINT AS ho, CAST(key // 2 % 1048576 AS BIGINT) AS mpos, key % 2 = 1 AS is_rev FROM best WHERE kd IS NOT NULL{' AND NOT contains(kd, chr(78))' if gaps else ''}),
 mins AS (SELECT sketch_id, rec_id, pos, kd, cm AS minimizer, told.ho, mpos, is_rev FROM told JOIN hashed ON told.ho = hashed.ho)"""
 
 
@@ -79,9 +80,9 @@ def kmer(p: SketchParams, d: str = "kd") -> str:
     return f"struct_pack(hi := {fold(f'substr({least}, 1, {p.k - 32})')}, lo := ({low} - 9223372036854775808::HUGEINT)::BIGINT)"
 
 
-def sketch(p: SketchParams, of: str = "doc_id") -> str:
+def sketch(p: SketchParams, of: str = "doc_id", gaps: bool = False) -> str:
     """CTEs up to ``sk`` (sketch_id, minimizer, kmer, cnt, pos_min) and ``sizes`` (sketch_id, n)."""
-    return f"""{minimizers(p, of)},
+    return f"""{minimizers(p, of, gaps)},
 sel AS (SELECT sketch_id, minimizer, {kmer(p)} AS kmer, CAST(mpos - pos AS BIGINT) AS pos_min FROM mins WHERE ho <= {ordered(p.threshold())}),
 sk AS (SELECT sketch_id, minimizer, kmer, CAST(count(*) AS BIGINT) AS cnt, min(pos_min) AS pos_min FROM sel GROUP BY sketch_id, minimizer, kmer HAVING count(*) >= {p.abundance}),
 sizes AS (SELECT sketch_id, CAST(count(*) AS BIGINT) AS n FROM sk GROUP BY sketch_id)"""

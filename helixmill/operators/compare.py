@@ -7,7 +7,7 @@ are exact to the last bit and never divide by zero.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -83,6 +83,17 @@ def all_pairs(sketch: DataFrame) -> DataFrame:
     return scored(shared(sketch), cardinality(sketch))
 
 
+def nearest(pairs: DataFrame, column: str, k: int) -> DataFrame:
+    """The k best partners of each sketch by a score that has no direction: i, rank, j and the score; ties go to the smaller j.
+
+    The rank's limit is applied in each task before rows are shuffled, so no more
+    than k rows of a sketch leave a task.
+    """
+    both = pairs.select("i", "j", column).unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), column))
+    rank = F.row_number().over(Window.partitionBy("i").orderBy(F.desc(column), "j"))
+    return both.select("i", rank.alias("rank"), "j", column).where(F.col("rank") <= k)
+
+
 def at_least(pairs: DataFrame, column: str, least: float, sparse: bool = True) -> DataFrame:
     """Scores under the least value dropped, or shown as 0 where rows are to stay."""
     if sparse:

@@ -42,16 +42,22 @@ def chunks(records: DataFrame, k: int, chunk: int = CHUNK, more: int = 0) -> Dat
 
 
 class Block:
-    """Some chunks laid end to end as codes, with the positions at which a word of k bases lies inside a chunk."""
+    """Some chunks laid end to end as codes, with the positions at which a word of k bases lies inside a chunk and spans no gap (other letter)."""
 
     def __init__(self, rows: pa.RecordBatch, k: int):
         data = rows.column("bases")
         sizes = np.array([len(x.as_buffer()) for x in data], np.int64)
-        self.codes = hashing.CODES[np.frombuffer(b"".join(x.as_buffer() for x in data), np.uint8)]
+        data_bytes = b"".join(x.as_buffer() for x in data)
+        self.codes = hashing.CODES[np.frombuffer(data_bytes, np.uint8)]
         starts, counts = np.cumsum(sizes) - sizes, np.maximum(sizes - k + 1, 0)
         self.row = np.repeat(np.arange(len(sizes)), counts)
         inside = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
         self.at = starts[self.row] + inside
+        if not hashing.KNOWN[np.frombuffer(data_bytes, np.uint8)].all():
+            # Words don't span letters that aren't bases.
+            gaps = np.concatenate(([0], np.cumsum(~hashing.KNOWN[np.frombuffer(data_bytes, np.uint8)])))
+            whole = gaps[self.at + k] == gaps[self.at]
+            self.row, self.at = self.row[whole], self.at[whole]
         self.shift = (rows.column("base").to_numpy() - starts)[self.row]
         self.rows = rows
 
@@ -137,6 +143,14 @@ def _minima(x: Block, p: SketchParams) -> tuple[np.ndarray, ...]:
     return canonical.view(np.int64), back < ahead, ho, hashing.least_at(ho, p.window)[x.at]
 
 
+def selected(x: Block, p: SketchParams, most: int) -> list:
+    """Columns sketch_id, rec_id, pos, minimizer, kmer and pos_min of a block's k-mers whose minimizer's hash order is at most that."""
+    canonical, _, ho, at = _minima(x, p)
+    chosen = np.flatnonzero(ho[at] <= most)
+    at = at[chosen]
+    return [*x.keys(chosen), x.at[chosen] + x.shift[chosen], canonical[at], x.canonical(x.at[chosen], p.k), at - x.at[chosen]]
+
+
 def minimizers(records: DataFrame, p: SketchParams, most: int | None = None) -> DataFrame:
     """Every k-mer with its minimizer; with ``most`` only those whose minimizer's hash order is at most that.
 

@@ -140,7 +140,8 @@ def _fold(rows: pd.DataFrame, chunk: int) -> pd.DataFrame:
 def tracked_super_kmers(records: DataFrame, p: SketchParams, chunk: int = minimizers.CHUNK) -> DataFrame:
     """sketch_id, rec_id, start, len, n_kmers, minimizer, ho, is_rev, is_maximal and selected of super-k-mers as the scan cuts them.
 
-    A record's chunks meet in the fold as one row each, mostly, without their bases.
+    A record's chunks meet in the fold as one row each, mostly, without their
+    bases.  Records must be whole and without gaps.
     """
     if "base" in records.columns:
         raise ValueError("records must be whole")

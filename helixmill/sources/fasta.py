@@ -117,9 +117,13 @@ def read_fastq(spark: SparkSession, paths: list[str], ids: list[int] | None = No
     return rows.select("sketch_id", F.floor(F.col("line") / 4).alias("rec_id"), dna.clean(F.col("value")).alias("seq"))
 
 
-def records_of(documents: DataFrame, sketch: str | None = None) -> DataFrame:
-    """Texts as sequences: a sketch for each document, or for each value of a column of whole numbers; rows without one belong to no sketch."""
-    seq = dna.clean(F.coalesce("text", F.lit("")))
+def records_of(documents: DataFrame, sketch: str | None = None, gaps: bool = False) -> DataFrame:
+    """Texts as sequences: a sketch for each document, or for each value of a column of whole numbers; rows without one belong to no sketch.
+
+    Letters other than ACGT are deleted; with ``gaps`` they stay as gaps that no
+    k-mer spans, so offsets are those of the text.
+    """
+    seq = (dna.with_gaps if gaps else dna.clean)(F.coalesce("text", F.lit("")))
     rows = documents.select(F.col(sketch or "doc_id").cast("bigint").alias("sketch_id"), F.col("doc_id").alias("rec_id"), seq.alias("seq"))
     return rows.where("sketch_id is not null")
 

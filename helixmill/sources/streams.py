@@ -102,6 +102,11 @@ class Bytes:
         return out
 
 
+def bases_of(data: bytes) -> bytes:
+    """Only the letters ACGTacgt of some bytes, in upper case."""
+    return data.translate(_UPPER, _OTHER)
+
+
 def records(source: Iterator[bytes], overlap: int | None) -> Iterator[tuple[int, int, bytes]]:
     """FASTA records of a stream as (number, offset, bases): only the letters ACGT, in upper case.
 
@@ -125,7 +130,7 @@ def records(source: Iterator[bytes], overlap: int | None) -> Iterator[tuple[int,
 
     def keep(body: bytes) -> None:
         nonlocal size
-        kept.append(body.translate(_UPPER, _OTHER))
+        kept.append(bases_of(body))
         size += len(kept[-1])
 
     begun = False
