@@ -12,7 +12,8 @@ then resolved from the rest of their lists, with ties to the smaller id.
 
 Bounds cross blocks: the first block of candidates is searched first, and the
 k-th best score that it gives each query is where the search of the others
-begins, so most of their candidates leave at the first look.
+begins.  Uniform vectors of 64 dimensions are read to about four fifths in the
+first block and six tenths in the others; less where they form groups.
 
 The work is that of a stated query set against all rows: each vector is sent
 once to each group of queries.  All sums are whole numbers below 2**53 in
@@ -48,7 +49,7 @@ class TopKParams:
     block: int = 2048
     group: int = 512
     #: Shares of the lists that are read before the bounds are looked at again.
-    depths: tuple[float, ...] = (0.02, 0.1, 0.3, 0.6, 1.0)
+    depths: tuple[float, ...] = (0.05, 0.3, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 1.0)
 
 
 def whole(x: float, scale: int) -> int:
@@ -78,8 +79,11 @@ class Lists:
         return least, most
 
 
-def aggregate(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, floors: np.ndarray, params: TopKParams) -> list[tuple[int, int, int]]:
-    """The k best candidates of a cell for each query, as (query_id, vec_id, score); those under a query's floor may be left out."""
+def aggregate(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, floors: np.ndarray, params: TopKParams, read: list[float] | None = None) -> list[tuple[int, int, int]]:
+    """The k best candidates of a cell for each query, as (query_id, vec_id, score); those under a query's floor may be left out.
+
+    ``read`` gets the share of the lists that each query was read to.
+    """
     if not len(x) or not len(queries):
         return []
     lists, found, k = Lists(x), [], params.k
@@ -93,6 +97,8 @@ def aggregate(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np
             kth = np.maximum(kth, np.partition(least, len(at) - k, axis=0)[len(at) - k])
         in_play = (most >= kth) & ~own
         done = (in_play.sum(axis=0) <= 4 * k) | (share >= 1)
+        if read is not None:
+            read += [share] * int(done.sum())
         for c in np.flatnonzero(done):
             left = at[in_play[:, c]]
             score = x[left] @ queries[open_queries[c]]

@@ -265,6 +265,25 @@ def test_top_k(spark, block):
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got.collect()) == brute_top(rows)
 
 
+def test_reading_stops_early():
+    """Unit vectors of 64 dimensions without structure: no query reads the lists to their end, and with floors most stop far before."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(6000, 64))
+    z = np.floor(256 * x / np.linalg.norm(x, axis=1)[:, None])
+    queries, ids = z[:60], np.arange(6000)
+    scores = z @ queries.T
+    scores[np.arange(60), np.arange(60)] = -np.inf
+    params, alone, helped = topk.TopKParams(), [], []
+    found = topk.aggregate(ids[:2000], z[:2000], ids[:60], queries, np.full(60, -np.inf), params, alone)
+    floors = np.array([min(s for q, _, s in found if q == k) for k in range(60)], float)
+    later = [topk.aggregate(ids[a : a + 2000], z[a : a + 2000], ids[:60], queries, floors, params, helped) for a in (2000, 4000)]
+    assert len(alone) == 60 and max(alone) < 1 and np.mean(alone) < 0.9 and np.mean(helped) < 0.75
+    for k in range(60):
+        best = sorted((-s, i) for part in (found, *later) for q, i, s in part if q == k)[:5]
+        assert best == sorted((-s, i) for i, s in enumerate(scores[:, k]))[:5]
+
+
+
 def test_top_k_of_few(spark):
     assert topk.top_k(vectors(spark, [])).count() == 0
     assert topk.top_k(vectors(spark, [(0, [1.0])])).count() == 0
