@@ -478,12 +478,7 @@ def source_sketch(spark, sf_dir) -> DataFrame:
 
 def every_kmer(spark, sf_dir) -> DataFrame:
     """All k-mers of the sources, from one pass over the sequences."""
-    return written(sketch.build(by_source(spark, sf_dir), SketchParams(MAIN.k, MAIN.m, 1)))
-
-
-def at_rate(every: DataFrame, p: SketchParams) -> DataFrame:
-    """The sketch of a rate as part of all k-mers."""
-    return every.where(dna.hash_order(F.col("minimizer")) <= F.lit(ordered(p.threshold())).cast("bigint"))
+    return written(sketch.build(by_source(spark, sf_dir), EXACTLY).select("sketch_id", "minimizer", "kmer"))
 
 
 def source_cells(spark, sf_dir, column: str = "jaccard") -> DataFrame:
@@ -496,9 +491,23 @@ def source_cells(spark, sf_dir, column: str = "jaccard") -> DataFrame:
     return matrix.dense(pairs.select("i", "j", F.col("containment_ij").alias("containment")).unionByName(back), sizes, "containment", symmetric=False)
 
 
+def cells_at(every: DataFrame, rates: dict[str, SketchParams]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The matrices of sketches of several rates, all from one comparison of all k-mers, and the sizes of the sketches (a column each)."""
+    marks = {name: dna.hash_order(F.col("minimizer")) <= F.lit(ordered(p.threshold())).cast("bigint") for name, p in rates.items()}
+    pairs, sizes = written(compare.shared(every, marks)), written(compare.cardinality(every, marks))
+    cells = {}
+    for name in rates:
+        n = sizes.select("sketch_id", F.col(name).alias("n")).where("n > 0")
+        cells[name] = matrix.dense(compare.scored(pairs.select("i", "j", F.col(name).alias("n_shared")).where("n_shared > 0"), n), n, "jaccard")
+    return cells, sizes
+
+
+EXACTLY = SketchParams(MAIN.k, MAIN.m, 1)
+
+
 def exact_and_estimate(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    every = every_kmer(spark, sf_dir)
-    return jaccard_cells(every), jaccard_cells(at_rate(every, MAIN))
+    cells, _ = cells_at(every_kmer(spark, sf_dir), {"exact": EXACTLY, "estimate": MAIN})
+    return cells["exact"], cells["estimate"]
 
 
 @query(f"WITH {sql.sketch(MAIN, sql.SOURCE)},{sql.PAIRS},{sql.dense('jaccard')} SELECT * FROM cells")
@@ -565,10 +574,9 @@ def harmonic_mean(spark, sf_dir):
 @query(f"WITH {sql.both(MAIN, sql.SOURCE)}, z AS (SELECT CAST(sum(n) AS DOUBLE) AS size FROM sizes), d AS (SELECT abs((SELECT avg(value) FROM exact) - (SELECT avg(value) FROM cells)) AS diff) SELECT round(diff, 9) AS value, 'error' AS type, CAST({MAIN.s} AS BIGINT) AS threshold, size, 'sketch' AS tool FROM d, z")
 def benchmark_table(spark, sf_dir):
     """Error of the sketch's rate beside its size in k-mers."""
-    every = every_kmer(spark, sf_dir)
-    held = at_rate(every, MAIN)
-    size = compare.cardinality(held).agg(F.sum("n").alias("size"))
-    error = evaluate.mean_error(jaccard_cells(every), jaccard_cells(held)).select(F.round("diff", 9).alias("diff"))
+    cells, sizes = cells_at(every_kmer(spark, sf_dir), {"exact": EXACTLY, "estimate": MAIN})
+    size = sizes.agg(F.sum("estimate").alias("size"))
+    error = evaluate.mean_error(cells["exact"], cells["estimate"]).select(F.round("diff", 9).alias("diff"))
     diffs = error.join(size, F.lit(True)).select("diff", "size", F.lit(MAIN.s).cast("bigint").alias("threshold"))
     return evaluate.benchmark_rows(diffs, "size", "sketch")
 

@@ -7,17 +7,22 @@ are exact to the last bit and never divide by zero.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def cardinality(sketch: DataFrame) -> DataFrame:
-    """Distinct k-mers of each sketch: sketch_id and n.
+def cardinality(sketch: DataFrame, marks: dict[str, Column] | None = None) -> DataFrame:
+    """Distinct k-mers of each sketch: sketch_id and n, or a count of those with each mark.
 
     Keys are never null; saying so gives the same plan as a join on them, which
     Spark then computes once for both.
     """
-    return sketch.where("minimizer is not null and kmer is not null").groupBy("sketch_id").agg(F.count("*").alias("n"))
+    counts = _counts(marks or {"n": F.lit(True)})
+    return sketch.where("minimizer is not null and kmer is not null").groupBy("sketch_id").agg(*counts)
+
+
+def _counts(marks: dict[str, Column]) -> list[Column]:
+    return [F.count(F.when(mark, 1)).alias(name) for name, mark in marks.items()]
 
 
 def color_map(sketch: DataFrame) -> DataFrame:
@@ -33,9 +38,13 @@ def color_map(sketch: DataFrame) -> DataFrame:
 HOLDERS = 256
 
 
-def shared(sketch: DataFrame) -> DataFrame:
+def shared(sketch: DataFrame, marks: dict[str, Column] | None = None) -> DataFrame:
     """Shared k-mers of each pair i < j that has any: i, j and n_shared.
 
+    With marks (conditions on a k-mer's minimizer and key under names), there is
+    a count of the k-mers with each mark instead, all from one pass: exact scores
+    and those of several rates.
+
     K-mers held by the same sketches are counted together first (the set of
     holders is told by a digest of 128 bits and its size), so a set of d
     sketches makes its pairs once, however many k-mers its members share.  The
@@ -44,17 +53,18 @@ def shared(sketch: DataFrame) -> DataFrame:
     """
     digest = lambda salt: F.bit_xor(F.xxhash64(F.lit(salt), "sketch_id"))
     kmers = sketch.groupBy("minimizer", "kmer").agg(F.count("*").alias("d"), digest(1).alias("x"), digest(2).alias("y")).where("d > 1")
-    sets = kmers.groupBy("d", "x", "y").agg(F.count("*").alias("weight"), F.min(F.struct("minimizer", "kmer")).alias("one"))
-    holders = sketch.select("minimizer", "kmer", "sketch_id").join(sets.select("d", "x", "y", "weight", "one.*"), ["minimizer", "kmer"])
+    marks = marks or {"n_shared": F.lit(True)}
+    sets = kmers.groupBy("d", "x", "y").agg(*_counts(marks), F.min(F.struct("minimizer", "kmer")).alias("one"))
+    holders = sketch.select("minimizer", "kmer", "sketch_id").join(sets.select("d", "x", "y", *marks, "one.*"), ["minimizer", "kmer"])
     blocks = F.ceil(F.col("d") / HOLDERS).cast("int")
     own = F.pmod(F.xxhash64("sketch_id", F.lit(3)), blocks).cast("int")
     cells = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(k, own).alias("low"), F.greatest(k, own).alias("high")))
-    dealt = holders.select("x", "y", "d", "weight", "sketch_id", own.alias("own"), F.inline(cells))
+    dealt = holders.select("x", "y", "d", *marks, "sketch_id", own.alias("own"), F.inline(cells))
     key = ["x", "y", "d", "low", "high"]
-    a = dealt.where("own = low").select(*key, "weight", F.col("sketch_id").alias("i"))
+    a = dealt.where("own = low").select(*key, *marks, F.col("sketch_id").alias("i"))
     b = dealt.where("own = high").select(*key, F.col("sketch_id").alias("j"))
     pairs = a.join(b, key).where("low < high or i < j")
-    return pairs.groupBy(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).agg(F.sum("weight").alias("n_shared"))
+    return pairs.groupBy(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).agg(*(F.sum(name).alias(name) for name in marks))
 
 
 def scored(pairs: DataFrame, sizes: DataFrame) -> DataFrame:

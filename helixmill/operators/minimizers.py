@@ -168,11 +168,11 @@ def minimizers(records: DataFrame, p: SketchParams, most: int | None = None) ->
     return over_blocks(records, p.k, work, f"sketch_id bigint, rec_id bigint, pos bigint, kmer {key_type(p.k)}, minimizer bigint, ho bigint, mpos bigint, is_rev boolean")
 
 
-def runs(records: DataFrame, p: SketchParams) -> DataFrame:
+def runs(records: DataFrame, p: SketchParams, with_seq: bool = False) -> DataFrame:
     """Runs of k-mers that share one occurrence of a minimizer, cut at the ends of chunks.
 
-    Columns: sketch_id, rec_id, mpos, start, n_kmers, minimizer, ho, is_rev and
-    seq (the bases of the run).
+    Columns: sketch_id, rec_id, mpos, start, n_kmers, minimizer, ho, is_rev and,
+    if wanted, seq (the bases of the run).
     """
 
     def work(x: Block) -> list:
@@ -180,11 +180,15 @@ def runs(records: DataFrame, p: SketchParams) -> DataFrame:
         first = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (x.row[1:] != x.row[:-1])))) if len(at) else np.empty(0, np.int64)
         counts = np.diff(np.append(first, len(at)))
         at, begin = at[first], x.at[first]
+        found = [*x.keys(first), at + x.shift[first], begin + x.shift[first], counts, canonical[at], ho[at], turned[at]]
+        if not with_seq:
+            return found
         letters = np.frombuffer(b"ACTG", np.uint8)[x.codes].tobytes()
         seqs = [letters[s : s + n] for s, n in zip(begin.tolist(), (counts + p.k - 1).tolist())]
-        return [*x.keys(first), at + x.shift[first], begin + x.shift[first], counts, canonical[at], ho[at], turned[at], pa.array([s.decode() for s in seqs], pa.string())]
+        return [*found, pa.array(seqs, pa.binary()).cast(pa.string())]
 
-    return over_blocks(records, p.k, work, "sketch_id bigint, rec_id bigint, mpos bigint, start bigint, n_kmers bigint, minimizer bigint, ho bigint, is_rev boolean, seq string")
+    schema = "sketch_id bigint, rec_id bigint, mpos bigint, start bigint, n_kmers bigint, minimizer bigint, ho bigint, is_rev boolean"
+    return over_blocks(records, p.k, work, f"{schema}, seq string" if with_seq else schema)
 
 
 def most_selected(p: SketchParams) -> int:

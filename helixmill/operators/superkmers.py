@@ -21,7 +21,7 @@ def super_kmers(records: DataFrame, p: SketchParams, with_seq: bool = False) ->
 
     Runs that the ends of chunks cut are joined again.
     """
-    pieces = runs(records, p)
+    pieces = runs(records, p, with_seq)
     seq = [F.array_sort(F.collect_list(F.struct("start", "seq"))).alias("parts")] if with_seq else []
     joined = pieces.groupBy("sketch_id", "rec_id", "mpos").agg(
         F.min("start").alias("start"),
