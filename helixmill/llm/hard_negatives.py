@@ -56,7 +56,9 @@ class NegativeParams:
     labels: int = 10
     #: A negative's score in hundredths of its positive's, at least.
     least_percent: int = 80
+    #: Candidates of a block, and components that they have together at most; anchors of a group.
     block: int = 8192
+    components: int = 1 << 22
     group: int = 512
     #: Entries of each list that are read before the threshold is looked at, doubled each time.
     step: int = 8
@@ -188,8 +190,9 @@ def hard_negatives(vectors: DataFrame, params: NegativeParams = NegativeParams()
         .withColumn("label", relabelled(F.col("label"), F.col("vec_id"), params))
     )
     is_anchor = F.pmod("vec_id", F.lit(params.every)) == 0
-    n, n_anchors = v.agg(F.count("*"), F.countDistinct(F.when(is_anchor, F.col("vec_id")))).first()
-    blocks, groups = max(1, ceil(n / params.block)), max(1, ceil(n_anchors / params.group))
+    n, n_anchors, width = v.agg(F.count("*"), F.countDistinct(F.when(is_anchor, F.col("vec_id"))), F.max(F.size("x"))).first()
+    block = max(64, min(params.block, params.components // max(1, width or 1)))
+    blocks, groups = max(1, ceil(n / min(block, params.block))), max(1, ceil(n_anchors / params.group))
     held = stash(v.withColumn("block", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(blocks)).cast("int")))
     numbers = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     group = F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int").alias("grp")

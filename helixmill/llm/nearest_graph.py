@@ -45,18 +45,23 @@ class GraphParams:
     #: Beam widths while building and while searching.
     build_beam: int = 64
     beam: int = 96
-    #: Vectors that are added, or searched for, in step.
+    #: Vectors that are added, or searched for, in step, and components that they have together at most.
     step: int = 256
+    components: int = 1 << 15
     #: Beam members whose links are followed at once.
     expand: int = 4
     shard: int = 4096
 
+    def in_step(self, width: int) -> int:
+        """Vectors of some width that are worked on in step, so that memory doesn't grow with it."""
+        return max(8, min(self.step, self.components // max(width, 1)))
+
 
 class Graph:
     """Links of unit vectors, one flat array of places for each layer (-1: none)."""
 
     def __init__(self, x: np.ndarray, params: GraphParams):
-        self.x, self.params = x, params
+        self.x, self.params, self.step = x, params, params.in_step(x.shape[1])
         sizes = [len(x)]
         while sizes[-1] > 4 * params.links:
             sizes.append(ceil(sizes[-1] / params.links))
@@ -69,7 +74,7 @@ class Graph:
         done, n = 0, len(links)
         while done < n:
             # Early batches are small, so that later ones find a graph worth searching.
-            end = min(n, done + max(4 * self.params.links, min(self.params.step, done)))
+            end = min(n, done + max(min(4 * self.params.links, self.step), min(self.step, done)))
             new = np.arange(done, end)
             among = x[done:end] @ x[done:end].T
             np.fill_diagonal(among, -np.inf)
@@ -109,7 +114,7 @@ class Graph:
         both = np.concatenate((links[owners], added), axis=1)
         full = (both >= 0).sum(axis=1) > width
         packed = np.take_along_axis(both, np.argsort(both < 0, axis=1, kind="stable"), 1)[:, :width]
-        for part in np.array_split(np.flatnonzero(full), ceil(full.sum() / self.params.step) or 1):
+        for part in np.array_split(np.flatnonzero(full), ceil(full.sum() / self.step) or 1):
             if len(part):
                 members = both[part]
                 near_by = np.einsum("ijk,ik->ij", x[np.maximum(members, 0)], x[owners[part]])
@@ -229,7 +234,7 @@ def search_shard(cell: pd.DataFrame, params: GraphParams) -> list[tuple[int, int
     order = np.random.default_rng(len(vectors)).permutation(len(vectors))
     graph = Graph(_unit(vectors[order]).astype(np.float32), params)
     out, queries = [], _unit(x[asking]).astype(np.float32)
-    for part in _parts(len(asking), params.step):
+    for part in _parts(len(asking), graph.step):
         found = graph.search(queries[part], max(params.beam, params.k + 1))
         row, column = np.nonzero(found >= 0)
         vertex = order[found[row, column]]

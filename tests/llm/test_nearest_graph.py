@@ -110,6 +110,12 @@ def test_graph_keeps_its_form():
     assert len(met) > 0.99 * len(x)
 
 
+def test_wide_vectors_take_small_steps(spark):
+    assert GraphParams().in_step(64) == 256 and GraphParams().in_step(4096) == 8
+    rows = normal(260, 9, 40)
+    assert recall(found(spark, rows, components=320), brute(rows)) >= 0.95
+
+
 def test_recall_on_clusters():
     rng = np.random.default_rng(7)
     x = np.concatenate((rng.normal(size=(2000, 48)), 2 + 0.1 * rng.normal(size=(1500, 48))))[rng.permutation(3500)]
