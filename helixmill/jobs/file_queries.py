@@ -5,6 +5,9 @@ Everything is written below the shared folder of the session.
 
 from __future__ import annotations
 
+import atexit
+from contextlib import suppress
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,14 +99,21 @@ def output_names(spark, sf_dir):
 
 
 def saved(spark: SparkSession, held: DataFrame, p: SketchParams = MAIN) -> str:
-    """Save sketches and their parameters as a bucketed table in the shared folder; its name."""
+    """Save sketches and their parameters as a bucketed table in the shared folder, dropped when the driver ends; its name."""
     folder = scratch(spark)
     table = f"sketch_{folder.rsplit('-', 1)[1]}"
     names = held.select("sketch_id").distinct().withColumn("name", F.concat(F.lit("src"), F.col("sketch_id").cast("string")))
     sketch.write_sketches(held, sketch.meta_rows(names, p), table, 8, folder)
+    atexit.register(_forget, spark, table)
     return table
 
 
+def _forget(spark: SparkSession, table: str) -> None:
+    with suppress(Exception):  # the session may be gone by then
+        for name in (table, f"{table}_meta"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 @query(f"WITH {sql.sketch(MAIN, sql.SOURCE)} SELECT * FROM sk")
 def sketch_table(spark, sf_dir):
     """Sketches saved and read again."""
