@@ -26,9 +26,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -61,34 +63,70 @@ class Codec:
 
     def encode(self, batch: list[str], verify: bool) -> tuple[list[list[int]], list[bool]]:
         """Token ids of texts, and whether they equal the SentencePiece library's (True unless verified)."""
-        ids = self._by_chunks(batch) if self.chunks is not None else [e.ids if t else [] for t, e in zip(batch, self.tokenizer.encode_batch_fast(batch, add_special_tokens=False))]
+        ids, same = self.encode_arrays(batch, verify)
+        return [x.tolist() for x in ids], same
+
+    def encode_arrays(self, batch: list[str], verify: bool) -> tuple[list[np.ndarray], list[bool]]:
+        """The same with the ids as arrays of 32-bit integers."""
+        if self.chunks is not None:
+            ids = self._by_chunks(batch)
+        else:
+            ids = [np.array(e.ids if t else [], np.int32) for t, e in zip(batch, self.tokenizer.encode_batch_fast(batch, add_special_tokens=False))]
         if not verify:
             return ids, [True] * len(ids)
-        return ids, [a == b for a, b in zip(ids, self.reference.encode(batch, num_threads=threads()))]
-
-    def _by_chunks(self, batch: list[str]) -> list[list[int]]:
-        split = [self.chunks.findall((MARK if self.prefix else "") + t.replace(" ", MARK)) if t else [] for t in batch]
-        new = list({c for chunks in split for c in chunks if c not in self.known})
-        found = {c: e.ids for c, e in zip(new, self.core.encode_batch_fast(new, add_special_tokens=False))}
-        known = self.known
-        ids = [[i for c in chunks for i in (known[c] if c in known else found[c])] for chunks in split]
+        return ids, [np.array_equal(a, b) for a, b in zip(ids, self.reference.encode_as_numpy(batch, num_threads=1))]
+
+    def _by_chunks(self, batch: list[str]) -> list[np.ndarray]:
+        """Ids of texts, put together from those of the batch's distinct chunks by array lookups.
+
+        Where single spaces part words without a marker, every word makes one chunk
+        and Arrow cuts them; runs of spaces, markers and empty texts take the pattern.
+        """
+        given = pa.array(batch, pa.large_string())
+        odd = pc.match_substring_regex(given, f"^ |  | $|{MARK}|^$").to_numpy(zero_copy_only=False)
+        out: list[np.ndarray | None] = [None] * len(batch)
+        for rows, mark in ((np.flatnonzero(~odd), MARK), (np.flatnonzero(odd), "")):
+            if mark:
+                split = pc.split_pattern(given.take(pa.array(rows)), " ")
+            else:
+                split = pa.array([self.chunks.findall(MARK + batch[r].replace(" ", MARK)) if batch[r] else [] for r in rows], pa.large_list(pa.large_string()))
+            for r, ids in zip(rows, self._look_up(split, mark)):
+                out[r] = ids
+        return out
+
+    def _look_up(self, split: pa.Array, mark: str) -> list[np.ndarray]:
+        """Ids of lists of chunks, the mark before each."""
+        coded = split.flatten().dictionary_encode()
+        distinct = [mark + c for c in coded.dictionary.to_pylist()]
         if self.held > CACHE:
             self.known.clear()
             self.held = 0
+        known = self.known
+        new = [c for c in distinct if c not in known]
+        found = {c: e.ids for c, e in zip(new, self.core.encode_batch_fast(new, add_special_tokens=False))}
+        each = [known[c] if c in known else found[c] for c in distinct]
         for c, x in found.items():
             if len(c) <= LONGEST:
-                self.known[c] = x
+                known[c] = x
                 self.held += len(c) + 8 * len(x)
-        return ids
-
-    def decode(self, batch: list[list[int]]) -> list[str]:
-        """Texts of token lists; valid runs of byte pieces become their characters."""
-        return [self._decode(ids) if len(ids) else "" for ids in batch]
+        flat = np.fromiter(chain.from_iterable(each), np.int32)
+        starts = np.cumsum([0, *map(len, each)])
+        places = coded.indices.to_numpy()
+        lengths = np.diff(starts)[places]
+        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths)])
+        ids = flat[np.repeat(starts[places] - ends[:-1], lengths) + np.arange(ends[-1])]
+        counts = pc.list_value_length(split).to_numpy(zero_copy_only=False)
+        cuts = ends[np.concatenate([np.zeros(1, np.int64), np.cumsum(counts)])]
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def decode(self, batch: list) -> list[str]:
+        """Texts of arrays or lists of tokens; valid runs of byte pieces become their characters."""
+        return [self._decode(ids.tolist() if isinstance(ids, np.ndarray) else ids) if len(ids) else "" for ids in batch]
 
     def _decode(self, ids: list[int]) -> str:
         plain = self.plain
         try:
-            text = b"".join([plain[i] for i in ids]).decode()
+            text = b"".join(map(plain.__getitem__, ids)).decode()
         except UnicodeDecodeError:  # broken runs of byte pieces: the library's replacement rule
             return self.decoder.decode([self.pieces[i] for i in ids])
         return text[1:] if self.prefix and text[:1] == " " else text
@@ -184,7 +222,7 @@ def encode_texts(frame: DataFrame, text_col: str, model: bytes, ids_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = build(shipped.value)
         for b in batches:
-            ids, same = codec.encode([t or "" for t in b.column(text_col).to_pylist()], verify)
+            ids, same = codec.encode_arrays([t or "" for t in b.column(text_col).to_pylist()], verify)
             arrays = [*(b.column(f.name) for f in kept), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())]
             yield pa.RecordBatch.from_arrays(arrays, [*(f.name for f in kept), ids_col, parity_col])
 
@@ -219,16 +257,16 @@ def round_trips(docs: DataFrame, path: str = DEFAULT_MODEL) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = build(shipped.value)
         for b in batches:
-            for k in range(0, len(b), 500):
-                part = b.slice(k, 500)
+            for k in range(0, len(b), 1000):
+                part = b.slice(k, 1000)
                 given = part.column("text").to_pylist()
-                ids, same = codec.encode(given, True)
+                ids, same = codec.encode_arrays(given, True)
                 back = codec.decode(ids)
                 yield batch(
                     DIGEST,
                     part.column("doc_id"),
                     [len(x) for x in ids],
-                    [sha256(np.array(x, "<i4").tobytes()).hexdigest() for x in ids],
+                    [sha256(x.astype("<i4", copy=False).tobytes()).hexdigest() for x in ids],
                     [sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in back],
                     [a == b for a, b in zip(given, back)],
                     same,
