@@ -30,7 +30,7 @@ from ..functions import dna
 from ..functions.hashing import CODES
 from ..functions.params import SketchParams
 from ..operators.minimizers import kmers
-from .fasta import located
+from .fasta import located, looked_up
 from .streams import Bytes, FilePart, ListedFiles, filesystem, opened, pieces
 
 LETTERS = np.frombuffer(b"ACTG", np.uint8)
@@ -246,7 +246,7 @@ def read_headers(spark: SparkSession, paths: list[str], ids: list[int] | None =
     spark.dataSource.register(SketchFiles)
     listed, told = _listed(spark, paths, ids)
     found = spark.read.format("sketch_files").options(paths=listed, headers="true").load()
-    return found.join(F.broadcast(told), "place").select("sketch_id", "k", "m", "selected", "rate")
+    return looked_up(found, told, "place", len(paths)).select("sketch_id", "k", "m", "selected", "rate")
 
 
 def read_super_kmers(spark: SparkSession, paths: list[str], ids: list[int] | None = None) -> DataFrame:
@@ -255,7 +255,7 @@ def read_super_kmers(spark: SparkSession, paths: list[str], ids: list[int] | Non
     listed, told = _listed(spark, paths, ids)
     found = spark.read.format("sketch_files").options(paths=listed).load()
     code = F.conv(F.translate("minimizer", "ACTG", "0123"), 4, 10).cast("bigint")
-    return found.join(F.broadcast(told), "place").select("sketch_id", code.alias("minimizer"), "seq")
+    return looked_up(found, told, "place", len(paths)).select("sketch_id", code.alias("minimizer"), "seq")
 
 
 def read_sketches(spark: SparkSession, paths: list[str], p: SketchParams, ids: list[int] | None = None) -> DataFrame:

@@ -5,33 +5,38 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dna
+from .shared import written
 from .streams import FastaStreams
 
 #: Shortest lines that count as paths: where sketches are built, and where they are compared.
 BUILD, COMPARE = 4, 3
+#: Most rows (a file or a piece of one each) of a table that is broadcast; larger ones are joined by a shuffle.
+BROADCAST_ROWS = 1 << 17
 
 
 def numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Lines that aren't blank with their number (from 0) in their file: file, line and value.
 
     Lines are numbered inside the pieces that a file is read in; the offsets of
-    the pieces (one row each) come from a count, so a file of any size is read
+    the pieces (one row each) are sums of counts, so a file of any size is read
     by many tasks.
     """
     rows = spark.read.text(paths).where(F.length(F.trim("value")) > 0)
     rows = rows.select(_file().alias("file"), F.col("_metadata.file_block_start").alias("at"), F.regexp_replace("value", r"\r$", "").alias("value"))
     rows = rows.withColumn("n", F.monotonically_increasing_id())
-    pieces = rows.groupBy("file", "at").agg(F.min("n").alias("first"), F.count("*").alias("rows")).orderBy("file", "at").collect()
-    before, offsets = {}, []
-    for p in pieces:
-        offsets.append((p["file"], p["at"], before.get(p["file"], 0) - p["first"]))
-        before[p["file"]] = before.get(p["file"], 0) + p["rows"]
-    told = spark.createDataFrame(offsets, "file string, at bigint, shift bigint")
-    return rows.join(F.broadcast(told), ["file", "at"]).select("file", (F.col("n") + F.col("shift")).alias("line"), "value")
+    pieces = rows.groupBy("file", "at").agg(F.min("n").alias("first"), F.count("*").alias("rows"))
+    before = F.sum("rows").over(Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+    told = written(pieces.select("file", "at", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift")))
+    return looked_up(rows, told, ["file", "at"], told.count()).select("file", (F.col("n") + F.col("shift")).alias("line"), "value")
+
+
+def looked_up(rows: DataFrame, told: DataFrame, key: str | list[str], n: int) -> DataFrame:
+    """Rows joined with a table of n rows, which is broadcast if n is at most ``BROADCAST_ROWS``."""
+    return rows.join(F.broadcast(told) if n <= BROADCAST_ROWS else told, key)
 
 
 def read_paths(spark: SparkSession, path: str, shortest: int) -> DataFrame:
@@ -82,8 +87,7 @@ def read_fasta(spark: SparkSession, paths: list[str], ids: list[int] | None = No
     """
     listed = located(spark, paths, ids).drop("path")
     rows = spark.read.option("lineSep", "\n>").text(_escaped(paths)).select("value", _file().alias("file"))
-    # The list is the caller's own, so it fits the driver.
-    return _records(rows.join(F.broadcast(listed), "file").select("sketch_id", "value"))
+    return _records(looked_up(rows, listed, "file", len(paths)).select("sketch_id", "value"))
 
 
 def read_any_fasta(spark: SparkSession, paths: list[str], ids: list[int] | None = None, k: int | None = None) -> DataFrame:
@@ -98,7 +102,7 @@ def read_any_fasta(spark: SparkSession, paths: list[str], ids: list[int] | None
     spark.dataSource.register(FastaStreams)
     told = spark.createDataFrame([(i, int(own)) for i, own in enumerate(range(len(paths)) if ids is None else ids)], "place bigint, sketch_id bigint")
     cut = {} if k is None else {"overlap": k - 1}
-    rows = spark.read.format("fasta_streams").options(paths=json.dumps(paths), **cut).load().join(F.broadcast(told), "place")
+    rows = looked_up(spark.read.format("fasta_streams").options(paths=json.dumps(paths), **cut).load(), told, "place", len(paths))
     # Records of several files can belong to one sketch.
     numbered = F.col("place") * (1 << 40) + F.col("record")
     return rows.select("sketch_id", numbered.alias("rec_id"), *([] if k is None else ["base"]), "seq")
@@ -113,7 +117,7 @@ def _records(rows: DataFrame) -> DataFrame:
 def read_fastq(spark: SparkSession, paths: list[str], ids: list[int] | None = None) -> DataFrame:
     """Records of FASTQ files of four lines each: the second of every four is the sequence, whatever quality lines begin with."""
     listed = located(spark, paths, ids).drop("path")
-    rows = numbered_lines(spark, _escaped(paths)).where("line % 4 = 1").join(F.broadcast(listed), "file")
+    rows = looked_up(numbered_lines(spark, _escaped(paths)).where("line % 4 = 1"), listed, "file", len(paths))
     return rows.select("sketch_id", F.floor(F.col("line") / 4).alias("rec_id"), dna.clean(F.col("value")).alias("seq"))
 
 
@@ -148,7 +152,7 @@ def _one_file(lines: DataFrame) -> DataFrame:
         rows.append((c["file"], shift))
         shift += c["rows"]
     told = lines.sparkSession.createDataFrame(rows, "file string, shift bigint")
-    return lines.join(F.broadcast(told), "file").select((F.col("line") + F.col("shift")).alias("line"), "value")
+    return looked_up(lines, told, "file", len(rows)).select((F.col("line") + F.col("shift")).alias("line"), "value")
 
 
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:

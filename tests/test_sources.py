@@ -72,6 +72,21 @@ def test_large_files_are_read_in_pieces(spark, tmp_path):
     spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_many_pieces_are_joined_by_a_shuffle(spark, tmp_path, monkeypatch):
+    """Beyond the bound of what is broadcast, lines and records are the same."""
+    for name in "ab":
+        (tmp_path / f"{name}.fq").write_text("".join(f"@{k}\n{'ACGT' * (k % 5)}C\n+\n~\n" for k in range(600)))
+    paths = [str(tmp_path / "a.fq"), str(tmp_path / "b.fq")]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    few = sorted(map(tuple, fasta.read_fastq(spark, paths).collect()))
+    monkeypatch.setattr(fasta, "BROADCAST_ROWS", 1)
+    lines = fasta.numbered_lines(spark, paths)
+    many = sorted(map(tuple, fasta.read_fastq(spark, paths).collect()))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert "hint" not in lines._jdf.queryExecution().logical().toString().lower()
+    assert many == few == sorted((i, k, "ACGT" * (k % 5) + "C") for i in range(2) for k in range(600))
+
+
 def test_fastq_and_names(spark, tmp_path):
     (tmp_path / "r.fq").write_text("@a\nACGT\n+\n@III\n@b\nGG\n+\nII\n")
     got = fasta.read_fastq(spark, [str(tmp_path / "r.fq")] * 2).collect()
