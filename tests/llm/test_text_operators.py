@@ -55,6 +55,21 @@ def test_sentencepiece_columns(spark):
     assert all(r.decoded == (r.text or "") for r in back) and {"lang", "source"} <= set(coded.columns)
 
 
+def test_chunks_of_both_kinds_in_one_batch(monkeypatch):
+    """Texts with and without runs of spaces, markers and nothing in them keep their places, whatever the cache holds."""
+    import sentencepiece
+
+    reference = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.DEFAULT_MODEL)
+    codec = sentencepiece_codec.build(sentencepiece_codec.read_model())
+    texts = ["plain words here", "", "two  spaces", "plain words here", "\n lines\n of \n", "▁", " lead", "one", "trail ", "z" * 400, "a▁b c", "\u00a0x\u3000y", "", "words plain"]
+    want = [reference.encode(t) for t in texts]
+    for cache in (sentencepiece_codec.CACHE, -1, -1):
+        monkeypatch.setattr(sentencepiece_codec, "CACHE", cache)
+        ids, same = codec.encode_arrays(texts, True)
+        assert all(same) and [x.tolist() for x in ids] == want and codec.decode(ids) == [reference.decode(w) for w in want]
+    assert codec.encode(["", ""], True) == ([[], []], [True, True]) and codec.encode([], True) == ([], [])
+
+
 def test_unigram_model():
     """A unigram model is rebuilt too: normaliser, scores and byte fallback."""
     from sentencepiece import SentencePieceProcessor
