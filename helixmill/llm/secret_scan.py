@@ -9,12 +9,12 @@ mapped to 0..A-1, and three tests ask whether they look uniform and independent:
 * runs above and below the middle of the alphabet,
 * serial correlation of neighbouring symbols.
 
-Their p-values are combined into one statistic after Fisher, which is small for
-random tokens and grows with any departure from randomness.  What has to be
-controlled are false discoveries of ordinary text, so a token's p-value is the
-chance that ordinary text of its length has a statistic as small: there the
-chi-squared is noncentral, as symbols repeat like those of words, and the order
-tests get the benefit of the doubt (they are taken as uniform).  Benjamini-
+A token that one of them refutes clearly is no key.  Most short tokens pass, so
+what has to be controlled are false discoveries of ordinary text.  A token's
+p-value is the chance that ordinary text of its length looks as random: as
+little repetition (a noncentral chi-squared, as symbols of words repeat) and as
+many runs of one kind of character (binomial, as words, names and numbers hold
+together), both combined after Fisher.  Benjamini-
 Hochberg control of the false discovery rate is applied to all candidates of the
 corpus, separately for each class of lengths: the p-values are binned, the
 bounded histogram is aggregated, and each class gets its threshold from it.
@@ -30,8 +30,7 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import erfc, exp, log, sqrt
-from statistics import NormalDist
+from math import erfc, exp, lgamma, log, log1p, sqrt
 
 import numpy as np
 import pandas as pd
@@ -60,11 +59,16 @@ ALPHABETS = {
 VALUES = {name: {c: i for i, c in enumerate(a)} for name, a in ALPHABETS.items()}
 #: Chance that two symbols of ordinary tokens are equal, at least: less than in prose, as tokens mix kinds of characters; twice that of a uniform draw in small alphabets.
 TEXT_REPEATS = 0.05
+#: Chance that the kind of character changes from one symbol of ordinary tokens to the next, with both cases and with one.
+TEXT_CHANGES, ONE_CASE_CHANGES = 0.2, 0.1
+ONE_CASE = ("hex", "HEX", "base32")
 
 
 @dataclass(frozen=True)
 class SecretParams:
     rate: float = 0.01
+    #: p-value under randomness at which one test of the battery refutes a token.
+    refuted: float = 0.001
     #: Lower ends of the classes of lengths.
     lengths: tuple[int, ...] = (0, 24, 32, 40, 48, 64, 96, 128)
     #: Bins of -log10(p), of a tenth each.
@@ -100,12 +104,6 @@ def uniform_p(x: float, df: int) -> float:
     return max(TINY, _normal_tail(((x / df) ** (1 / 3) - (1 - 2 / (9 * df))) / sqrt(2 / (9 * df))))
 
 
-def uniform_quantile(log_p: float, df: int) -> float:
-    """Where the logarithm of :func:`uniform_p` is ``log_p``."""
-    z = -NormalDist().inv_cdf(min(exp(log_p), 1 - 1e-16)) if log_p > -600 else sqrt(-2 * log_p)
-    return df * max(0.0, 1 - 2 / (9 * df) + z * sqrt(2 / (9 * df))) ** 3
-
-
 def text_tail(x: float, n: int, a: int) -> float:
     """P that the chi-squared of ordinary text is at most x: lower tail of a noncentral one (normal by a power, after Sankaran)."""
     df, shift = a - 1, n * (max(a * TEXT_REPEATS, 2) - 1)
@@ -117,11 +115,16 @@ def text_tail(x: float, n: int, a: int) -> float:
     return _normal_tail(-z)
 
 
+def chi_squared(values: np.ndarray, a: int) -> float:
+    """Distance of a token's symbol counts from uniform ones."""
+    counts = np.bincount(values, minlength=a)
+    return float((counts * counts).sum()) * a / len(values) - len(values)
+
+
 def battery(values: np.ndarray, a: int) -> tuple[float, float, float]:
     """p-values of a token's symbols under randomness: chi-squared, runs and serial correlation."""
     n = len(values)
-    counts = np.bincount(values, minlength=a)
-    p_chi = uniform_p(float((counts * counts).sum()) * a / n - n, a - 1)
+    p_chi = uniform_p(chi_squared(values, a), a - 1)
     high = values >= a / 2
     n1, n2 = int(high.sum()), n - int(high.sum())
     if not n1 or not n2:
@@ -135,37 +138,47 @@ def battery(values: np.ndarray, a: int) -> tuple[float, float, float]:
     return p_chi, max(TINY, p_runs), max(TINY, 2 * _normal_tail(abs(r + 1 / n) * sqrt(n)))
 
 
-def combined(ps: tuple[float, ...]) -> float:
-    """Fisher's statistic."""
-    return -2 * sum(map(log, ps))
+KIND = {c: k for k, run in enumerate(("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789")) for c in run}
 
 
-_NODES, _WEIGHTS = np.polynomial.legendre.leggauss(24)
+def changes(token: str) -> int:
+    """How often the kind of character changes; a capital and its word are one kind, and other signs are of the kind before them."""
+    kinds = [KIND[c] for c in token if c in KIND]
+    return sum(x != y and (x, y) != (0, 1) for x, y in zip(kinds, kinds[1:]))
 
 
-def text_p(t: float, n: int, a: int) -> float:
-    """P that ordinary text has a combined statistic of at most t.
+def at_least(x: int, n: int, q: float) -> float:
+    """P that a binomial of n draws is at least x."""
+    if x <= 0:
+        return 1.0
+    j = np.arange(x, n)
+    first = lgamma(n + 1) - lgamma(x + 1) - lgamma(n - x + 1) + x * log(q) + (n - x) * log1p(-q)
+    steps = np.concatenate(([0.0], np.cumsum(np.log((n - j) / (j + 1) * q / (1 - q)))))
+    return min(1.0, float(np.exp(first + steps).sum()))
 
-    The part v of the two order tests has four degrees of freedom; what is left
-    for the chi-squared test is t - v, that is, a tail of exp(-(t - v) / 2).
-    """
-    # Beyond 100 the order tests' part has no weight left.
-    top = min(t, 100.0)
-    total = 0.0
-    for x, w in zip(_NODES, _WEIGHTS):
-        v = top * (x + 1) / 2
-        total += w * top / 2 * v / 4 * exp(-v / 2) * text_tail(uniform_quantile(-(t - v) / 2, a - 1), n, a)
-    return min(1.0, total)
-
-
-def judge(token: str) -> float | None:
-    """The p-value of a token under ordinary text; None if it is no candidate."""
-    name = infer(token.rstrip("="))
+
+def combined(p: float, q: float) -> float:
+    """Fisher's combination of two p-values."""
+    product = max(TINY, p) * max(TINY, q) or TINY
+    return min(1.0, product * (1 - log(product)))
+
+
+def text_p(x: float, n_changes: int, n: int, name: str) -> float:
+    """P that ordinary text of n symbols in an encoding has a chi-squared of at most x and as many changes of kind."""
+    q = ONE_CASE_CHANGES if name in ONE_CASE else TEXT_CHANGES
+    return combined(text_tail(x, n, len(ALPHABETS[name])), at_least(n_changes, n - 1, q))
+
+
+def judge(token: str, refuted: float = SecretParams.refuted) -> float | None:
+    """The p-value of a token under ordinary text, 1 if a test refutes it; None if it is no candidate."""
+    token = token.rstrip("=")
+    name = infer(token)
     if name is None:
         return None
-    alphabet = VALUES[name]
-    values = np.array([alphabet[c] for c in token.rstrip("=")])
-    return text_p(combined(battery(values, len(alphabet))), len(values), len(alphabet))
+    values, a = np.array([VALUES[name][c] for c in token]), len(ALPHABETS[name])
+    if min(battery(values, a)) < refuted:
+        return 1.0
+    return text_p(chi_squared(values, a), changes(token), len(values), name)
 
 
 def random_spans(text: str, base: list[tuple[int, int, int]], params: SecretParams) -> list[tuple[int, int, int, int]]:
@@ -179,7 +192,7 @@ def random_spans(text: str, base: list[tuple[int, int, int]], params: SecretPara
         before = bisect_right(starts, end - 1)
         if before and reach[before - 1] > start:
             continue
-        p = judge(m.group())
+        p = judge(m.group(), params.refuted)
         if p is not None:
             of_length = sum(end - start >= low for low in params.lengths) - 1
             found.append((start, end, of_length, min(params.bins - 1, int(-10 * np.log10(max(p, TINY))))))

@@ -456,13 +456,13 @@ def plain_token(rng):
 
 
 @pytest.mark.parametrize("name", secret_scan.ALPHABETS)
-@pytest.mark.parametrize("length", [32, 40, 64, 128])
+@pytest.mark.parametrize("length", [20, 24, 28, 32, 40, 64, 128])
 def test_planted_keys_are_found_and_text_is_not(name, length):
     """Recall and false discoveries for each encoding and length, among ten times as many ordinary tokens."""
     import random
 
-    if name == "hex" or (length < 64 and name in ("HEX", "base32")):
-        return  # lower-case hex is a base pattern; short tokens of few symbols can't be told from text
+    if name == "hex":
+        return  # a base pattern
     p, rng = secret_scan.SecretParams(), random.Random(f"{name}{length}")
     keys = ["".join(rng.choice(secret_scan.ALPHABETS[name]) for _ in range(length)) for _ in range(60)]
     text = "".join(plain_token(rng) for _ in range(600 * length // 20))
@@ -470,11 +470,14 @@ def test_planted_keys_are_found_and_text_is_not(name, length):
     judged = [(secret_scan.random_spans(t, [], p) or [(0, 0, 0, None)])[0] for t in [*keys, *dull]]
     least = secret_scan.thresholds(Counter((k, b) for _, _, k, b in judged if b is not None), p)
     passed = [b is not None and b >= least[k] for _, _, k, b in judged]
-    assert sum(passed[:60]) >= {32: 25, 40: 48}.get(length, 50) and sum(passed[60:]) <= max(2, 0.07 * sum(passed))
+    # The shortest keys, and those of two kinds of characters that seldom change, can't all be told from text.
+    short = {20: 28, 24: 40, 28: 50}
+    wanted = {20: 12, 24: 24, 28: 36, 32: 40}.get(length, 54) if name == "base32" else 54 if name == "HEX" else short.get(length, 54)
+    assert sum(passed[:60]) >= wanted and sum(passed[60:]) <= max(2, 0.05 * sum(passed))
 
 
 def test_battery_against_simulation():
-    """p-values are uniform under randomness, and text_p is what its model says."""
+    """p-values are uniform under randomness, and those under text are what their models say."""
     rng = np.random.default_rng(3)
     ps = np.array([secret_scan.battery(rng.integers(0, 32, 96), 32) for _ in range(2000)])
     for column in ps.T:
@@ -482,15 +485,25 @@ def test_battery_against_simulation():
     n, a = 48, 64
     df, shift = a - 1, n * (a * secret_scan.TEXT_REPEATS - 1)
     x = rng.noncentral_chisquare(df, shift, 200_000)
-    grid = np.linspace(1, 400, 4000)
-    tail = np.interp(x, grid, [-2 * np.log(secret_scan.uniform_p(g, df)) for g in grid])
-    t = tail + rng.chisquare(4, len(x))
-    for cut in (20, 40, 80):
-        assert abs(secret_scan.text_p(cut, n, a) - (t <= cut).mean()) < 0.1 * (t <= cut).mean() + 1e-4
+    for cut in (70, 100, 150):
+        assert abs(secret_scan.text_tail(cut, n, a) - (x <= cut).mean()) < 0.1 * (x <= cut).mean() + 1e-4
+    drawn = rng.binomial(n - 1, 0.2, 200_000)
+    for many in (0, 1, 9, 15, n - 1):
+        assert abs(secret_scan.at_least(many, n - 1, 0.2) - (drawn >= many).mean()) < 0.05 * (drawn >= many).mean() + 1e-4
+    both = rng.random((200_000, 2))
+    fisher = np.array([secret_scan.combined(p, q) for p, q in both[:20_000]])
+    assert all(abs((fisher < q).mean() - q) < 0.02 for q in (0.1, 0.5, 0.9))
+    assert secret_scan.combined(0.0, 0.0) < 1e-200 and 0 <= secret_scan.at_least(60_000, 100_000, 0.2) < 1e-200
     for ordered in ("abcdefghijklmnopqrstuvwxyz0123456789", "0123456789ABCDEF" * 3, "AbCdEfGh12" * 4):
         assert secret_scan.judge(ordered) > 0.5
 
 
+def test_changes_of_kind():
+    """Words with capitals and signs between words change nothing; digits do, and capitals after small letters."""
+    cases = {"SomeWords": 1, "some-words_/+": 0, "UPPERlower": 0, "lowerUPPER": 1, "a1B2": 3, "2024-01-15": 0, "": 0, "getUser2": 2}
+    assert {t: secret_scan.changes(t) for t in cases} == cases
+
+
 def test_many_spans_take_linear_time():
     from time import perf_counter
 
@@ -502,10 +515,10 @@ def test_many_spans_take_linear_time():
 
 
 def test_upper_case_hex_is_found(spark):
-    """Digests of three words; one whose order looks odd (runs at 0.002, correlation at 0.02) isn't told from text at a rate of 1 %."""
+    """Digests of words, one with an odd order (runs at 0.002, correlation at 0.02) among them; repeated words stay."""
     rows = [(i, f"id {sha256(w).hexdigest().upper()} end") for i, w in enumerate((b"a", b"b", b"c"))] + [(8, sha256(b"test").hexdigest().upper()), (9, "FACADE" * 6 + "00")]
     spans = {r.doc_id: r.spans for r in secret_scan.digest_secrets(docs(spark, rows)).collect()}
-    assert all(spans[i] == "random:3:67" for i in range(3)) and spans[8] == "" and spans[9] == ""
+    assert all(spans[i] == "random:3:67" for i in range(3)) and spans[8] == "random:0:64" and spans[9] == ""
 
 
 def test_masking(spark):
