@@ -2,7 +2,8 @@
 
 Sequences are cut into chunks of bounded length that overlap by k-1 bases and
 dealt to partitions while they are still compact, so no long sequence stays in
-one task.  In a task, blocks of chunks are arrays of two-bit codes: m-mers,
+one task.  Where the input is spread over many files, sequences of one chunk stay
+in the tasks that read them and only the others are dealt.  In a task, blocks of chunks are arrays of two-bit codes: m-mers,
 hashes and the sliding minimum are computed for all positions at once, and only
 selected k-mers become rows.  A k-mer's minimizer depends on the k-mer alone, so
 chunks don't change a result.
@@ -26,9 +27,10 @@ BLOCK = 1 << 19
 KEY = ("sketch_id", "rec_id")
 
 
-def chunks(records: DataFrame, k: int, chunk: int = CHUNK, more: int = 0) -> DataFrame:
+def chunks(records: DataFrame, k: int, chunk: int = CHUNK, more: int = 0, cut: bool | None = None) -> DataFrame:
     """Pieces of at most ``chunk + k - 1`` bases (and ``more`` that follow): sketch_id, rec_id, base (offset) and bases (bytes).
 
+    ``cut`` keeps only rows that are cut into several pieces, or only the others.
     Records shorter than k are left out.  Slices of bytes cost their own length
     only, wherever they begin.  A record may come in several rows that overlap by
     k-1 bases and say their offset in ``base``.
@@ -36,9 +38,13 @@ def chunks(records: DataFrame, k: int, chunk: int = CHUNK, more: int = 0) -> Dat
     start = F.col("base") if "base" in records.columns else F.lit(0)
     held = records.select(*KEY, start.cast("bigint").alias("row_base"), F.col("seq").cast("binary").alias("seq"))
     # A filter on the length would be pushed below the cleaning and clean each sequence again.
-    offsets = F.when(F.length("seq") >= k, F.sequence(F.lit(0), F.length("seq") - k, F.lit(chunk)))
-    cut = held.select(*KEY, "row_base", "seq", F.explode_outer(offsets).alias("base")).where("base is not null")
-    return cut.select(*KEY, (F.col("row_base") + F.col("base")).alias("base"), F.substring("seq", F.col("base") + 1, F.lit(chunk + k - 1 + more)).alias("bases"))
+    wanted = F.length("seq") >= k
+    if cut is not None:
+        several = F.length("seq") >= chunk + k
+        wanted &= several if cut else ~several
+    offsets = F.when(wanted, F.sequence(F.lit(0), F.length("seq") - k, F.lit(chunk)))
+    pieces = held.select(*KEY, "row_base", "seq", F.explode_outer(offsets).alias("base")).where("base is not null")
+    return pieces.select(*KEY, (F.col("row_base") + F.col("base")).alias("base"), F.substring("seq", F.col("base") + 1, F.lit(chunk + k - 1 + more)).alias("bases"))
 
 
 class Block:
@@ -88,7 +94,7 @@ def blocks(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[Block]:
 
 
 def on_blocks(cut: DataFrame, k: int, work: Callable[[Block], list], schema: str) -> DataFrame:
-    """Rows that a function makes of each block of dealt chunks."""
+    """Rows that a function makes of each block of chunks."""
     names = [c.split()[0] for c in schema.split(", ")]  # nested types have no blank after their commas
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,8 +105,22 @@ def on_blocks(cut: DataFrame, k: int, work: Callable[[Block], list], schema: str
 
 
 def over_blocks(records: DataFrame, k: int, work: Callable[[Block], list], schema: str) -> DataFrame:
-    """Rows that a function makes of each block of chunks."""
-    return on_blocks(chunks(records, k).repartition(*KEY, "base"), k, work, schema)
+    """Rows that a function makes of each block of dealt chunks."""
+    return on_blocks(dealt(records, k), k, work, schema)
+
+
+def dealt(records: DataFrame, k: int) -> DataFrame:
+    """Chunks in partitions of even work.
+
+    An input of at least as many files as a shuffle has partitions is spread as it
+    is: what is one chunk stays where it is read, and only long sequences are
+    shuffled (the input is read once for each kind).  Any other input, such as one
+    file, is shuffled whole.
+    """
+    spread = len(records.inputFiles()) >= int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if not spread:
+        return chunks(records, k).repartition(*KEY, "base")
+    return chunks(records, k, cut=False).unionByName(chunks(records, k, cut=True).repartition(*KEY, "base"))
 
 
 def key_type(k: int) -> str:

@@ -226,3 +226,28 @@ def test_bucketed_tables_join_without_exchange(spark, tmp_path):
     spark.sql("drop table kept_sketches")
     spark.sql("drop table kept_sketches_meta")
     assert "Exchange hashpartitioning" not in plan
+
+
+def test_spread_inputs_are_not_shuffled_before_counting(spark, tmp_path, monkeypatch):
+    """From many files only long records are dealt out; from one file everything is; both give the same sketch."""
+    monkeypatch.setattr(minimizers, "CHUNK", 200)
+    monkeypatch.setattr(minimizers.chunks, "__defaults__", (200, *minimizers.chunks.__defaults__[1:]))
+    p = SketchParams(15, 5, 1)
+    edge = ["A" * 14, "ACGTT" * 3, random_seqs(1, 0)[0], *("".join(random.Random(n).choice("ACGT") for _ in range(n)) for n in (213, 214, 215, 216, 414, 415, 1000, 5000))]
+    seqs = [random_seqs(20, 700, 3) + edge, random_seqs(5, 5000, 4)]
+    whole = records(spark, seqs)
+    whole.repartition(6).write.parquet(str(tmp_path / "many"))
+    whole.coalesce(1).write.parquet(str(tmp_path / "one"))
+    many, one = (spark.read.parquet(str(tmp_path / name)) for name in ("many", "one"))
+    joined = minimizers.dealt(many, p.k)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan(joined) and plan(joined).count("RepartitionByExpression") == 1
+    assert "Union" not in plan(minimizers.dealt(one, p.k))
+    long_pieces = minimizers.chunks(many, p.k, cut=True)
+    assert {r[0] for r in long_pieces.select("rec_id").where("sketch_id = 0 and rec_id >= 20").distinct().collect()} == {20 + n for n, s in enumerate(edge) if len(s) >= 215}
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(joined) == rows(minimizers.dealt(one, p.k))
+    assert rows(sketch.build(many, p)) == rows(sketch.build(one, p)) == rows(sketch.build(whole, p))
+    for i, s in enumerate(seqs):
+        got = {(r.minimizer, r.kmer): r.cnt for r in sketch.build(many, p).where(F.col("sketch_id") == i).collect()}
+        assert got == model.sketch(s, p.k, p.m, p.threshold(), p.abundance)
