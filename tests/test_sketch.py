@@ -251,3 +251,23 @@ def test_spread_inputs_are_not_shuffled_before_counting(spark, tmp_path, monkeyp
     for i, s in enumerate(seqs):
         got = {(r.minimizer, r.kmer): r.cnt for r in sketch.build(many, p).where(F.col("sketch_id") == i).collect()}
         assert got == model.sketch(s, p.k, p.m, p.threshold(), p.abundance)
+
+
+def test_chains_on_arrays_and_over_rows(spark, monkeypatch):
+    """Groups chained on arrays, whatever batches cut them, give what doubling over rows gives, and so do groups that are too large for a task."""
+    rng = random.Random(4)
+    base = "".join(rng.choices("ACGT", k=400))
+    seqs = [["".join(c if rng.random() > 0.03 else rng.choice("ACGT") for c in base) for _ in range(6)] + random_seqs(5, 300, s) + ["ACGTACGT" * 9, "A" * 60] for s in range(3)]
+    for p in (SketchParams(15, 5, 1), SketchParams(31, 11, 2)):
+        held = sketch.build(records(spark, seqs), p)
+        want = sorted(map(tuple, superkmers.over_rows(held, p).collect()))
+        sizes = [r["count"] for r in held.groupBy("sketch_id", "minimizer").count().collect()]
+        for rows, group in ((1 << 18, 1 << 20), (50, 1 << 20), (50, sorted(sizes)[-4])):
+            monkeypatch.setattr(superkmers.chains, "ROWS", rows)
+            monkeypatch.setattr(superkmers, "GROUP", group)
+            rebuilt = superkmers.rebuild(held, p)
+            assert sorted(map(tuple, rebuilt.collect())) == want and len(want) > 100
+    monkeypatch.setattr(superkmers, "GROUP", 1 << 20)
+    # A group moves once.
+    plan = superkmers.rebuild(held, p)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and "Join" not in plan
