@@ -271,3 +271,25 @@ def test_chains_on_arrays_and_over_rows(spark, monkeypatch):
     # A group moves once.
     plan = superkmers.rebuild(held, p)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RepartitionByExpression") == 1 and "Join" not in plan
+
+
+def test_rates_counted_as_bits(spark, monkeypatch):
+    """Pairs and sizes at several rates, k-mers as rows of bits: what the sketches give one by one, for ids of several words and gaps, and by rows beyond the places."""
+    rng = random.Random(9)
+    pool = random_seqs(12, 120, 3)
+    rows = [(7 * i - 20, r, "".join(rng.sample(pool, 3))) for i in range(70) for r in range(2)] + [(9999, 0, "ACG")]
+    held = spark.createDataFrame(rows, "sketch_id bigint, rec_id bigint, seq string")
+    rates = {"some": SketchParams(15, 5, 4), "exact": SketchParams(15, 5, 1), "few": SketchParams(15, 5, 30)}
+    want, sizes = {}, {}
+    for name, p in rates.items():
+        made = sketch.build(held, p)
+        want[name] = {(r.i, r.j): r.n_shared for r in compare.shared(made).collect()}
+        sizes[name] = {r.sketch_id: r.n for r in compare.cardinality(made).collect()}
+    for places in (512, 70):
+        monkeypatch.setattr(compare, "PLACES", places)
+        pairs, n = (x.collect() for x in sketch.shared_at(held, rates))
+        for name in rates:
+            assert {(r.i, r.j): r[name] for r in pairs if r[name]} == want[name] and len(want[name]) > 500
+            assert {r.sketch_id: r[name] for r in n if r[name]} == sizes[name]
+    monkeypatch.setattr(compare, "PLACES", 512)
+    assert not sketch.shared_at(held.limit(0), rates)[0].count()
