@@ -293,3 +293,24 @@ def test_rates_counted_as_bits(spark, monkeypatch):
             assert {r.sketch_id: r[name] for r in n if r[name]} == sizes[name]
     monkeypatch.setattr(compare, "PLACES", 512)
     assert not sketch.shared_at(held.limit(0), rates)[0].count()
+
+
+def test_tasks_follow_the_input(spark, tmp_path, monkeypatch):
+    """Chunks are dealt, and pairs made, in tasks whose number follows the input and isn't cut down to few bytes; sketches and pairs stay the same."""
+    p = SketchParams(15, 5, 1)
+    seqs = [random_seqs(4, 300, s) + ["ACGTTGCA" * 20] for s in range(12)]
+    whole = records(spark, seqs)
+    whole.repartition(6).write.parquet(str(tmp_path / "many"))
+    many = spark.read.parquet(str(tmp_path / "many"))
+    want = sorted(map(tuple, sketch.build(whole, p).collect()))
+    pairs = sorted(map(tuple, compare.all_pairs(sketch.build(whole, p)).collect()))
+    parts = lambda df: df.select(F.spark_partition_id().alias("p")).agg(F.max("p")).first()[0] + 1
+    size = sum(f.stat().st_size for f in (tmp_path / "many").glob("*.parquet"))
+    monkeypatch.setattr("helixmill.sources.shared.TASK_BYTES", size // 20)
+    assert "Union" not in minimizers.dealt(many, p.k)._jdf.queryExecution().optimizedPlan().toString()
+    assert parts(minimizers.dealt(many, p.k)) > 15 and parts(compare.spread(many.select("sketch_id", F.col("rec_id").alias("minimizer"), F.col("rec_id").alias("kmer"), "seq"))) >= 4
+    assert sorted(map(tuple, sketch.build(many, p).collect())) == want
+    monkeypatch.setattr(compare, "PAIRS", 2)
+    held = sketch.build(many, p).localCheckpoint()
+    assert sorted(map(tuple, compare.all_pairs(held).collect())) == pairs and len(pairs) == 66
+    assert "RepartitionByExpression" in compare.shared(held)._jdf.queryExecution().optimizedPlan().toString()
