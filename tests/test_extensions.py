@@ -66,6 +66,27 @@ def test_stream_keeps_up(spark, tmp_path):
     assert len(want) == 10
 
 
+def test_stream_compares_by_growth(spark, tmp_path):
+    """Six batches are compared after the first and the fourth only; a reader adds what came since, and a count that broke off is left out and made again."""
+    shared = random_seqs(1, 900, 4)[0]
+    seqs = [shared[60 * (i % 4) :][:500] + random_seqs(1, 200, i)[0] for i in range(6)] + [shared[100:400]]
+    rows = [(i, 0, s[:400]) for i, s in enumerate(seqs)] + [(i, 1, s[386:]) for i, s in enumerate(seqs)]
+    source, target, state = (str(tmp_path / n) for n in ("in", "held", "state"))
+    for n in range(6):  # a sketch's records are in several batches, some of them twice
+        part = [r for k, r in enumerate(rows) if k % 6 in (n, (n + 5) % 6)]
+        spark.createDataFrame(part, "sketch_id bigint, rec_id bigint, seq string").coalesce(1).write.mode("append").parquet(source)
+    arriving = spark.readStream.schema("sketch_id bigint, rec_id bigint, seq string").option("maxFilesPerTrigger", 1).parquet(source)
+    compare_stream(arriving, target, state, P).awaitTermination()
+    folders = lambda of: sorted(int(f.name.removeprefix("batch=")) for f in (tmp_path / "held" / of).glob("batch=*"))
+    assert folders("rows") == list(range(6)) and folders("pairs") == [0, 3]
+    want = {tuple(r) for r in compare.all_pairs(sketch.build(spark.createDataFrame(rows, "sketch_id bigint, rec_id bigint, seq string"), P)).collect()}
+    assert {tuple(r) for r in compared(arriving, target).collect()} == want and len(want) == 21
+    for broken in (3, 0):
+        (tmp_path / "held" / "pairs" / f"batch={broken}" / "_SUCCESS").unlink()
+        assert {tuple(r) for r in compared(arriving, target).collect()} == want
+    assert compared(arriving, str(tmp_path / "none")).count() == 0
+
+
 def test_table_functions(spark):
     tables.register(spark)
     seqs = random_seqs(4, 300, 12) + ["".join(random.Random(1).choices("ACGT", k=40_000)), "acgtNNacgtacgtacgtacgtacgt", "AC", None]

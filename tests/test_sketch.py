@@ -167,6 +167,40 @@ def test_pairs_of_hot_kmers(spark, monkeypatch):
     assert sorted((r.kmer, r.sketch_id, r.n_sketches) for r in colors) == [(2, 0, 3), (2, 1, 3), (2, 2, 3)]
 
 
+def test_pairs_of_new_rows(spark, monkeypatch):
+    """Counts where one of both rows is new, in blocks, in crowded cells and few pairs at once; with what was counted before they are those of all rows."""
+    rng = random.Random(3)
+    members = [set(range(30)) - {rng.randrange(30)} | {rng.randrange(100, 130) for _ in range(9)} for _ in range(40)]
+    rows = [(i * 7 - 9, 0, x, rng.random() < 0.4) for i, s in enumerate(members) for x in s]
+    held = spark.createDataFrame(rows, "sketch_id bigint, minimizer bigint, kmer bigint, fresh boolean")
+    want, n = {}, {}
+    for i, _, x, new in rows:
+        n[i] = n.get(i, 0) + 1
+        for j, _, y, other in rows:
+            if i < j and x == y and (new or other):
+                want[i, j] = want.get((i, j), 0) + 1
+    old = {(r.i, r.j): r.n_shared for r in compare.shared(held.where("not fresh")).collect()}
+    every = {(r.i, r.j): r.n_shared for r in compare.shared(held).collect()}
+    for block, pairs, once in ((256, 1 << 23, 1 << 21), (7, 40, 50)):
+        for name, value in {"HOLDERS": block, "PAIRS": pairs, "AT_ONCE": once}.items():
+            monkeypatch.setattr(compare, name, value)
+        got = compare.shared(held, fresh=True, sizes=compare.cardinality(held)).collect()
+        assert {(r.i, r.j): r.n_shared for r in got} == want and all((r.n_i, r.n_j) == (n[r.i], n[r.j]) for r in got)
+    assert {p: want.get(p, 0) + old.get(p, 0) for p in every} == every and any(want.get(p, 0) for p in old)
+
+
+def test_alike_sets_meet(spark, monkeypatch):
+    """k-mers that nearly the same sketches hold: their pairs are added up where they are made, so rows that are shuffled are about as many as the pairs."""
+    rng = random.Random(4)
+    held = [(i, 0, x, 1, 0) for x in range(60) for i in range(80) if i % 79 == 0 or rng.random() < 0.95]
+    made = []
+    rows = spark.createDataFrame(held, "sketch_id bigint, minimizer bigint, kmer bigint, cnt bigint, pos_min bigint")
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda self, f, s, real=type(rows).mapInArrow: (made.append(real(self, f, s)), made[-1])[1])
+    pairs = compare.shared(rows)
+    assert pairs.count() == 80 * 79 // 2 and pairs.agg(F.sum("n_shared")).first()[0] > 150_000
+    assert made and made[0].count() < 4 * 80 * 79 // 2
+
+
 def test_bank(spark):
     held = sets(spark, {1, 2}, {2, 3}, {1, 2, 3})
     rows = compare.against_bank(held.where("sketch_id = 0"), held.where("sketch_id > 0")).collect()
